@@ -1,0 +1,24 @@
+"""Joins that stay even when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_KEYS = 64
+
+
+def hot_key_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """``left`` or ``inner`` join with a dimension that holds each key once.
+
+    The most frequent keys (any key with a 64th of all rows is among them) are joined against their at
+    most 64 dimension rows, which are broadcast, so these rows do not move; all other rows are joined
+    the normal way. The result equals a plain join.
+    """
+    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n")).limit(HOT_KEYS).select(
+        *on, F.lit(True).alias("_hot"))
+    marked = left.join(F.broadcast(hot), on, "left")
+    hot_right = right.join(F.broadcast(hot.drop("_hot")), on, "left_semi")
+    hot_rows = marked.where("_hot").drop("_hot").join(F.broadcast(hot_right), on, how)
+    cold_rows = marked.where("_hot IS NULL").drop("_hot").join(right, on, how)
+    return hot_rows.unionByName(cold_rows)
