@@ -34,8 +34,8 @@ def drop_prefix(labels: Column, prefix: str = "__meta_") -> Column:
 def set_label(labels: Column, name: str | Column, value: Column) -> Column:
     """Set one label; an empty or NULL value removes it."""
     key = F.lit(name) if isinstance(name, str) else name
-    rest = F.map_filter(labels, lambda k, _: k != key)
-    return F.when(F.coalesce(value, F.lit("")) == "", rest).otherwise(F.map_concat(rest, F.create_map(key, value)))
+    others = F.map_filter(labels, lambda k, _: k != key)
+    return drop_absent(F.map_concat(others, F.create_map(key, value)))
 
 
 def rename_keys(labels: Column, new_name: Callable[[Column], Column]) -> Column:

@@ -101,21 +101,8 @@ def hashmod(text: Column, modulus: int) -> Column:
     return (low % F.lit(modulus).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string")
 
 
-def _new_labels(labels: Column, rule: RelabelRule) -> Column:
-    text = _joined(labels, rule)
-    matches = F.rlike(text, F.lit(_java(rule.regex)))
-    if rule.action == "replace":
-        target = _expand(rule.target_label, rule.regex, text) if "$" in rule.target_label else F.lit(rule.target_label)
-        valid = F.rlike(target, F.lit(r"\A[a-zA-Z_][a-zA-Z0-9_]*\z"))
-        changed = set_label(labels, target, _expand(rule.replacement, rule.regex, text))
-        return F.when(matches & valid, changed).otherwise(labels)
-    if rule.action == "hashmod":
-        return set_label(labels, rule.target_label, hashmod(text, rule.modulus))
-    if rule.action == "lowercase":
-        return set_label(labels, rule.target_label, F.lower(text))
-    if rule.action == "uppercase":
-        return set_label(labels, rule.target_label, F.upper(text))
-
+def _key_rule(labels: Column, rule: RelabelRule) -> Column:
+    """Rules on label names."""
     def named(key: Column) -> Column:
         return F.rlike(key, F.lit(_java(rule.regex)))
 
@@ -124,20 +111,40 @@ def _new_labels(labels: Column, rule: RelabelRule) -> Column:
         return overlay(labels, rename_keys(picked, lambda k: _expand(rule.replacement, rule.regex, k)))
     if rule.action == "labeldrop":
         return F.map_filter(labels, lambda k, _: ~named(k))
-    if rule.action == "labelkeep":
-        return F.map_filter(labels, lambda k, _: named(k))
-    return labels
+    return F.map_filter(labels, lambda k, _: named(k))
 
 
-def _kept(labels: Column, rule: RelabelRule) -> Column | None:
-    text = _joined(labels, rule)
-    target = F.coalesce(labels[rule.target_label], F.lit(""))
-    return {
-        "keep": lambda: F.rlike(text, F.lit(_java(rule.regex))),
-        "drop": lambda: ~F.rlike(text, F.lit(_java(rule.regex))),
-        "keepequal": lambda: text == target,
-        "dropequal": lambda: text != target,
-    }.get(rule.action, lambda: None)()
+def _value_of(rule: RelabelRule, text: Column) -> Column:
+    if rule.action == "hashmod":
+        return hashmod(text, rule.modulus)
+    if rule.action == "lowercase":
+        return F.lower(text)
+    if rule.action == "uppercase":
+        return F.upper(text)
+    return _expand(rule.replacement, rule.regex, text)
+
+
+def _apply(df: DataFrame, rule: RelabelRule, labels: str, keep: str) -> DataFrame:
+    old = F.col(labels)
+    if rule.action in ("labelmap", "labeldrop", "labelkeep"):
+        return df.withColumn(labels, _key_rule(old, rule))
+    # The joined source values are a column of their own: the rule reads them more than once.
+    df = df.withColumn("_rule_text", _joined(old, rule))
+    text = F.col("_rule_text")
+    matches = F.rlike(text, F.lit(_java(rule.regex)))
+    target = F.coalesce(old[rule.target_label], F.lit(""))
+    verdicts = {"keep": matches, "drop": ~matches, "keepequal": text == target, "dropequal": text != target}
+    if rule.action in verdicts:
+        return df.withColumn(keep, F.col(keep) & verdicts[rule.action])
+    value = _value_of(rule, text)
+    if rule.action != "replace":
+        return df.withColumn(labels, set_label(old, rule.target_label, value))
+    if "$" not in rule.target_label:
+        return df.withColumn(labels, F.when(matches, set_label(old, rule.target_label, value)).otherwise(old))
+    df = df.withColumn("_rule_target", _expand(rule.target_label, rule.regex, text))
+    valid = F.rlike("_rule_target", F.lit(r"\A[a-zA-Z_][a-zA-Z0-9_]*\z"))
+    return df.withColumn(
+        labels, F.when(matches & valid, set_label(old, F.col("_rule_target"), value)).otherwise(old)).drop("_rule_target")
 
 
 def relabel(df: DataFrame, rules: list[RelabelRule], labels: str = "labels", keep: str = "keep") -> DataFrame:
@@ -146,16 +153,11 @@ def relabel(df: DataFrame, rules: list[RelabelRule], labels: str = "labels", kee
     Each rule is a projection of its own, since every rule reads the map several times. Run this on
     process tables rather than on samples. Labels of rows that are not kept carry no meaning.
     """
-    flag = F.col(keep) if keep in df.columns else F.lit(True)
-    df = df.withColumn(keep, flag)
+    df = df.withColumn(keep, F.col(keep) if keep in df.columns else F.lit(True))
     for rule in rules:
         _check(rule)
-        verdict = _kept(F.col(labels), rule)
-        if verdict is not None:
-            df = df.withColumn(keep, F.col(keep) & verdict)
-        else:
-            df = df.withColumn(labels, _new_labels(F.col(labels), rule))
-    return df
+        df = _apply(df, rule, labels, keep)
+    return df.drop("_rule_text")
 
 
 def filter_kept(df: DataFrame, keep: str = "keep") -> DataFrame:

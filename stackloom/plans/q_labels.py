@@ -91,7 +91,7 @@ def _(t: Tables):
     cut AS (SELECT doc_id, k, b, text, CASE WHEN octet_length(b) > k THEN k ELSE octet_length(b) END AS n FROM c),
     -- the longest whole-character prefix of at most n bytes
     chars AS (SELECT doc_id, k, n, text, octet_length(b) AS full_length,
-                     list_filter(range(0, n + 1), i -> i <= length(text) AND octet_length(encode(left(text, CAST(i AS INTEGER)))) <= n)
+                     list_filter(range(0, n + 1), lambda i: i <= length(text) AND octet_length(encode(left(text, CAST(i AS INTEGER)))) <= n)
                      AS fits FROM cut),
     best AS (SELECT doc_id, k, n, left(text, CAST(fits[-1] AS INTEGER)) AS head FROM chars)
     SELECT doc_id, k, CASE WHEN n - octet_length(encode(head)) <= 2 THEN head END AS fixed FROM best""")
@@ -144,7 +144,7 @@ def _(t: Tables):
 
 
 @query("epoch_ms", """
-    SELECT event_id, epoch_ms(ts) AS ts_ms, make_timestamp(epoch_us(ts)) AS ts FROM events""")
+    SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, make_timestamp(epoch_us(ts)) AS ts FROM events""")
 def _(t: Tables):
     ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
     return t.table("events").select(
@@ -295,10 +295,10 @@ _POD_LABELS = r"""
           UNION ALL
           SELECT md5(raw_container_id) || md5(pod_name), 'true', 'setup', 'busybox', c.* EXCLUDE (container_id) FROM c)
     SELECT container_id,
-           CASE WHEN {nodes} THEN '__meta_kubernetes_node_annotation_zone=z' || substr(node_name, 6) || ','
+           '__meta_kubernetes_namespace=' || namespace
+           || CASE WHEN {nodes} THEN ',__meta_kubernetes_node_annotation_zone=z' || substr(node_name, 6) || ','
                 || '__meta_kubernetes_node_annotationpresent_zone=true,__meta_kubernetes_node_label_arch=amd64,'
-                || '__meta_kubernetes_node_labelpresent_arch=true,__meta_kubernetes_node_name=' || node_name || ',' ELSE '' END
-           || '__meta_kubernetes_namespace=' || namespace AS head,
+                || '__meta_kubernetes_node_labelpresent_arch=true,__meta_kubernetes_node_name=' || node_name ELSE '' END AS head,
            '__meta_kubernetes_pod_annotation_note_a=' || namespace || ',__meta_kubernetes_pod_annotationpresent_note_a=true,'
            || '__meta_kubernetes_pod_container_id=' || container_id || ',__meta_kubernetes_pod_container_image=' || image
            || ',__meta_kubernetes_pod_container_init=' || init || ',__meta_kubernetes_pod_container_name=' || cname
@@ -505,7 +505,7 @@ def _(t: Tables):
 @query("custom_labels", """
     WITH c AS (SELECT doc_id, text, lang, encode(text) AS b FROM documents),
     n AS (SELECT *, CASE WHEN octet_length(b) > 47 THEN 47 ELSE octet_length(b) END AS k FROM c),
-    f AS (SELECT *, list_filter(range(0, 48), i -> i <= length(text) AND octet_length(encode(left(text, CAST(i AS INTEGER)))) <= k) AS fits
+    f AS (SELECT *, list_filter(range(0, 48), lambda i: i <= length(text) AND octet_length(encode(left(text, CAST(i AS INTEGER)))) <= k) AS fits
           FROM n),
     h AS (SELECT *, left(text, CAST(fits[-1] AS INTEGER)) AS head FROM f)
     SELECT doc_id, CASE WHEN k - octet_length(encode(head)) > 2 OR head = '' THEN lang ELSE head END AS value FROM h""")
