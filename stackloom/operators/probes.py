@@ -70,35 +70,34 @@ def match_probe_targets(executables: DataFrame, specs: list[ProbeSpec]) -> DataF
         "file_id", "path", "_hit.*")
 
 
-def pair_probe_scopes(edges: DataFrame, keys: list[str], width: int = HOUR_NS) -> DataFrame:
-    """Entry and exit edges to outermost spans.
-
-    ``edges`` holds ``keys`` (the thread), ``pid, tid, comm, ts_ns, delta`` (+1 entry, -1 exit) and the
-    ``cookie`` of the probe. Nested entries only raise the depth, whatever their probe; an exit without
-    entry is dropped; the span takes the probe of its exit.
-
-    Depth is a running sum that never goes below zero. Each slice learns its starting depth from the sums
-    and lowest points of the slices before it; a span that crosses slices is closed in a second step that
-    sees at most two edges per slice.
-    """
-    flags = unpack_probe_cookie(F.col("cookie"))
+def _watched(edges: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Sliced edges that count: of main threads only, where the probe asks for that."""
     columns = list(dict.fromkeys([*keys, "pid", "tid", "comm", "ts_ns", "delta"]))
-    watched = with_slice(
-        edges.withColumn("_flags", flags).where((~F.col("_flags.main_thread_only")) | (F.col("tid") == F.col("pid")))
-        .select(*columns, F.col("_flags.spec_id").alias("spec_id"),
-                F.col("_flags.min_duration_ms").alias("_min_ms")), "ts_ns", width)
+    flagged = edges.withColumn("_flags", unpack_probe_cookie(F.col("cookie")))
+    return with_slice(
+        flagged.where((~F.col("_flags.main_thread_only")) | (F.col("tid") == F.col("pid")))
+        .select(*columns, F.col("_flags.spec_id").alias("spec_id"), F.col("_flags.min_duration_ms").alias("_min_ms")),
+        "ts_ns", width)
 
-    inside = Window.partitionBy(*keys, "_slice").orderBy("ts_ns")
-    running = inside.rowsBetween(Window.unboundedPreceding, 0)
+
+def _slice_sums(watched: DataFrame, keys: list[str], initial: DataFrame | None) -> DataFrame:
+    """Per slice: sum and lowest point of the running sum, and the depth it starts from."""
+    running = Window.partitionBy(*keys, "_slice").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
     sums = (watched.select(*keys, "_slice", "ts_ns", "delta").withColumn("_sum", F.sum("delta").over(running))
             .groupBy(*keys, "_slice").agg(F.sum("delta").alias("_total"), F.min("_sum").alias("_low")))
-    across = Window.partitionBy(*keys).orderBy("_slice")
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    starts = (sums.withColumn("_in", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-              .withColumn("_floor", F.least(F.lit(0), F.min(F.col("_in") + F.col("_low")).over(before)))
-              .withColumn("delta", F.col("_in") - F.coalesce("_floor", F.lit(0)))
-              .where("delta > 0").select(*keys, "_slice", "delta", F.lit(True).alias("_seed")))
-
+    if initial is not None:  # open scopes stand for a slice before all others
+        sums = sums.unionByName(initial.select(
+            *keys, F.lit(-(2**62)).alias("_slice"), F.col("depth").cast("long").alias("_total"),
+            F.lit(0).cast("long").alias("_low")))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return (sums.withColumn("_in", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+            .withColumn("_floor", F.least(F.lit(0), F.coalesce(F.min(F.col("_in") + F.col("_low")).over(before), F.lit(0)))))
+
+
+def _outer_edges(watched: DataFrame, keys: list[str], initial: DataFrame | None) -> DataFrame:
+    """Edges that open or close an outermost scope."""
+    starts = (_slice_sums(watched, keys, initial).withColumn("delta", F.col("_in") - F.col("_floor"))
+              .where(F.col("delta") > 0).select(*keys, "_slice", "delta", F.lit(True).alias("_seed")))
     order = Window.partitionBy(*keys, "_slice").orderBy(F.col("_seed").desc(), "ts_ns")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     depths = (watched.withColumn("_seed", F.lit(False)).unionByName(starts, allowMissingColumns=True)
@@ -108,12 +107,32 @@ def pair_probe_scopes(edges: DataFrame, keys: list[str], width: int = HOUR_NS) -
               .where(~F.col("_seed")))
     opens = (F.col("delta") > 0) & (F.col("_depth") == 1) & (F.col("_was") == 0)
     closes = (F.col("delta") < 0) & (F.col("_depth") == 0) & (F.col("_was") == 1)
-    outer = depths.withColumn("_open", opens).where(opens | closes)
+    return depths.withColumn("_open", opens).where(opens | closes)
+
+
+def pair_probe_scopes(
+    edges: DataFrame, keys: list[str], width: int = HOUR_NS, initial: DataFrame | None = None
+) -> DataFrame:
+    """Entry and exit edges to outermost spans.
+
+    ``edges`` holds ``keys`` (the thread), ``pid, tid, comm, ts_ns, delta`` (+1 entry, -1 exit) and the
+    ``cookie`` of the probe. Nested entries only raise the depth, whatever their probe; an exit without
+    entry is dropped; the span takes the probe of its exit. ``initial`` holds scopes open before the first
+    edge, as :func:`open_scopes` returns them.
+
+    Depth is a running sum that never goes below zero. Each slice learns its starting depth from the sums
+    and lowest points of the slices before it; a span that crosses slices is closed in a second step that
+    sees at most two edges per slice.
+    """
+    inside = Window.partitionBy(*keys, "_slice").orderBy("ts_ns")
+    outer = _outer_edges(_watched(edges, keys, width), keys, initial)
     outer = (outer.withColumn("_from", F.when(F.lag("_open").over(inside), F.lag("ts_ns").over(inside)))
              .withColumn("_closed", F.lead("_open").over(inside).isNotNull()))
-
     within = outer.where(~F.col("_open") & F.col("_from").isNotNull())
     loose = outer.where((F.col("_open") & ~F.col("_closed")) | (~F.col("_open") & F.col("_from").isNull()))
+    if initial is not None:
+        loose = loose.unionByName(initial.select(
+            *keys, F.col("open_ns").alias("ts_ns"), F.lit(True).alias("_open")), allowMissingColumns=True)
     thread = Window.partitionBy(*keys).orderBy("ts_ns")
     crossing = (loose.withColumn("_from", F.when(F.lag("_open").over(thread), F.lag("ts_ns").over(thread)))
                 .where(~F.col("_open") & F.col("_from").isNotNull()))
@@ -123,6 +142,20 @@ def pair_probe_scopes(edges: DataFrame, keys: list[str], width: int = HOUR_NS) -
     return spans.where(long_enough).select(*names, F.col("ts_ns").alias("end_ns"), "duration_ns")
 
 
+def open_scopes(
+    edges: DataFrame, keys: list[str], width: int = HOUR_NS, initial: DataFrame | None = None
+) -> DataFrame:
+    """Scopes still open after the last edge: ``keys, depth, open_ns``."""
+    watched = _watched(edges, keys, width)
+    sums = _slice_sums(watched, keys, initial)
+    depth = F.sum("_total") - F.least(F.lit(0), F.min(F.col("_in") + F.col("_low")))
+    depths = sums.groupBy(*keys).agg(depth.alias("depth")).where("depth > 0")
+    opened = _outer_edges(watched, keys, initial).where("_open").select(*keys, F.col("ts_ns").alias("open_ns"))
+    if initial is not None:
+        opened = opened.unionByName(initial.select(*keys, "open_ns"))
+    return depths.join(opened.groupBy(*keys).agg(F.max("open_ns").alias("open_ns")), keys, "inner")
+
+
 def probe_event_spec(events: DataFrame, specs: DataFrame) -> DataFrame:
     """Events with the id of their probe; unknown spec ids are dropped."""
     return events.join(specs.select("spec_id", F.col("id").alias("probe_id")), "spec_id", "inner")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,3 +37,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not root:
         root = os.path.join(tempfile.gettempdir(), "stackloom")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a session that was not started with it."""
+    if getattr(ship_package, "application", None) == spark.sparkContext.applicationId:
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="stackloom-zip-"), "stackloom")
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(folder), os.path.basename(folder)))
+    ship_package.application = spark.sparkContext.applicationId
