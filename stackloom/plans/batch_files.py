@@ -22,7 +22,7 @@ from stackloom.session import shared_dir, ship_package
 from stackloom.sources.batch_log import FORMAT_VERSION, HEADER, LENGTH, MAGIC
 
 DAY_NS = 86_400_000_000_000
-BATCH_NS = DAY_NS // 4
+FILE_NS, BATCH_NS = 10 * DAY_NS, DAY_NS
 TEXTS = ["sample_type", "sample_unit", "period_type", "period_unit", "producer", "temporality"]
 NUMBERS = ["value", "period", "duration"]
 
@@ -100,12 +100,12 @@ def writer(root: str):
 
 
 def records(t: Tables) -> DataFrame:
-    """Sample rows and, with the first batch that needs them, stack rows; a file per node and day.
+    """Sample rows and, with the first batch that needs them, stack rows; a file per node and ten days.
 
     A stack that does not exist has no row, which the replay has to cope with.
     """
     named = inputs.samples(t).withColumn(
-        "file", F.concat_ws("-", "node", floor_div(F.col("ts_ns"), DAY_NS).cast("string"))).withColumn(
+        "file", F.concat_ws("-", "node", floor_div(F.col("ts_ns"), FILE_NS).cast("string"))).withColumn(
         "batch", floor_div(F.col("ts_ns"), BATCH_NS))
     samples = named.withColumn("kind", F.lit(0)).withColumn("stack_key", F.col("stacktrace_id"))
     first = new_stacktraces(named, ["file"], "batch").withColumnRenamed("first_batch", "batch")

@@ -9,7 +9,7 @@ from stackloom.functions.labels import labels_string
 from stackloom.functions.values import floor_div, ns_to_ts
 from stackloom.operators import samples as sample_ops
 from stackloom.plans import inputs
-from stackloom.plans.batch_files import BATCH_NS, DAY_NS, write_batch_files
+from stackloom.plans.batch_files import BATCH_NS, DAY_NS, FILE_NS, write_batch_files
 from stackloom.plans.fixtures import Tables
 from stackloom.plans.q_probes import _SPANS, _THREAD, _LAUNCHES, _TIMINGS
 from stackloom.plans.registry import query
@@ -93,7 +93,7 @@ def _(t: Tables):
 
 
 @query("read_batch_log", f"""
-    SELECT node || '-' || CAST(ts_ns // {DAY_NS} AS VARCHAR) || '.padata.zst' AS file, 'v1' AS schema_version,
+    SELECT node || '-' || CAST(ts_ns // {FILE_NS} AS VARCHAR) || '.padata.zst' AS file, 'v1' AS schema_version,
            'comm=' || comm || ',node=' || node AS labels, lpad(to_hex(stack_key), 32, '0') AS stacktrace_id, {_FIXED}
     FROM ox_samples""")
 def _(t: Tables):
@@ -103,7 +103,7 @@ def _(t: Tables):
 
 
 @query("replay_batch_log", f"""
-    WITH b AS (SELECT DISTINCT node || '-' || CAST(ts_ns // {DAY_NS} AS VARCHAR) || '.padata.zst' AS file,
+    WITH b AS (SELECT DISTINCT node || '-' || CAST(ts_ns // {FILE_NS} AS VARCHAR) || '.padata.zst' AS file,
                       ts_ns // {BATCH_NS} AS part, stack_key FROM ox_samples),
     n AS (SELECT *, dense_rank() OVER (PARTITION BY file ORDER BY part) - 1 AS batch FROM b),
     st AS (SELECT stack_key, bool_and(frame_complete) AS is_complete, count(*) AS n_locations FROM ox_locations GROUP BY 1)
@@ -118,7 +118,7 @@ def _(t: Tables):
 
 
 @query("batch_log_inventory", f"""
-    SELECT 'compressed' AS kind, count(DISTINCT node || '-' || CAST(ts_ns // {DAY_NS} AS VARCHAR)) AS files, true AS has_bytes
+    SELECT 'compressed' AS kind, count(DISTINCT node || '-' || CAST(ts_ns // {FILE_NS} AS VARCHAR)) AS files, true AS has_bytes
     FROM ox_samples""")
 def _(t: Tables):
     found = tables.batch_log_inventory(t.spark, write_batch_files(t))

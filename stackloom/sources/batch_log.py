@@ -5,8 +5,9 @@ Arrow stream of samples; files with v1 records add a second stream with the stac
 The header count is written last, so whatever lies behind that many batches is ignored.
 
 ``spark.read.format("batch_log").option("record", "samples").load(path)`` gives the samples,
-``record=stacktraces`` the stacks. A partition is a group of whole files of up to 128 MB; one file spans
-one rotation interval of one host. Batches are decoded one at a time.
+``record=stacktraces`` the stacks. A partition is a group of whole files, filled up to ``partition_bytes``
+with a fixed cost per file; one file spans one rotation interval of one host. Batches are decoded one at a
+time.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from stackloom.operators.sequence import asof_join
 MAGIC, FORMAT_VERSION = 0xA6E7CCCA, 0
 HEADER, LENGTH = struct.Struct(">IHH"), struct.Struct(">I")
 SUFFIXES = (".padata.zst", ".padata")
-PARTITION_BYTES = 128 << 20
+PARTITION_BYTES, OPEN_COST = 128 << 20, 4 << 20
 
 LINES = ("lines array<struct<line:bigint,column:bigint,function_name:string,function_system_name:string,"
          "function_filename:string,function_start_line:bigint>>")
@@ -183,8 +184,8 @@ def read_records(stream, wanted: str) -> Iterator[tuple[int, str, pa.Table]]:
 
 
 class BatchLogReader(DataSourceReader):
-    def __init__(self, path: str, record: str):
-        self.path, self.record = path, record
+    def __init__(self, path: str, record: str, partition_bytes: int = PARTITION_BYTES):
+        self.path, self.record, self.partition_bytes = path, record, partition_bytes
 
     def partitions(self) -> list[FileGroup]:
         system, root = _file_system(self.path)
@@ -193,11 +194,11 @@ class BatchLogReader(DataSourceReader):
         groups: list[FileGroup] = []
         room = 0
         for file in files:
-            if file.size > room:
+            if file.size + OPEN_COST > room:
                 groups.append(FileGroup([]))
-                room = PARTITION_BYTES
+                room = self.partition_bytes
             groups[-1].files.append(file.path)
-            room -= file.size
+            room -= file.size + OPEN_COST
         return groups
 
     def read(self, partition: FileGroup) -> Iterator[pa.RecordBatch]:
@@ -234,12 +235,13 @@ class BatchLogSource(DataSource):
         return SAMPLE_SCHEMA if self._record() == "samples" else STACK_SCHEMA
 
     def reader(self, schema) -> BatchLogReader:
-        return BatchLogReader(self.options["path"], self._record())
+        size = int(self.options.get("partition_bytes", PARTITION_BYTES))
+        return BatchLogReader(self.options["path"], self._record(), size)
 
 
-def read_batch_log(spark: SparkSession, path: str, record: str = "samples") -> DataFrame:
+def read_batch_log(spark: SparkSession, path: str, record: str = "samples", **options: str) -> DataFrame:
     spark.dataSource.register(BatchLogSource)
-    return spark.read.format("batch_log").option("record", record).load(path)
+    return spark.read.format("batch_log").option("record", record).options(**options).load(path)
 
 
 def replay_batch_log(samples: DataFrame, stacktraces: DataFrame) -> DataFrame:
