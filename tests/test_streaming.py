@@ -78,8 +78,9 @@ def test_new_stacks_over_batches(spark):
 
 
 def test_gpu_over_batches(spark):
-    launches = spark.createDataFrame([(1, i, i * 10**9) for i in range(50)], "pid long, correlation_id long, ts_ns long")
-    timings = spark.createDataFrame([(1, i % 40, f"k{i}", i, (i % 40) * 10**9 + 5) for i in range(90)],
+    base = 1_700_000_000 * 10**9  # not the epoch itself, which is where a watermark starts
+    launches = spark.createDataFrame([(1, i, base + i * 10**9) for i in range(50)], "pid long, correlation_id long, ts_ns long")
+    timings = spark.createDataFrame([(1, i % 40, f"k{i}", i, base + (i % 40) * 10**9 + 5) for i in range(90)],
                                     "pid long, correlation_id long, kernel_name string, duration_ns long, at long")
     launches, timings = launches.withColumn("ts", ns_to_ts(F.col("ts_ns"))), timings.withColumn("ts", ns_to_ts(F.col("at"))).drop("at")
     left = files(spark, [launches.where("correlation_id >= 20"), launches.where("correlation_id < 20")])
