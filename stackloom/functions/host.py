@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stackloom.functions.labels import let
+
 # How each container technology shows in a control-group line.
 CONTAINER_ID = r"^(?:.+://)?([0-9a-f]{64})$"
 KUBE = r"\d+:.*:/.*/*kubepods/[^/]+/pod[^/]+/([0-9a-f]{64})"
@@ -76,16 +78,20 @@ def main_cgroup(text: Column) -> Column:
 
     An unreadable line makes the whole text unreadable (NULL); no candidate gives an empty group.
     """
-    groups = F.transform(_lines(text), parse_cgroup_line)
-    wanted = F.filter(groups, lambda g: (
-        F.array_contains(g["controllers"], "cpu")
-        | F.startswith(g["path"], F.lit("/system.slice/")) | F.startswith(g["path"], F.lit("/user.slice/"))
-        | F.exists(g["controllers"], lambda c: F.contains(c, F.lit("systemd")))))
     nothing = F.struct(
         F.lit(0).alias("hierarchy_id"), F.array().cast("array<string>").alias("controllers"), F.lit("").alias("path"))
-    return (F.when(F.exists(groups, lambda g: g.isNull()), F.lit(None))
-            .when(F.size(groups) == 1, F.get(groups, F.lit(0)))
-            .otherwise(F.coalesce(F.get(wanted, F.lit(0)), nothing)))
+
+    def wanted(g: Column) -> Column:
+        return (F.array_contains(g["controllers"], "cpu")
+                | F.startswith(g["path"], F.lit("/system.slice/")) | F.startswith(g["path"], F.lit("/user.slice/"))
+                | F.exists(g["controllers"], lambda c: F.contains(c, F.lit("systemd"))))
+
+    def choose(s: Column) -> Column:
+        groups = s["groups"]
+        return (F.when(F.exists(groups, lambda g: g.isNull()), F.lit(None))
+                .when(F.size(groups) == 1, F.get(groups, F.lit(0)))
+                .otherwise(F.coalesce(F.get(F.filter(groups, wanted), F.lit(0)), nothing)))
+    return let(choose, groups=F.transform(_lines(text), parse_cgroup_line))
 
 
 def parse_cmdline(raw: Column) -> Column:

@@ -105,12 +105,8 @@ def content_id(parts: list[Column]) -> Column:
 
     Each value carries its length, so different value lists never give the same text.
     """
-    return F.md5(canonical_text(parts))
-
-
-def canonical_text(parts: list[Column]) -> Column:
     pieces = []
     for part in parts:
         text = part.cast("string")
         pieces.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.concat_ws(",", *pieces)
+    return F.md5(F.concat_ws(",", *pieces))

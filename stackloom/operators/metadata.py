@@ -218,8 +218,10 @@ def process_labels(processes: DataFrame, providers: list[Provider], rules: list[
     """Final labels and verdict per process observation.
 
     Order: node, environment, out-of-memory mark, providers, rules, removal of temporary labels. This is
-    the expensive part of labelling and it runs once per process observation, not once per sample.
+    the expensive part of labelling and it runs once per process observation, not once per sample. The rows
+    are spread over all cores first: they are few, but each costs far more work than its transfer.
     """
+    processes = processes.repartition(processes.sparkSession.sparkContext.defaultParallelism, "node", "pid")
     start = F.create_map(F.lit("node"), F.col("node"))
     if "env" in processes.columns:
         start = overlay(start, env_labels(F.col("env"), env_include or []))
@@ -233,12 +235,14 @@ def process_labels(processes: DataFrame, providers: list[Provider], rules: list[
 
 
 def _timeline(events: DataFrame, processes: DataFrame, ttl: int) -> DataFrame:
-    """Process observations made gapless: facts for their lifetime, an empty observation otherwise."""
+    """Observations of the processes that have events, made gapless: facts for their lifetime, else nothing."""
+    sampled = events.select("node", "pid").distinct()
+    processes = processes.join(sampled, ["node", "pid"], "left_semi")
     next_seen = F.lead("observed_ns").over(Window.partitionBy("node", "pid").orderBy("observed_ns"))
     expiry = (processes.select("node", "pid", "observed_ns", next_seen.alias("_next"))
               .where(f"_next IS NULL OR _next > observed_ns + {ttl}")
               .select("node", "pid", (F.col("observed_ns") + F.lit(ttl + 1)).alias("observed_ns")))
-    first = events.select("node", "pid").distinct().withColumn("observed_ns", F.lit(0).cast("long"))
+    first = sampled.withColumn("observed_ns", F.lit(0).cast("long"))
     return (processes.unionByName(expiry, allowMissingColumns=True)
             .unionByName(first.join(processes.where("observed_ns = 0").select("node", "pid"), ["node", "pid"], "left_anti"),
                          allowMissingColumns=True))

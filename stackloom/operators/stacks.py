@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from stackloom.functions.values import canonical_text, content_id
+from stackloom.functions.values import content_id
 from stackloom.operators.frames import MISSING_STACK, explode_frames
 from stackloom.schema import FRAME
 
@@ -15,10 +16,11 @@ FRAME_FIELDS = FRAME.fieldNames()
 def stack_id(frames: Column) -> Column:
     """128-bit id of a frame list (32 hex digits), equal for equal content.
 
-    Ids taken over from captured logs live in another id space; do not mix both in one table.
+    The hash runs over the JSON text of the frames, which names every field, so NULL, '' and values in
+    other fields never look alike. Ids taken over from captured logs live in another id space; do not mix
+    both in one table.
     """
-    texts = F.transform(frames, lambda f: canonical_text([f[name] for name in FRAME_FIELDS]))
-    return F.md5(F.array_join(texts, ";"))
+    return F.md5(F.to_json(frames.cast(ArrayType(FRAME))))
 
 
 def with_stack_id(events: DataFrame) -> DataFrame:

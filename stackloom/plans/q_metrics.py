@@ -154,8 +154,8 @@ _FIELDS = """map('pid', named_struct('int_value', user_id, 'bool_value', CAST(NU
                  'props', named_struct('int_value', CAST(NULL AS BIGINT), 'bool_value', CAST(NULL AS BOOLEAN), 'string_value', props),
                  'flag', named_struct('int_value', CAST(NULL AS BIGINT), 'bool_value', user_id % 2 = 0, 'string_value',
                                       CAST(NULL AS STRING)),
-                 CASE WHEN event_id % 13 = 0 THEN 'otlp_skip' ELSE 'other' END,
-                 named_struct('int_value', CAST(NULL AS BIGINT), 'bool_value', event_id % 26 = 0, 'string_value',
+                 CASE WHEN event_type = 'signup' THEN 'otlp_skip' ELSE 'other' END,
+                 named_struct('int_value', CAST(NULL AS BIGINT), 'bool_value', value > 50, 'string_value',
                               CAST(NULL AS STRING)))"""
 _LEVEL = """CASE event_type WHEN 'view' THEN 'info' WHEN 'click' THEN 'warning' WHEN 'error' THEN 'error'
                             WHEN 'signup' THEN 'panic' ELSE 'odd' END"""
@@ -165,9 +165,9 @@ _LEVEL = """CASE event_type WHEN 'view' THEN 'info' WHEN 'click' THEN 'warning'
     SELECT event_id, event_type AS body, CASE event_type WHEN 'view' THEN 'info' WHEN 'click' THEN 'warn' WHEN 'error' THEN 'error'
            WHEN 'signup' THEN 'fatal' ELSE 'undefined' END AS severity, upper({_LEVEL}) AS severity_text,
            'flag=' || CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END || ';level=' || upper({_LEVEL})
-           || CASE WHEN event_id % 13 <> 0 THEN ';other=' || CASE WHEN event_id % 26 = 0 THEN 'true' ELSE 'false' END ELSE '' END
+           || CASE WHEN event_type <> 'signup' THEN ';other=' || CASE WHEN value > 50 THEN 'true' ELSE 'false' END ELSE '' END
            || ';pid=int ' || CAST(user_id AS VARCHAR) || ';props=' || props AS attributes
-    FROM events WHERE NOT (event_id % 26 = 0)""")
+    FROM events WHERE NOT (event_type = 'signup' AND value > 50)""")
 def _(t: Tables):
     logs = t.sql(f"SELECT event_id, {_LEVEL} AS level, event_type AS message, {_FIELDS} AS fields FROM events")
     out = fleet.log_records(logs)
@@ -188,14 +188,14 @@ def _(t: Tables):
 @query("debuginfo_worklist", """
     WITH st AS (SELECT md5(CAST(s_suppkey AS VARCHAR)) AS file_id,
                        CASE WHEN s_acctbal < 0 THEN 'final' WHEN s_acctbal < 3000 THEN 'uploaded' ELSE 'in_progress' END AS state,
-                       s_suppkey * 10000000000 AS tried FROM supplier WHERE s_nationkey > 5)
+                       s_suppkey * 10000000000 AS tried FROM supplier WHERE s_acctbal < 8000)
     SELECT file_id, file_name, CASE WHEN build_id = '' THEN file_id ELSE build_id END AS build_id,
            CASE WHEN build_id = '' THEN 'hash' ELSE 'gnu' END AS build_id_type
     FROM fx_executables WHERE file_id NOT IN (SELECT file_id FROM st WHERE state <> 'in_progress' OR tried + 300000000000 > 700000000000)""")
 def _(t: Tables):
     status = t.sql("""
         SELECT md5(CAST(s_suppkey AS STRING)) AS file_id, CASE WHEN s_acctbal < 0 THEN 'final' WHEN s_acctbal < 3000 THEN 'uploaded'
-               ELSE 'in_progress' END AS state, s_suppkey * 10000000000 AS attempted_ns FROM supplier WHERE s_nationkey > 5""")
+               ELSE 'in_progress' END AS state, s_suppkey * 10000000000 AS attempted_ns FROM supplier WHERE s_acctbal < 8000""")
     seen = inputs.executables(t).unionByName(inputs.executables(t))
     return fleet.debuginfo_worklist(seen, status, 700_000_000_000)
 

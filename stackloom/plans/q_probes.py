@@ -9,6 +9,7 @@ from stackloom.operators.sequence import HOUR_NS
 from stackloom.plans import inputs
 from stackloom.plans.fixtures import Tables
 from stackloom.plans.registry import query
+from stackloom.session import stored
 
 _DAY = 24 * HOUR_NS
 _THREAD = ["node", "tid"]
@@ -83,7 +84,7 @@ def _(t: Tables):
     FROM fx_events e JOIN named n ON e.node = n.node AND n.tid = e.pid AND e.ts_ns BETWEEN n.start_ns AND n.end_ns""")
 def _(t: Tables):
     samples = inputs.events(t).select("event_id", "node", F.col("pid").alias("tid"), "ts_ns")
-    return probes.samples_in_span(samples, spans(t), _THREAD, _DAY)
+    return probes.samples_in_span(samples, stored(spans(t), "spans"), _THREAD, _DAY)
 
 
 # ---- GPU --------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from stackloom.plans.batch_files import BATCH_NS, DAY_NS, FILE_NS, write_batch_f
 from stackloom.plans.fixtures import Tables
 from stackloom.plans.q_probes import _SPANS, _THREAD, _LAUNCHES, _TIMINGS
 from stackloom.plans.registry import query
-from stackloom.session import shared_dir
+from stackloom.session import shared_dir, stored
 from stackloom.sources import tables
 from stackloom.sources.batch_log import read_batch_log, replay_batch_log
 from stackloom.streaming import joins as stream_joins
@@ -74,7 +74,7 @@ def _(t: Tables):
     FROM ox_samples s LEFT JOIN st ON s.stack_key = st.stack_key""")
 def _(t: Tables):
     path = shared_dir(t.spark, "samples-v2")
-    tables.write_samples_v2(labelled(t), inputs.stacks_resolved(t), path)
+    tables.write_samples_v2(labelled(t), stored(inputs.stacks_resolved(t), "stacks"), path)
     return t.spark.read.parquet(path).withColumn("labels", labels_string(F.col("labels"))).withColumn(
         "stacktrace", _location_text("stacktrace", "function_system_name"))
 

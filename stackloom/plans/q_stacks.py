@@ -55,9 +55,14 @@ def _(t: Tables):
     return frame_ops.classify_unwind_completeness(inputs.locations(t), "stacktrace_id")
 
 
+# The JSON text of a frame, NULL fields left out.
+_JSON = "'{' || concat_ws(',', " + ", ".join(
+    f"""'"{f}":' || CAST({f} AS VARCHAR)""" if f in ("address", "source_line", "source_column")
+    else f"""'"{f}":"' || {f} || '"'""" for f in _FIELDS) + ") || '}'"
+
+
 @query("distinct_stacks", f"""
-    WITH ids AS (SELECT stack_key, md5(string_agg({_canonical(_FIELDS)}, ';' ORDER BY frame_idx)) AS stacktrace_id,
-                        count(*) AS n_frames FROM fx_frames GROUP BY stack_key)
+    WITH ids AS (SELECT stack_key, md5('[' || string_agg({_JSON}, ',' ORDER BY frame_idx) || ']') AS stacktrace_id, count(*) AS n_frames FROM fx_frames GROUP BY stack_key)
     SELECT stacktrace_id, any_value(n_frames) AS n_frames, count(*) AS n_events
     FROM fx_events e JOIN ids ON e.stack_key = ids.stack_key GROUP BY stacktrace_id""")
 def _(t: Tables):
