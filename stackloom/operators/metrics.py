@@ -35,6 +35,19 @@ def event_counters(events: DataFrame) -> DataFrame:
             .groupBy("counter").agg(F.count(F.lit(1)).alias("n")))
 
 
+def observe_counters(events: DataFrame, name: str = "event_counters") -> DataFrame:
+    """The same rows, counted by the way: a stream's progress and an ``Observation`` then hold the counters.
+
+    Reads ``origin``, and ``keep`` and ``frames`` where present. Costs no shuffle.
+    """
+    keep = F.col("keep") if "keep" in events.columns else F.lit(True)
+    counts = [F.count_if(keep & (F.col("origin") == origin)).alias(label) for origin, label in EVENT_TYPES.items()]
+    counts.append(F.count_if(~keep).alias("skipped_by_relabeling"))
+    if "frames" in events.columns:
+        counts.append(F.count_if(keep & (F.coalesce(F.size("frames"), F.lit(0)) <= 0)).alias("empty"))
+    return events.observe(name, *counts)
+
+
 def write_request_totals(requests: DataFrame) -> DataFrame:
     """Write requests by status code, with the bytes of samples and stacks."""
     return requests.groupBy("code").agg(

@@ -55,8 +55,9 @@ def normalize_samples(
     """One event becomes zero to four samples, by origin; unknown origins give none.
 
     Reads ``origin, raw_value``, ``mem`` for memory events and ``ns_per_sample`` for GPU program-counter
-    events (absent or NULL counts as not known yet).
+    events (absent or NULL counts as not known yet). The origins are filtered first, which reaches the scan.
     """
+    events = events.where(F.col("origin").isin(SAMPLING, OFF_CPU, MEMORY, CUDA, GPU_PC))
     raw = F.col("raw_value").cast("long")
     ns = (F.coalesce(F.col("ns_per_sample"), F.lit(0)) if "ns_per_sample" in events.columns else F.lit(0)).cast("long")
     cpu = _sample(F.lit(1), SECOND_NS, SECOND_NS // samples_per_second, producer,

@@ -31,9 +31,7 @@ FIXTURES: dict[str, str] = {
         FROM events""",
     # Frames, leaf first: one order is one stack.
     "fx_frames": """
-        SELECT l.l_orderkey AS stack_key,
-               CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey,
-                    l.l_extendedprice, l.l_quantity, l.l_shipdate) AS BIGINT) AS frame_idx,
+        SELECT l.l_orderkey AS stack_key, l.frame_idx,
                CASE l.l_partkey % 6 WHEN 0 THEN 'native' WHEN 1 THEN 'kernel' WHEN 2 THEN 'python'
                     WHEN 3 THEN 'abort' WHEN 4 THEN 'cuda-pc' ELSE 'oomprof' END AS frame_type,
                l.l_partkey * 64 AS address,
@@ -44,7 +42,10 @@ FIXTURES: dict[str, str] = {
                CASE WHEN l.l_partkey % 11 = 0 THEN '' ELSE p.p_name END AS function_name,
                CASE WHEN l.l_partkey % 13 = 0 THEN '' ELSE p.p_brand END AS source_file,
                CAST(l.l_quantity AS BIGINT) AS source_line, l.l_partkey % 80 AS source_column
-        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey""",
+        FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
+                     CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+                          l_extendedprice, l_quantity, l_shipdate) AS BIGINT) AS frame_idx
+              FROM lineitem) l JOIN part p ON l.l_partkey = p.p_partkey""",
     "fx_executables": """
         SELECT md5(CAST(s_suppkey AS STRING)) AS file_id, s_name AS file_name,
                CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE '/usr/lib/' || lower(s_name) || '/bin' END AS path,

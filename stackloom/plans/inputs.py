@@ -10,6 +10,7 @@ from stackloom.operators.probes import ProbeSpec, load_probe_specs
 from stackloom.operators.samples import normalize_samples
 from stackloom.operators.stacks import FRAME_FIELDS
 from stackloom.plans.fixtures import Tables
+from stackloom.schema import SAMPLING
 
 PROBES_YAML = """
 probes:
@@ -93,7 +94,7 @@ def stacks_resolved(t: Tables, schema_version: str = "v2") -> DataFrame:
 
 
 def cpu_samples(t: Tables) -> DataFrame:
-    return samples(t).where(F.col("sample_type") == "samples")
+    return normalize_samples(events(t).where(F.col("origin") == SAMPLING))
 
 
 def processes(t: Tables) -> DataFrame:

@@ -25,11 +25,16 @@ def parquet_flush(path: str, *partition_by: str) -> Flush:
 def stream_report(stream: DataFrame, flush: Flush, checkpoint: str, interval: str | None = "5 seconds") -> StreamingQuery:
     """Flush the samples of every interval; an interval without samples is skipped.
 
-    Without ``interval`` the query works off what is there and ends.
+    Without ``interval`` the query works off what is there and ends. The batch is kept while it is looked at
+    and flushed, so that it is worked out, and counted by ``observe``, only once.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            flush(batch, batch_id)
+        batch.persist()
+        try:
+            if not batch.isEmpty():
+                flush(batch, batch_id)
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)

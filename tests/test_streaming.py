@@ -110,3 +110,13 @@ def test_late_rows_go_aside(spark):
     rows = spark.createDataFrame([(100,), (900,)], "ts_ns long")
     good, late = report.late_rows(rows, 1000, 500)
     assert [r.ts_ns for r in good.collect()] == [900] and [r.ts_ns for r in late.collect()] == [100]
+
+
+def test_counters_of_a_stream(spark):
+    from stackloom.operators.metrics import observe_counters
+    rows = spark.createDataFrame([(i, ["sampling", "cuda", "odd"][i % 3], i % 5 > 0) for i in range(30)],
+                                 "ts_ns long, origin string, keep boolean")
+    stream = observe_counters(files(spark, [rows]))
+    query = finish(report.stream_report(stream, report.parquet_flush(shared_dir(spark, "seen")), shared_dir(spark, "cp"), None))
+    counted = query.lastProgress["observedMetrics"]["event_counters"]
+    assert (counted["cpu"], counted["gpu"], counted["memory"], counted["skipped_by_relabeling"]) == (8, 8, 0, 6)
