@@ -13,9 +13,10 @@ def hot_key_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "l
 
     The most frequent keys (any key with a 64th of all rows is among them) are joined against their at
     most 64 dimension rows, which are broadcast, so these rows do not move; all other rows are joined
-    the normal way. The result equals a plain join.
+    the normal way. The result equals a plain join. Ties are broken by the key, so that every evaluation of the
+    plan, a retried one too, picks the same keys.
     """
-    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n")).limit(HOT_KEYS).select(
+    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), *on).limit(HOT_KEYS).select(
         *on, F.lit(True).alias("_hot"))
     marked = left.join(F.broadcast(hot), on, "left")
     hot_right = right.join(F.broadcast(hot.drop("_hot")), on, "left_semi")

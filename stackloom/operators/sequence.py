@@ -72,6 +72,9 @@ def asof_join(
     With ``ttl`` a dimension row older than that does not count. The facts are shuffled once, by key and
     slice; seed rows bring the dimension row in force at the start of a slice.
     """
+    clash = set(facts.columns) & set(payload)
+    if clash:
+        raise ValueError(f"facts already have columns {sorted(clash)}")
     facts = with_slice(facts, fact_time, width)
     dims = with_slice(dims.select(*on, F.col(dim_time), *[c for c in payload if c != dim_time]), dim_time, width)
     value = F.struct(F.col(dim_time), *[F.col(c) for c in payload if c != dim_time])

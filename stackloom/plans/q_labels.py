@@ -86,20 +86,32 @@ def _(t: Tables):
     return t.table("documents").select("doc_id", lab.sanitize_label_name(F.col("text")).alias("name"))
 
 
-@query("fix_utf8_truncation", """
-    WITH c AS (SELECT doc_id, k, encode(text) AS b, text FROM documents, (SELECT unnest([5, 48, 200]) AS k)),
-    cut AS (SELECT doc_id, k, b, text, CASE WHEN octet_length(b) > k THEN k ELSE octet_length(b) END AS n FROM c),
-    -- the longest whole-character prefix of at most n bytes
-    chars AS (SELECT doc_id, k, n, text, octet_length(b) AS full_length,
-                     list_filter(range(0, n + 1), lambda i: i <= length(text) AND octet_length(encode(left(text, CAST(i AS INTEGER)))) <= n)
-                     AS fits FROM cut),
-    best AS (SELECT doc_id, k, n, left(text, CAST(fits[-1] AS INTEGER)) AS head FROM chars)
-    SELECT doc_id, k, CASE WHEN n - octet_length(encode(head)) <= 2 THEN head END AS fixed FROM best""")
-def _(t: Tables):
-    docs = t.table("documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
-    cuts = [docs.select("doc_id", F.lit(k).cast("long").alias("k"), values.fix_utf8_truncation(
-        F.substring("b", 1, k), k).alias("fixed")) for k in (5, 48, 200)]
-    return cuts[0].unionByName(cuts[1]).unionByName(cuts[2])
+def pieces(t: Tables, size: int):
+    """Whole texts cut into pieces of ``size`` bytes, wherever characters end."""
+    raw = t.table("documents").select("doc_id", "lang", F.encode("text", "UTF-8").alias("b"))
+    last = F.expr(f"(octet_length(b) - 1) div {size}")
+    return raw.where(F.octet_length("b") > 0).select(
+        "doc_id", "lang", "b", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
+        "doc_id", "lang", "piece", F.expr(f"substring(b, CAST(piece * {size} + 1 AS INT), {size})").alias("raw"))
+
+
+# The same from the characters and their byte offsets: a piece has to start with a whole character and may
+# lack the end of its last one, of which it then holds at most two bytes.
+_PIECES = """
+    WITH ch AS (SELECT doc_id, lang, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i
+                FROM documents),
+    e AS (SELECT *, sum(octet_length(encode(c))) OVER (PARTITION BY doc_id ORDER BY i) AS till FROM ch),
+    p AS (SELECT *, till - octet_length(encode(c)) AS since FROM e),
+    w AS (SELECT doc_id, lang, since // {size} AS piece, bool_or(since % {size} = 0) AS starts,
+                 string_agg(c, '' ORDER BY i) FILTER (since // {size} = (till - 1) // {size}) AS whole,
+                 coalesce(max({size} - since % {size}) FILTER (since // {size} < (till - 1) // {size}), 0) AS loose
+          FROM p GROUP BY 1, 2, 3),
+    fixed AS (SELECT doc_id, lang, piece, CASE WHEN starts AND loose <= 2 THEN whole END AS fixed FROM w)"""
+
+
+@query("fix_utf8_truncation", _PIECES.replace("{size}", "48") + " SELECT doc_id, piece, fixed FROM fixed")
+def _(t: Tables):
+    return pieces(t, 48).select("doc_id", "piece", values.fix_utf8_truncation(F.col("raw"), 48).alias("fixed"))
 
 
 @query("hex_id", "SELECT file_id, file_id AS again FROM fx_executables")
@@ -502,20 +514,13 @@ def _(t: Tables):
     return records.labels_wide(inputs.events(t).select("event_id", own.alias("labels")))
 
 
-@query("custom_labels", """
-    WITH c AS (SELECT doc_id, text, lang, encode(text) AS b FROM documents),
-    n AS (SELECT *, CASE WHEN octet_length(b) > 47 THEN 47 ELSE octet_length(b) END AS k FROM c),
-    f AS (SELECT *, list_filter(range(0, 48), lambda i: i <= length(text) AND octet_length(encode(left(text, CAST(i AS INTEGER)))) <= k) AS fits
-          FROM n),
-    h AS (SELECT *, left(text, CAST(fits[-1] AS INTEGER)) AS head FROM f)
-    SELECT doc_id, CASE WHEN k - octet_length(encode(head)) > 2 OR head = '' THEN lang ELSE head END AS value FROM h""")
-def _(t: Tables):
-    raw = F.create_map(
-        F.encode(F.lit("lang"), "UTF-8"), F.substring(F.encode("text", "UTF-8"), 1, 47),
-        F.lit(bytearray(b"\xff\xfe")), F.encode(F.lit("bad name"), "UTF-8"))
-    rows = t.table("documents").select("doc_id", F.create_map(F.lit("lang"), F.col("lang")).alias("labels"),
-                                       raw.alias("custom_labels"))
-    return meta.custom_labels(rows).select("doc_id", F.col("labels")["lang"].alias("value"))
+@query("custom_labels", _PIECES.replace("{size}", "47") + " SELECT doc_id, piece, coalesce(fixed, lang) AS value FROM fixed")
+def _(t: Tables):
+    named = F.create_map(F.encode(F.lit("lang"), "UTF-8"), F.col("raw"),
+                         F.lit(bytearray(b"\xff\xfe")), F.encode(F.lit("bad name"), "UTF-8"))
+    rows = pieces(t, 47).select("doc_id", "piece", F.create_map(F.lit("lang"), F.col("lang")).alias("labels"),
+                                named.alias("custom_labels"))
+    return meta.custom_labels(rows).select("doc_id", "piece", F.col("labels")["lang"].alias("value"))
 
 
 @query("env_labels", """
