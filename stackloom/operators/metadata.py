@@ -295,21 +295,27 @@ def label_samples(
     once more in between.
     """
     labels = process_labels(_timeline(events, processes, ttl), providers, rules, env_include)
-    labelled = filter_kept(asof_join(
-        events, labels, ["node", "pid"], "ts_ns", "observed_ns", ["labels", "keep"], None, width))
-    patched = patch_thread_labels(labelled, cpu, thread_id, thread_name)
-    if has_probe_events:
-        patched = relabel_probe_samples(patched, rules)
-    if "custom_labels" in events.columns:
-        patched = custom_labels(patched)
-    return patched
+
+    def patched(part: DataFrame) -> DataFrame:
+        joined = asof_join(part, labels, ["node", "pid"], "ts_ns", "observed_ns", ["labels", "keep"], None, width)
+        return patch_thread_labels(filter_kept(joined), cpu, thread_id, thread_name)
+
+    if has_probe_events:  # split at the scan: few rows take the long way
+        probe = F.col("origin").eqNullSafe(F.lit(PROBE))
+        out = patched(events.where(~probe)).unionByName(relabel_probe_samples(patched(events.where(probe)), rules))
+    else:
+        out = patched(events)
+    return custom_labels(out) if "custom_labels" in events.columns else out
 
 
 def relabel_probe_samples(samples: DataFrame, rules: list[RelabelRule]) -> DataFrame:
-    """Probe rows run through the rules again, now seeing thread labels; other rows pass untouched."""
+    """Probe rows run through the rules again, now seeing thread labels; other rows pass untouched.
+
+    Temporary labels are gone by then, so a replace rule that reads one finds nothing and clears its target.
+    """
     if not rules:
         return samples
-    probe = F.col("origin") == PROBE
+    probe = F.col("origin").eqNullSafe(F.lit(PROBE))
     again = filter_kept(relabel(samples.where(probe), rules))
     again = again.withColumn("labels", drop_prefix(drop_absent(F.col("labels"))))
     return samples.where(~probe).unionByName(again)
