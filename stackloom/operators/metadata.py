@@ -294,7 +294,10 @@ def label_samples(
     get their thread and custom labels. Where the input has probe events, those run through the rules
     once more in between.
     """
-    labels = process_labels(_timeline(events, processes, ttl), providers, rules, env_include)
+    labels = process_labels(_timeline(events, processes, ttl), providers, rules, env_include).select(
+        "node", "pid", "observed_ns", "labels", "keep")
+    # The as-of join reads the labels twice. Behind an exchange they are worked out once and the exchange reused.
+    labels = labels.repartition(labels.sparkSession.sparkContext.defaultParallelism, "node", "pid")
 
     def patched(part: DataFrame) -> DataFrame:
         joined = asof_join(part, labels, ["node", "pid"], "ts_ns", "observed_ns", ["labels", "keep"], None, width)
