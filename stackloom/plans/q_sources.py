@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stackloom.functions.labels import labels_string
 from stackloom.functions.values import floor_div, ns_to_ts
 from stackloom.operators import samples as sample_ops
+from stackloom.operators.frames import stack_locations
 from stackloom.plans import inputs
 from stackloom.plans.batch_files import BATCH_NS, DAY_NS, FILE_NS, write_batch_files
 from stackloom.plans.fixtures import Tables
@@ -74,7 +75,10 @@ def _(t: Tables):
     FROM ox_samples s LEFT JOIN st ON s.stack_key = st.stack_key""")
 def _(t: Tables):
     path = shared_dir(t.spark, "samples-v2")
-    tables.write_samples_v2(labelled(t), stored(inputs.stacks_resolved(t), "stacks"), path)
+    rows = labelled(t)
+    # Only stacks that occur in the batch are gathered.
+    used = inputs.locations(t).join(rows.select("stacktrace_id").distinct(), "stacktrace_id", "left_semi")
+    tables.write_samples_v2(rows, stored(stack_locations(used, "stacktrace_id"), "stacks"), path)
     return t.spark.read.parquet(path).withColumn("labels", labels_string(F.col("labels"))).withColumn(
         "stacktrace", _location_text("stacktrace", "function_system_name"))
 
