@@ -32,8 +32,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @_query("op2_substring_dedup", r"""
     WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-    at AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS p, words FROM w WHERE len(words) >= 50),
-    win AS (SELECT doc_id, p, array_to_string(words[p:p + 49], ' ') AS s FROM at),
+    pos AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS p, words FROM w WHERE len(words) >= 50),
+    win AS (SELECT doc_id, p, array_to_string(words[p:p + 49], ' ') AS s FROM pos),
     low AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
     gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM win JOIN low USING (s) WHERE first < doc_id),
     out AS (SELECT doc_id, list(i) AS i FROM gone GROUP BY doc_id)
