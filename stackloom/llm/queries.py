@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import substring
+from stackloom.llm import jaccard, substring
 from stackloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,9 +39,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     out AS (SELECT doc_id, list(i) AS i FROM gone GROUP BY doc_id)
     SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(out.i), 0) AS BIGINT) AS n_removed,
            sha256(CASE WHEN out.i IS NULL THEN array_to_string(words, ' ') ELSE array_to_string(
-               list_transform(list_filter(range(1, len(words) + 1), k -> NOT list_contains(out.i, k)), k -> words[k]), ' ') END)
+               list_transform(list_filter(range(1, len(words) + 1), lambda k: NOT list_contains(out.i, k)), lambda k: words[k]), ' ') END)
                AS kept_sha256
     FROM w LEFT JOIN out ON w.doc_id = out.doc_id""")
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring.remove_repeated_windows(_table(spark, sf_dir, "documents"), window=50)
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op10_ngram_jaccard_join", r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS words FROM documents),
+    pos AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS p FROM w WHERE len(words) > 0),
+    sh AS (SELECT DISTINCT doc_id, array_to_string(words[p:p + 4], ' ') AS s FROM pos),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id
+               GROUP BY x.doc_id, y.doc_id),
+    links AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.low AS component_id
+    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = d.doc_id""")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(_table(spark, sf_dir, "documents"), size=5, percent=75)
