@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import jaccard, substring
+from stackloom.llm import jaccard, lines, substring
 from stackloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,32 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = d.doc_id""")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(_table(spark, sf_dir, "documents"), size=5, percent=75)
+
+
+@_query("op8_quality_rules", r"""
+    WITH w AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    occ AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS raw FROM w),
+    lines AS (SELECT doc_id, host, text, raw, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS k,
+                     regexp_replace(regexp_replace(lower(trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))), '[0-9]', '0', 'g'),
+                                    '[\x20\x09-\x0D]+', ' ', 'g') AS line
+              FROM occ WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
+    dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM lines GROUP BY doc_id),
+    often AS (SELECT host, line, count(DISTINCT text) AS n FROM lines GROUP BY host, line),
+    size AS (SELECT host, count(DISTINCT text) AS n FROM lines GROUP BY host),
+    gone AS (SELECT doc_id, sum(k) AS gone FROM lines JOIN often USING (host, line) JOIN size USING (host)
+             WHERE often.n > 20 AND often.n > 0.05 * size.n GROUP BY doc_id),
+    tri AS (SELECT doc_id, p, array_to_string(words[p:p + 2], ' ') AS s
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS p FROM w WHERE len(words) > 2)),
+    rep AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS i FROM (
+            SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, s) AS c FROM tri) WHERE c > 1) GROUP BY doc_id),
+    base AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                    CAST(coalesce(dup.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+                    coalesce(gone.gone, 0) AS gone
+             FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * gone <= 50 * n_words AS kept FROM base""")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.quality_rules(_table(spark, sf_dir, "documents")).drop("removed_lines", "words_left")
