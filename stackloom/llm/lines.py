@@ -63,7 +63,7 @@ def text_measures(rows: DataFrame) -> DataFrame:
 
 def line_occurrences(rows: DataFrame) -> DataFrame:
     """(doc_id, text_key, host, place, line, words) per line that has a word; ``line`` is the hash of its normal form."""
-    lines = rows.select("doc_id", "text_key", "host", F.posexplode(_lines(F.col("text"))).alias("place", "raw")).where(_has_word(F.col("raw")))
+    lines = rows.select("doc_id", "text_key", "host", F.posexplode_outer(_lines(F.col("text"))).alias("place", "raw")).where(_has_word(F.col("raw")))
     normal = F.regexp_replace(F.lower(F.btrim(F.col("raw"), F.lit(BLANKS))), r"[0-9]", "0")
     return lines.select("doc_id", "text_key", "host", "place", F.xxhash64(F.regexp_replace(normal, r"[\x20\x09-\x0D]+", " ")).alias("line"),
                         F.size(split_words(F.col("raw"))).cast("long").alias("words"))

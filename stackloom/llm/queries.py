@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import jaccard, lines, substring
+from stackloom.llm import jaccard, lines, substring, winnow
 from stackloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,25 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * gone <= 50 * n_words AS kept FROM base""")
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.quality_rules(_table(spark, sf_dir, "documents")).drop("removed_lines", "words_left")
+
+
+@_query("op7_benchmark_decontamination", r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+    bw AS (SELECT item_id, words, least(len(words), 10) AS k, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS p FROM b WHERE len(words) > 0),
+    bs AS (SELECT DISTINCT item_id, k, array_to_string(words[p:p + k - 1], ' ') AS s FROM bw),
+    dw AS (SELECT doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM bs) WHERE len(words) >= k),
+    ds AS (SELECT doc_id, k, p, array_to_string(words[p:p + k - 1], ' ') AS s FROM dw),
+    hit AS (SELECT ds.doc_id, ds.k, ds.p, bs.item_id FROM ds JOIN bs ON ds.k = bs.k AND ds.s = bs.s),
+    n AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS i FROM hit) GROUP BY doc_id),
+    it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+           FROM hit GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id""")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10, gram=5)
+    return rows.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ","), 256).alias("items_sha256"), "contaminated")
