@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import jaccard, lines, substring, winnow
+from stackloom.llm import jaccard, lines, pii, substring, winnow
 from stackloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,14 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10, gram=5)
     return rows.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ","), 256).alias("items_sha256"), "contaminated")
+
+
+@_query("op1_pii")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = pii.with_spans(docs, pii.personal_data(docs), [])
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["by"] == "format")
+    written = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])), ",")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
