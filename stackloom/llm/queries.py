@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import jaccard, lines, pii, substring, winnow
+from stackloom.llm import jaccard, katz, lines, packing, pii, substring, winnow
 from stackloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,19 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in pii.KINDS]
     return rows.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
+
+
+def _remainder(divisor: int):
+    """crc32 of the doc_id as text modulo a divisor: the folds of the queries."""
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+@_query("op4_lm_scoring")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = katz.score_texts(_table(spark, sf_dir, "documents"), F.coalesce(_remainder(5) != 1, F.lit(True)))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query("op9_best_fit_packing")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
