@@ -2,8 +2,8 @@
 
 Sets are compared inside tiles of a shared n-gram and neighbouring size bands. Three bounds come before the exact
 intersection of sorted arrays: a set of which too few n-grams occur in any other set links with nothing; two linked sets
-share an n-gram among their first n/4 + 1 in order of frequency, so only those make tiles; and the bits in which two hashed
-bitmap signatures differ bound the overlap from above. Equal sets are one class throughout.
+share an n-gram among their first n/4 + 1 in order of frequency, with enough n-grams left behind it in either set, so only
+such n-grams make tiles; and the bits in which two hashed bitmap signatures differ bound the overlap from above. Equal sets are one class throughout.
 
 Groups are found in two rounds: a star round compares every set with the most central one of its tiles; the second compares
 all pairs that share a tile and are not in one group yet. So a group of thousands of near copies costs a star and not all its
@@ -164,9 +164,9 @@ def _unplane(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-def _alike(left: str, right: str, percent: int):
-    """Whether two set sizes allow a link."""
-    return (100 * F.least(left, right) >= percent * F.greatest(left, right))
+def _enough(n, rest, m, other_rest, percent: int):
+    """Whether sets of n and m n-grams can link if at most ``rest`` of the one and ``other_rest`` of the other are common."""
+    return (100 + percent) * F.least(rest, other_rest) >= percent * (F.col(n) + F.col(m))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,22 +209,27 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75, batch_char
 
     band = F.floor(F.log("n") / math.log(100 / percent))
     star = sets.select("id", "n", "own", band.alias("band"), F.explode("star").alias("token"))
-    centre = star.groupBy("token", "band").agg(F.min_by("id", F.struct(F.col("own") / F.col("n"), "id")).alias("b"),
+    centre = star.groupBy("token", "band").agg(F.min(F.struct(F.col("own") / F.col("n"), "id", "n", "own")).alias("c"),
                                                F.count("*").alias("members")).where("members > 1")
-    pairs = star.join(centre, ["token", "band"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    pairs = (star.join(centre.select("token", "band", F.col("c.id").alias("b"), F.col("c.n").alias("m"), F.col("c.own").alias("c_own")),
+                       ["token", "band"])
+             .where((F.col("id") != F.col("b")) & _enough("n", F.col("n") - F.col("own"), "m", F.col("m") - F.col("c_own"), percent))
+             .select(F.col("id").alias("a"), "b").distinct())
     links = stored(verified(pairs, sets, percent), "links")
     first = components(links)
 
-    tiles = (sets.select("id", "n", F.explode("prefix").alias("token")).join(first, "id", "left")
-             .select("id", "n", "token", F.coalesce("root", "id").alias("root")))
+    # at the first n-gram that two sets share, at most what follows it in either order is common: ``rest``
+    tiles = (sets.select("id", "n", "own", F.posexplode("prefix").alias("place", "token")).join(first, "id", "left")
+             .select("id", "n", (F.col("n") - F.col("own") - F.col("place")).alias("rest"), "token", F.coalesce("root", "id").alias("root")))
     tiles = stored(tiles, "tiles")
     mixed = tiles.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     counts = tiles.join(mixed.select("token"), "token").groupBy("token", "root").agg(F.count("*").alias("members"))
     main = counts.groupBy("token").agg(F.max_by("root", F.struct("members", "root")).alias("main"))
     inside = tiles.join(main, "token")
-    rare = inside.where("root <> main").select("token", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
+    rare = inside.where("root <> main").select("token", F.col("id").alias("other"), F.col("n").alias("m"), F.col("rest").alias("other_rest"),
+                                              F.col("root").alias("other_root"))
     # two members of different groups: one at least is outside the tile's main group; if both are, the pair is taken once
-    pairs = (inside.join(rare, "token").where((F.col("root") != F.col("other_root")) & _alike("n", "m", percent)
+    pairs = (inside.join(rare, "token").where((F.col("root") != F.col("other_root")) & _enough("n", F.col("rest"), "m", F.col("other_rest"), percent)
                                               & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("other"))))
              .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
     more = stored(verified(pairs, sets, percent), "links")
