@@ -164,7 +164,10 @@ def with_spans(docs: DataFrame, spans: DataFrame, columns: list[str]) -> DataFra
 
 
 def redact(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; overlapping spans are one, named after the first."""
+    """``docs`` with every span replaced by its kind in brackets; overlapping spans are one, named after the first.
+
+    A column ``n_chars`` is counted anew. Other columns stay; null texts stay null.
+    """
     order = W.partitionBy("doc_id", "text_key").orderBy("begin", F.col("end").desc(), "kind")
     before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     opened = spans.withColumn("new", F.when(F.col("begin") < before, 0).otherwise(1))
@@ -181,4 +184,7 @@ def redact(docs: DataFrame, spans: DataFrame) -> DataFrame:
     tail = F.substring(text, F.element_at(all_, -1)["end"].cast("int") + 1, F.length(text))
     clean = F.when(all_.isNull(), text).otherwise(F.concat(F.array_join(parts, ""), tail))
     same = F.col("doc_id").eqNullSafe(F.col("span_doc")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("span_text"))
-    return docs.join(lists, same, "left").withColumn("text", clean).select(*docs.columns)
+    joined = docs.join(lists, same, "left").withColumn("text", clean)
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*docs.columns)

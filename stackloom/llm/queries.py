@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import html_text, jaccard, katz, language, lines, packing, pii, substring, winnow
+from stackloom.llm import html_text, jaccard, katz, language, lines, packing, pii, substring, toxicity, winnow
 from stackloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,11 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs, F.coalesce(_remainder(4) != 2, F.lit(True))))
     return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@_query("op3_toxicity")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), F.coalesce(_remainder(4) != 2, F.lit(True)))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
+                                              (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -47,12 +47,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+IS_MARK = np.ones(256, dtype=bool)  # separators of plain words: all of ASCII but letters and digits
+IS_MARK[128:] = IS_MARK[48:58] = IS_MARK[65:91] = IS_MARK[97:123] = False
+
+
 @dataclasses.dataclass
 class Words:
-    """``first[d]:first[d + 1]`` are the words of text ``d``; ``hash`` has one value per word."""
+    """``first[d]:first[d + 1]`` are the words of text ``d``; ``hash`` has one value per word.
+
+    ``begin`` and ``end`` are byte places in all texts together; ``heads`` has the hash of each word's first bytes.
+    """
 
     first: np.ndarray
     hash: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    heads: list[np.ndarray]
 
     @property
     def count(self) -> np.ndarray:
@@ -75,16 +85,16 @@ def flat_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def words_of(texts, lower: bool = False) -> Words:
-    """Words of each text; ``lower`` makes A-Z equal to a-z."""
+def words_of(texts, lower: bool = False, separators: np.ndarray = IS_SPACE, heads: tuple[int, ...] = ()) -> Words:
+    """Words of each text; ``lower`` makes A-Z equal to a-z, ``heads`` asks for hashes of so many first bytes."""
     data, offsets = flat_bytes(texts)
     values = LOWER_VALUES if lower else BYTE_VALUES
-    counts, hashes = [], []
+    counts, hashes, begins, closed, leads = [], [], [], [], [[] for _ in heads]
     begin, last = 0, len(offsets) - 1
     while begin < last:
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + CHUNK_BYTES, side="right")) - 1)
         part, bounds = data[offsets[begin]:offsets[end]], offsets[begin:end + 1] - offsets[begin]
-        inside = ~IS_SPACE[part]
+        inside = ~separators[part]
         edge = np.zeros(len(part) + 1, dtype=bool)
         edge[bounds] = True
         opens, closes = inside.copy(), inside.copy()
@@ -95,10 +105,16 @@ def words_of(texts, lower: bool = False) -> Words:
         running = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(values[part] * powers[:len(part)], out=running[1:])
         hashes.append(mix((running[ends] - running[starts]) * inverses[starts]))
+        begins.append(starts + offsets[begin])
+        closed.append(ends + offsets[begin])
+        for lead, length in zip(leads, heads):
+            lead.append(mix((running[np.minimum(starts + length, ends)] - running[starts]) * inverses[starts]))
         counts.append(np.diff(np.searchsorted(starts, bounds)))
         begin = end
     first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(last + 1, np.int64)
-    return Words(first.astype(np.int64), np.concatenate(hashes) if hashes else np.zeros(0, np.uint64))
+    whole = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return Words(first.astype(np.int64), whole(hashes, np.uint64), whole(begins, np.int64), whole(closed, np.int64),
+                 [whole(lead, np.uint64) for lead in leads])
 
 
 def rolling(hashes: np.ndarray, length: int) -> np.ndarray:
