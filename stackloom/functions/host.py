@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stackloom.functions.labels import let
 
 # How each container technology shows in a control-group line.
-CONTAINER_ID = r"^(?:.+://)?([0-9a-f]{64})$"
+CONTAINER_ID = r"^(?:.+://)?([0-9a-f]{64})\z"
 KUBE = r"\d+:.*:/.*/*kubepods/[^/]+/pod[^/]+/([0-9a-f]{64})"
 DOCKER_KUBE = r"\d+:.*:/.*/*docker/pod[^/]+/([0-9a-f]{64})"
 ALT_KUBE = r"\d+:.*:/.*/*kubepods.*?/[^/]+/docker-([0-9a-f]{64})"

@@ -94,7 +94,11 @@ def resolve_frames(frames: DataFrame, schema_version: str = "v2") -> DataFrame:
 
 
 def explode_frames(stacks: DataFrame, *keys: str) -> DataFrame:
-    """One row per frame, leaf first, numbered from 1. Stacks without frames give no row."""
+    """One row per frame, leaf first, numbered from 1.
+
+    Stacks without frames give no row here; ``classify_unwind_completeness`` and ``stack_locations`` get them back from the
+    stack table they are given.
+    """
     return (stacks.select(*keys, F.posexplode("frames").alias("pos", "_frame"))
             .select(*keys, (F.col("pos") + 1).alias("frame_idx"), "_frame.*"))
 
@@ -102,23 +106,39 @@ def explode_frames(stacks: DataFrame, *keys: str) -> DataFrame:
 def lines_of(locations: DataFrame) -> Column:
     """The ``lines`` array of a location: one line, or NULL where the store symbolises later."""
     line = F.struct(
-        F.col("line"), F.col("column"), F.col("function_system_name"), F.col("function_filename"),
+        F.col("line"), F.col("column"), F.col("function_system_name"), F.col("function_name"), F.col("function_filename"),
         F.lit(0).cast("long").alias("function_start_line")).cast(LINE)
     return F.when(F.col("has_line"), F.array(line))
 
 
-def classify_unwind_completeness(locations: DataFrame, *keys: str) -> DataFrame:
-    """``is_complete`` per stack: every frame resolved as far as its type allows."""
-    return locations.groupBy(*keys).agg(F.bool_and("frame_complete").alias("is_complete"))
+def _with_empty(found: DataFrame, stacks: DataFrame | None, keys: tuple[str, ...]) -> DataFrame:
+    """The rows of ``found`` and, complete, those of ``stacks`` that no frame stands for."""
+    if stacks is None:
+        return found
+    every = stacks.select(*keys).distinct().join(found, list(keys), "left")
+    return every.withColumn("is_complete", F.coalesce("is_complete", F.lit(True)))
+
+
+def classify_unwind_completeness(locations: DataFrame, *keys: str, stacks: DataFrame | None = None) -> DataFrame:
+    """``is_complete`` per stack: every frame resolved as far as its type allows. Without frames there is nothing amiss.
+
+    ``stacks`` lists the known stacks, for those without frames.
+    """
+    found = locations.groupBy(*keys).agg(F.bool_and("frame_complete").alias("is_complete"))
+    return _with_empty(found, stacks, keys)
 
 
-def stack_locations(locations: DataFrame, *keys: str) -> DataFrame:
-    """Resolved frames gathered per stack, leaf first. A stack has a bounded number of frames."""
+def stack_locations(locations: DataFrame, *keys: str, stacks: DataFrame | None = None) -> DataFrame:
+    """Resolved frames gathered per stack, leaf first. A stack has a bounded number of frames.
+
+    ``stacks`` lists the known stacks: those without frames are complete and have NULL locations.
+    """
     location = F.struct(
         "frame_idx", "address", "frame_type", "mapping_file", "mapping_build_id", lines_of(locations).alias("lines"))
-    return (locations.groupBy(*keys)
-            .agg(F.bool_and("frame_complete").alias("is_complete"),
-                 F.array_sort(F.collect_list(location)).alias("_locations"))
-            .select(*keys, "is_complete", F.transform("_locations", lambda x: F.struct(
-                *[x[c].alias(c) for c in ("address", "frame_type", "mapping_file", "mapping_build_id", "lines")]))
-                .alias("locations")))
+    found = (locations.groupBy(*keys)
+             .agg(F.bool_and("frame_complete").alias("is_complete"),
+                  F.array_sort(F.collect_list(location)).alias("_locations"))
+             .select(*keys, "is_complete", F.transform("_locations", lambda x: F.struct(
+                 *[x[c].alias(c) for c in ("address", "frame_type", "mapping_file", "mapping_build_id", "lines")]))
+                 .alias("locations")))
+    return _with_empty(found, stacks, keys)

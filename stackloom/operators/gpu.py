@@ -9,8 +9,9 @@ from stackloom.functions.values import int_div, trim_nul
 from stackloom.operators.sequence import HOUR_NS, asof_join
 from stackloom.schema import CUDA, SECOND_NS
 
-# Fixed value: names a stall-reason map can hold.
-STALL_REASONS = 64
+# One launch of one process on one machine: process ids and correlation ids repeat over machines.
+LAUNCH = ("node", "pid", "correlation_id")
+PROCESS = ("node", "pid")
 
 
 def ns_per_sample(sampling_factor: Column, clock_hz: Column) -> Column:
@@ -27,7 +28,7 @@ def gpu_ns_per_sample(samples: DataFrame, configs: DataFrame, keys: list[str], w
     return joined.withColumn("ns_per_sample", F.coalesce("ns_per_sample", F.lit(0)))
 
 
-def gpu_kernel_times(launches: DataFrame, timings: DataFrame, keys: list[str] = ("pid", "correlation_id")) -> DataFrame:
+def gpu_kernel_times(launches: DataFrame, timings: DataFrame, keys: list[str] = LAUNCH) -> DataFrame:
     """CUDA launches with the duration of the kernels they started; either side may come first.
 
     A graph launch has many kernels and gives a row for each. The key is a single launch, so no key is hot.
@@ -36,7 +37,7 @@ def gpu_kernel_times(launches: DataFrame, timings: DataFrame, keys: list[str] =
     return launches.drop("raw_value").join(kernels, list(keys), "inner").withColumn("origin", F.lit(CUDA))
 
 
-def gpu_unmatched(launches: DataFrame, timings: DataFrame, keys: list[str] = ("pid", "correlation_id")) -> DataFrame:
+def gpu_unmatched(launches: DataFrame, timings: DataFrame, keys: list[str] = LAUNCH) -> DataFrame:
     """How many launches and timing events found no partner, the ones a running agent clears in the end."""
     on = list(keys)
     lost_launches = launches.join(timings.select(*on), on, "left_anti").select(F.lit("launch").alias("side"))
@@ -44,17 +45,17 @@ def gpu_unmatched(launches: DataFrame, timings: DataFrame, keys: list[str] = ("p
     return lost_launches.unionByName(lost_timings).groupBy("side").agg(F.count(F.lit(1)).alias("cleared"))
 
 
-def stall_reason_names(maps: DataFrame) -> DataFrame:
-    """``pid, stall_index, stall_reason`` of the latest map of each process (``pid, ts_ns, names``)."""
-    latest = maps.groupBy("pid").agg(F.max_by("names", "ts_ns").alias("names"))
-    return latest.select("pid", F.posexplode(F.slice("names", 1, STALL_REASONS)).alias("stall_index", "name")).select(
-        "pid", "stall_index", trim_nul(F.col("name")).alias("stall_reason"))
+def stall_reason_names(maps: DataFrame, keys: list[str] = PROCESS) -> DataFrame:
+    """Keys, ``stall_index, stall_reason`` of the latest map of each process (``node, pid, ts_ns, names``)."""
+    latest = maps.groupBy(*keys).agg(F.max_by("names", "ts_ns").alias("names"))
+    return latest.select(*keys, F.posexplode("names").alias("stall_index", "name")).select(
+        *keys, "stall_index", trim_nul(F.col("name")).alias("stall_reason"))
 
 
-def gpu_pc_symbols(pc_samples: DataFrame, cubins: DataFrame, stall_maps: DataFrame) -> DataFrame:
+def gpu_pc_symbols(pc_samples: DataFrame, cubins: DataFrame, stall_maps: DataFrame, keys: list[str] = PROCESS) -> DataFrame:
     """Program-counter samples with the module of their CRC and the name of their stall reason."""
     modules = cubins.groupBy("cubin_crc").agg(F.max_by(F.struct("file_id", "sm_version"), "ts_ns").alias("_cubin")).select(
         "cubin_crc", F.col("_cubin.file_id").alias("cubin_file_id"), F.col("_cubin.sm_version").alias("sm_version"),
         F.concat(F.lit("cubin-"), F.lpad(F.lower(F.hex("cubin_crc")), 16, "0")).alias("cubin_name"))
     return (pc_samples.join(modules, "cubin_crc", "left")
-            .join(stall_reason_names(stall_maps), ["pid", "stall_index"], "left"))
+            .join(stall_reason_names(stall_maps, keys), [*keys, "stall_index"], "left"))

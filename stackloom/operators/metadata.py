@@ -221,7 +221,7 @@ def process_labels(processes: DataFrame, providers: list[Provider], rules: list[
     the expensive part of labelling and it runs once per process observation, not once per sample. The rows
     are spread over all cores first: they are few, but each costs far more work than its transfer.
     """
-    processes = processes.repartition(processes.sparkSession.sparkContext.defaultParallelism, "node", "pid")
+    processes = processes.repartition("node", "pid")
     start = F.create_map(F.lit("node"), F.col("node"))
     if "env" in processes.columns:
         start = overlay(start, env_labels(F.col("env"), env_include or []))
@@ -286,28 +286,21 @@ def external_labels(samples: DataFrame, constants: dict[str, str]) -> DataFrame:
 def label_samples(
     events: DataFrame, processes: DataFrame, providers: list[Provider], rules: list[RelabelRule], *,
     env_include: list[str] | None = None, ttl: int = LABEL_TTL_NS, width: int = HOUR_NS,
-    cpu: bool = True, thread_id: bool = True, thread_name: bool = True, has_probe_events: bool = False,
+    cpu: bool = True, thread_id: bool = True, thread_name: bool = True,
 ) -> DataFrame:
     """Events with their final labels; events that a rule drops are gone.
 
     The rules run on the gapless process table; events pick up the labels in force at their time, then
-    get their thread and custom labels. Where the input has probe events, those run through the rules
-    once more in between.
+    get their thread and custom labels. Probe events, told by their origin, run through the rules once more in between.
     """
     labels = process_labels(_timeline(events, processes, ttl), providers, rules, env_include).select(
         "node", "pid", "observed_ns", "labels", "keep")
     # The as-of join reads the labels twice. Behind an exchange they are worked out once and the exchange reused.
-    labels = labels.repartition(labels.sparkSession.sparkContext.defaultParallelism, "node", "pid")
-
-    def patched(part: DataFrame) -> DataFrame:
-        joined = asof_join(part, labels, ["node", "pid"], "ts_ns", "observed_ns", ["labels", "keep"], None, width)
-        return patch_thread_labels(filter_kept(joined), cpu, thread_id, thread_name)
-
-    if has_probe_events:  # split at the scan: few rows take the long way
-        probe = F.col("origin").eqNullSafe(F.lit(PROBE))
-        out = patched(events.where(~probe)).unionByName(relabel_probe_samples(patched(events.where(probe)), rules))
-    else:
-        out = patched(events)
+    labels = labels.repartition("node", "pid")
+    joined = asof_join(events, labels, ["node", "pid"], "ts_ns", "observed_ns", ["labels", "keep"], None, width)
+    out = patch_thread_labels(filter_kept(joined), cpu, thread_id, thread_name)
+    if "origin" in events.columns:
+        out = relabel_probe_samples(out, rules)
     return custom_labels(out) if "custom_labels" in events.columns else out
 
 
@@ -319,6 +312,9 @@ def relabel_probe_samples(samples: DataFrame, rules: list[RelabelRule]) -> DataF
     if not rules:
         return samples
     probe = F.col("origin").eqNullSafe(F.lit(PROBE))
-    again = filter_kept(relabel(samples.where(probe), rules))
-    again = again.withColumn("labels", drop_prefix(drop_absent(F.col("labels"))))
-    return samples.where(~probe).unionByName(again)
+    # one pass over all rows: the rules see an empty map where a row is not a probe's, which costs them next to nothing
+    own = samples.withColumns({"_own": F.col("labels"), "labels": F.when(probe, F.col("labels")).otherwise(
+        F.create_map().cast("map<string,string>"))})
+    again = relabel(own, rules, keep="_probe_keep").where(~probe | F.col("_probe_keep"))
+    return again.withColumn("labels", F.when(probe, drop_prefix(drop_absent(F.col("labels")))).otherwise(F.col("_own"))).drop(
+        "_own", "_probe_keep")

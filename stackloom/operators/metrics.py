@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stackloom.functions.values import metric_name, ns_to_ts
 from stackloom.operators.sequence import HOUR_NS, previous_values
+from stackloom.session import stored
 from stackloom.schema import CUDA, GPU_PC, MEMORY, OFF_CPU, SAMPLING
 
 log = logging.getLogger(__name__)
@@ -18,8 +19,8 @@ log = logging.getLogger(__name__)
 EVENT_TYPES = {SAMPLING: "cpu", CUDA: "gpu", GPU_PC: "gpu_pc", OFF_CPU: "offcpu", MEMORY: "memory"}
 
 
-def event_counters(events: DataFrame) -> DataFrame:
-    """``counter, n``: kept events by type, events skipped by rules, events without frames.
+def pipeline_counters(events: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """``counter, n``: kept events by type, events skipped by rules, events without frames, and rows ``written``.
 
     ``events`` holds ``origin``, ``keep`` and ``n_frames``. One aggregation over a short array per row.
     """
@@ -31,8 +32,11 @@ def event_counters(events: DataFrame) -> DataFrame:
         F.when(F.col("keep"), kind),
         F.when(~F.col("keep"), F.lit("skipped_by_relabeling")),
         F.when(F.col("keep") & (F.col("n_frames") == 0), F.lit("empty")))
-    return (events.select(F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("counter"))
-            .groupBy("counter").agg(F.count(F.lit(1)).alias("n")))
+    counters = (events.select(F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("counter"))
+                .groupBy("counter").agg(F.count(F.lit(1)).alias("n")))
+    if written is None:
+        return counters
+    return counters.unionByName(written.agg(F.count(F.lit(1)).alias("n")).select(F.lit("written_rows").alias("counter"), "n"))
 
 
 def observe_counters(events: DataFrame, name: str = "event_counters") -> DataFrame:
@@ -134,13 +138,14 @@ MetricProducer = Callable[[], DataFrame]
 def metrics_export(producers: dict[str, MetricProducer], resource: dict[str, str]) -> DataFrame | None:
     """The points of all producers in one table, with scope name and resource attributes.
 
-    A producer that fails is logged and its scope stays empty; without any producer left there is nothing.
+    Each producer's points are worked out and stored on their own, so one that fails while it is built or while it runs is
+    logged and its scope stays empty; without any producer left there is nothing.
     """
     attributes = F.create_map(*[F.lit(x) for pair in resource.items() for x in pair])
     table: DataFrame | None = None
     for scope, produce in producers.items():
         try:
-            points = produce()
+            points = stored(produce(), f"metrics-{scope}")
         except Exception:
             log.warning("metrics producer %s failed", scope, exc_info=True)
             continue

@@ -9,6 +9,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stackloom.functions.re2 import java_pattern
 from stackloom.functions.values import trim_nul, unpack_probe_cookie
 from stackloom.operators.sequence import HOUR_NS, asof_join, previous_values, with_slice
 
@@ -39,8 +40,8 @@ def load_probe_specs(text: str) -> list[ProbeSpec]:
             if not entry.get(name):
                 raise ValueError(f"probe {number}: `{name}` is required")
         try:
-            re.compile(entry["file_match"])
-        except re.error as error:
+            java_pattern(entry["file_match"])
+        except ValueError as error:
             raise ValueError(f"probe {number}: bad file_match {entry['file_match']!r}") from error
         flag = entry.get("main_thread_only")
         specs.append(ProbeSpec(

@@ -18,17 +18,34 @@ def _per_stack(samples: DataFrame, by: list[str]) -> DataFrame:
     return samples.groupBy(*by, "stacktrace_id").agg(F.sum("value").alias("_value"))
 
 
+def _used(locations: DataFrame, sums: DataFrame) -> DataFrame:
+    """The frames of summed stacks only: Spark moves the semi-join below the resolution of frames."""
+    return locations.join(sums.select("stacktrace_id").distinct(), "stacktrace_id", "left_semi")
+
+
+def _lost(sums: DataFrame, stacks: DataFrame | None) -> DataFrame:
+    """Summed stacks with ``_known``: whether the stack table holds them, be it without frames."""
+    if stacks is None:
+        return sums.withColumn("_known", F.lit(False))
+    known = stacks.select("stacktrace_id", F.lit(True).alias("_known"))
+    return sums.join(known, "stacktrace_id", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+
+
 def profile_by_function(
-    samples: DataFrame, locations: DataFrame, by: list[str] | None = None, top: int | None = None
+    samples: DataFrame, locations: DataFrame, by: list[str] | None = None, top: int | None = None,
+    stacks: DataFrame | None = None
 ) -> DataFrame:
     """Self and cumulative value per function; recursion counts once, a lost stack under its own name.
 
+    ``stacks`` lists the known stacks once each; one of them without frames is not lost and has no function to count.
+
     Samples are summed per stack before any frame is touched, so the join sees one row per stack however
     hot the stack is. ``top`` keeps the functions with the largest self value.
     """
     by = by or []
     frames = locations.select("stacktrace_id", "frame_idx", location_name().alias("function"))
-    joined = _per_stack(samples, by).join(frames, "stacktrace_id", "left")
+    sums = _per_stack(samples, by)
+    joined = _lost(sums, stacks).join(_used(frames, sums), "stacktrace_id", "left").where("function IS NOT NULL OR NOT _known")
     per_function = (joined.withColumn("function", F.coalesce("function", F.lit(MISSING_STACK)))
                     .groupBy(*by, "stacktrace_id", "function")
                     .agg(F.max(F.when(F.coalesce("frame_idx", F.lit(1)) == 1, F.col("_value"))).alias("self_value"),
@@ -61,17 +78,19 @@ def folded_stacks(locations: DataFrame) -> DataFrame:
             .select("stacktrace_id", F.array_join(F.transform(F.reverse("_names"), lambda x: x["name"]), ";").alias("folded")))
 
 
-def stack_fanout(samples: DataFrame, locations: DataFrame) -> DataFrame:
-    """Value per folded stack: the input of a flame graph."""
-    joined = _per_stack(samples, []).join(folded_stacks(locations), "stacktrace_id", "left")
-    return joined.groupBy(F.coalesce("folded", F.lit(MISSING_STACK)).alias("folded")).agg(F.sum("_value").alias("value"))
+def stack_fanout(samples: DataFrame, locations: DataFrame, stacks: DataFrame | None = None) -> DataFrame:
+    """Value per folded stack: the input of a flame graph. A known stack (``stacks``) without frames folds to ''."""
+    sums = _per_stack(samples, [])
+    joined = _lost(sums, stacks).join(folded_stacks(_used(locations, sums)), "stacktrace_id", "left")
+    lost = F.when(F.col("_known"), F.lit("")).otherwise(F.lit(MISSING_STACK))
+    return joined.groupBy(F.coalesce("folded", lost).alias("folded")).agg(F.sum("_value").alias("value"))
 
 
-def profile_diff(before: DataFrame, after: DataFrame, locations: DataFrame) -> DataFrame:
+def profile_diff(before: DataFrame, after: DataFrame, locations: DataFrame, stacks: DataFrame | None = None) -> DataFrame:
     """Change of self and cumulative value by function between two sets of samples."""
     sides = (before.select("stacktrace_id", "value", F.lit("before").alias("_side"))
              .unionByName(after.select("stacktrace_id", "value", F.lit("after").alias("_side"))))
-    profile = profile_by_function(sides, locations, ["_side"])
+    profile = profile_by_function(sides, locations, ["_side"], stacks=stacks)
 
     def total(column: str, side: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("_side") == side, F.col(column))), F.lit(0))

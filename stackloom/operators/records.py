@@ -10,20 +10,17 @@ from pyspark.sql import functions as F
 from stackloom.operators.joins import hot_key_join
 from stackloom.schema import SAMPLE_COLUMNS
 
-MAX_LABEL_COLUMNS = 10_000
-
-
 def label_names(samples: DataFrame) -> list[str]:
-    """The label names in use, sorted. They become columns, so a runaway number of them is an error."""
-    found = (samples.select(F.explode(F.map_keys("labels")).alias("name")).distinct()
-             .limit(MAX_LABEL_COLUMNS + 1).collect())
-    if len(found) > MAX_LABEL_COLUMNS:
-        raise ValueError(f"more than {MAX_LABEL_COLUMNS} label names; keep the labels as a map")
+    """The label names in use, sorted. A table has a column for each, so its schema holds all of them anyway."""
+    found = samples.select(F.explode(F.map_keys("labels")).alias("name")).distinct().collect()
     return sorted(row["name"] for row in found)
 
 
 def labels_wide(samples: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Sorted nullable ``labels.<name>`` columns in front, the other columns behind."""
+    """Sorted nullable ``labels.<name>`` columns in front, the other columns behind.
+
+    ``names`` says which labels become columns; without it the labels in use are looked up first.
+    """
     names = sorted(names) if names is not None else label_names(samples)
     rest = [c for c in samples.columns if c != "labels"]
     return samples.select(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.functions.labels import overlay, rename_keys, set_label
+from stackloom.functions.re2 import java_pattern
 
 DEFAULT_REGEX = "(.*)"
 # The rule actions.
@@ -52,18 +53,14 @@ def _check(rule: RelabelRule) -> None:
     if rule.action in {"replace", "hashmod", "lowercase", "uppercase", "keepequal", "dropequal"} \
             and not rule.target_label:
         raise ValueError(f"relabel action {rule.action} needs a target_label")
+    java_pattern(rule.regex)  # refuses what rule files may not hold
     if rule.action == "hashmod" and rule.modulus <= 0:
         raise ValueError("hashmod needs a modulus")
 
 
 def _java(regex: str) -> str:
-    """Whole-text form of a rule's pattern, with named groups the way Java writes them."""
-    return r"\A(?s:" + regex.replace("(?P<", "(?<") + r")\z"
-
-
-def _group_numbers(regex: str) -> tuple[int, dict[str, int]]:
-    compiled = re.compile(regex.replace("(?<", "(?P<").replace("(?P<=", "(?<=").replace("(?P<!", "(?<!"))
-    return compiled.groups, dict(compiled.groupindex)
+    """Whole-text form of a rule's pattern."""
+    return r"\A(?s:" + java_pattern(regex)[0] + r")\z"
 
 
 _REFERENCE = re.compile(r"\$(?:\$|\{(\w+)\}|(\w+))")
@@ -71,7 +68,7 @@ _REFERENCE = re.compile(r"\$(?:\$|\{(\w+)\}|(\w+))")
 
 def _expand(template: str, regex: str, text: Column) -> Column:
     """Fill ``$1``, ``${1}``, ``${name}`` from the match of ``text``; unknown groups are empty."""
-    groups, names = _group_numbers(regex)
+    _, groups, names = java_pattern(regex)
     parts: list[Column] = []
     position = 0
     for match in _REFERENCE.finditer(template):

@@ -77,6 +77,8 @@ def normalize_samples(
             .when(origin == CUDA, F.array(kernel)).when(origin == GPU_PC, F.array(pc)))
     if "mem" in events.columns:
         rows = rows.when((origin == MEMORY) & F.col("mem").isNotNull(), memory_sample_rows(F.col("mem"), report_allocs))
+    else:  # such events must not vanish: the first one stops the job
+        rows = rows.when(origin == MEMORY, F.array(F.raise_error(F.lit("memory events need a mem column"))))
     kept = [c for c in events.columns if c not in ("raw_value", "mem", "ns_per_sample", "labels")]
     out = events.withColumn("_sample", F.explode(rows))
     columns = [F.col(c) for c in kept]

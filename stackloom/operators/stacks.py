@@ -46,13 +46,14 @@ def distinct_locations(stacks: DataFrame) -> DataFrame:
 def distinct_functions(locations: DataFrame) -> DataFrame:
     """Dictionary of ``(system_name, filename, start_line)``, '' read as NULL, with ids from 0.
 
-    The order of first sight means nothing in a distributed job; ids follow the content hash instead.
+    The start line is ``function_start_line`` where the locations have that column, else 0. The order of first sight means nothing in a distributed job; ids follow the content hash instead.
     """
     keys = ["system_name", "filename", "start_line"]
+    start = F.coalesce("function_start_line", F.lit(0)) if "function_start_line" in locations.columns else F.lit(0)
     functions = (locations.where("has_line")
                  .select(F.nullif("function_system_name", F.lit("")).alias("system_name"),
                          F.nullif("function_filename", F.lit("")).alias("filename"),
-                         F.lit(0).cast("long").alias("start_line")).dropDuplicates(keys))
+                         start.cast("long").alias("start_line")).dropDuplicates(keys))
     return dense_ids(functions, keys, "function_id")
 
 

@@ -110,7 +110,7 @@ def records(t: Tables) -> DataFrame:
     samples = named.withColumn("kind", F.lit(0)).withColumn("stack_key", F.col("stacktrace_id"))
     first = new_stacktraces(named, ["file"], "batch").withColumnRenamed("first_batch", "batch")
     located = stack_locations(resolve_frames(join_frame_executable(
-        inputs.frames(t), inputs.executables(t)), "v1"), "stacktrace_id")
+        inputs.frames(t), inputs.executables(t)), "v1"), "stacktrace_id", stacks=inputs.stack_table(t))
     stacks = first.join(located, "stacktrace_id").withColumn("kind", F.lit(1))
     rows = samples.select("file", "batch", "kind", "stacktrace_id", "node", "comm", "ts_ns", *NUMBERS, *TEXTS).unionByName(
         stacks.select("file", "batch", "kind", "stacktrace_id", "is_complete", "locations"), allowMissingColumns=True)

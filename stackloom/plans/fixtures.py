@@ -46,6 +46,8 @@ FIXTURES: dict[str, str] = {
                      CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
                           l_extendedprice, l_quantity, l_shipdate) AS BIGINT) AS frame_idx
               FROM lineitem) l JOIN part p ON l.l_partkey = p.p_partkey""",
+    # Known stacks; an order without line items is a stack without frames.
+    "fx_stacks": "SELECT o_orderkey AS stack_key FROM orders",
     "fx_executables": """
         SELECT md5(CAST(s_suppkey AS STRING)) AS file_id, s_name AS file_name,
                CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE '/usr/lib/' || lower(s_name) || '/bin' END AS path,

@@ -82,6 +82,16 @@ def locations(t: Tables, schema_version: str = "v2") -> DataFrame:
     return resolve_frames(join_frame_executable(frames(t), executables(t)), schema_version)
 
 
+def stack_table(t: Tables) -> DataFrame:
+    """The ids of all known stacks."""
+    return t.fx("fx_stacks").withColumnRenamed("stack_key", "stacktrace_id")
+
+
+def known_stacks(t: Tables) -> DataFrame:
+    """All known stacks with their frames; some have none."""
+    return stack_table(t).join(stacks(t), "stacktrace_id", "left")
+
+
 def stacks(t: Tables) -> DataFrame:
     """Stacks with their frames inline, leaf first. A stack has at most as many frames as an order has lines."""
     rows = frames(t).groupBy("stacktrace_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", *FRAME_FIELDS))).alias("f"))
@@ -90,7 +100,7 @@ def stacks(t: Tables) -> DataFrame:
 
 
 def stacks_resolved(t: Tables, schema_version: str = "v2") -> DataFrame:
-    return stack_locations(locations(t, schema_version), "stacktrace_id")
+    return stack_locations(locations(t, schema_version), "stacktrace_id", stacks=stack_table(t))
 
 
 def cpu_samples(t: Tables) -> DataFrame:

@@ -38,10 +38,10 @@ _INCREASE = """
 
 
 @query("counter_rate", _INCREASE + """
-    SELECT cache, window_start, sum(increase) AS increase, sum(increase) * 1000000 // 86400 AS rate_micros FROM i GROUP BY 1, 2""")
+    SELECT cache, window_start, sum(increase) AS increase, CAST(round(CAST(sum(increase) AS DOUBLE) / 86400 * 1000000) AS BIGINT) AS rate_micros FROM i GROUP BY 1, 2""")
 def _(t: Tables):
     out = metrics.counter_rate(t.fx("fx_points"), ["pod", "cache"], ["cache"], "1 day", _DAY)
-    return out.select("cache", "window_start", "increase", F.expr("increase * 1000000 div 86400").alias("rate_micros"))
+    return out.select("cache", "window_start", "increase", F.round(F.col("rate") * 1_000_000).cast("long").alias("rate_micros"))
 
 
 @query("gauge_max", """
@@ -60,13 +60,14 @@ def _(t: Tables):
     ai AS (SELECT time_bucket(INTERVAL 1 day, make_timestamp(ts_ns // 1000)) AS window_start,
                   sum(CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value ELSE value - before END) AS samples
            FROM a GROUP BY 1)
-    SELECT ei.window_start, ei.cache, errors, samples, errors * 1000000 // nullif(samples, 0) AS ratio_micros
+    SELECT ei.window_start, ei.cache, errors, samples,
+           CAST(round(CAST(errors AS DOUBLE) / nullif(samples, 0) * 1000000) AS BIGINT) AS ratio_micros
     FROM ei JOIN ai ON ei.window_start = ai.window_start""")
 def _(t: Tables):
     points = t.fx("fx_points")
     out = metrics.ratio_of_rates(points.where("result = 'miss'"), points, ["cache"], ["pod", "cache"], "1 day", _DAY)
     return out.select("window_start", "cache", "errors", "samples",
-                      F.expr("errors * 1000000 div nullif(samples, 0)").alias("ratio_micros"))
+                      F.round(F.col("ratio") * 1_000_000).cast("long").alias("ratio_micros"))
 
 
 # Latency buckets per node; the value is hundredths.
@@ -92,10 +93,10 @@ def _(t: Tables):
 
 @query("hit_ratio", """
     SELECT cache, sum(value) FILTER (result = 'hit') AS hits, sum(value) AS requests,
-           sum(value) FILTER (result = 'hit') * 1000000 // sum(value) AS ratio_micros FROM fx_points GROUP BY 1""")
+           CAST(round(CAST(sum(value) FILTER (result = 'hit') AS DOUBLE) / sum(value) * 1000000) AS BIGINT) AS ratio_micros FROM fx_points GROUP BY 1""")
 def _(t: Tables):
     return metrics.hit_ratio(t.fx("fx_points"), ["cache"]).select(
-        "cache", "hits", "requests", F.expr("hits * 1000000 div requests").alias("ratio_micros"))
+        "cache", "hits", "requests", F.round(F.col("ratio") * 1_000_000).cast("long").alias("ratio_micros"))
 
 
 @query("metrics_export", """
@@ -105,9 +106,13 @@ def _(t: Tables):
     def broken():
         raise RuntimeError("no such device")
 
+    def fails_when_run():
+        return t.fx("fx_points").select("node", F.raise_error(F.lit("device lost")).cast("long").alias("value"))
+
     table = metrics.metrics_export({
         "points": lambda: t.fx("fx_points").groupBy(F.col("node").alias("name")).agg(F.max("value").alias("value")),
         "gpu": broken,
+        "late": fails_when_run,
         "events": lambda: t.fx("fx_events").groupBy(F.col("origin").alias("name")).agg(F.count(F.lit(1)).alias("n")),
     }, {"region": "eu"})
     return table.withColumn("resource", labels_string(F.col("resource")))

@@ -9,7 +9,6 @@ from stackloom.operators.sequence import HOUR_NS
 from stackloom.plans import inputs
 from stackloom.plans.fixtures import Tables
 from stackloom.plans.registry import query
-from stackloom.session import stored
 
 _DAY = 24 * HOUR_NS
 _THREAD = ["node", "tid"]
@@ -84,38 +83,42 @@ def _(t: Tables):
     FROM fx_events e JOIN named n ON e.node = n.node AND n.tid = e.pid AND e.ts_ns BETWEEN n.start_ns AND n.end_ns""")
 def _(t: Tables):
     samples = inputs.events(t).select("event_id", "node", F.col("pid").alias("tid"), "ts_ns")
-    return probes.samples_in_span(samples, stored(spans(t), "spans"), _THREAD, _DAY)
+    return probes.samples_in_span(samples, spans(t), _THREAD, _DAY)
 
 
 # ---- GPU --------------------------------------------------------------------------------------
 
-_CONFIGS = """SELECT user_id AS pid, @us(ts) * 1000 AS ts_ns, 10 + event_id % 8 AS sampling_factor,
+_CONFIGS = """SELECT 'NODE_' || CAST(user_id % 25 AS STRING) AS node, user_id AS pid, @us(ts) * 1000 AS ts_ns, 10 + event_id % 8 AS sampling_factor,
                      CASE WHEN event_id % 50 = 3 THEN 0 ELSE 1000000000 + event_id * 1000 END AS clock_hz
               FROM events WHERE event_type = 'error'"""
 
 
 @query("gpu_ns_per_sample", """
-    WITH c AS (SELECT pid, ts_ns, 10 + event_id % 8 AS f,
+    WITH c AS (SELECT node, pid, ts_ns, 10 + event_id % 8 AS f,
                       CASE WHEN event_id % 50 = 3 THEN 0 ELSE 1000000000 + event_id * 1000 END AS hz
                FROM fx_events WHERE origin = 'gpu_pc')
     SELECT e.event_id, e.pid, e.ts_ns, CASE WHEN hz > 0 THEN ((1::BIGINT << f) * 1000000000) // hz ELSE 0 END AS ns_per_sample
-    FROM fx_events e ASOF LEFT JOIN c ON e.pid = c.pid AND e.ts_ns >= c.ts_ns""")
+    FROM fx_events e ASOF LEFT JOIN c ON e.node = c.node AND e.pid = c.pid AND e.ts_ns >= c.ts_ns""")
 def _(t: Tables):
-    events = inputs.events(t).select("event_id", "pid", "ts_ns")
-    return gpu.gpu_ns_per_sample(events, t.sql(_CONFIGS), ["pid"], _DAY)
+    events = inputs.events(t).select("event_id", "node", "pid", "ts_ns")
+    return gpu.gpu_ns_per_sample(events, t.sql(_CONFIGS), ["node", "pid"], _DAY).drop("node")
 
 
-# An order is a launch by its customer; each of its line items is one kernel it started.
-_LAUNCHES = "SELECT o_custkey AS pid, o_orderkey AS correlation_id, @us(o_orderdate) * 1000 AS ts_ns FROM orders"
-_TIMINGS = """SELECT o.o_custkey + CASE WHEN l.l_linenumber = 7 THEN 1 ELSE 0 END AS pid, l.l_orderkey AS correlation_id,
-                     p.p_name AS kernel_name, CAST(l.l_quantity AS BIGINT) * 1000 AS duration_ns
+# An order is a launch by its customer; each of its line items is one kernel it started. Process and correlation ids are
+# small numbers that repeat over machines. A timing has a time of its own, seconds after the launch.
+_LAUNCHES = """SELECT 'NODE_' || CAST(o_orderkey % 25 AS STRING) AS node, o_custkey % 40 AS pid, CAST(floor(o_orderkey / 25) AS BIGINT) AS correlation_id,
+                      @us(o_orderdate) * 1000 AS ts_ns FROM orders"""
+_TIMINGS = """SELECT 'NODE_' || CAST(o.o_orderkey % 25 AS STRING) AS node, o.o_custkey % 40 + CASE WHEN l.l_linenumber = 7 THEN 1 ELSE 0 END AS pid,
+                     CAST(floor(o.o_orderkey / 25) AS BIGINT) AS correlation_id, p.p_name AS kernel_name,
+                     CAST(l.l_quantity AS BIGINT) * 1000 AS duration_ns, @us(o.o_orderdate) * 1000 + CAST(l.l_linenumber AS BIGINT) * 1000000000 AS at_ns
               FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey"""
+_MATCHED = f"""
+    WITH la AS ({_LAUNCHES}), ti AS ({_TIMINGS})
+    SELECT la.node, la.pid, la.correlation_id, la.ts_ns, ti.kernel_name, ti.duration_ns AS raw_value, 'cuda' AS origin
+    FROM la JOIN ti ON la.node = ti.node AND la.pid = ti.pid AND la.correlation_id = ti.correlation_id"""
 
 
-@query("gpu_kernel_times", f"""
-    WITH la AS ({_LAUNCHES}), ti AS ({_TIMINGS})
-    SELECT la.pid, la.correlation_id, la.ts_ns, ti.kernel_name, ti.duration_ns AS raw_value, 'cuda' AS origin
-    FROM la JOIN ti ON la.pid = ti.pid AND la.correlation_id = ti.correlation_id""")
+@query("gpu_kernel_times", _MATCHED)
 def _(t: Tables):
     return gpu.gpu_kernel_times(t.sql(_LAUNCHES), t.sql(_TIMINGS))
 
@@ -123,30 +126,31 @@ def _(t: Tables):
 @query("gpu_unmatched", f"""
     WITH la AS ({_LAUNCHES}), ti AS ({_TIMINGS})
     SELECT 'launch' AS side, count(*) AS cleared FROM la WHERE NOT EXISTS (
-        SELECT 1 FROM ti WHERE ti.pid = la.pid AND ti.correlation_id = la.correlation_id)
+        SELECT 1 FROM ti WHERE ti.node = la.node AND ti.pid = la.pid AND ti.correlation_id = la.correlation_id)
     UNION ALL SELECT 'timing', count(*) FROM ti WHERE NOT EXISTS (
-        SELECT 1 FROM la WHERE ti.pid = la.pid AND ti.correlation_id = la.correlation_id)""")
+        SELECT 1 FROM la WHERE ti.node = la.node AND ti.pid = la.pid AND ti.correlation_id = la.correlation_id)""")
 def _(t: Tables):
     return gpu.gpu_unmatched(t.sql(_LAUNCHES), t.sql(_TIMINGS))
 
 
 @query("gpu_pc_symbols", """
-    WITH pc AS (SELECT l_orderkey, l_linenumber, l_partkey % 500 AS pid, l_suppkey * 7 AS cubin_crc, l_partkey % 80 AS stall_index,
+    WITH pc AS (SELECT l_orderkey, l_linenumber, 'NODE_' || CAST(l_suppkey % 3 AS VARCHAR) AS node, l_partkey % 500 AS pid, l_suppkey * 7 AS cubin_crc, l_partkey % 80 AS stall_index,
                        CAST(l_quantity AS BIGINT) AS n FROM lineitem),
     cu AS (SELECT s_suppkey * 7 AS cubin_crc, md5(CAST(s_suppkey AS VARCHAR)) AS file_id, 70 + s_nationkey AS sm FROM supplier
            WHERE s_acctbal > 0),
-    m AS (SELECT c_custkey AS pid, unnest(range(0, 64)) AS i, c_mktsegment AS seg FROM customer WHERE c_acctbal > 0)
-    SELECT pc.pid, pc.cubin_crc, pc.stall_index, sum(pc.n) AS n, cu.file_id AS cubin_file_id, cu.sm AS sm_version,
+    m AS (SELECT 'NODE_' || CAST(c_custkey % 3 AS VARCHAR) AS node, c_custkey // 3 AS pid, unnest(range(0, 80)) AS i, c_mktsegment AS seg
+          FROM customer WHERE c_acctbal > 0)
+    SELECT pc.node, pc.pid, pc.cubin_crc, pc.stall_index, sum(pc.n) AS n, cu.file_id AS cubin_file_id, cu.sm AS sm_version,
            CASE WHEN cu.file_id IS NOT NULL THEN 'cubin-' || lpad(lower(to_hex(pc.cubin_crc)), 16, '0') END AS cubin_name,
            lower(m.seg) || '-' || CAST(m.i AS VARCHAR) AS stall_reason
-    FROM pc LEFT JOIN cu ON pc.cubin_crc = cu.cubin_crc LEFT JOIN m ON m.pid = pc.pid AND m.i = pc.stall_index
-    GROUP BY 1, 2, 3, 5, 6, 7, 8""")
+    FROM pc LEFT JOIN cu ON pc.cubin_crc = cu.cubin_crc LEFT JOIN m ON m.node = pc.node AND m.pid = pc.pid AND m.i = pc.stall_index
+    GROUP BY 1, 2, 3, 4, 6, 7, 8, 9""")
 def _(t: Tables):
-    pc = t.sql("""SELECT l_partkey % 500 AS pid, l_suppkey * 7 AS cubin_crc, CAST(l_partkey % 80 AS INT) AS stall_index,
-                         sum(CAST(l_quantity AS BIGINT)) AS n FROM lineitem GROUP BY 1, 2, 3""")
+    pc = t.sql("""SELECT concat('NODE_', l_suppkey % 3) AS node, l_partkey % 500 AS pid, l_suppkey * 7 AS cubin_crc, CAST(l_partkey % 80 AS INT) AS stall_index,
+                         sum(CAST(l_quantity AS BIGINT)) AS n FROM lineitem GROUP BY 1, 2, 3, 4""")
     cubins = t.sql("""SELECT s_suppkey * 7 AS cubin_crc, md5(CAST(s_suppkey AS STRING)) AS file_id, 70 + s_nationkey AS sm_version,
                              stack(1, 0L) AS ts_ns FROM supplier WHERE s_acctbal > 0""")
-    maps = t.sql("""SELECT c_custkey AS pid, 0L AS ts_ns,
+    maps = t.sql("""SELECT concat('NODE_', c_custkey % 3) AS node, c_custkey div 3 AS pid, 0L AS ts_ns,
                            transform(sequence(0, 79), i -> concat(lower(c_mktsegment), '-', CAST(i AS STRING), '\\0junk')) AS names
                     FROM customer WHERE c_acctbal > 0""")
     return gpu.gpu_pc_symbols(pc, cubins, maps)

@@ -96,18 +96,19 @@ def _(t: Tables):
                         "f.source_file"))
 
 
-@query("event_counters", """
+@query("pipeline_counters", """
     WITH e AS (SELECT origin, pid % 10 <> 3 AS keep,
                       (SELECT count(*) FROM fx_frames f WHERE f.stack_key = fx_events.stack_key) AS n_frames FROM fx_events)
     SELECT CASE WHEN NOT keep THEN 'skipped_by_relabeling' ELSE
            CASE origin WHEN 'sampling' THEN 'cpu' WHEN 'cuda' THEN 'gpu' WHEN 'gpu_pc' THEN 'gpu_pc' WHEN 'off_cpu' THEN 'offcpu'
                 WHEN 'memory' THEN 'memory' ELSE 'unknown' END END AS counter, count(*) AS n FROM e GROUP BY 1
-    UNION ALL SELECT 'empty', count(*) FROM e WHERE keep AND n_frames = 0""")
+    UNION ALL SELECT 'empty', count(*) FROM e WHERE keep AND n_frames = 0
+    UNION ALL SELECT 'written_rows', count(*) FROM ox_samples""")
 def _(t: Tables):
     sizes = inputs.frames(t).groupBy("stacktrace_id").agg(F.count(F.lit(1)).alias("n_frames"))
     events = inputs.events(t).withColumn("keep", F.expr("pid % 10 <> 3")).join(sizes, "stacktrace_id", "left").fillna(
         0, ["n_frames"])
-    return metrics.event_counters(events)
+    return metrics.pipeline_counters(events, inputs.samples(t))
 
 
 @query("report_batches", """

@@ -12,9 +12,9 @@ from stackloom.operators.frames import stack_locations
 from stackloom.plans import inputs
 from stackloom.plans.batch_files import BATCH_NS, DAY_NS, FILE_NS, write_batch_files
 from stackloom.plans.fixtures import Tables
-from stackloom.plans.q_probes import _SPANS, _THREAD, _LAUNCHES, _TIMINGS
+from stackloom.plans.q_probes import _SPANS, _THREAD, _LAUNCHES, _MATCHED, _TIMINGS
 from stackloom.plans.registry import query
-from stackloom.session import shared_dir, stored
+from stackloom.session import shared_dir
 from stackloom.sources import tables
 from stackloom.sources.batch_log import read_batch_log, replay_batch_log
 from stackloom.streaming import joins as stream_joins
@@ -41,23 +41,27 @@ def _(t: Tables):
 
 
 _LOCATION_TEXT = """coalesce(CAST(address AS VARCHAR), '') || '|' || frame_type || '|' || coalesce(mapping_file, '') || '|'
-    || coalesce(mapping_build_id, '') || '|' || coalesce(CAST(line AS VARCHAR), '') || '|' || coalesce({name}, '')"""
+    || coalesce(mapping_build_id, '') || '|' || coalesce(CAST(line AS VARCHAR), '') || '|' || coalesce({system}, '-') || '|' || coalesce({name}, '-')"""
+_V2_TEXT = _LOCATION_TEXT.format(system="function_system_name", name="NULL")
+# In v1 records only GPU program counters have a system name; the other lines have an empty one and a function name.
+_V1_TEXT = _LOCATION_TEXT.format(
+    system="CASE WHEN frame_type = 'cuda-pc' THEN coalesce(function_system_name, '') WHEN has_line THEN '' END",
+    name="CASE WHEN frame_type <> 'cuda-pc' THEN function_system_name END")
 
 
-def _location_text(array: str, name: str):
+def _location_text(array: str):
     def text(x):
         line = F.get(x["lines"], F.lit(0))
         return F.concat_ws("|", x["address"].cast("string"), x["frame_type"], F.coalesce(x["mapping_file"], F.lit("")),
                            F.coalesce(x["mapping_build_id"], F.lit("")), F.coalesce(line["line"].cast("string"), F.lit("")),
-                           F.coalesce(line[name], F.lit("")))
+                           F.coalesce(line["function_system_name"], F.lit("-")), F.coalesce(line["function_name"], F.lit("-")))
     return F.array_join(F.transform(array, text), ";")
 
 
 @query("write_stacktraces_v1", f"""
-    SELECT stack_key AS stacktrace_id, bool_and(frame_complete) AS is_complete, 0 AS mapping_sum,
-           string_agg({_LOCATION_TEXT.replace('{name}', "CASE WHEN frame_type = 'cuda-pc' THEN function_system_name ELSE '' END")},
-                      ';' ORDER BY frame_idx) AS locations
-    FROM ox_locations GROUP BY 1""")
+    SELECT s.stack_key AS stacktrace_id, coalesce(bool_and(frame_complete), true) AS is_complete,
+           CASE WHEN count(l.stack_key) > 0 THEN 0 END AS mapping_sum, string_agg({_V1_TEXT}, ';' ORDER BY frame_idx) AS locations
+    FROM fx_stacks s LEFT JOIN ox_locations l ON s.stack_key = l.stack_key GROUP BY 1""")
 def _(t: Tables):
     path = shared_dir(t.spark, "stacktraces-v1")
     tables.write_stacktraces_v1(inputs.stacks_resolved(t, "v1"), path)
@@ -65,11 +69,11 @@ def _(t: Tables):
         acc + x["mapping_start"] + x["mapping_limit"] + x["mapping_offset"]))
     return t.spark.read.parquet(path).select(
         "stacktrace_id", "is_complete", zero.alias("mapping_sum"),
-        _location_text("locations", "function_system_name").alias("locations"))
+        _location_text("locations").alias("locations"))
 
 
 @query("write_samples_v2", f"""
-    WITH st AS (SELECT stack_key, string_agg({_LOCATION_TEXT.replace('{name}', 'function_system_name')}, ';' ORDER BY frame_idx) AS stack
+    WITH st AS (SELECT stack_key, string_agg({_V2_TEXT}, ';' ORDER BY frame_idx) AS stack
                 FROM ox_locations GROUP BY 1)
     SELECT 'comm=' || comm || ',node=' || node AS labels, st.stack AS stacktrace, s.stack_key AS stacktrace_id, {_FIXED}
     FROM ox_samples s LEFT JOIN st ON s.stack_key = st.stack_key""")
@@ -78,9 +82,9 @@ def _(t: Tables):
     rows = labelled(t)
     # Only stacks that occur in the batch are gathered.
     used = inputs.locations(t).join(rows.select("stacktrace_id").distinct(), "stacktrace_id", "left_semi")
-    tables.write_samples_v2(rows, stored(stack_locations(used, "stacktrace_id"), "stacks"), path)
+    tables.write_samples_v2(rows, stack_locations(used, "stacktrace_id"), path)
     return t.spark.read.parquet(path).withColumn("labels", labels_string(F.col("labels"))).withColumn(
-        "stacktrace", _location_text("stacktrace", "function_system_name"))
+        "stacktrace", _location_text("stacktrace"))
 
 
 @query("rotate_output", """
@@ -110,15 +114,15 @@ def _(t: Tables):
     WITH b AS (SELECT DISTINCT node || '-' || CAST(ts_ns // {FILE_NS} AS VARCHAR) || '.padata.zst' AS file,
                       ts_ns // {BATCH_NS} AS part, stack_key FROM ox_samples),
     n AS (SELECT *, dense_rank() OVER (PARTITION BY file ORDER BY part) - 1 AS batch FROM b),
-    st AS (SELECT stack_key, bool_and(frame_complete) AS is_complete, count(*) AS n_locations FROM ox_locations GROUP BY 1)
-    SELECT n.file, n.batch, lpad(to_hex(n.stack_key), 32, '0') AS stacktrace_id, coalesce(st.is_complete, false) AS is_complete,
-           coalesce(st.n_locations, 0) AS n_locations
+    st AS (SELECT s.stack_key, coalesce(bool_and(frame_complete), true) AS is_complete, string_agg({_V1_TEXT}, ';' ORDER BY frame_idx) AS locations
+           FROM fx_stacks s LEFT JOIN ox_locations l ON s.stack_key = l.stack_key GROUP BY 1)
+    SELECT n.file, n.batch, lpad(to_hex(n.stack_key), 32, '0') AS stacktrace_id, coalesce(st.is_complete, false) AS is_complete, st.locations
     FROM n LEFT JOIN st ON n.stack_key = st.stack_key""")
 def _(t: Tables):
     path = write_batch_files(t)
     replayed = replay_batch_log(read_batch_log(t.spark, path), read_batch_log(t.spark, path, "stacktraces"))
     return replayed.select("file", "batch", F.hex("stacktrace_id").alias("stacktrace_id"), "is_complete",
-                           F.coalesce(F.size("locations"), F.lit(0)).alias("n_locations"))
+                           _location_text("locations").alias("locations"))
 
 
 @query("batch_log_inventory", f"""
@@ -135,15 +139,21 @@ _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def event_stream(t: Tables) -> DataFrame:
-    """The events table as a stream of trace events."""
-    return (tables.read_trace_events(t.spark, t.sf_dir, {
+    """The events table as a stream of trace events: files in order of time, each a micro-batch of its own."""
+    path = shared_dir(t.spark, "events")
+    stored = t.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in _in_time_order(stored, 4):
+        part.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(path)
+    return (tables.read_trace_events(t.spark, path, {
         "event_id": "event_id", "ts": "cast(ts as timestamp)", "ts_ns": "unix_micros(cast(ts as timestamp)) * 1000",
         "node": "concat('NODE_', user_id % 25)", "pid": "user_id", "tid": "user_id + event_id % 2",
         "comm": "concat('comm-', user_id % 7)",
         "origin": "coalesce(element_at(map('view','sampling','click','off_cpu','purchase','memory','signup','cuda',"
                   "'error','gpu_pc'), event_type), 'unknown')",
         "raw_value": "cast(round(value * 100) as bigint)", "stacktrace_id": "user_id * 10 + (event_id * 7) % 10",
-        "event_type": "event_type"}, schema=_EVENTS, streaming=True, pathGlobFilter="events.parquet"))
+        "mem": "named_struct('allocs', event_id % 50, 'frees', (event_id * 3) % 50, 'alloc_bytes', event_id % 50 * 64,"
+               " 'free_bytes', (event_id * 3) % 50 * 48)",
+        "event_type": "event_type"}, schema=_EVENTS, streaming=True, maxFilesPerTrigger="1"))
 
 
 def _finish(running) -> None:
@@ -151,7 +161,7 @@ def _finish(running) -> None:
 
 
 @query("stream_report", """
-    SELECT event_id, ts_ns, stack_key AS stacktrace_id, value, sample_type, period FROM ox_samples WHERE origin <> 'memory'""")
+    SELECT event_id, ts_ns, stack_key AS stacktrace_id, value, sample_type, period FROM ox_samples""")
 def _(t: Tables):
     path = shared_dir(t.spark, "stream-report")
     samples = sample_ops.normalize_samples(event_stream(t))
@@ -164,7 +174,7 @@ def _(t: Tables):
     SELECT DISTINCT ts_ns // {DAY_NS} AS day, stack_key AS stacktrace_id FROM fx_events""")
 def _(t: Tables):
     path = shared_dir(t.spark, "stream-stacks")
-    stacks = report.new_stacks_stream(event_stream(t), DAY_NS, "40 days").select("ts_ns", "stacktrace_id")
+    stacks = report.new_stacks_stream(event_stream(t), DAY_NS).select("ts_ns", "stacktrace_id")
     (stacks.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
      .start(f"{path}/out", format="parquet").awaitTermination())
     return t.spark.read.parquet(f"{path}/out").select(floor_div(F.col("ts_ns"), DAY_NS).alias("day"), "stacktrace_id")
@@ -185,20 +195,26 @@ def _(t: Tables):
     return t.spark.read.parquet(f"{path}/out").drop("batch_id")
 
 
-@query("gpu_kernel_times_stream", f"""
-    WITH la AS ({_LAUNCHES}), ti AS ({_TIMINGS})
-    SELECT la.pid, la.correlation_id, la.ts_ns, ti.kernel_name, ti.duration_ns AS raw_value, 'cuda' AS origin
-    FROM la JOIN ti ON la.pid = ti.pid AND la.correlation_id = ti.correlation_id""")
+@query("gpu_kernel_times_stream", _MATCHED)
 def _(t: Tables):
     path = shared_dir(t.spark, "stream-gpu")
-    t.sql(_LAUNCHES).withColumn("ts", ns_to_ts(F.col("ts_ns"))).write.parquet(f"{path}/launches")
-    launch_time = t.sql(_LAUNCHES).select(F.col("correlation_id"), ns_to_ts(F.col("ts_ns")).alias("ts"))
-    t.sql(_TIMINGS).join(launch_time, "correlation_id").write.parquet(f"{path}/timings")
-    read = t.spark.readStream
-    launches = read.schema("pid bigint, correlation_id bigint, ts_ns bigint, ts timestamp").parquet(f"{path}/launches")
-    timings = read.schema("correlation_id bigint, pid bigint, kernel_name string, duration_ns bigint, ts timestamp").parquet(
-        f"{path}/timings")
-    joined = stream_joins.gpu_kernel_times_stream(launches, timings, watermark="3650 days").drop("ts")
+    schemas = {}
+    for name, rows, at in (("launches", t.sql(_LAUNCHES), "ts_ns"), ("timings", t.sql(_TIMINGS), "at_ns")):
+        timed = rows.withColumn("ts", ns_to_ts(F.col(at))).drop("at_ns")
+        schemas[name] = timed.schema
+        for quarter in _in_time_order(timed, 4):  # several files, in order of time: state is carried from batch to batch
+            quarter.coalesce(1).write.mode("append").parquet(f"{path}/{name}")
+    read = lambda name: t.spark.readStream.schema(schemas[name]).option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}")
+    joined = stream_joins.gpu_kernel_times_stream(read("launches"), read("timings")).drop("ts")
     (joined.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
      .start(f"{path}/out", format="parquet").awaitTermination())
     return t.spark.read.parquet(f"{path}/out")
+
+
+def _in_time_order(rows: DataFrame, parts: int) -> list[DataFrame]:
+    """Rows in parts of about equal size, by ``ts``."""
+    micros = F.unix_micros("ts")
+    cuts = rows.agg(F.percentile_approx(micros, [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    bounds = [None, *cuts, None]
+    return [rows.where((F.lit(True) if low is None else micros > low) & (F.lit(True) if high is None else micros <= high))
+            for low, high in zip(bounds, bounds[1:])]

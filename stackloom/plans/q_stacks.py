@@ -50,9 +50,12 @@ def _(t: Tables):
 
 
 @query("classify_unwind_completeness", """
-    SELECT stack_key AS stacktrace_id, bool_and(frame_complete) AS is_complete FROM ox_locations GROUP BY 1""")
+    SELECT s.stack_key AS stacktrace_id, coalesce(bool_and(l.frame_complete), true) AS is_complete
+    FROM (SELECT stack_key FROM fx_stacks UNION SELECT stack_key FROM fx_frames) s LEFT JOIN ox_locations l ON l.stack_key = s.stack_key
+    GROUP BY 1""")
 def _(t: Tables):
-    return frame_ops.classify_unwind_completeness(inputs.locations(t), "stacktrace_id")
+    every = inputs.stack_table(t).unionByName(inputs.frames(t).select("stacktrace_id"))
+    return frame_ops.classify_unwind_completeness(inputs.locations(t), "stacktrace_id", stacks=every)
 
 
 # The JSON text of a frame, NULL fields left out.
@@ -79,28 +82,30 @@ def _(t: Tables):
 
 @query("distinct_functions", f"""
     WITH f AS (SELECT DISTINCT nullif(function_system_name, '') AS system_name, nullif(function_filename, '') AS filename,
-                      0 AS start_line FROM ox_locations WHERE has_line)
+                      line % 7 AS start_line FROM ox_locations WHERE has_line)
     SELECT system_name, filename, start_line,
            row_number() OVER (ORDER BY md5({_canonical(['system_name', 'filename', 'start_line'])})) - 1 AS function_id FROM f""")
 def _(t: Tables):
-    return stack_ops.distinct_functions(inputs.locations(t))
+    return stack_ops.distinct_functions(inputs.locations(t).withColumn("function_start_line", F.col("line") % 7))
 
 
 @query("requested_stacktraces", """
     WITH ids AS (SELECT DISTINCT stack_key FROM fx_events WHERE origin = 'sampling'),
     st AS (SELECT stack_key, string_agg(function, ';' ORDER BY frame_idx) AS names FROM ox_names GROUP BY 1)
-    SELECT ids.stack_key AS stacktrace_id, st.stack_key IS NULL AS is_missing, coalesce(st.names, 'missing stacktrace') AS names
-    FROM ids LEFT JOIN st ON ids.stack_key = st.stack_key""")
+    SELECT ids.stack_key AS stacktrace_id, k.stack_key IS NULL AS is_missing,
+           coalesce(st.names, CASE WHEN k.stack_key IS NULL THEN 'missing stacktrace' ELSE '' END) AS names
+    FROM ids LEFT JOIN st ON ids.stack_key = st.stack_key LEFT JOIN fx_stacks k ON ids.stack_key = k.stack_key""")
 def _(t: Tables):
     asked = inputs.cpu_samples(t).select("stacktrace_id")
-    found = stack_ops.requested_stacktraces(asked, inputs.stacks(t))
+    found = stack_ops.requested_stacktraces(asked, inputs.known_stacks(t))
     with_frames = found.withColumn("frames", F.when(
         F.col("is_missing"), stack_ops.missing_stack_frames()).otherwise(F.col("frames")))
     located = frame_ops.resolve_frames(frame_ops.join_frame_executable(
         frame_ops.explode_frames(with_frames, "stacktrace_id", "is_missing"), inputs.executables(t)))
     names = F.array_sort(F.collect_list(F.struct("frame_idx", profiles.location_name().alias("name"))))
-    return (located.groupBy("stacktrace_id", "is_missing").agg(names.alias("n"))
-            .select("stacktrace_id", "is_missing", F.array_join(F.transform("n", lambda x: x["name"]), ";").alias("names")))
+    named = located.groupBy("stacktrace_id").agg(names.alias("n"))
+    return found.select("stacktrace_id", "is_missing").join(named, "stacktrace_id", "left").select(
+        "stacktrace_id", "is_missing", F.coalesce(F.array_join(F.transform("n", lambda x: x["name"]), ";"), F.lit("")).alias("names"))
 
 
 @query("unknown_stacks", """
@@ -127,7 +132,8 @@ def _(t: Tables):
 _BY_FUNCTION = """
     WITH v AS (SELECT stack_key, sum(value) AS value FROM ox_samples WHERE sample_type = 'samples' GROUP BY 1),
     j AS (SELECT v.stack_key, coalesce(n.function, 'missing stacktrace') AS function, coalesce(n.frame_idx, 1) AS frame_idx,
-                 v.value FROM v LEFT JOIN ox_names n ON v.stack_key = n.stack_key),
+                 v.value FROM v LEFT JOIN ox_names n ON v.stack_key = n.stack_key
+          WHERE n.function IS NOT NULL OR v.stack_key NOT IN (SELECT stack_key FROM fx_stacks)),
     c AS (SELECT function, sum(value) AS value FROM (SELECT DISTINCT stack_key, function, value FROM j) GROUP BY 1),
     s AS (SELECT function, sum(value) AS value FROM j WHERE frame_idx = 1 GROUP BY 1)
     SELECT c.function, coalesce(s.value, 0) AS self_value, c.value AS cumulative_value
@@ -136,12 +142,12 @@ _BY_FUNCTION = """
 
 @query("profile_by_function", _BY_FUNCTION)
 def _(t: Tables):
-    return profiles.profile_by_function(inputs.cpu_samples(t), inputs.locations(t))
+    return profiles.profile_by_function(inputs.cpu_samples(t), inputs.locations(t), stacks=inputs.stack_table(t))
 
 
 @query("topk_functions", _BY_FUNCTION + " ORDER BY 2 DESC, 3 DESC, 1 LIMIT 20")
 def _(t: Tables):
-    return profiles.profile_by_function(inputs.cpu_samples(t), inputs.locations(t), top=20)
+    return profiles.profile_by_function(inputs.cpu_samples(t), inputs.locations(t), top=20, stacks=inputs.stack_table(t))
 
 
 @query("profile_window", """
@@ -153,17 +159,18 @@ def _(t: Tables):
 
 @query("stack_fanout", """
     WITH f AS (SELECT stack_key, string_agg(function, ';' ORDER BY frame_idx DESC) AS folded FROM ox_names GROUP BY 1)
-    SELECT coalesce(f.folded, 'missing stacktrace') AS folded, sum(value) AS value
-    FROM ox_samples s LEFT JOIN f ON s.stack_key = f.stack_key WHERE s.sample_type = 'wallclock' GROUP BY 1""")
+    SELECT coalesce(f.folded, CASE WHEN k.stack_key IS NULL THEN 'missing stacktrace' ELSE '' END) AS folded, sum(value) AS value
+    FROM ox_samples s LEFT JOIN f ON s.stack_key = f.stack_key LEFT JOIN fx_stacks k ON s.stack_key = k.stack_key WHERE s.sample_type = 'wallclock' GROUP BY 1""")
 def _(t: Tables):
-    return profiles.stack_fanout(inputs.samples(t).where("sample_type = 'wallclock'"), inputs.locations(t))
+    return profiles.stack_fanout(inputs.samples(t).where("sample_type = 'wallclock'"), inputs.locations(t), inputs.stack_table(t))
 
 
 @query("profile_diff", """
     WITH v AS (SELECT stack_key, ts_ns >= 1705363200000000000 AS late, sum(value) AS value FROM ox_samples
                WHERE sample_type = 'samples' GROUP BY 1, 2),
     j AS (SELECT v.stack_key, late, coalesce(n.function, 'missing stacktrace') AS function, coalesce(n.frame_idx, 1) AS i, value
-          FROM v LEFT JOIN ox_names n ON v.stack_key = n.stack_key),
+          FROM v LEFT JOIN ox_names n ON v.stack_key = n.stack_key
+          WHERE n.function IS NOT NULL OR v.stack_key NOT IN (SELECT stack_key FROM fx_stacks)),
     d AS (SELECT function, stack_key, late, any_value(value) AS value, bool_or(i = 1) AS leaf FROM j GROUP BY 1, 2, 3),
     p AS (SELECT function, coalesce(sum(value) FILTER (NOT late AND leaf), 0) AS self_before,
                  coalesce(sum(value) FILTER (late AND leaf), 0) AS self_after,
@@ -173,4 +180,4 @@ def _(t: Tables):
 def _(t: Tables):
     cpu = inputs.cpu_samples(t)
     late = F.col("ts_ns") >= 1_705_363_200_000_000_000
-    return profiles.profile_diff(cpu.where(~late), cpu.where(late), inputs.locations(t))
+    return profiles.profile_diff(cpu.where(~late), cpu.where(late), inputs.locations(t), inputs.stack_table(t))

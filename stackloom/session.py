@@ -31,14 +31,23 @@ def build_session(app_name: str = "stackloom", master: str | None = None, **conf
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (a laptop, the tests) a temporary folder takes its place.
+    Where that setting is missing it lies below the warehouse, which Spark always has and resolves on its file system. A
+    warehouse on the local disk is refused under a master that is not local: executors would each write to their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(tempfile.gettempdir(), "stackloom")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        if root.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate rows, wherever it lies, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows out of a table in the shared folder, for inputs that a later step reads several times."""
     path = shared_dir(df.sparkSession, name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.schema import CUDA
+from stackloom.schema import CUDA, LABEL_TTL_NS
 from stackloom.streaming.report import Flush
 
 
@@ -16,25 +16,34 @@ def gpu_kernel_times_stream(
 ) -> DataFrame:
     """Launches joined to kernel timings that lie within ``bound`` of them, whichever comes first.
 
-    Both sides hold ``pid, correlation_id, ts``. State on either side is dropped when the watermark says
+    Both sides hold ``node, pid, correlation_id, ts``: process and correlation ids repeat over machines. State on either side is dropped when the watermark says
     that no partner can come any more; ``how='leftOuter'`` shows the launches dropped that way.
     """
     left = launches.withWatermark("ts", watermark).alias("l")
     right = timings.withWatermark("ts", watermark).alias("t")
     span = F.expr(f"INTERVAL {bound}")
-    same = ((F.col("l.pid") == F.col("t.pid")) & (F.col("l.correlation_id") == F.col("t.correlation_id"))
-            & F.col("t.ts").between(F.col("l.ts") - span, F.col("l.ts") + span))
+    same = ((F.col("l.node") == F.col("t.node")) & (F.col("l.pid") == F.col("t.pid"))
+            & (F.col("l.correlation_id") == F.col("t.correlation_id")) & F.col("t.ts").between(F.col("l.ts") - span, F.col("l.ts") + span))
     kept = [F.col(f"l.{c}") for c in launches.columns if c not in ("raw_value", "origin")]
     return left.join(right, same, how).select(
         *kept, F.col("t.kernel_name"), F.col("t.duration_ns").alias("raw_value"), F.lit(CUDA).alias("origin"))
 
 
-def labelled_flush(label: Callable[[DataFrame], DataFrame], flush: Flush) -> Flush:
+def labelled_flush(
+    label: Callable[[DataFrame, DataFrame], DataFrame], read_processes: Callable[[], DataFrame], flush: Flush,
+    ttl_ns: int = LABEL_TTL_NS,
+) -> Flush:
     """Label every batch before it is flushed.
 
-    ``label`` closes over the process table and runs the batch operator, whose as-of join honours the
-    label lifetime; the table is read anew in every batch, so fresh observations count at once.
+    ``read_processes`` opens the process table; it is called once per batch, so observations written meanwhile count at once
+    (a DataFrame made once would keep the files of that moment). ``label(batch, processes)`` runs the batch operator, whose
+    as-of join honours the label lifetime. Only observations that can still matter to the batch reach it: those from
+    ``ttl_ns`` before its first row to its last.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        flush(label(batch), batch_id)
+        first, last = batch.agg(F.min("ts_ns"), F.max("ts_ns")).first()
+        if first is None:
+            return
+        fresh = read_processes().where(F.col("observed_ns").between(first - ttl_ns, last))
+        flush(label(batch, fresh), batch_id)
     return each

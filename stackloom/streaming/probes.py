@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stackloom.operators.probes import open_scopes, pair_probe_scopes
 from stackloom.operators.sequence import HOUR_NS
+from stackloom.session import remove_dir
 from stackloom.streaming.report import Flush
 
 
@@ -17,12 +18,13 @@ class ScopePairing:
     The state is a table: one row per thread with an open scope, a folder per batch below ``state_path``.
     A repeated batch reads the state of the batch before it and writes the same folder again, so results
     survive restarts. Pairing itself is the batch operator, so a busy thread is cut into slices here too.
-    Edges of a thread have to arrive in time order from batch to batch. A scope that stays open longer
-    than ``lifetime_ns`` is forgotten.
+    Edges of a thread have to arrive in time order from batch to batch. Scopes stay open however long they last, as in
+    the batch operator, at one row per open thread; a ``lifetime_ns`` forgets those that are open for longer. Of the
+    state folders only the last two are needed; older ones are removed.
     """
 
     def __init__(self, keys: list[str], state_path: str, flush: Flush, width: int = HOUR_NS,
-                 lifetime_ns: int = 24 * HOUR_NS):
+                 lifetime_ns: int | None = None):
         self.keys, self.state_path, self.flush = keys, state_path, flush
         self.width, self.lifetime_ns = width, lifetime_ns
 
@@ -35,10 +37,12 @@ class ScopePairing:
         try:
             state = self._state(edges, batch_id)
             self.flush(pair_probe_scopes(edges, self.keys, self.width, state), batch_id)
-            latest = edges.agg(F.max("ts_ns")).first()[0] or 0
             still_open = open_scopes(edges, self.keys, self.width, state)
-            (still_open.where(F.col("open_ns") >= F.lit(latest - self.lifetime_ns))
-             .write.mode("overwrite").parquet(f"{self.state_path}/{batch_id}"))
+            if self.lifetime_ns is not None:
+                latest = edges.agg(F.max("ts_ns")).first()[0] or 0
+                still_open = still_open.where(F.col("open_ns") >= F.lit(latest - self.lifetime_ns))
+            still_open.write.mode("overwrite").parquet(f"{self.state_path}/{batch_id}")
+            remove_dir(edges.sparkSession, f"{self.state_path}/{batch_id - 2}")
         finally:
             edges.unpersist()
 

@@ -22,6 +22,21 @@ def parquet_flush(path: str, *partition_by: str) -> Flush:
     return write
 
 
+def splitting_flush(flush: Flush, late_flush: Flush, watermark_ns: int = LABEL_TTL_NS) -> Flush:
+    """A flush that sends rows older than ``watermark_ns`` before the newest row seen so far to a side table.
+
+    The newest time is that of the batch itself or of an earlier batch, whichever is later.
+    """
+    newest = {"ts_ns": 0}
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        newest["ts_ns"] = max(newest["ts_ns"], batch.agg(F.max("ts_ns")).first()[0] or 0)
+        good, late = late_rows(batch, newest["ts_ns"], watermark_ns)
+        flush(good, batch_id)
+        late_flush(late, batch_id)
+    return each
+
+
 def stream_report(stream: DataFrame, flush: Flush, checkpoint: str, interval: str | None = "5 seconds") -> StreamingQuery:
     """Flush the samples of every interval; an interval without samples is skipped.
 
@@ -50,9 +65,14 @@ def stream_rotated(samples: DataFrame, path: str, checkpoint: str, interval: str
 def new_stacks_stream(samples: DataFrame, rotation_ns: int = 600 * SECOND_NS, watermark: str | None = None) -> DataFrame:
     """Each stack once per output file. State is dropped once the watermark has passed the interval.
 
-    ``ts`` is the event time. The default watermark is the label lifetime.
+    ``ts`` is the event time. State is kept for as long as the watermark, which therefore must not be shorter than the
+    rotation interval; by default it is the longer of that and the label lifetime.
     """
-    delay = watermark or f"{LABEL_TTL_NS // SECOND_NS} seconds"
+    delay = watermark or f"{max(LABEL_TTL_NS, rotation_ns) // SECOND_NS} seconds"
+    length = samples.sparkSession.sql(
+        f"SELECT unix_micros(timestamp'1970-01-01 00:00:00' + INTERVAL {delay}) - unix_micros(timestamp'1970-01-01 00:00:00') AS us").first()["us"]
+    if length * 1000 < rotation_ns:
+        raise ValueError(f"a watermark of {delay} is shorter than the rotation interval: stacks would be written twice")
     return (with_rotation(samples, rotation_ns).withWatermark("ts", delay)
             .dropDuplicatesWithinWatermark(["rotation", "stacktrace_id"]))
 

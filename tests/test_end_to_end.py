@@ -50,7 +50,7 @@ def test_events_to_records(spark):
     rules = load_relabel_rules(RULES)
     labelled = metadata.label_samples(
         stacks.with_stack_id(events), processes, [metadata.process_provider, metadata.executable_provider(execs)], rules,
-        env_include=["APP"], has_probe_events=True)
+        env_include=["APP"])
     labels = {r.ts_ns: r["labels"] for r in labelled.collect()}
     base = {"node": "n", "comm": "c", "exec": "app", "app": "shop"}
     assert labels == {

@@ -182,9 +182,9 @@ def test_label_lifetime(spark):
 
 
 def test_gpu_joins(spark):
-    launches = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "pid long, correlation_id long, what string")
+    launches = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "pid long, correlation_id long, what string").withColumn("node", F.lit("n"))
     timings = spark.createDataFrame([(1, 1, "k1", 10), (1, 1, "k2", 20), (2, 9, "k3", 5)],
-                                    "pid long, correlation_id long, kernel_name string, duration_ns long")
+                                    "pid long, correlation_id long, kernel_name string, duration_ns long").withColumn("node", F.lit("n"))
     got = gpu.gpu_kernel_times(launches, timings).collect()
     assert sorted((r.what, r.kernel_name, r.raw_value, r.origin) for r in got) == [("a", "k1", 10, "cuda"), ("a", "k2", 20, "cuda")]
     assert {r.side: r.cleared for r in gpu.gpu_unmatched(launches, timings).collect()} == {"launch": 2, "timing": 1}

@@ -79,9 +79,9 @@ def test_new_stacks_over_batches(spark):
 
 def test_gpu_over_batches(spark):
     base = 1_700_000_000 * 10**9  # not the epoch itself, which is where a watermark starts
-    launches = spark.createDataFrame([(1, i, base + i * 10**9) for i in range(50)], "pid long, correlation_id long, ts_ns long")
+    launches = spark.createDataFrame([(1, i, base + i * 10**9) for i in range(50)], "pid long, correlation_id long, ts_ns long").withColumn("node", F.lit("n"))
     timings = spark.createDataFrame([(1, i % 40, f"k{i}", i, base + (i % 40) * 10**9 + 5) for i in range(90)],
-                                    "pid long, correlation_id long, kernel_name string, duration_ns long, at long")
+                                    "pid long, correlation_id long, kernel_name string, duration_ns long, at long").withColumn("node", F.lit("n"))
     launches, timings = launches.withColumn("ts", ns_to_ts(F.col("ts_ns"))), timings.withColumn("ts", ns_to_ts(F.col("at"))).drop("at")
     left = files(spark, [launches.where("correlation_id >= 20"), launches.where("correlation_id < 20")])
     right = files(spark, [timings.where("correlation_id < 30"), timings.where("correlation_id >= 30")])
@@ -97,11 +97,11 @@ def test_labels_over_batches(spark):
     facts = spark.createDataFrame([(10, "n", 1, "old"), (50, "n", 1, "new")], "observed_ns long, node string, pid long, fact string")
     events = spark.createDataFrame([(t, "n", 1) for t in (5, 12, 40, 55, 90)], "ts_ns long, node string, pid long")
 
-    def label(batch):
-        return join_process_metadata(batch, facts, ["fact"], 20, 7)
+    def label(batch, processes):
+        return join_process_metadata(batch, processes, ["fact"], 20, 7)
     path = shared_dir(spark, "labelled")
     stream = files(spark, [events.where("ts_ns < 45"), events.where("ts_ns >= 45")])
-    finish(report.stream_report(stream, joins.labelled_flush(label, report.parquet_flush(path)), path + "-cp", None))
+    finish(report.stream_report(stream, joins.labelled_flush(label, lambda: facts, report.parquet_flush(path)), path + "-cp", None))
     got = {r.ts_ns: r.fact for r in spark.read.parquet(path).collect()}
     assert got == {5: None, 12: "old", 40: None, 55: "new", 90: None}
 
