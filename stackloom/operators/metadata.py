@@ -101,8 +101,8 @@ def join_container(
 ) -> DataFrame:
     """Container id and technology out of the control group, and the labels of that container.
 
-    ``container_labels`` holds ``container_id, container_labels``, one row per container (containerd ids
-    by their last part). A technology that is not known is no error; the process keeps its own labels.
+    ``container_labels`` holds ``container_id, container_labels`` (containerd ids by their last part); a container
+    that is listed more than once counts once. A technology that is not known is no error; the process keeps its own labels.
     """
     found = host.container_from_cgroup(F.col("cgroup_line"), kubernetes, docker, containerd)
     marked = (processes.withColumn("_found", found)
@@ -112,7 +112,7 @@ def join_container(
     parts = host.containerd_parts(F.col("container_id"))
     key = F.when(env == host.ENV_CONTAINERD, parts["id"]).otherwise(F.col("container_id"))
     joined = marked.withColumn("container_key", key).join(
-        container_labels.withColumnRenamed("container_id", "container_key"), "container_key", "left")
+        container_labels.dropDuplicates(["container_id"]).withColumnRenamed("container_id", "container_key"), "container_key", "left")
     own = (F.when(env == host.ENV_BUILDKIT, _pairs(__meta_docker_build_kit_container_id=F.col("container_id")))
            .when(env == host.ENV_LXC, _pairs(__meta_lxc_container_id=F.col("container_id")))
            .otherwise(empty_labels()))

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.operators.joins import hot_key_join
 from stackloom.schema import SAMPLE_COLUMNS
 
 def label_names(samples: DataFrame) -> list[str]:
@@ -47,7 +46,11 @@ def stacktraces_v1(locations_by_stack: DataFrame) -> DataFrame:
 
 
 def samples_v2(samples: DataFrame, locations_by_stack: DataFrame) -> DataFrame:
-    """Self-contained rows: labels and the stack inline. Hot stacks do not gather in one task."""
+    """Self-contained rows: labels and the stack inline. Each side is evaluated once.
+
+    The stacks hold an id once, so Spark can split the samples of a hot stack over tasks (adaptive skew join) and broadcasts
+    the stacks while they are below its limit.
+    """
     stacks = locations_by_stack.select("stacktrace_id", F.col("locations").alias("stacktrace"))
-    joined = hot_key_join(samples.select("labels", *SAMPLE_COLUMNS), stacks, ["stacktrace_id"], "left")
+    joined = samples.select("labels", *SAMPLE_COLUMNS).join(stacks, "stacktrace_id", "left")
     return joined.select("labels", "stacktrace", *SAMPLE_COLUMNS)

@@ -22,22 +22,6 @@ def with_slice(rows: DataFrame, order: str, width: int) -> DataFrame:
     return rows.withColumn("_slice", floor_div(F.col(order), width))
 
 
-def choose_slice_width(
-    rows: DataFrame, keys: list[str], order: str, target_rows: int = 5_000_000, finest: int = SECOND_NS
-) -> int:
-    """The widest slice (a power of four times ``finest``) whose fullest slice stays below ``target_rows``.
-
-    One pass that counts per key and finest slice; only one number per width reaches the driver.
-    """
-    factors = [4**level for level in range(10)]
-    counts = with_slice(rows, order, finest).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("n"))
-    widths = counts.select(*keys, "n", "_slice", F.explode(F.array(*[F.lit(f) for f in factors])).alias("factor"))
-    fullest = (widths.groupBy(*keys, "factor", (F.floor(F.col("_slice") / F.col("factor"))).alias("wide"))
-               .agg(F.sum("n").alias("n")).groupBy("factor").agg(F.max("n").alias("n")))
-    fitting = fullest.where(F.col("n") <= target_rows).agg(F.max("factor")).first()[0]
-    return finest * (fitting or 1)
-
-
 def _at_slice_heads(rows: DataFrame, keys: list[str], order: str, carry: list[str]) -> DataFrame:
     """Sliced rows plus, ahead of each slice, the key's last row of its previous non-empty slice."""
     last = rows.groupBy(*keys, "_slice").agg(
@@ -114,32 +98,27 @@ def run_length_encode(
 
     NULLs next to each other form one run and never join a run of a value.
     """
-    seeded = _at_slice_heads(
-        with_slice(rows.select(*keys, order, value), order, width), keys, order, [value])
+    sliced = with_slice(rows.select(*keys, order, value), order, width)
     window = Window.partitionBy(*keys, "_slice").orderBy(order)
-    same = (F.lag(order).over(window).isNotNull()) & F.col(value).eqNullSafe(F.lag(value).over(window))
-    marked = (seeded.withColumn("_start", F.when(~same, F.col(order))).where(~F.col("_seed"))
+    same = F.lag(order).over(window).isNotNull() & F.col(value).eqNullSafe(F.lag(value).over(window))
+    marked = (sliced.withColumn("_start", F.when(~same, F.col(order)))
               .withColumn("_run", F.max("_start").over(window.rowsBetween(Window.unboundedPreceding, 0))))
-    # Parts of runs per slice. A part without a start goes on with the last run of an earlier slice.
+    # Parts of runs per slice, still where the one shuffle of the rows has put them.
+    inside = Window.partitionBy(*keys, "_slice")
     parts = marked.groupBy(*keys, "_slice", "_run").agg(
-        F.max(order).alias("run_end"), F.count(F.lit(1)).alias("run_length"),
-        F.min_by(F.struct(value), order).alias("_value"))
-    started = parts.where("_run IS NOT NULL")
-    open_runs = started.groupBy(*keys, "_slice").agg(F.max("_run").alias("_open"))
-    headless = parts.where("_run IS NULL")
-    steps = (headless.select(*keys, "_slice", "run_end", "run_length", F.lit(None).cast("long").alias("_open"),
-                             F.lit(0).alias("_side"))
-             .unionByName(open_runs.withColumn("_side", F.lit(1)), allowMissingColumns=True))
-    earlier = Window.partitionBy(*keys).orderBy("_slice", "_side").rowsBetween(Window.unboundedPreceding, -1)
-    continued = (steps.withColumn("_run", F.last("_open", ignorenulls=True).over(earlier)).where("_side = 0")
-                 .select(*keys, "_run", "run_end", "run_length"))
-    total = (started.select(*keys, "_run", "run_end", "run_length", "_value")
-             .unionByName(continued, allowMissingColumns=True)
-             .groupBy(*keys, "_run").agg(
-                 F.max("run_end").alias("run_end"), F.sum("run_length").alias("run_length"),
-                 F.first("_value", ignorenulls=True).alias("_value")))
-    return total.select(*keys, F.col("_run").alias("run_start"), "run_end", F.col(f"_value.{value}").alias(value),
-                        "run_length")
+        F.max(order).alias("run_end"), F.count(F.lit(1)).alias("run_length"), F.first(value).alias(value))
+    edge = (F.col("_run") == F.min("_run").over(inside)) | (F.col("_run") == F.max("_run").over(inside))
+    parts = parts.withColumn("_edge", edge)
+    whole = parts.where("NOT _edge").select(*keys, F.col("_run").alias("run_start"), "run_end", value, "run_length")
+    # Only the first and the last part of a slice can go on in another slice: two rows per slice.
+    line = Window.partitionBy(*keys).orderBy("_run")
+    goes_on = (F.lag("_slice").over(line) != F.col("_slice")) & F.col(value).eqNullSafe(F.lag(value).over(line))
+    edges = (parts.where("_edge").withColumn("_new", F.when(goes_on, 0).otherwise(1))
+             .withColumn("_number", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0))))
+    joined = edges.groupBy(*keys, "_number").agg(
+        F.min("_run").alias("run_start"), F.max("run_end").alias("run_end"), F.first(value).alias(value),
+        F.sum("run_length").alias("run_length"))
+    return whole.unionByName(joined.drop("_number"))
 
 
 def thread_migrations(samples: DataFrame, keys: list[str], order: str = "ts_ns", width: int = HOUR_NS) -> DataFrame:

@@ -274,6 +274,18 @@ def container_table(t: Tables):
     return ranked.groupBy("container_id").agg(F.min_by("container_labels", "r").alias("container_labels"))
 
 
+def host_containers(t: Tables):
+    """Labels of Docker and containerd containers, some of them listed twice."""
+    boxes = t.fx("fx_containers")
+    docker = meta.docker_container_labels(boxes.select(
+        F.col("container_id").alias("id"), F.array(F.concat(F.lit("/"), "container_name")).alias("names"),
+        F.create_map(F.lit("com.app"), F.col("app")).alias("labels")))
+    ctrd = meta.containerd_container_labels(boxes.select(
+        F.col("container_name").alias("id"), F.lit("default").alias("namespace"),
+        F.create_map(F.lit("app"), F.col("app")).alias("labels")))
+    return docker.unionByName(ctrd).unionByName(ctrd)
+
+
 @query("join_container", rf"""
     WITH env AS ({_CGROUP_SQL}), p AS (SELECT pid, cgroup_line FROM fx_processes)
     SELECT p.pid, env.container_id, env.env AS container_env,
@@ -288,14 +300,7 @@ def container_table(t: Tables):
                 ELSE '' END AS container_labels
     FROM p JOIN env ON p.pid = env.pid LEFT JOIN fx_containers c ON c.ctr_key = p.pid""")
 def _(t: Tables):
-    boxes = t.fx("fx_containers")
-    docker = meta.docker_container_labels(boxes.select(
-        F.col("container_id").alias("id"), F.array(F.concat(F.lit("/"), "container_name")).alias("names"),
-        F.create_map(F.lit("com.app"), F.col("app")).alias("labels")))
-    ctrd = meta.containerd_container_labels(boxes.select(
-        F.col("container_name").alias("id"), F.lit("default").alias("namespace"),
-        F.create_map(F.lit("app"), F.col("app")).alias("labels")))
-    joined = meta.join_container(inputs.processes(t).select("pid", "cgroup_line"), docker.unionByName(ctrd))
+    joined = meta.join_container(inputs.processes(t).select("pid", "cgroup_line"), host_containers(t))
     return joined.select("pid", "container_id", "container_env", lab.labels_string(
         F.col("container_labels")).alias("container_labels"))
 
@@ -445,7 +450,7 @@ def _(t: Tables):
 
 _LABELLED = f"""
     WITH ruled AS ({_RULED})
-    SELECT e.event_id, e.ts_ns, e.node, e.cpu, e.tid, e.comm, CASE WHEN r.pid IS NOT NULL AND fresh THEN
+    SELECT e.event_id, e.ts_ns, e.node, e.pid, e.cpu, e.tid, e.comm, r.pid IS NOT NULL AND fresh AS known, CASE WHEN r.pid IS NOT NULL AND fresh THEN
              CASE WHEN exe IS NULL THEN '' ELSE exe || ',' END || own ELSE 'node=' || e.node || ',part='
              || CAST(CAST('0x' || substr(md5(''), 17, 16) AS UBIGINT) % 8 AS VARCHAR) || ',proc_pid=' || CAST(e.pid AS VARCHAR)
              || ',shard=s' || substr(e.node, 6) END AS process_labels
@@ -456,16 +461,20 @@ _LABELLED = f"""
 
 @query("label_samples", f"""
     SELECT event_id, process_labels, 'cpu=' || CAST(cpu AS VARCHAR) || ',thread_id=' || CAST(tid AS VARCHAR) || ',thread_name='
-           || comm AS thread_labels FROM ({_LABELLED})""")
+           || comm AS thread_labels, CASE WHEN known AND env IN (2, 4, 16) THEN 'ctr-' || CAST(pid AS VARCHAR) END AS container
+    FROM ({_LABELLED}) LEFT JOIN ({_CGROUP_SQL}) c USING (pid)""")
 def _(t: Tables):
-    rules = rel.load_relabel_rules(inputs.RELABEL_YAML)
+    named = rel.RelabelRule(source_labels=["__meta_docker_container_name", "__meta_containerd_container_name"], separator="",
+                            regex="(.+)", target_label="container")
+    rules = [*rel.load_relabel_rules(inputs.RELABEL_YAML), named]
     labelled = meta.label_samples(
         inputs.events(t).select("event_id", "ts_ns", "node", "pid", "tid", "cpu", "comm", "origin"),
-        inputs.processes(t), _providers(t), rules, ttl=10 * 86_400 * 10**9, width=24 * 3600 * 10**9)
+        inputs.processes(t), [*_providers(t), meta.container_provider(host_containers(t))], rules, ttl=10 * 86_400 * 10**9,
+        width=24 * 3600 * 10**9)
     thread = ["cpu", "thread_id", "thread_name"]
     return labelled.select(
-        "event_id",
-        lab.labels_string(F.map_filter("labels", lambda k, _: ~k.isin(thread))).alias("process_labels"),
+        "event_id", F.col("labels")["container"].alias("container"),
+        lab.labels_string(F.map_filter("labels", lambda k, _: ~k.isin(*thread, "container"))).alias("process_labels"),
         lab.labels_string(F.map_filter("labels", lambda k, _: k.isin(thread))).alias("thread_labels"))
 
 

@@ -36,8 +36,8 @@ def labelled(t: Tables) -> DataFrame:
     SELECT comm AS "labels.comm", node AS "labels.node", stack_key AS stacktrace_id, {_FIXED} FROM ox_samples""")
 def _(t: Tables):
     path = shared_dir(t.spark, "samples-v1")
-    tables.write_samples_v1(labelled(t), path)
-    return t.spark.read.parquet(path)
+    tables.write_samples_v1(labelled(t), path, by_hour=True)
+    return t.spark.read.parquet(path).drop("date", "hour")
 
 
 _LOCATION_TEXT = """coalesce(CAST(address AS VARCHAR), '') || '|' || frame_type || '|' || coalesce(mapping_file, '') || '|'

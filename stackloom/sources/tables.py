@@ -54,16 +54,25 @@ def _runs_sorted(df: DataFrame) -> DataFrame:
     return df.sortWithinPartitions("sample_type", "ts_ns")
 
 
-def write_samples_v1(samples: DataFrame, path: str, names: list[str] | None = None) -> None:
-    _runs_sorted(samples_v1(samples, names)).write.mode("append").option("compression", "zstd").parquet(path)
+def write_samples_v1(samples: DataFrame, path: str, names: list[str] | None = None, by_hour: bool = False) -> None:
+    _append(samples_v1(samples, names), path, by_hour)
+
+
+def _append(rows: DataFrame, path: str, by_hour: bool) -> None:
+    """Append sorted rows; ``by_hour`` lays them out in ``date`` and ``hour`` folders that a scan can skip."""
+    if by_hour:
+        ts = ns_to_ts(F.col("ts_ns"))
+        rows = rows.withColumns({"date": F.to_date(ts), "hour": F.hour(ts)}).hint("rebalance", "date", "hour")
+    writer = _runs_sorted(rows).write.mode("append").option("compression", "zstd")
+    (writer.partitionBy("date", "hour") if by_hour else writer).parquet(path)
 
 
 def write_stacktraces_v1(locations_by_stack: DataFrame, path: str) -> None:
     stacktraces_v1(locations_by_stack).write.mode("append").option("compression", "zstd").parquet(path)
 
 
-def write_samples_v2(samples: DataFrame, locations_by_stack: DataFrame, path: str) -> None:
-    _runs_sorted(samples_v2(samples, locations_by_stack)).write.mode("append").option("compression", "zstd").parquet(path)
+def write_samples_v2(samples: DataFrame, locations_by_stack: DataFrame, path: str, by_hour: bool = False) -> None:
+    _append(samples_v2(samples, locations_by_stack), path, by_hour)
 
 
 def with_rotation(samples: DataFrame, interval_ns: int = 600 * SECOND_NS) -> DataFrame:
@@ -72,8 +81,12 @@ def with_rotation(samples: DataFrame, interval_ns: int = 600 * SECOND_NS) -> Dat
 
 
 def rotate_output(samples: DataFrame, path: str, interval_ns: int = 600 * SECOND_NS) -> None:
-    """One compressed folder per rotation interval."""
-    (with_rotation(samples, interval_ns).write.mode("append").partitionBy("rotation")
+    """One compressed folder per rotation interval.
+
+    Rows of an interval are brought together first, so a folder gets files of a useful size and not one from every task;
+    intervals that are too large for one task are split.
+    """
+    (with_rotation(samples, interval_ns).hint("rebalance", "rotation").write.mode("append").partitionBy("rotation")
      .option("compression", "zstd").parquet(path))
 
 

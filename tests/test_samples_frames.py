@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from stackloom.operators import fleet, metadata, metrics, records, samples
 from stackloom.operators.frames import explode_frames, join_frame_executable, resolve_frames, stack_locations
-from stackloom.operators.joins import hot_key_join
 from stackloom.operators.stacks import (
     dense_ids, distinct_functions, distinct_locations, distinct_stacks, missing_stack_frames, requested_stacktraces,
 )
@@ -184,14 +183,6 @@ def test_external_labels_row_wins(spark):
     assert got == [{"a": "own", "b": "d"}, {"a": "c", "b": "d"}]
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_hot_key_join_equals_join(spark, how):
-    left = spark.range(20000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500).alias("k"), "id")
-    right = spark.range(0, 400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got, want = hot_key_join(left, right, ["k"], how), left.join(right, "k", how)
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-
-
 def test_log_records(spark):
     kind = "map<string,struct<int_value:bigint,bool_value:boolean,string_value:string>>"
     rows = spark.createDataFrame(

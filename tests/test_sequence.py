@@ -144,13 +144,6 @@ def test_samples_in_span(spark, width):
     assert sorted((r.tid, r.ts_ns, r.span_start_ns, r.span_end_ns) for r in got.collect()) == want
 
 
-def test_choose_slice_width(spark):
-    rows = spark.range(10_000).select(F.lit(1).alias("k"), (F.col("id") * 10).alias("t"))
-    width = sequence.choose_slice_width(rows, ["k"], "t", target_rows=100, finest=1)
-    assert width == 256  # 1024 would hold 103 rows
-    assert sequence.choose_slice_width(rows, ["k"], "t", target_rows=10**9, finest=1) == 4**9
-
-
 def test_repeatable_sampling(spark):
     rows = spark.range(20_000).select("id", F.lit("off_cpu").alias("origin"), F.lit("n").alias("node"),
                                       (F.col("id") * 10**9).alias("ts_ns"))
