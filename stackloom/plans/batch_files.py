@@ -18,7 +18,7 @@ from stackloom.operators.frames import join_frame_executable, stack_locations
 from stackloom.operators.stacks import new_stacktraces
 from stackloom.plans import inputs
 from stackloom.plans.fixtures import Tables
-from stackloom.session import shared_dir, ship_package
+from stackloom.session import qualified, shared_dir, ship_package
 from stackloom.sources.batch_log import FORMAT_VERSION, HEADER, LENGTH, MAGIC
 
 DAY_NS = 86_400_000_000_000
@@ -62,7 +62,7 @@ def write_file(root: str, name: str, batches: list[pa.Table]) -> int:
         is_sample = pc.equal(rows["kind"], 0)
         for record in (sample_record(rows.filter(is_sample)), stack_record(rows.filter(pc.invert(is_sample)))):
             out.write(LENGTH.pack(len(record)) + record)
-    system, folder = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+    system, folder = fs.FileSystem.from_uri(root)
     system.create_dir(folder, recursive=True)
     with system.open_output_stream(f"{folder}/{name}.padata.zst", compression="zstd") as target:
         target.write(out.getvalue())
@@ -120,7 +120,7 @@ def records(t: Tables) -> DataFrame:
 def write_batch_files(t: Tables) -> str:
     """Write the files into the shared folder and return their path."""
     ship_package(t.spark)
-    root = shared_dir(t.spark, "batch-log")
+    root = qualified(t.spark, shared_dir(t.spark, "batch-log"))
     sorted_rows = records(t).repartition("file").sortWithinPartitions("file", "batch", "kind", "ts_ns")
     sorted_rows.mapInArrow(writer(root), "file string, batches long").write.format("noop").mode("overwrite").save()
     return root

@@ -42,6 +42,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, resolved as Spark resolves it: against the cluster's default file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toUri().toString()
+    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Remove a folder of intermediate rows, wherever it lies, if it is there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

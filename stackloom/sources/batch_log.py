@@ -5,7 +5,8 @@ Arrow stream of samples; files with v1 records add a second stream with the stac
 The header count is written last, so whatever lies behind that many batches is ignored.
 
 ``spark.read.format("batch_log").option("record", "samples").load(path)`` gives the samples,
-``record=stacktraces`` the stacks. A partition is a group of whole files, filled up to ``partition_bytes``
+``record=stacktraces`` the stacks. Paths need a scheme there; ``read_batch_log`` adds that of the cluster's default file system
+to a path without one. A partition is a group of whole files, filled up to ``partition_bytes``
 with a fixed cost per file; one file spans one rotation interval of one host. Batches are decoded one at a
 time.
 """
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from stackloom.operators.sequence import asof_join
+from stackloom.session import qualified
 
 # The file format.
 MAGIC, FORMAT_VERSION = 0xA6E7CCCA, 0
@@ -151,7 +153,9 @@ def stack_columns(table: pa.Table) -> dict[str, pa.Array]:
 
 
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if "://" not in path:
+        raise ValueError(f"{path} has no scheme: each machine would read its own disk")
+    return fs.FileSystem.from_uri(path)
 
 
 def _exactly(stream, size: int) -> bytes:
@@ -241,7 +245,7 @@ class BatchLogSource(DataSource):
 
 def read_batch_log(spark: SparkSession, path: str, record: str = "samples", **options: str) -> DataFrame:
     spark.dataSource.register(BatchLogSource)
-    return spark.read.format("batch_log").option("record", record).options(**options).load(path)
+    return spark.read.format("batch_log").option("record", record).options(**options).load(qualified(spark, path))
 
 
 def replay_batch_log(samples: DataFrame, stacktraces: DataFrame) -> DataFrame:
