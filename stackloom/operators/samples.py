@@ -60,6 +60,7 @@ def normalize_samples(
     events = events.where(F.col("origin").isin(SAMPLING, OFF_CPU, MEMORY, CUDA, GPU_PC))
     raw = F.col("raw_value").cast("long")
     ns = (F.coalesce(F.col("ns_per_sample"), F.lit(0)) if "ns_per_sample" in events.columns else F.lit(0)).cast("long")
+    # Names and units of the sample and period types, as stores expect them.
     cpu = _sample(F.lit(1), SECOND_NS, SECOND_NS // samples_per_second, producer,
                   ("samples", "count", "cpu", "nanoseconds"))
     wall = _sample(raw, SECOND_NS, offcpu_period(schema_version, samples_per_second), producer,

@@ -347,7 +347,7 @@ def _(t: Tables):
 
     path = shared_dir(t.spark, "pods")
     pods(t).select(F.to_json(F.struct("*")).alias("object")).write.parquet(path)
-    dims = read_dimensions(t.spark, {"pods": path, "nation": f"{t.sf_dir}/nation.parquet"})
+    dims = read_dimensions(t.spark, {"pods": path})
     return meta.pod_container_labels(dims["pods"]).select(
         "container_id", lab.labels_string(F.col("container_labels")).alias("labels"))
 
@@ -553,10 +553,12 @@ def _(t: Tables):
 
 
 @query("union_batches", """
-    SELECT event_id, CASE WHEN origin = 'cuda' THEN node END AS "labels.gpu_node",
-           CASE WHEN origin = 'sampling' THEN comm END AS "labels.name" FROM fx_events WHERE origin IN ('cuda', 'sampling')""")
+    SELECT event_id, CASE WHEN origin IN ('cuda', 'gpu_pc') THEN node END AS "labels.gpu_node",
+           CASE WHEN origin IN ('sampling', 'off_cpu') THEN comm END AS "labels.name",
+           CASE WHEN origin IN ('memory', 'unknown') THEN CAST(pid AS VARCHAR) END AS "labels.pid" FROM fx_events""")
 def _(t: Tables):
     events = inputs.events(t)
-    gpu = events.where("origin = 'cuda'").select("event_id", F.col("node").alias("labels.gpu_node"))
-    cpu = events.where("origin = 'sampling'").select("event_id", F.col("comm").alias("labels.name"))
-    return records.union_batches([gpu, cpu])
+    gpu = events.where("origin IN ('cuda', 'gpu_pc')").select("event_id", F.col("node").alias("labels.gpu_node"))
+    cpu = events.where("origin IN ('sampling', 'off_cpu')").select("event_id", F.col("comm").alias("labels.name"))
+    rest = events.where("origin IN ('memory', 'unknown')").select("event_id", F.col("pid").cast("string").alias("labels.pid"))
+    return records.union_batches([gpu, cpu, rest])
