@@ -4,6 +4,9 @@ Documents are dealt out in batches of bounded size. A batch sends each distinct
 that the key's top bits name; a bucket merges what all batches sent and answers each batch with one value per key, in the
 order sent. So a key that every document holds costs a bucket one entry per batch, and neither side ships key and
 document together. Batches and buckets are sized from the input, so both stay small at any scale.
+
+What a batch sends to one bucket holds about batch keys * bucket keys / all keys. Buckets grow with the input, up to a limit, to
+keep that above a few dozen; for inputs of many terabytes raise the batches' characters as executor memory allows.
 """
 
 from __future__ import annotations
@@ -11,14 +14,22 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEYS_PER_BUCKET = 1_000_000
+KEYS_PER_BUCKET, MOST_KEYS_PER_BUCKET = 500_000, 16_000_000
+LEAST_KEYS_SENT = 64
 SENT = "bucket long, batch long, keys binary, extra binary"
 ANSWER = "batch long, bucket long, kind int, payload binary"
 
 
+def released(table: pa.Table) -> pa.Table:
+    """The result of a group; what its work has left in Arrow's pool goes back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    return table
+
+
 def total_chars(texts: DataFrame) -> int:
     return texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
 
@@ -27,9 +38,10 @@ def batches_for(chars: int, batch_chars: int) -> int:
     return max(1, math.ceil(chars / batch_chars))
 
 
-def bucket_bits(keys: int) -> int:
-    """Bits of the bucket number for so many keys."""
-    return max(0, math.ceil(math.log2(max(1, keys / KEYS_PER_BUCKET))))
+def bucket_bits(keys: int, batches: int) -> int:
+    """Bits of the bucket number for so many keys out of so many batches."""
+    size = min(MOST_KEYS_PER_BUCKET, max(KEYS_PER_BUCKET, LEAST_KEYS_SENT * batches))
+    return max(0, math.ceil(math.log2(max(1, keys / size))))
 
 
 def encode(keys: np.ndarray) -> bytes:

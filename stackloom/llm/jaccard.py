@@ -110,8 +110,8 @@ def survivors(rows: DataFrame, members: DataFrame, n_batches: int, bits: int, si
             bounds, tokens, _, rows_ = own_sets(left, right["payload"][0].as_py())
             keys, _, counts = keys_of(bounds, tokens, rows_)
             sent = [(b, key[0].as_py(), exchange.encode(keys[x:y]), _planes(counts[x:y])) for b, x, y in exchange.slices(keys, bits)]
-        return pa.table({"bucket": pa.array([s[0] for s in sent], pa.int64()), "batch": pa.array([s[1] for s in sent], pa.int64()),
-                         "keys": pa.array([s[2] for s in sent], pa.binary()), "extra": pa.array([s[3] for s in sent], pa.binary())})
+        return exchange.released(pa.table({"bucket": pa.array([s[0] for s in sent], pa.int64()), "batch": pa.array([s[1] for s in sent], pa.int64()),
+                         "keys": pa.array([s[2] for s in sent], pa.binary()), "extra": pa.array([s[3] for s in sent], pa.binary())}))
 
     def answer(key, table):
         batches, blobs, extra = (table[c].to_pylist() for c in ("batch", "keys", "extra"))
@@ -121,8 +121,8 @@ def survivors(rows: DataFrame, members: DataFrame, n_batches: int, bits: int, si
         found = np.empty(len(keys), dtype=np.int64)
         found[order] = np.add.reduceat(counts[order], begins)[number]
         back = [(b, _planes(np.minimum(found[x:y], 2**32 - 1))) for b, x, y in zip(batches, at, at[1:]) if (found[x:y] > 1).any()]
-        return pa.table({"batch": pa.array([b for b, _ in back], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(back), pa.int64()),
-                         "kind": pa.array([0] * len(back), pa.int32()), "payload": pa.array([p for _, p in back], pa.binary())})
+        return exchange.released(pa.table({"batch": pa.array([b for b, _ in back], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(back), pa.int64()),
+                         "kind": pa.array([0] * len(back), pa.int32()), "payload": pa.array([p for _, p in back], pa.binary())}))
 
     def choose(key, left, right):
         out = []
@@ -149,7 +149,7 @@ def survivors(rows: DataFrame, members: DataFrame, n_batches: int, bits: int, si
                             shared[:STAR_TOKENS].view(np.int64).tolist(), shared.tobytes()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
         names = ("id", "n", "own", "bits", "prefix", "star", "tokens")
-        return pa.table({c: pa.array([o[i] for o in out], k) for i, (c, k) in enumerate(zip(names, kinds))})
+        return exchange.released(pa.table({c: pa.array([o[i] for o in out], k) for i, (c, k) in enumerate(zip(names, kinds))}))
 
     sent = dealt.groupBy("batch").cogroup(owned.groupBy("batch")).applyInArrow(send, exchange.SENT)
     answers = sent.groupBy("bucket").applyInArrow(answer, exchange.ANSWER)
@@ -202,7 +202,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75, batch_char
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chars = exchange.total_chars(rows)
-    n_batches, bits = exchange.batches_for(chars, batch_chars), exchange.bucket_bits(chars // 5)
+    n_batches = exchange.batches_for(chars, batch_chars)
+    bits = exchange.bucket_bits(chars // 5, n_batches)
     rows = _batched(rows, n_batches)
     members = stored(set_members(rows, size), "members")
     sets = stored(survivors(rows, members, n_batches, bits, size, percent), "sets")
@@ -211,8 +212,9 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75, batch_char
     star = sets.select("id", "n", "own", band.alias("band"), F.explode("star").alias("token"))
     centre = star.groupBy("token", "band").agg(F.min(F.struct(F.col("own") / F.col("n"), "id", "n", "own")).alias("c"),
                                                F.count("*").alias("members")).where("members > 1")
-    pairs = (star.join(centre.select("token", "band", F.col("c.id").alias("b"), F.col("c.n").alias("m"), F.col("c.own").alias("c_own")),
-                       ["token", "band"])
+    # a table of its own: so Spark can split a hot tile in the join, which it cannot while the sums of the tiles hang on it
+    centre = stored(centre.select("token", "band", F.col("c.id").alias("b"), F.col("c.n").alias("m"), F.col("c.own").alias("c_own")), "centres")
+    pairs = (star.join(centre, ["token", "band"])
              .where((F.col("id") != F.col("b")) & _enough("n", F.col("n") - F.col("own"), "m", F.col("m") - F.col("c_own"), percent))
              .select(F.col("id").alias("a"), "b").distinct())
     links = stored(verified(pairs, sets, percent), "links")

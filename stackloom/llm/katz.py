@@ -8,15 +8,14 @@ Unigrams are discounted the same way; what they lose is the probability of an un
 Tables of counts are partitioned by key: batches of documents send their distinct unigrams and bigrams with local training
 counts to buckets, buckets add them up and answer each batch (see ``exchange``). One batch owns each distinct training
 bigram and adds its discounted count and its unigram probability to the sums of its context, which travel the same way and
-come back as the back-off weight. The vocabulary needs no place in any single task or the driver; only token and type
-totals are collected. Good-Turing counts of bigrams are taken per bucket of about a million types.
+come back as the back-off weight (in single precision); contexts that only one batch holds stay there. The vocabulary needs no place in any single task or the driver; only token and type
+totals are collected. Good-Turing counts of bigrams are taken per bucket of some hundred thousand types.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,12 +56,12 @@ def _unplane(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
 
 
-def _floats(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values, dtype="<f8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _floats(values: np.ndarray, kind: str = "<f8") -> bytes:
+    return np.ascontiguousarray(values, dtype=kind).view(np.uint8).reshape(-1, int(kind[2])).T.tobytes()
 
 
-def _unfloat(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<f8").reshape(-1)
+def _unfloat(data: bytes, kind: str = "<f8") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(int(kind[2]), -1).T).view(kind).reshape(-1).astype(float)
 
 
 def _rows(kind: int, batch: int, keys: np.ndarray, bits: int, extra) -> list[tuple]:
@@ -129,7 +128,29 @@ class _Model:
                 owner.append(np.zeros(y - x, dtype=bool))
         self.discounted = np.concatenate(discounted) if discounted else np.zeros(0)
         self.owner = np.concatenate(owner) if owner else np.zeros(0, bool)
-        self.weight = _spread(batch.unigrams, bits, of[WEIGHT], lambda r: _unfloat(r["payload"]), np.ones)
+        self.total = {b: r["payload"] for b, r in of[WEIGHT].items()}
+        # sums over the contexts of this batch; complete for a context that no other batch holds
+        own = self.owner
+        self.mass = np.bincount(batch.big_ctx[own], self.discounted[own], len(batch.unigrams))
+        self.covered = np.bincount(batch.big_ctx[own], self.probability[batch.big_tok[own]], len(batch.unigrams))
+        used = np.zeros(len(batch.unigrams), dtype=bool)
+        used[batch.ctx] = True
+        used &= self.unigram > 0
+        alone = [np.unpackbits(np.frombuffer(of[UNIGRAM][b]["flags"], np.uint8), count=y - x).astype(bool) if b in of[UNIGRAM]
+                 else np.zeros(y - x, dtype=bool) for b, x, y in exchange.slices(batch.unigrams, bits)]
+        self.here = used & (np.concatenate(alone) if alone else used)
+        self.shared = used & ~self.here
+
+
+def back_off(count: np.ndarray, mass: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """Back-off weights of contexts from their count, and the discounted count and unigram probability of their bigrams.
+
+    Negative where nothing was discounted: one more occurrence of the context then makes room for the unseen.
+    """
+    left = count - mass
+    whole = left <= 1e-9 * count
+    weight = np.where(whole, 1 / (count + 1), left / np.maximum(count, 1)) / np.maximum(1 - covered, 1e-12)
+    return np.where(whole, -weight, weight)
 
 
 def score_texts(docs: DataFrame, train: Column, batch_chars: int = 8_000_000) -> DataFrame:
@@ -143,7 +164,8 @@ def score_texts(docs: DataFrame, train: Column, batch_chars: int = 8_000_000) ->
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"))
     chars = exchange.total_chars(rows)
-    n_batches, bits = exchange.batches_for(chars, batch_chars), exchange.bucket_bits(chars // 6)
+    n_batches = exchange.batches_for(chars, batch_chars)
+    bits = exchange.bucket_bits(chars // 6, n_batches)
 
     def vocabulary(batches):
         for b in batches:
@@ -161,7 +183,7 @@ def score_texts(docs: DataFrame, train: Column, batch_chars: int = 8_000_000) ->
     def census(key, table):
         total = summed(table)[-1]
         seen = [int((total == r).sum()) for r in range(1, MOST + 2)]
-        return pa.table({"n": [[int(total.sum()), len(total), *seen]]})
+        return exchange.released(pa.table({"n": [[int(total.sum()), len(total), *seen]]}))
 
     counted = (rows.where("train").mapInArrow(vocabulary, ROW).groupBy("bucket").applyInArrow(census, "n array<long>")
                .agg(*[F.sum(F.col("n")[i]) for i in range(MOST + 3)]).first())
@@ -178,7 +200,7 @@ def score_texts(docs: DataFrame, train: Column, batch_chars: int = 8_000_000) ->
             for k in np.unique(batch):
                 part = b.select(["doc_id", "text", "train"]).take(pa.array(np.flatnonzero(batch == k)))
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
                     writer.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "blob"])
 
@@ -187,8 +209,8 @@ def score_texts(docs: DataFrame, train: Column, batch_chars: int = 8_000_000) ->
 
     def send(key, blobs):
         batch, name = _Batch(blobs), key[0].as_py()
-        return _row_table(_rows(UNIGRAM, name, batch.unigrams, bits, lambda x, y: _planes(batch.unigram_counts[x:y]))
-                          + _rows(BIGRAM, name, batch.bigrams, bits, lambda x, y: _planes(batch.bigram_counts[x:y])))
+        return exchange.released(_row_table(_rows(UNIGRAM, name, batch.unigrams, bits, lambda x, y: _planes(batch.unigram_counts[x:y]))
+                          + _rows(BIGRAM, name, batch.bigrams, bits, lambda x, y: _planes(batch.bigram_counts[x:y]))))
 
     def answer(key, table):
         kind, bucket = key[0].as_py(), key[1].as_py()
@@ -196,64 +218,54 @@ def score_texts(docs: DataFrame, train: Column, batch_chars: int = 8_000_000) ->
         at, order, number, begins, counts, total = summed(table)
         found = np.empty(len(counts), dtype=np.int64)
         found[order] = total[number]
-        owner, d = None, None
-        if kind == BIGRAM:
-            has = (counts > 0)[order]
-            place = np.flatnonzero(has)
-            owner = np.zeros(len(counts), dtype=bool)
-            owner[order[place[np.r_[True, number[place][1:] != number[place][:-1]]]] if len(place) else place] = True
+        mark, d = np.zeros(len(counts), dtype=bool), None
+        if kind == UNIGRAM:  # marked: no other batch has this word
+            mark[order] = np.bincount(number)[number] == 1
+        else:  # marked: this batch owns the bigram
+            place = np.flatnonzero((counts > 0)[order])
+            mark[order[place[np.r_[True, number[place][1:] != number[place][:-1]]]] if len(place) else place] = True
             d = discounts(np.array([(total == r).sum() for r in range(1, MOST + 2)])).astype("<f8").tobytes()
-        out = [(b, kind, bucket, _planes(found[x:y]), None if owner is None else np.packbits(owner[x:y]).tobytes(), d)
+        out = [(b, kind, bucket, _planes(found[x:y]), np.packbits(mark[x:y]).tobytes(), d)
                for b, x, y in zip(table["batch"].to_pylist(), at, at[1:]) if found[x:y].any()]
-        return _answer_table(out)
+        return exchange.released(_answer_table(out))
 
     def contexts(key, left, right):
         if not len(left):
             return _row_table([])
         batch = _Batch(left)
         model = _Model(batch, right, bits, factors, tokens, unknown)
-        own = model.owner
-        mass = np.bincount(batch.big_ctx[own], model.discounted[own], len(batch.unigrams))
-        covered = np.bincount(batch.big_ctx[own], model.probability[batch.big_tok[own]], len(batch.unigrams))
-        used = np.zeros(len(batch.unigrams), dtype=bool)
-        used[batch.ctx] = True
-        used &= model.unigram > 0
-        keys, mass, covered, count = batch.unigrams[used], mass[used], covered[used], model.unigram[used]
-        return _row_table(_rows(WEIGHT, key[0].as_py(), keys, bits, lambda x, y: _planes(count[x:y]) + _floats(mass[x:y]) + _floats(covered[x:y])))
+        keys, count, mass, covered = (v[model.shared] for v in (batch.unigrams, model.unigram, model.mass, model.covered))
+        return exchange.released(_row_table(_rows(WEIGHT, key[0].as_py(), keys, bits,
+                                lambda x, y: _planes(count[x:y]) + _floats(mass[x:y]) + _floats(covered[x:y], "<f4"))))
 
     def weights(key, table):
         keys, at, order = exchange.gather(table["keys"].to_pylist())
-        parts = [(e[:len(e) // 3], e[len(e) // 3:2 * len(e) // 3], e[2 * len(e) // 3:]) for e in table["extra"].to_pylist()]
-        count = np.concatenate([_unplane(p[0]) for p in parts])
+        extra = [(e, len(e) // 20) for e in table["extra"].to_pylist()]
+        count = np.concatenate([_unplane(e[:8 * n]) for e, n in extra])
         number, begins = exchange.group_of(keys[order])
-        mass, covered = (np.add.reduceat(np.concatenate([_unfloat(p[i]) for p in parts])[order], begins) for i in (1, 2))
-        of_key = count[order][begins].astype(float)
-        left = of_key - mass
-        whole = left <= 1e-9 * of_key  # no discounted bigram: one more occurrence makes room for the unseen
-        weight = np.where(whole, 1 / (of_key + 1), left / of_key) / np.maximum(1 - covered, 1e-300)
+        add = lambda parts: np.add.reduceat(np.concatenate(parts)[order], begins)
+        mass, covered = add([_unfloat(e[8 * n:16 * n]) for e, n in extra]), add([_unfloat(e[16 * n:], "<f4") for e, n in extra])
         found = np.empty(len(keys))
-        found[order] = np.where(whole, -weight, weight)[number]
-        return _answer_table([(b, WEIGHT, key[0].as_py(), _floats(found[x:y]), None, None) for b, x, y in zip(table["batch"].to_pylist(), at, at[1:])])
+        found[order] = back_off(count[order][begins].astype(float), mass, covered)[number]
+        return exchange.released(_answer_table([(b, WEIGHT, key[0].as_py(), _floats(found[x:y], "<f4"), None, None)
+                              for b, x, y in zip(table["batch"].to_pylist(), at, at[1:])]))
 
     def evaluate(key, left, right):
         batch = _Batch(left)
-        model = _Model(batch, right.filter(pa.compute.not_equal(right["kind"], WEIGHT)), bits, factors, tokens, unknown)
-        used = np.zeros(len(batch.unigrams), dtype=bool)
-        used[batch.ctx] = True
-        used &= model.unigram > 0
-        replies = {r["bucket"]: r for r in right.filter(pa.compute.equal(right["kind"], WEIGHT)).to_pylist()}
+        model = _Model(batch, right, bits, factors, tokens, unknown)
         weight = np.ones(len(batch.unigrams))
-        weight[used] = _spread(batch.unigrams[used], bits, replies, lambda r: _unfloat(r["payload"]), np.ones)
+        weight[model.shared] = _spread(batch.unigrams[model.shared], bits, model.total, lambda p: _unfloat(p, "<f4"), np.ones)
+        weight[model.here] = back_off(*(v[model.here].astype(float) for v in (model.unigram, model.mass, model.covered)))
         context = model.unigram + (weight < 0)
         seen = model.bigram[batch.big] > 0
         backed = np.abs(weight)[batch.ctx] * model.probability[batch.tok]
         p = np.where(seen, model.discounted[batch.big] / np.maximum(context[batch.ctx], 1), backed)
         c = model.unigram[batch.tok]
         add = lambda values: np.add.reduceat(values, batch.begins) if len(batch.begins) else np.zeros(0)
-        return pa.table({
+        return exchange.released(pa.table({
             "doc_id": batch.ids.cast(pa.int64()), "held_out": pa.array(~batch.train), "n_tokens": pa.array(batch.count, pa.int64()),
             "n_known": pa.array(add((c > 0).astype(np.int64)), pa.int64()), "base_part": pa.array(add(np.log10(c + 0.5)), pa.float64()),
-            "score": pa.array(add(np.log10(p)), pa.float64())})
+            "score": pa.array(add(np.log10(p)), pa.float64())}))
 
     answers = dealt.groupBy("batch").applyInArrow(send, ROW).groupBy("kind", "bucket").applyInArrow(answer, ANSWER)
     weighed = (dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(contexts, ROW)

@@ -51,7 +51,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50, batch_chars: int
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chars = exchange.total_chars(rows)
     n = exchange.batches_for(chars, batch_chars)
-    bits = exchange.bucket_bits(chars // 5)
+    bits = exchange.bucket_bits(chars // 5, n)
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or []
     bounds = np.array(sorted(cuts if n > 1 else []), dtype=np.int64)
 
@@ -68,8 +68,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50, batch_chars: int
         _, rank, texts = _ordered(table)
         keys = _windows(texts, rank, window)[1]
         sent = [(bucket, key[0].as_py(), exchange.encode(keys[a:b]), None) for bucket, a, b in exchange.slices(keys, bits)]
-        return pa.table({"bucket": pa.array([s[0] for s in sent], pa.int64()), "batch": pa.array([s[1] for s in sent], pa.int64()),
-                         "keys": pa.array([s[2] for s in sent], pa.binary()), "extra": pa.nulls(len(sent), pa.binary())})
+        return exchange.released(pa.table({"bucket": pa.array([s[0] for s in sent], pa.int64()), "batch": pa.array([s[1] for s in sent], pa.int64()),
+                         "keys": pa.array([s[2] for s in sent], pa.binary()), "extra": pa.nulls(len(sent), pa.binary())}))
 
     def answer(key, table):
         table = table.sort_by([("batch", "ascending")])
@@ -78,8 +78,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50, batch_chars: int
         seen = np.empty(len(keys), dtype=bool)
         seen[order] = np.r_[False, ordered[1:] == ordered[:-1]] if len(keys) else []
         back = [(b, np.packbits(seen[x:y]).tobytes()) for b, x, y in zip(table["batch"].to_pylist(), at, at[1:]) if seen[x:y].any()]
-        return pa.table({"batch": pa.array([b for b, _ in back], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(back), pa.int64()),
-                         "kind": pa.array([0] * len(back), pa.int32()), "payload": pa.array([p for _, p in back], pa.binary())})
+        return exchange.released(pa.table({"batch": pa.array([b for b, _ in back], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(back), pa.int64()),
+                         "kind": pa.array([0] * len(back), pa.int32()), "payload": pa.array([p for _, p in back], pa.binary())}))
 
     def cut(key, left, right):
         ids, rank, texts = _ordered(left)
@@ -106,10 +106,10 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50, batch_chars: int
             edges = np.flatnonzero(np.diff(np.r_[0, out.astype(np.int8), 0]))
             spans.append([{"begin": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2])])
             kept.append(b" ".join(compress(text.split(), ~out)))
-        return pa.table({
+        return exchange.released(pa.table({
             "doc_id": ids.cast(pa.int64()), "n_words": pa.array(words.count, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
             "removed": pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
-            "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+            "kept": pa.array(kept, pa.binary()).cast(pa.string())}))
 
     answers = dealt.groupBy("batch").applyInArrow(send, exchange.SENT).groupBy("bucket").applyInArrow(answer, exchange.ANSWER)
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(cut, REMOVED)

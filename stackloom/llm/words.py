@@ -20,7 +20,7 @@ LOWER_VALUES = BYTE_VALUES.copy()
 LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -55,7 +55,8 @@ IS_MARK[128:] = IS_MARK[48:58] = IS_MARK[65:91] = IS_MARK[97:123] = False
 class Words:
     """``first[d]:first[d + 1]`` are the words of text ``d``; ``hash`` has one value per word.
 
-    ``begin`` and ``end`` are byte places in all texts together; ``heads`` has the hash of each word's first bytes.
+    ``begin`` and ``end`` are byte places in all texts together, ``heads`` has the hash of each word's first bytes; both only
+    where asked for.
     """
 
     first: np.ndarray
@@ -85,7 +86,8 @@ def flat_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def words_of(texts, lower: bool = False, separators: np.ndarray = IS_SPACE, heads: tuple[int, ...] = ()) -> Words:
+def words_of(texts, lower: bool = False, separators: np.ndarray = IS_SPACE, heads: tuple[int, ...] = (),
+             places: bool = False) -> Words:
     """Words of each text; ``lower`` makes A-Z equal to a-z, ``heads`` asks for hashes of so many first bytes."""
     data, offsets = flat_bytes(texts)
     values = LOWER_VALUES if lower else BYTE_VALUES
@@ -105,8 +107,9 @@ def words_of(texts, lower: bool = False, separators: np.ndarray = IS_SPACE, head
         running = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(values[part] * powers[:len(part)], out=running[1:])
         hashes.append(mix((running[ends] - running[starts]) * inverses[starts]))
-        begins.append(starts + offsets[begin])
-        closed.append(ends + offsets[begin])
+        if places:
+            begins.append(starts + offsets[begin])
+            closed.append(ends + offsets[begin])
         for lead, length in zip(leads, heads):
             lead.append(mix((running[np.minimum(starts + length, ends)] - running[starts]) * inverses[starts]))
         counts.append(np.diff(np.searchsorted(starts, bounds)))
