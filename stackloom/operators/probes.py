@@ -83,7 +83,7 @@ def _watched(edges: DataFrame, keys: list[str], width: int) -> DataFrame:
 
 def _slice_sums(watched: DataFrame, keys: list[str], initial: DataFrame | None) -> DataFrame:
     """Per slice: sum and lowest point of the running sum, and the depth it starts from."""
-    running = Window.partitionBy(*keys, "_slice").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*keys, "_slice").orderBy("ts_ns", F.desc("delta")).rowsBetween(Window.unboundedPreceding, 0)
     sums = (watched.select(*keys, "_slice", "ts_ns", "delta").withColumn("_sum", F.sum("delta").over(running))
             .groupBy(*keys, "_slice").agg(F.sum("delta").alias("_total"), F.min("_sum").alias("_low")))
     if initial is not None:  # open scopes stand for a slice before all others
@@ -99,7 +99,7 @@ def _outer_edges(watched: DataFrame, keys: list[str], initial: DataFrame | None)
     """Edges that open or close an outermost scope."""
     starts = (_slice_sums(watched, keys, initial).withColumn("delta", F.col("_in") - F.col("_floor"))
               .where(F.col("delta") > 0).select(*keys, "_slice", "delta", F.lit(True).alias("_seed")))
-    order = Window.partitionBy(*keys, "_slice").orderBy(F.col("_seed").desc(), "ts_ns")
+    order = Window.partitionBy(*keys, "_slice").orderBy(F.col("_seed").desc(), "ts_ns", F.desc("delta"))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     depths = (watched.withColumn("_seed", F.lit(False)).unionByName(starts, allowMissingColumns=True)
               .withColumn("_sum", F.sum("delta").over(upto))
@@ -118,14 +118,14 @@ def pair_probe_scopes(
 
     ``edges`` holds ``keys`` (the thread), ``pid, tid, comm, ts_ns, delta`` (+1 entry, -1 exit) and the
     ``cookie`` of the probe. Nested entries only raise the depth, whatever their probe; an exit without
-    entry is dropped; the span takes the probe of its exit. ``initial`` holds scopes open before the first
+    entry is dropped; of edges at the same time entries come first; the span takes the probe of its exit. ``initial`` holds scopes open before the first
     edge, as :func:`open_scopes` returns them.
 
     Depth is a running sum that never goes below zero. Each slice learns its starting depth from the sums
     and lowest points of the slices before it; a span that crosses slices is closed in a second step that
     sees at most two edges per slice.
     """
-    inside = Window.partitionBy(*keys, "_slice").orderBy("ts_ns")
+    inside = Window.partitionBy(*keys, "_slice").orderBy("ts_ns", F.desc("_open"))
     outer = _outer_edges(_watched(edges, keys, width), keys, initial)
     outer = (outer.withColumn("_from", F.when(F.lag("_open").over(inside), F.lag("ts_ns").over(inside)))
              .withColumn("_closed", F.lead("_open").over(inside).isNotNull()))
@@ -134,7 +134,7 @@ def pair_probe_scopes(
     if initial is not None:
         loose = loose.unionByName(initial.select(
             *keys, F.col("open_ns").alias("ts_ns"), F.lit(True).alias("_open")), allowMissingColumns=True)
-    thread = Window.partitionBy(*keys).orderBy("ts_ns")
+    thread = Window.partitionBy(*keys).orderBy("ts_ns", F.desc("_open"))
     crossing = (loose.withColumn("_from", F.when(F.lag("_open").over(thread), F.lag("ts_ns").over(thread)))
                 .where(~F.col("_open") & F.col("_from").isNotNull()))
     spans = within.unionByName(crossing).withColumn("duration_ns", F.col("ts_ns") - F.col("_from"))

@@ -22,10 +22,11 @@ def with_slice(rows: DataFrame, order: str, width: int) -> DataFrame:
     return rows.withColumn("_slice", floor_div(F.col(order), width))
 
 
-def _at_slice_heads(rows: DataFrame, keys: list[str], order: str, carry: list[str]) -> DataFrame:
+def _at_slice_heads(rows: DataFrame, keys: list[str], order: str, carry: list[str], tie: str | None) -> DataFrame:
     """Sliced rows plus, ahead of each slice, the key's last row of its previous non-empty slice."""
+    place = F.struct(order, tie) if tie else F.col(order)
     last = rows.groupBy(*keys, "_slice").agg(
-        F.max(order).alias("_last"), *[F.max_by(c, order).alias(f"_last_{c}") for c in carry])
+        F.max(order).alias("_last"), *[F.max_by(c, place).alias(f"_last_{c}") for c in carry])
     following = F.lead("_slice").over(Window.partitionBy(*keys).orderBy("_slice"))
     seeds = (last.withColumn("_slice", following).where("_slice IS NOT NULL")
              .select(*keys, "_slice", F.col("_last").alias(order),
@@ -34,15 +35,16 @@ def _at_slice_heads(rows: DataFrame, keys: list[str], order: str, carry: list[st
 
 
 def previous_values(
-    rows: DataFrame, keys: list[str], order: str, columns: dict[str, str], width: int = HOUR_NS
+    rows: DataFrame, keys: list[str], order: str, columns: dict[str, str], width: int = HOUR_NS, tie: str | None = None
 ) -> DataFrame:
     """Values of the preceding row of the key: ``columns`` maps a column to the name of its predecessor.
 
-    ``order`` is a numeric column, unique within a key.
+    ``order`` is a numeric column. Where it is not unique within a key, ``tie`` names the column that decides, so that a rerun
+    gives the same answer.
     """
     carry = [c for c in columns if c != order]
-    seeded = _at_slice_heads(with_slice(rows, order, width), keys, order, carry)
-    window = Window.partitionBy(*keys, "_slice").orderBy(order)
+    seeded = _at_slice_heads(with_slice(rows, order, width), keys, order, carry, tie)
+    window = Window.partitionBy(*keys, "_slice").orderBy(F.col("_seed").desc(), order, *([tie] if tie else []))
     out = seeded.select("*", *[F.lag(c).over(window).alias(alias) for c, alias in columns.items()])
     return out.where(~F.col("_seed")).drop("_seed", "_slice")
 

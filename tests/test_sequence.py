@@ -181,3 +181,18 @@ def test_gpu_joins(spark):
     got = gpu.gpu_kernel_times(launches, timings).collect()
     assert sorted((r.what, r.kernel_name, r.raw_value, r.origin) for r in got) == [("a", "k1", 10, "cuda"), ("a", "k2", 20, "cuda")]
     assert {r.side: r.cleared for r in gpu.gpu_unmatched(launches, timings).collect()} == {"launch": 2, "timing": 1}
+
+
+def test_ties_are_decided_by_a_column(spark):
+    rows = spark.createDataFrame([("k", t, n) for n, t in enumerate([1, 5, 5, 5, 12, 12, 30])], "k string, t long, n long")
+    for width in (4, 6, 100):
+        got = sequence.previous_values(rows.repartition(5), ["k"], "t", {"n": "before"}, width, tie="n").collect()
+        assert {r.n: r.before for r in got} == {0: None, 1: 0, 2: 1, 3: 2, 4: 3, 5: 4, 6: 5}
+
+
+def test_entries_come_before_exits_at_the_same_time(spark):
+    rows = [(1, 1, 10, -1), (1, 1, 10, 1), (1, 1, 20, 1), (1, 1, 30, -1), (1, 1, 30, 1), (1, 1, 40, -1)]
+    edges = spark.createDataFrame(rows, "pid long, tid long, ts_ns long, delta int").withColumns(
+        {"node": F.lit("n"), "comm": F.lit("c"), "cookie": F.lit(1 << 32)})
+    got = sorted((r.end_ns, r.duration_ns) for r in probes.pair_probe_scopes(edges.repartition(3), ["node", "tid"], 15).collect())
+    assert got == [(10, 0), (40, 20)]
