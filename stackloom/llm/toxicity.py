@@ -44,7 +44,7 @@ class _Tokens:
     """Tokens of many texts (runs of ASCII letters, digits and bytes beyond ASCII) and the hashes of their features."""
 
     def __init__(self, texts):
-        self.words = words_of(texts, lower=True, separators=IS_MARK, heads=HEADS)
+        self.words = words_of(texts, lower=True, separators=IS_MARK, heads=HEADS, places=True)
         self.features = [self.words.hash, *(h + np.uint64(i + 1) for i, h in enumerate(self.words.heads))]
         self.first, self.count = self.words.first, self.words.count
 
@@ -172,7 +172,7 @@ def _train_chain(tokens: _Tokens, telling: np.ndarray, toxic: np.ndarray, rounds
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = 5_000, sample_chars: int = 10_000_000,
+def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = 5_000, sample_chars: int = 6_000_000,
         least_ratio: float = 10.0, most_features: int = 20_000, chain_rounds: int = 25) -> Model:
     """A model from the rows of ``labels`` (doc_id, toxic) where ``train`` holds and their texts in ``docs`` (doc_id, text).
 
