@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from stackloom.llm.text import split_words
 
+CHARS_PER_TOKEN = 6  # only to size shards
 BIN = "bin_id string, capacity long, used long, doc_ids array<long>, begins array<long>, lengths array<long>"
 
 
@@ -60,35 +61,31 @@ def packed(docs: DataFrame, capacities: tuple[int, ...] = (512, 1024, 2048, 4096
 
     ``tokens`` counts the tokens of a row; by default a word and the break after it is one. Null or empty texts have no tokens
     and no piece. Every token of every row is in exactly one bin. Rows that repeat a doc_id are packed one by one; a null
-    doc_id is kept as null. Equal lengths are taken in order of doc_id. Bin ids name shard and number; an empty table has no
-    bins; other columns are ignored.
+    doc_id is kept as null. Equal lengths are taken in order of doc_id. Bin ids name shard and number, or the document and
+    number of a full sequence (these repeat if a doc_id does); an empty table has no bins; other columns are ignored.
     """
     count = F.size(split_words(F.coalesce(F.col("text").cast("string"), F.lit("")))) if tokens is None else tokens
-    sized = docs.select(F.col("doc_id").cast("long"), count.cast("long").alias("n")).where("n > 0")
+    chars = docs.agg(F.sum(F.length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    shards = max(1, math.ceil(chars / (CHARS_PER_TOKEN * shard_tokens)))
+    sized = docs.select(F.col("doc_id").cast("long"), count.cast("long").alias("n"))
+    # rows without tokens go along (a filter would count the words once more) and make no piece
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards).cast("long")))
     largest = max(capacities)
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_tokens))
-    # a long document's full sequences are bins already; they need no packing and no shuffle
-    full = sized.where(F.col("n") >= largest).select(
-        "doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / largest).cast("long") - 1)).alias("k"))
-    whole = full.select(
-        F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "k").alias("bin_id"),
-        F.lit(largest).cast("long").alias("capacity"), F.lit(largest).cast("long").alias("used"), F.array("doc_id").alias("doc_ids"),
-        F.array((F.col("k") * largest).cast("long")).alias("begins"), F.array(F.lit(largest).cast("long")).alias("lengths"))
-    rest = sized.select("doc_id", (F.floor(F.col("n") / largest) * largest).cast("long").alias("begin"), (F.col("n") % largest).alias("length"),
-                        F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards).cast("long")).alias("shard")).where("length > 0")
 
     def fill(key, table):
         shard = key[0].as_py()
-        table = table.sort_by([("doc_id", "ascending"), ("begin", "ascending"), ("length", "ascending")])
-        ids, begins, lengths = (table[c].to_pylist() for c in ("doc_id", "begin", "length"))
-        bins = pack(lengths, list(capacities))
-        pick = lambda values: [[values[i] for i in members] for _, members in bins]
+        table = table.sort_by([("doc_id", "ascending"), ("n", "ascending")])
+        ids, sizes = table["doc_id"].to_pylist(), table["n"].to_pylist()
+        # full sequences of long documents are bins already, only what is left over is packed
+        bins = [(f"full-{'null' if d is None else d}-{k}", largest, [(d, k * largest, largest)])
+                for d, n in zip(ids, sizes) for k in range(n // largest)]
+        pieces = [(d, n - n % largest, n % largest) for d, n in zip(ids, sizes)]
+        bins += [(f"{shard}-{b}", capacity, [pieces[i] for i in members])
+                 for b, (capacity, members) in enumerate(pack([n for _, _, n in pieces], list(capacities)))]
+        pick = lambda i: pa.array([[p[i] for p in members] for _, _, members in bins], pa.list_(pa.int64()))
         return pa.table({
-            "bin_id": pa.array([f"{shard}-{b}" for b in range(len(bins))], pa.string()),
-            "capacity": pa.array([c for c, _ in bins], pa.int64()),
-            "used": pa.array([sum(lengths[i] for i in members) for _, members in bins], pa.int64()),
-            "doc_ids": pa.array(pick(ids), pa.list_(pa.int64())), "begins": pa.array(pick(begins), pa.list_(pa.int64())),
-            "lengths": pa.array(pick(lengths), pa.list_(pa.int64()))})
+            "bin_id": pa.array([b for b, _, _ in bins], pa.string()), "capacity": pa.array([c for _, c, _ in bins], pa.int64()),
+            "used": pa.array([sum(p[2] for p in members) for _, _, members in bins], pa.int64()),
+            "doc_ids": pick(0), "begins": pick(1), "lengths": pick(2)})
 
-    return whole.unionByName(rest.groupBy("shard").applyInArrow(fill, BIN))
+    return dealt.groupBy("shard").applyInArrow(fill, BIN)
