@@ -61,7 +61,7 @@ class Model:
         for n in range(LONGEST, 0, -1):
             found = [self.rows[n][g] for g in grams_of(word, n) if g in self.rows[n]]
             if found:
-                return self.table[found].mean(axis=0)
+                return np.add.reduce(self.table.take(found, axis=0)) / len(found)
         return None
 
     def predict(self, text: str | None, cache: OrderedDict) -> tuple[str, float]:
@@ -69,7 +69,7 @@ class Model:
         if not words or not self.languages or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
         total = np.zeros(len(self.languages))
-        known, weights = [], []
+        known, weights, unseen, unseen_weights = [], [], [], []
         for word, n in words.items():
             at = self.rows[0].get(word)
             if at is not None:
@@ -84,9 +84,12 @@ class Model:
                 if len(cache) >= CACHE:
                     cache.popitem(last=False)
                 cache[word] = scores
-            total += n * scores
+            unseen.append(scores)
+            unseen_weights.append(n)
         if known:
             total += np.asarray(weights, dtype=float) @ self.table[known]
+        if unseen:
+            total += np.asarray(unseen_weights, dtype=float) @ np.asarray(unseen)
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
