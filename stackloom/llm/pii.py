@@ -30,7 +30,7 @@ FORMATS = {
 CANDIDATE = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
 #: A cheap test for each: without such a character there is no match.
 NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+", "candidate": "[0-9@]"}
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 CONTEXT_CHARS = 100
 
 
