@@ -1,8 +1,8 @@
 """Language identification, word first: known words score by their log frequency in each language, and a word that was never
 seen falls back to its character n-grams, the longest length of which any is known.
 
-The model is a table of bounded size: the most frequent words and n-grams of a bounded training sample, counted in Spark. It
-travels to the tasks as one value. Texts are scored whole, distinct words once per text.
+The model holds all words and n-grams of a training sample that is bounded by language, counted in Spark, with an entry for each
+language that has them. It travels to the tasks as one value. Texts are scored whole, distinct words once per text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections import Counter, OrderedDict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,33 +36,45 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language: ``rows[key]`` of ``table`` for words (kind 0) and n-grams of each length."""
+    """Log frequencies by language of words (kind 0) and n-grams of each length: ``base`` by kind, for keys a language does not
+    hold, and what the languages that hold the key ``rows[kind][key]`` gain on it, from ``first`` of the key to that of the next.
+    """
 
-    def __init__(self, counts: list[tuple[str, int, str, int]], tokens: dict[tuple[str, int], int]):
-        self.languages = sorted({lang for lang, _ in tokens})
-        place = {lang: i for i, lang in enumerate(self.languages)}
+    def __init__(self, counts: pa.Table):
+        """``counts``: lang, key (its kind in front) and n, once for each language and key."""
+        counts = counts.sort_by([("key", "ascending"), ("lang", "ascending")]).combine_chunks()
+        self.languages = sorted(pc.unique(counts["lang"]).to_pylist())
+        self.lang = pc.index_in(counts["lang"], pa.array(self.languages, pa.string())).to_numpy().astype(np.int32)
+        n, key = counts["n"].to_numpy().astype(float), counts["key"]
+        new = np.r_[True, pc.not_equal(key[1:], key[:-1]).to_numpy()] if len(key) else np.zeros(0, dtype=bool)
+        begins = np.flatnonzero(new)
+        self.first = np.r_[begins, len(key)]
         self.rows: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        keys = sorted({(kind, key) for _, kind, key, _ in counts})
-        for i, (kind, key) in enumerate(keys):
-            self.rows[kind][key] = i
-        table = np.full((len(keys), len(self.languages)), 0.5)
-        total = np.ones((LONGEST + 1, len(self.languages)))
-        for (lang, kind), n in tokens.items():
-            total[kind, place[lang]] += n
-        for lang, kind, key, n in counts:
-            table[self.rows[kind][key], place[lang]] += n
-        kinds = np.array([kind for kind, _ in keys], dtype=int)
-        self.table = (np.log(table) - np.log(total[kinds])).astype(np.float32) if keys else np.zeros((0, len(self.languages)), np.float32)
+        for i, k in enumerate(key.take(pa.array(begins)).to_pylist()):
+            self.rows[int(k[0])][k[1:]] = i
+        kind = np.repeat([i for i, known in enumerate(self.rows) for _ in known], np.diff(self.first)).astype(int)
+        total = np.bincount(kind * len(self.languages) + self.lang, n, (LONGEST + 1) * len(self.languages)).reshape(LONGEST + 1, -1)
+        # half an occurrence for every key of the kind, so that a language with little text gains nothing by it
+        self.base = np.log(0.5) - np.log(total + 0.5 * np.maximum([[len(known)] for known in self.rows], 1))
+        self.gain = (np.log(n + 0.5) - np.log(0.5)).astype(np.float32)
+
+    def _gains(self, keys: list[int], weights) -> np.ndarray:
+        """Weighted sum of what the languages gain on the keys."""
+        at = np.asarray(keys)
+        begin, n = self.first[at], self.first[at + 1] - self.first[at]
+        ends = np.cumsum(n)
+        place = np.repeat(begin - ends + n, n) + np.arange(ends[-1])
+        return np.bincount(self.lang[place], self.gain[place] * np.repeat(weights, n), len(self.languages))
 
     def word(self, word: str) -> np.ndarray | None:
         """Scores of one word in all languages; None if not even a letter of it is known."""
         at = self.rows[0].get(word)
         if at is not None:
-            return self.table[at]
+            return self.base[0] + self._gains([at], [1.0])
         for n in range(LONGEST, 0, -1):
             found = [self.rows[n][g] for g in grams_of(word, n) if g in self.rows[n]]
             if found:
-                return np.add.reduce(self.table.take(found, axis=0)) / len(found)
+                return self.base[n] + self._gains(found, np.full(len(found), 1 / len(found)))
         return None
 
     def predict(self, text: str | None, cache: OrderedDict) -> tuple[str, float]:
@@ -87,23 +100,27 @@ class Model:
             unseen.append(scores)
             unseen_weights.append(n)
         if known:
-            total += np.asarray(weights, dtype=float) @ self.table[known]
+            weights = np.asarray(weights, dtype=float)
+            total += weights.sum() * self.base[0] + self._gains(known, weights)
         if unseen:
             total += np.asarray(unseen_weights, dtype=float) @ np.asarray(unseen)
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def fit(docs: DataFrame, train: Column, sample_rows: int = 10_000, most_words: int = 60_000, most_grams: int = 60_000) -> Model:
+def fit(docs: DataFrame, train: Column, sample_rows: int = 10_000, least_rows: int = 1_000) -> Model:
     """A model of ``docs`` (doc_id, text, lang) where ``train`` holds and lang is known.
 
-    About ``sample_rows`` rows are drawn by a hash of doc_id (all, if there are no more); of what they hold the most frequent
-    ``most_words`` words and ``most_grams`` n-grams are kept (ties: in order of the text), summed over languages.
+    About ``sample_rows`` rows are drawn by a hash of doc_id (all, if there are no more), and of every language about
+    ``least_rows`` at least (all, if it has no more). All words and n-grams that they hold are kept.
     """
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    n = rows.count()
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(sizes.values())
     if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000).cast("long")) < math.ceil(1_000_000 * sample_rows / n))
+        shares = [(lang, math.ceil(1_000_000 * min(1, max(sample_rows / n, least_rows / k)))) for lang, k in sizes.items()]
+        drawn = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long"))
+        rows = rows.join(drawn, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000).cast("long")) < F.col("share"))
 
     def count(batches):
         for b in batches:
@@ -125,15 +142,7 @@ def fit(docs: DataFrame, train: Column, sample_rows: int = 10_000, most_words: i
     added = lambda frame: frame.groupBy("lang", "key").agg(F.sum("n").alias("n"))
     words = stored(added(rows.select("text", "lang").mapInArrow(count, COUNTED)), "words")
     grams = stored(added(words.mapInArrow(cut, COUNTED)), "grams")
-    counts, tokens = [], {}
-    for frame, length, key, most in ((words, F.lit(0), F.col("key"), most_words),
-                                           (grams, F.substring("key", 1, 1).cast("int"), F.expr("substring(key, 2)"), most_grams)):
-        top = (frame.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-               .orderBy(F.desc("all"), "key").limit(most))
-        counts += [(b["lang"], r["length"], r["text"], b["n"]) for r in top.select(length.alias("length"), key.alias("text"), "by").collect()
-                   for b in r["by"]]
-        tokens |= {(r["lang"], r["length"]): r["n"] for r in frame.groupBy("lang", length.alias("length")).agg(F.sum("n").alias("n")).collect()}
-    return Model(counts, tokens)
+    return Model(words.withColumn("key", F.concat(F.lit("0"), "key")).unionByName(grams).toArrow())
 
 
 def _counted(found: Counter) -> pa.RecordBatch:

@@ -1,6 +1,11 @@
 """Results that a cut of the work would change: one test per cut that was found and taken out."""
 
-from stackloom.llm import pii
+import random
+from collections import OrderedDict
+
+from pyspark.sql import functions as F
+
+from stackloom.llm import language, pii
 
 
 def spans_of(spark, texts):
@@ -17,3 +22,26 @@ def test_addresses_with_zero_parts(spark):
         assert found[i] == ([("ip", 3, 3 + len(address), "format")] if address in good else []), address
     docs = spark.createDataFrame([(1, "from 10.0.0.1 to 0.0.0.0")], "doc_id long, text string")
     assert pii.redact(docs, pii.personal_data(docs)).first().text == "from [IP] to [IP]"
+
+
+def test_small_language_beside_a_large_one(spark):
+    rng = random.Random(4)
+    made = lambda n: ["".join(rng.choice("abdeinorst") for _ in range(rng.randrange(2, 8))) for _ in range(n)]
+    large, small = made(400), made(400)
+    text = lambda words: " ".join(rng.choice(words) for _ in range(30))
+    docs = [(i, text(large), "xx") for i in range(6000)] + [(6000 + i, text(small), "yy") for i in range(60)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4)
+    model = language.fit(rows, F.col("doc_id") % 3 != 0, sample_rows=100)
+    hits = [r.lang == r.lang_pred for r in language.identify(rows, model).join(rows.select("doc_id", "lang"), "doc_id").where("doc_id % 3 = 0").collect()]
+    assert sum(hits) / len(hits) > 0.99
+    assert {w for d in docs[6000:] if d[0] % 3 for w in d[1].split()} <= set(model.rows[0])
+
+
+def test_rare_words_of_a_language_are_kept(spark):
+    letters = "abcdefghijklmnop"
+    many = ["".join(letters[i >> s & 15] for s in (12, 8, 4, 0)) for i in range(65536)]
+    rows = spark.createDataFrame([(i, " ".join(many[i * 512:(i + 1) * 512] * 2), "xx") for i in range(128)] + [(200, "zyzzyva quokka", "yy")],
+                                 "doc_id long, text string, lang string")
+    model = language.fit(rows, F.lit(True))
+    assert set(model.rows[0]) == {*many, "zyzzyva", "quokka"} and len(model.rows[4]) > 60_000
+    assert model.predict("zyzzyva", OrderedDict())[0] == "yy" and model.predict("zyzzyvas", OrderedDict())[0] == "yy"
