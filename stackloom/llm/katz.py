@@ -9,7 +9,8 @@ Tables of counts are partitioned by key: batches of documents send their distinc
 counts to buckets, buckets add them up and answer each batch (see ``exchange``). One batch owns each distinct training
 bigram and adds its discounted count and its unigram probability to the sums of its context, which travel the same way and
 come back as the back-off weight (in single precision); contexts that only one batch holds stay there. The vocabulary needs no place in any single task or the driver; only token and type
-totals are collected. Good-Turing counts of bigrams are taken per bucket of some hundred thousand types.
+totals are collected. Every bucket of bigrams tells every batch how many of its types were seen once, twice and so on; the
+batches add these up, so all discount by the counts of the whole corpus.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ END, BEGIN = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 MOST = 5  # counts above this are trusted as they are (the usual choice of Katz)
 UNIGRAM, BIGRAM, WEIGHT = 1, 2, 3
 ROW = "kind int, bucket long, batch long, keys binary, extra binary"
-ANSWER = "batch long, kind int, bucket long, payload binary, flags binary, discounts binary"
+ANSWER = "batch long, kind int, bucket long, payload binary, flags binary, seen binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_part double, score double"
 
 
@@ -111,22 +112,15 @@ class _Model:
 
     def __init__(self, batch: _Batch, answers: pa.Table, bits: int, factors: np.ndarray, total: int, unknown: float):
         rows = answers.to_pylist()
-        of = {kind: {r["bucket"]: r for r in rows if r["kind"] == kind} for kind in (UNIGRAM, BIGRAM, WEIGHT)}
+        of = {kind: {r["bucket"]: r for r in rows if r["kind"] == kind and r["payload"] is not None} for kind in (UNIGRAM, BIGRAM, WEIGHT)}
+        seen = sum((np.frombuffer(r["seen"], "<i8") for r in rows if r["kind"] == BIGRAM), np.zeros(MOST + 1, dtype=np.int64))
         zeros = lambda n: np.zeros(n, dtype=np.int64)
         self.unigram = _spread(batch.unigrams, bits, of[UNIGRAM], lambda r: _unplane(r["payload"]), zeros)
         self.probability = np.where(self.unigram > 0, factors[np.minimum(self.unigram, MOST + 1)] * self.unigram / max(total, 1), unknown)
         self.bigram = _spread(batch.bigrams, bits, of[BIGRAM], lambda r: _unplane(r["payload"]), zeros)
-        discounted, owner = [], []
-        for b, x, y in exchange.slices(batch.bigrams, bits):
-            c = self.bigram[x:y]
-            if b in of[BIGRAM]:
-                d = np.frombuffer(of[BIGRAM][b]["discounts"], "<f8")
-                discounted.append(d[np.minimum(c, MOST + 1)] * c)
-                owner.append(np.unpackbits(np.frombuffer(of[BIGRAM][b]["flags"], np.uint8), count=y - x).astype(bool))
-            else:
-                discounted.append(np.zeros(y - x))
-                owner.append(np.zeros(y - x, dtype=bool))
-        self.discounted = np.concatenate(discounted) if discounted else np.zeros(0)
+        self.discounted = discounts(seen)[np.minimum(self.bigram, MOST + 1)] * self.bigram
+        owner = [np.unpackbits(np.frombuffer(of[BIGRAM][b]["flags"], np.uint8), count=y - x).astype(bool) if b in of[BIGRAM]
+                 else np.zeros(y - x, dtype=bool) for b, x, y in exchange.slices(batch.bigrams, bits)]
         self.owner = np.concatenate(owner) if owner else np.zeros(0, bool)
         self.total = {b: r["payload"] for b, r in of[WEIGHT].items()}
         # sums over the contexts of this batch; complete for a context that no other batch holds
@@ -218,15 +212,17 @@ def score_texts(docs: DataFrame, train: Column, batch_chars: int = 8_000_000) ->
         at, order, number, begins, counts, total = summed(table)
         found = np.empty(len(counts), dtype=np.int64)
         found[order] = total[number]
-        mark, d = np.zeros(len(counts), dtype=bool), None
+        mark, seen = np.zeros(len(counts), dtype=bool), None
         if kind == UNIGRAM:  # marked: no other batch has this word
             mark[order] = np.bincount(number)[number] == 1
         else:  # marked: this batch owns the bigram
             place = np.flatnonzero((counts > 0)[order])
             mark[order[place[np.r_[True, number[place][1:] != number[place][:-1]]]] if len(place) else place] = True
-            d = discounts(np.array([(total == r).sum() for r in range(1, MOST + 2)])).astype("<f8").tobytes()
-        out = [(b, kind, bucket, _planes(found[x:y]), np.packbits(mark[x:y]).tobytes(), d)
+            seen = np.array([(total == r).sum() for r in range(1, MOST + 2)]).astype("<i8").tobytes()
+        out = [(b, kind, bucket, _planes(found[x:y]), np.packbits(mark[x:y]).tobytes(), seen)
                for b, x, y in zip(table["batch"].to_pylist(), at, at[1:]) if found[x:y].any()]
+        if kind == BIGRAM:  # the others get the counts alone
+            out += [(b, kind, bucket, None, None, seen) for b in sorted(set(range(n_batches)) - {r[0] for r in out})]
         return exchange.released(_answer_table(out))
 
     def contexts(key, left, right):
@@ -251,6 +247,8 @@ def score_texts(docs: DataFrame, train: Column, batch_chars: int = 8_000_000) ->
                               for b, x, y in zip(table["batch"].to_pylist(), at, at[1:])]))
 
     def evaluate(key, left, right):
+        if not len(left):
+            return _score_table(*[[]] * 6)
         batch = _Batch(left)
         model = _Model(batch, right, bits, factors, tokens, unknown)
         weight = np.ones(len(batch.unigrams))
@@ -262,10 +260,8 @@ def score_texts(docs: DataFrame, train: Column, batch_chars: int = 8_000_000) ->
         p = np.where(seen, model.discounted[batch.big] / np.maximum(context[batch.ctx], 1), backed)
         c = model.unigram[batch.tok]
         add = lambda values: np.add.reduceat(values, batch.begins) if len(batch.begins) else np.zeros(0)
-        return exchange.released(pa.table({
-            "doc_id": batch.ids.cast(pa.int64()), "held_out": pa.array(~batch.train), "n_tokens": pa.array(batch.count, pa.int64()),
-            "n_known": pa.array(add((c > 0).astype(np.int64)), pa.int64()), "base_part": pa.array(add(np.log10(c + 0.5)), pa.float64()),
-            "score": pa.array(add(np.log10(p)), pa.float64())}))
+        return exchange.released(_score_table(batch.ids.cast(pa.int64()), ~batch.train, batch.count, add((c > 0).astype(np.int64)),
+                                              add(np.log10(c + 0.5)), add(np.log10(p))))
 
     answers = dealt.groupBy("batch").applyInArrow(send, ROW).groupBy("kind", "bucket").applyInArrow(answer, ANSWER)
     weighed = (dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(contexts, ROW)
@@ -277,5 +273,11 @@ def score_texts(docs: DataFrame, train: Column, batch_chars: int = 8_000_000) ->
 
 def _answer_table(rows: list[tuple]) -> pa.Table:
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    names = ("batch", "kind", "bucket", "payload", "flags", "discounts")
+    names = ("batch", "kind", "bucket", "payload", "flags", "seen")
     return pa.table({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(zip(names, kinds))})
+
+
+def _score_table(ids, held_out, n_tokens, n_known, base_part, score) -> pa.Table:
+    columns = {"doc_id": (ids, pa.int64()), "held_out": (held_out, pa.bool_()), "n_tokens": (n_tokens, pa.int64()),
+               "n_known": (n_known, pa.int64()), "base_part": (base_part, pa.float64()), "score": (score, pa.float64())}
+    return pa.table({name: values if isinstance(values, pa.ChunkedArray) else pa.array(values, kind) for name, (values, kind) in columns.items()})

@@ -1,11 +1,13 @@
 """Results that a cut of the work would change: one test per cut that was found and taken out."""
 
+import math
 import random
 from collections import OrderedDict
 
 from pyspark.sql import functions as F
+from test_llm_models import katz_by_hand
 
-from stackloom.llm import language, pii
+from stackloom.llm import exchange, katz, language, pii
 
 
 def spans_of(spark, texts):
@@ -45,3 +47,19 @@ def test_rare_words_of_a_language_are_kept(spark):
     model = language.fit(rows, F.lit(True))
     assert set(model.rows[0]) == {*many, "zyzzyva", "quokka"} and len(model.rows[4]) > 60_000
     assert model.predict("zyzzyva", OrderedDict())[0] == "yy" and model.predict("zyzzyvas", OrderedDict())[0] == "yy"
+
+
+def test_katz_does_not_depend_on_buckets(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(words[min(int(rng.expovariate(0.1)), 59)] for _ in range(rng.randrange(0, 60)))) for i in range(120)]
+    docs += [(500, "never seen"), (501, None)]
+    train = [i % 5 != 1 and i != 500 for i, _ in docs]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(exchange, "KEYS_PER_BUCKET", 60)
+    monkeypatch.setattr(exchange, "LEAST_KEYS_SENT", 1)
+    tokens, _, _, p = katz_by_hand(docs, train)
+    want = {i: sum(math.log10(p(t, h)) for h, t in zip(["<s>", *w], w)) for (i, _), w in zip(docs, tokens)}
+    for batch_chars in (10**6, 900, 40):  # 40: more batches than documents, so some are empty
+        found = katz.score_texts(rows, (F.col("doc_id") % 5 != 1) & (F.col("doc_id") != 500), batch_chars=batch_chars).collect()
+        assert {r.doc_id: round(r.score, 4) for r in found} == {i: round(x, 4) for i, x in want.items()}
