@@ -7,7 +7,7 @@ known for that kind, an instance becomes known if the trusted patterns that extr
 patterns of the next round. Occurrences of instances that became known are spans too.
 
 All work is DataFrame expressions. Offsets come from the lengths of what stands between matches, summed in a window over the
-matches of one text, so a text with many matches costs a sort and nothing quadratic. Patterns and instances are summed before
+matches of one text, and contexts from a bounded number of neighbours in that window, so a text with many matches costs a sort and nothing quadratic. Patterns and instances are summed before
 every shuffle, whatever a hot pattern holds.
 """
 
@@ -32,6 +32,8 @@ CANDIDATE = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
 NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+", "candidate": "[0-9@]"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 CONTEXT_CHARS = 100
+#: A match and the gap beside it have two characters at least, so this many neighbours fill a context.
+NEIGHBOURS = CONTEXT_CHARS // 2
 
 
 def _luhn(digits: Column) -> Column:
@@ -56,7 +58,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def occurrences(rows: DataFrame) -> DataFrame:
     """(doc_id, text_key, kind, value, begin, end, left, right) per valid match of a format and per candidate token.
 
-    ``left`` and ``right`` are the texts around a match, up to the neighbouring match and 100 characters.
+    ``left`` and ``right`` are the 100 characters around a match, neighbouring matches among them.
     """
     text, none = F.col("text"), F.array().cast("array<struct<gap:int,value:string,left:string,right:string>>")
 
@@ -74,7 +76,13 @@ def occurrences(rows: DataFrame) -> DataFrame:
             .dropDuplicates(["doc_id", "text_key", "kind", "i"]))  # rows that repeat a document
     before = W.partitionBy("doc_id", "text_key", "kind").orderBy("i")
     end = F.sum(F.col("m.gap") + F.length("m.value")).over(before)
-    placed = each.select("doc_id", "text_key", "kind", "m.value", (end - F.length("m.value")).alias("begin"), end.alias("end"), "m.left", "m.right")
+    # each match with the gap on its far side; one that reaches the limit alone hides what lies beyond it
+    last, first = (lambda c: F.substring(c, -CONTEXT_CHARS, CONTEXT_CHARS)), (lambda c: F.substring(c, 1, CONTEXT_CHARS))
+    earlier = F.collect_list(last(F.concat("m.left", "m.value"))).over(before.rowsBetween(-NEIGHBOURS, -1))
+    later = F.collect_list(first(F.concat("m.value", "m.right"))).over(before.rowsBetween(1, NEIGHBOURS))
+    placed = each.select("doc_id", "text_key", "kind", "m.value", (end - F.length("m.value")).alias("begin"), end.alias("end"),
+                         last(F.concat(F.array_join(earlier, ""), "m.left")).alias("left"),
+                         first(F.concat("m.right", F.array_join(later, ""))).alias("right"))
     bare = F.regexp_extract("value", r"^[(\[{<\"']*+(.*?)[)\]}>\"'.,;:!?]*$", 1)
     lead = F.length(F.regexp_extract("value", r"^[(\[{<\"']*+", 0))
     token = F.col("kind") == "candidate"

@@ -63,3 +63,19 @@ def test_katz_does_not_depend_on_buckets(spark, monkeypatch):
     for batch_chars in (10**6, 900, 40):  # 40: more batches than documents, so some are empty
         found = katz.score_texts(rows, (F.col("doc_id") % 5 != 1) & (F.col("doc_id") != 500), batch_chars=batch_chars).collect()
         assert {r.doc_id: round(r.score, 4) for r in found} == {i: round(x, 4) for i, x in want.items()}
+
+
+def test_contexts_hold_neighbouring_matches(spark):
+    texts = [f"words to reach me at {i % 9} u{i}@mail.example.com {i + 10} or write" for i in range(30)]
+    texts += ["reach me at 7 joe(at)corp7 22 or write", "user Bob7 +49 30 1234567", "a1 b2 c3 d4"]
+    found = spans_of(spark, texts)
+    assert [(k, texts[30][a:b]) for k, a, b, by in found[30]] == [("email", "joe(at)corp7")]
+    assert all([s[3] for s in found[i]] == ["format"] for i in range(30)) and not found[32]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["1 " * 300, "é x@y.zz 5 é +49 30 1234567, ä2 " * 40, "+1-2" * 90, "q" * 300 + " 7 " + "é8" * 200 + " 9"])],
+                                 "doc_id long, text string")
+    for r in pii.occurrences(pii._keyed(docs)).join(docs, "doc_id").collect():
+        text = r.text
+        token = r.kind == "candidate"
+        begin = max(text.rfind(" ", 0, r.begin) + 1, 0) if token else r.begin
+        end = (text.find(" ", r.end) + len(text) + 1) % (len(text) + 1) if token else r.end
+        assert r.left == text[max(begin - 100, 0):begin] and r.right == text[end:end + 100], (r.kind, r.begin, r.value)
