@@ -148,7 +148,7 @@ def _telling(tokens: _Tokens, toxic: np.ndarray, least_ratio: float, most: int)
 
 
 def _train_chain(tokens: _Tokens, telling: np.ndarray, toxic: np.ndarray, rounds: int) -> Model:
-    """Maximum likelihood of the chain on the labelled tokens: emissions by gradient steps from the marginals."""
+    """The chain on the labelled tokens: emissions by gradient steps from the marginals, transitions and start by counting."""
     known = [_places(telling, f) for f in tokens.features]
     label = (np.min(known, axis=0) < len(telling)) & np.repeat(toxic > 0, tokens.count)
     label = label.astype(float)
