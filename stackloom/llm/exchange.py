@@ -55,6 +55,14 @@ def decode(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
+def planes32(values: np.ndarray) -> bytes:
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplanes32(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def slices(keys: np.ndarray, bits: int):
     """Of sorted keys: each bucket that has some, with its bounds."""
     if not len(keys):

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm import exchange
-from stackloom.llm.words import SHINGLE_BASE, mix, words_of
+from stackloom.llm.words import CHECK_BASE, mix, words_of
 
 END, BEGIN = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 MOST = 5  # counts above this are trusted as they are (the usual choice of Katz)
@@ -95,7 +95,7 @@ class _Batch:
         self.ctx[self.begins] = begin
         self.unigram_counts = np.bincount(self.tok[learn], minlength=len(self.unigrams))
         self.unigram_counts[begin] = int(self.train.sum())
-        self.bigrams, first, self.big = np.unique(mix(context * SHINGLE_BASE + self.token), return_index=True, return_inverse=True)
+        self.bigrams, first, self.big = np.unique(mix(context * CHECK_BASE + self.token), return_index=True, return_inverse=True)
         self.big_tok, self.big_ctx = self.tok[first], self.ctx[first]
         self.bigram_counts = np.bincount(self.big[learn], minlength=len(self.bigrams))
         assert len(self.count) == n

@@ -2,11 +2,13 @@
 
 Rabin-Karp hashes of all windows are counted in Spark: batches of documents, in order of doc_id, send their distinct window
 hashes to buckets, and a bucket answers which of them an earlier batch holds too. Inside a batch the first document of a hash
-is known. Windows to remove are merged into maximal intervals. Windows are told apart by 64 bits over 64-bit word hashes.
+is known. Windows to remove are merged into maximal intervals. Windows count as equal if two independent hashes of theirs
+agree, 61 bits modulo a prime and 32 bits of another kind, so that chance finds no pair among 10**13 windows.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import compress
 
 import numpy as np
@@ -15,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm import exchange
-from stackloom.llm.words import rolling, runs_within, words_of
+from stackloom.llm.words import rolling, rolling_check, runs_within, words_of
 
+MOST_CUTS = 4096
 REMOVED = "doc_id long, n_words long, n_removed long, removed array<struct<begin: long, end: long>>, kept string"
 
 
@@ -31,13 +34,59 @@ def _ordered(table: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array]:
 
 
 def _windows(texts, rank: np.ndarray, length: int):
-    """Distinct hashes, and for each window its place (first word), the number of its hash and the rank of its row."""
+    """Distinct hashes (both kinds), and for each window its place (first word), the number of its hash and the rank of its row."""
     words = words_of(texts)
     inside = np.flatnonzero(runs_within(words, length))
-    hashes = rolling(words.hash, length)[inside]
+    hashes, checks = rolling(words.hash, length)[inside], rolling_check(words.hash, length)[inside]
     distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    if (checks[first][number] != checks).any():  # different windows of one hash
+        both = np.empty(len(hashes), dtype=[("hash", "<u8"), ("check", "<u4")])
+        both["hash"], both["check"] = hashes, checks
+        pairs, first, number = np.unique(both, return_index=True, return_inverse=True)
+        distinct = np.ascontiguousarray(pairs["hash"])
     ranks = rank[words.text_of_word()[inside]]
-    return words, distinct, inside, number, ranks, ranks[first]
+    return words, (distinct, checks[first]), inside, number, ranks, ranks[first]
+
+
+def _earlier(keys: np.ndarray, checks: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Whether each window stands in an earlier blob too; ``order`` sorts the keys, earlier blobs first."""
+    same, agree = keys[order][1:] == keys[order][:-1], checks[order][1:] == checks[order][:-1]
+    if (same & ~agree).any():
+        order = np.lexsort((checks, keys))
+        same, agree = keys[order][1:] == keys[order][:-1], checks[order][1:] == checks[order][:-1]
+    seen = np.empty(len(keys), dtype=bool)
+    seen[order] = np.r_[False, same & agree] if len(keys) else []
+    return seen
+
+
+def in_order(rows: DataFrame, n: int, most_cuts: int = MOST_CUTS) -> DataFrame:
+    """``rows`` with ``batch``: about ``n`` batches of like size that follow the order of doc_id (null: the last one).
+
+    The driver sees ``most_cuts`` quantiles at most. Beyond that every stretch between two of them is cut again by quantiles of
+    its own, which are worked out in Spark and reach the rows by a join.
+    """
+    def quantiles(frame, parts):
+        shares = [i / parts for i in range(1, parts)] or [0.5]
+        return frame.agg(F.sort_array(F.array_distinct(F.percentile_approx("doc_id", shares, max(10_000, 20 * parts)))).alias("cuts"))
+
+    coarse = min(n, most_cuts)
+    bounds = np.array((quantiles(rows, coarse).first()[0] or []) if coarse > 1 else [], dtype=np.int64)
+
+    def deal(batches):
+        for b in batches:
+            ids = b.column(0)
+            batch = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
+            batch = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds), batch)
+            yield pa.RecordBatch.from_arrays([ids, b.column(1), pa.array(batch, pa.int64())], ["doc_id", "text", "batch"])
+
+    dealt = rows.mapInArrow(deal, "doc_id long, text string, batch long")
+    fine = math.ceil(n / coarse)
+    if fine == 1:
+        return dealt
+    cuts = quantiles(dealt.groupBy("batch"), fine)
+    below = F.size(F.filter("cuts", lambda c: c < F.col("doc_id")))
+    return (dealt.join(cuts, "batch", "left").select("doc_id", "text", (F.col("batch") * (fine + 1) + F.when(
+        F.col("doc_id").isNull(), fine).otherwise(F.coalesce(below, F.lit(0)))).alias("batch")))
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = 50, batch_chars: int = 4_000_000) -> DataFrame:
@@ -52,38 +101,28 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50, batch_chars: int
     chars = exchange.total_chars(rows)
     n = exchange.batches_for(chars, batch_chars)
     bits = exchange.bucket_bits(chars // 5, n)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or []
-    bounds = np.array(sorted(cuts if n > 1 else []), dtype=np.int64)
-
-    def deal(batches):
-        for b in batches:
-            ids = b.column(0)
-            batch = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
-            batch = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds), batch)
-            yield pa.RecordBatch.from_arrays([ids, b.column(1), pa.array(batch, pa.int64())], ["doc_id", "text", "batch"])
-
-    dealt = rows.mapInArrow(deal, "doc_id long, text string, batch long").repartition(n, "batch")
+    dealt = in_order(rows, n).repartition(n, "batch")
 
     def send(key, table):
         _, rank, texts = _ordered(table)
-        keys = _windows(texts, rank, window)[1]
-        sent = [(bucket, key[0].as_py(), exchange.encode(keys[a:b]), None) for bucket, a, b in exchange.slices(keys, bits)]
+        keys, checks = _windows(texts, rank, window)[1]
+        sent = [(bucket, key[0].as_py(), exchange.encode(keys[a:b]), exchange.planes32(checks[a:b]))
+                for bucket, a, b in exchange.slices(keys, bits)]
         return exchange.released(pa.table({"bucket": pa.array([s[0] for s in sent], pa.int64()), "batch": pa.array([s[1] for s in sent], pa.int64()),
-                         "keys": pa.array([s[2] for s in sent], pa.binary()), "extra": pa.nulls(len(sent), pa.binary())}))
+                         "keys": pa.array([s[2] for s in sent], pa.binary()), "extra": pa.array([s[3] for s in sent], pa.binary())}))
 
     def answer(key, table):
         table = table.sort_by([("batch", "ascending")])
         keys, at, order = exchange.gather(table["keys"].to_pylist())
-        ordered = keys[order]
-        seen = np.empty(len(keys), dtype=bool)
-        seen[order] = np.r_[False, ordered[1:] == ordered[:-1]] if len(keys) else []
+        checks = np.concatenate([exchange.unplanes32(e) for e in table["extra"].to_pylist()])
+        seen = _earlier(keys, checks, order)
         back = [(b, np.packbits(seen[x:y]).tobytes()) for b, x, y in zip(table["batch"].to_pylist(), at, at[1:]) if seen[x:y].any()]
         return exchange.released(pa.table({"batch": pa.array([b for b, _ in back], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(back), pa.int64()),
                          "kind": pa.array([0] * len(back), pa.int32()), "payload": pa.array([p for _, p in back], pa.binary())}))
 
     def cut(key, left, right):
         ids, rank, texts = _ordered(left)
-        words, keys, place, number, ranks, first = _windows(texts, rank, window)
+        words, (keys, _), place, number, ranks, first = _windows(texts, rank, window)
         earlier = np.zeros(len(keys), dtype=bool)
         bits_of = dict(zip(right["bucket"].to_pylist(), right["payload"].to_pylist()))
         for bucket, a, b in exchange.slices(keys, bits):

@@ -1,45 +1,90 @@
 """Words of Arrow text columns as numpy arrays: bounds and 64-bit hashes, without a Python object per word.
 
 A word is a run of bytes other than blank, tab, line feed, vertical tab, form feed and carriage return
-(``[^\\x20\\x09-\\x0D]+``). Hashes are polynomials over a table of random byte values, taken as differences of one running
-sum, so a batch costs a few array passes whatever its words are.
+(``[^\\x20\\x09-\\x0D]+``). Hashes are polynomials over the field of integers modulo 2**61 - 1, taken as differences of one
+running sum, so a batch costs a few array passes whatever its words are. In a field two different words of n bytes agree in
+n of 2**61 bases at most; modulo a power of two some pairs would agree in every base.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 
+PRIME = np.uint64(2**61 - 1)
 _random = np.random.Generator(np.random.PCG64(20240607))
-BASE = np.uint64(_random.integers(1, 2**63, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-SHINGLE_BASE = np.uint64(_random.integers(1, 2**63, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-BYTE_VALUES = _random.integers(1, 2**64 - 1, size=256, dtype=np.uint64)
+BASE = int(_random.integers(2**32, 2**61 - 2, dtype=np.uint64))
+SHINGLE_BASE = int(_random.integers(2**32, 2**61 - 2, dtype=np.uint64))
+CHECK_BASE = np.uint64(_random.integers(1, 2**63, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+CHECK_SIGN = np.uint64(_random.integers(1, 2**63, dtype=np.uint64))
+#: What each byte counts; never zero, so that leading bytes matter.
+BYTE_VALUES = np.arange(1, 257, dtype=np.uint64)
 LOWER_VALUES = BYTE_VALUES.copy()
 LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 CHUNK_BYTES = 1 << 19
+#: Running sums of longer words could pass 64 bits; such words are hashed one by one.
+LONG_WORD = 1 << 23
 
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+_powers: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
 
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
+def times(a: np.ndarray, b) -> np.ndarray:
+    """Products modulo ``PRIME`` of values below it (``b``: array or number), from halves of 30 and 31 bits."""
+    b = np.asarray(b, dtype=np.uint64)
+    half, low30, low31 = np.uint64(31), np.uint64(2**30 - 1), np.uint64(2**31 - 1)
+    a1, a0, b1, b0 = a >> half, a & low31, b >> half, b & low31
+    middle = a1 * b0 + a0 * b1
+    return reduced((a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & low30) << half) + a0 * b0)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo ``PRIME``."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _power_table(base: int, size: int) -> np.ndarray:
+    table = np.ones(1, dtype=np.uint64)
+    while len(table) < size:
+        table = np.concatenate([table, times(table, pow(base, len(table), int(PRIME)))])
+    return table[:size]
+
+
+def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of the base, their lower 31 bits and the bits above, and powers of its inverse."""
     global _powers
     if _powers is None or len(_powers[0]) < size:
         size = max(size, CHUNK_BYTES + 1)
-        inverse = np.uint64(pow(int(BASE), -1, 2**64))
-        tables = []
-        for factor in (BASE, inverse):
-            table = np.full(size, factor, dtype=np.uint64)
-            table[0] = 1
-            tables.append(np.cumprod(table, dtype=np.uint64))
-        _powers = tables[0], tables[1]
+        powers = _power_table(BASE, size)
+        _powers = powers & np.uint64(2**31 - 1), powers >> np.uint64(31), _power_table(pow(BASE, -1, int(PRIME)), size)
     return _powers
 
 
+class _Running:
+    """Hashes of any stretch of ``data`` from one pass over it."""
+
+    def __init__(self, data: np.ndarray, values: np.ndarray):
+        self.data, self.values = data, values
+        low, high, self.inverses = _power_tables(len(data) + 1)
+        worth = values[data]
+        self.low, self.high = np.zeros(len(data) + 1, dtype=np.uint64), np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(worth * low[:len(data)], out=self.low[1:])
+        np.cumsum(worth * high[:len(data)], out=self.high[1:])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low, high = reduced(self.low[end] - self.low[begin]), reduced(self.high[end] - self.high[begin])
+        found = times(reduced(low + times(high, 2**31)), self.inverses[begin])
+        for i in np.flatnonzero(end - begin > LONG_WORD):
+            word = self.values[self.data[begin[i]:end[i]]].astype("<u2").tobytes()
+            found[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") % int(PRIME)
+        return mix(found)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the entropy of 64-bit values over all their bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -103,15 +148,13 @@ def words_of(texts, lower: bool = False, separators: np.ndarray = IS_SPACE, head
         opens[1:] &= ~inside[:-1] | edge[1:-1]
         closes[:-1] &= ~inside[1:] | edge[1:-1]
         starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        powers, inverses = _power_tables(len(part) + 1)
-        running = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(values[part] * powers[:len(part)], out=running[1:])
-        hashes.append(mix((running[ends] - running[starts]) * inverses[starts]))
+        running = _Running(part, values)
+        hashes.append(running.of(starts, ends))
         if places:
             begins.append(starts + offsets[begin])
             closed.append(ends + offsets[begin])
         for lead, length in zip(leads, heads):
-            lead.append(mix((running[np.minimum(starts + length, ends)] - running[starts]) * inverses[starts]))
+            lead.append(running.of(starts, np.minimum(starts + length, ends)))
         counts.append(np.diff(np.searchsorted(starts, bounds)))
         begin = end
     first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(last + 1, np.int64)
@@ -124,19 +167,37 @@ def rolling(hashes: np.ndarray, length: int) -> np.ndarray:
     """Rabin-Karp hash of every run of ``length`` hashes, from runs of powers of two (runs may cross texts)."""
     if len(hashes) < length:
         return np.zeros(0, np.uint64)
-    done, result, have, size = 0, None, hashes, 1
+    done, result, have, size = 0, None, reduced(hashes), 1
     while True:
         if length & size:
             if result is None:
                 result = have
             else:  # the longer run stands in front of what has been put together so far
-                shift = np.uint64(pow(int(SHINGLE_BASE), done, 2**64))
                 n = min(len(have), len(result) - size)
-                result = have[:n] * shift + result[size:size + n]
+                result = reduced(times(have[:n], pow(SHINGLE_BASE, done, int(PRIME))) + result[size:size + n])
             done += size
         if done == length:
             return mix(result[:len(hashes) - length + 1])
-        have = have[:-size] * np.uint64(pow(int(SHINGLE_BASE), size, 2**64)) + have[size:]
+        have = reduced(times(have[:-size], pow(SHINGLE_BASE, size, int(PRIME))) + have[size:])
+        size *= 2
+
+
+def rolling_check(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A second hash of every run, of 32 bits and by another rule, for runs whose first hashes agree."""
+    if len(hashes) < length:
+        return np.zeros(0, np.uint32)
+    done, result, have, size = 0, None, mix(hashes ^ CHECK_SIGN), 1
+    while True:
+        if length & size:
+            if result is None:
+                result = have
+            else:
+                n = min(len(have), len(result) - size)
+                result = have[:n] * np.uint64(pow(int(CHECK_BASE), done, 2**64)) + result[size:size + n]
+            done += size
+        if done == length:
+            return (mix(result[:len(hashes) - length + 1]) >> np.uint64(32)).astype(np.uint32)
+        have = have[:-size] * np.uint64(pow(int(CHECK_BASE), size, 2**64)) + have[size:]
         size *= 2
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,32 @@ def test_substring(spark, window, batch_chars):
     assert all(a.end < b.begin for r in found for a, b in zip(r.removed, r.removed[1:]))
 
 
+def test_second_level_of_batches_and_equal_first_hashes(spark):
+    rows = [(i if i % 7 else None, "x", None) for i in range(300)]
+    dealt = substring.in_order(spark.createDataFrame(rows, SCHEMA).select("doc_id", "text"), 40, most_cuts=4).collect()
+    known = sorted((r.doc_id, r.batch) for r in dealt if r.doc_id is not None)
+    assert len(dealt) == 300 and [b for _, b in known] == sorted(b for _, b in known) and len({b for _, b in known}) > 25
+    assert min(r.batch for r in dealt if r.doc_id is None) >= known[-1][1]
+    keys, checks = np.array([5, 9, 5, 5, 9], np.uint64), np.array([1, 1, 2, 1, 1], np.uint32)
+    assert list(substring._earlier(keys, checks, np.argsort(keys, kind="stable"))) == [False, False, False, True, True]
+
+
+def alike():
+    """Two words of 1,024 letters that have one polynomial hash modulo a power of two, whatever its base."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_different_long_words(spark):
+    one, two = alike()
+    rows = [(1, " ".join([one] * 60), None), (2, " ".join([two] * 60), None), (3, " ".join([one] * 60), None)]
+    found = {r.doc_id: r.n_removed for r in substring.remove_repeated_windows(frame(spark, rows), 50).collect()}
+    assert found == {1: 0, 2: 0, 3: 60}
+    assert {r.doc_id: r.component_id for r in jaccard.similar_groups(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 @pytest.mark.parametrize("seed,percent,batch_chars", [(2, 75, 400), (3, 60, 10**6)])
 def test_groups(spark, seed, percent, batch_chars):
     rows = corpus(seed, 90)

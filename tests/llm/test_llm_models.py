@@ -28,6 +28,17 @@ def test_words_and_runs():
     assert rolling(h[:1], 2).size == 0
 
 
+def test_words_alike_modulo_powers_of_two(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert len(set(words_of(pa.array([word, other])).hash)) == 2
+    docs = spark.createDataFrame([(1, f"{word} x"), (2, f"{other} x")], "doc_id long, text string")
+    found = {r.doc_id: r for r in katz.score_texts(docs, F.col("doc_id") == 1).collect()}
+    assert (found[1].n_known, found[2].n_known) == (3, 2) and found[2].score < found[1].score
+
+
 def katz_by_hand(docs, train):
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c < "\x7f" else c for c in t or "")) + ["</s>"] for _, t in docs]
     uni, big = Counter(), defaultdict(Counter)
