@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import html_text, jaccard, katz, language, lines, packing, pii, substring, toxicity, winnow
+from stackloom.llm import codes, collocations, html_text, jaccard, katz, language, lines, packing, pii, quality, substring, toxicity, winnow
 from stackloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,69 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), F.coalesce(_remainder(4) != 2, F.lit(True)))
     return toxicity.score(docs, model).select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
                                               (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query("op11_quality_classifier")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), F.coalesce(_remainder(5) != 0, F.lit(True)))
+    return quality.score(docs, model).select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
+                                             (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query("op12_phrase_collocation_mining", r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+               FROM documents),
+    p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+    g AS (SELECT lang, k, words, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(words) >= k),
+    f AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM g GROUP BY lang, k, phrase),
+    total AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND a >= 30),
+    cut AS (SELECT lang, k, phrase, a, words, unnest(range(1, k)) AS o FROM c),
+    parts AS (SELECT cut.lang, cut.k, cut.phrase, cut.a, o, x.a AS l, y.a AS r,
+                     (2000000::HUGEINT * cut.a) // (x.a::HUGEINT + y.a) AS score
+              FROM cut JOIN f x ON x.lang = cut.lang AND x.k = o AND x.phrase = array_to_string(words[1:o], ' ')
+              JOIN f y ON y.lang = cut.lang AND y.k = cut.k - o AND y.phrase = array_to_string(words[o + 1:], ' ')),
+    worst AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, o) = 1),
+    inner_ AS (SELECT lang, k, a, words, unnest(range(2, k)) AS m FROM c),
+    inside AS (SELECT lang, m, a, words, unnest(range(1, k - m + 2)) AS i FROM inner_),
+    most AS (SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM inside GROUP BY ALL),
+    alive AS (SELECT worst.* FROM worst LEFT JOIN most USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * worst.a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alive)
+    SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""")
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds written out one after the other, on a row per vector, part and place."""
+    steps = [f"""
+    WITH kept AS (SELECT vec_id, label, embedding AS e, len(embedding) // {parts} AS width, row_number() OVER (ORDER BY vec_id) AS row
+                  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    v AS (SELECT row, i // width AS part, i % width AS place, CAST(floor(4096 * CAST(e[i + 1] AS DOUBLE)) AS BIGINT) AS x
+          FROM (SELECT row, e, width, unnest(range(0, {parts} * width)) AS i FROM kept)),
+    c0 AS (SELECT part, row - 1 AS entry, place, x FROM v WHERE row <= {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+    a{r} AS (SELECT row, part, min(d * {entries} + entry) AS best FROM (
+        SELECT row, v.part, c.entry, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{r} c ON c.part = v.part AND c.place = v.place
+        GROUP BY row, v.part, c.entry) GROUP BY row, part)""")
+        if r < rounds:
+            steps.append(f"""
+    c{r + 1} AS (SELECT c.part, c.entry, c.place, coalesce(u.x, c.x) AS x FROM c{r} c LEFT JOIN (
+        SELECT v.part, best % {entries} AS entry, place, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+        FROM v JOIN a{r} USING (row, part) GROUP BY v.part, best % {entries}, place) u
+        ON u.part = c.part AND u.entry = c.entry AND u.place = c.place)""")
+    steps.append(f"""
+    book AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) AS h FROM c{rounds}),
+    coded AS (SELECT row, string_agg(lpad(lower(to_hex(CAST(best % {entries} AS BIGINT))), 2, '0'), '' ORDER BY part) AS code,
+                     CAST(sum(best // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY row)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+    FROM coded JOIN kept USING (row), book""")
+    return ",".join(steps)
+
+
+@_query("op13_vector_code_compression", _codes_sql())
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(_table(spark, sf_dir, "embeddings")).drop("label")
