@@ -1,126 +1,45 @@
-"""Batch-log files of the fixture samples, written by Spark tasks, for the queries that read them."""
+"""Batch-log files of the fixture samples, written by the sink, for the queries that read them."""
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.functions.values import floor_div
-from stackloom.operators.frames import resolve_frames
-from stackloom.operators.frames import join_frame_executable, stack_locations
+from stackloom.operators.frames import join_frame_executable, resolve_frames, stack_locations
 from stackloom.operators.stacks import new_stacktraces
 from stackloom.plans import inputs
 from stackloom.plans.fixtures import Tables
-from stackloom.session import qualified, shared_dir, ship_package
-from stackloom.sources.batch_log import FORMAT_VERSION, HEADER, LENGTH, MAGIC
+from stackloom.session import shared_dir
+from stackloom.sources.batch_log_sink import write_batch_log
 
-DAY_NS = 86_400_000_000_000
-FILE_NS, BATCH_NS = 10 * DAY_NS, DAY_NS
+HOUR_NS = 3_600_000_000_000
+DAY_NS = 24 * HOUR_NS
+FILE_NS, BATCH_NS = DAY_NS, HOUR_NS
 TEXTS = ["sample_type", "sample_unit", "period_type", "period_unit", "producer", "temporality"]
 NUMBERS = ["value", "period", "duration"]
 
 
-def runs(array: pa.Array) -> pa.Array:
-    """Run-end encoded dictionary, the way samples are stored."""
-    encoded = pc.run_end_encode(array)
-    return pa.RunEndEncodedArray.from_arrays(encoded.run_ends, encoded.values.dictionary_encode())
-
-
-def stream_of(table: pa.Table, version: str) -> bytes:
-    sink = io.BytesIO()
-    table = table.replace_schema_metadata({"agent_write_schema_version": version})
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
-        writer.write_table(table)
-    return sink.getvalue()
-
-
-def sample_record(rows: pa.Table) -> bytes:
-    columns = {f"labels.{n}": runs(rows[n].combine_chunks()) for n in ("comm", "node")}
-    columns["stacktrace_id"] = runs(rows["stacktrace_id"].combine_chunks())
-    columns["timestamp"] = rows["ts_ns"].combine_chunks()
-    columns |= {n: rows[n].combine_chunks() for n in NUMBERS}
-    columns |= {n: runs(rows[n].combine_chunks()) for n in TEXTS}
-    return stream_of(pa.table(columns), "v1")
-
-
-def stack_record(rows: pa.Table) -> bytes:
-    return stream_of(rows.select(["stacktrace_id", "is_complete", "locations"]), "v1")
-
-
-def write_file(root: str, name: str, batches: list[pa.Table]) -> int:
-    """One compressed file: header, then per batch the samples and the stacks new to the file."""
-    out = io.BytesIO()
-    out.write(HEADER.pack(MAGIC, FORMAT_VERSION, len(batches)))
-    for rows in batches:
-        is_sample = pc.equal(rows["kind"], 0)
-        for record in (sample_record(rows.filter(is_sample)), stack_record(rows.filter(pc.invert(is_sample)))):
-            out.write(LENGTH.pack(len(record)) + record)
-    system, folder = fs.FileSystem.from_uri(root)
-    system.create_dir(folder, recursive=True)
-    with system.open_output_stream(f"{folder}/{name}.padata.zst", compression="zstd") as target:
-        target.write(out.getvalue())
-    return len(batches)
-
-
-def writer(root: str):
-    """A ``mapInArrow`` function over rows sorted by file and batch."""
-    def write(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, batch, parts, batches = None, None, [], []
-
-        def end_batch():
-            if parts:
-                batches.append(pa.concat_tables(parts))
-                parts.clear()
-
-        for chunk in chunks:
-            if not chunk.num_rows:
-                continue
-            table = pa.Table.from_batches([chunk])
-            files, numbers = table["file"].to_numpy(), table["batch"].to_numpy()
-            change = np.flatnonzero((files[1:] != files[:-1]) | (numbers[1:] != numbers[:-1])) + 1
-            for start, end in zip([0, *change], [*change, table.num_rows], strict=True):
-                if (files[start], numbers[start]) != (name, batch):
-                    end_batch()
-                    if files[start] != name and name is not None:
-                        yield pa.RecordBatch.from_pydict({"file": [name], "batches": [write_file(root, name, batches)]})
-                        batches.clear()
-                    name, batch = files[start], numbers[start]
-                parts.append(table.slice(start, end - start))
-        end_batch()
-        if name is not None:
-            yield pa.RecordBatch.from_pydict({"file": [name], "batches": [write_file(root, name, batches)]})
-    return write
-
-
-def records(t: Tables) -> DataFrame:
-    """Sample rows and, with the first batch that needs them, stack rows; a file per node and ten days.
+def records(t: Tables, file_ns: int = FILE_NS, batch_ns: int = BATCH_NS) -> DataFrame:
+    """Sample rows and, with the first batch that needs them, stack rows; a file per node and day, a batch per hour.
 
     A stack that does not exist has no row, which the replay has to cope with.
     """
-    named = inputs.samples(t).withColumn(
-        "file", F.concat_ws("-", "node", floor_div(F.col("ts_ns"), FILE_NS).cast("string"))).withColumn(
-        "batch", floor_div(F.col("ts_ns"), BATCH_NS))
-    samples = named.withColumn("kind", F.lit(0)).withColumn("stack_key", F.col("stacktrace_id"))
+    named = inputs.samples(t).withColumn("file", F.concat_ws("-", "node", floor_div(F.col("ts_ns"), file_ns).cast("string"))).withColumn(
+        "batch", floor_div(F.col("ts_ns"), batch_ns))
+    samples = named.withColumns({
+        "record": F.lit("samples"), "schema_version": F.lit("v1"), "labels": F.create_map(F.lit("comm"), F.col("comm"), F.lit("node"), F.col("node"))})
     first = new_stacktraces(named, ["file"], "batch").withColumnRenamed("first_batch", "batch")
     located = stack_locations(resolve_frames(join_frame_executable(
         inputs.frames(t), inputs.executables(t)), "v1"), "stacktrace_id", stacks=inputs.stack_table(t))
-    stacks = first.join(located, "stacktrace_id").withColumn("kind", F.lit(1))
-    rows = samples.select("file", "batch", "kind", "stacktrace_id", "node", "comm", "ts_ns", *NUMBERS, *TEXTS).unionByName(
-        stacks.select("file", "batch", "kind", "stacktrace_id", "is_complete", "locations"), allowMissingColumns=True)
+    stacks = first.join(located, "stacktrace_id").withColumn("record", F.lit("stacktraces"))
+    rows = samples.select("record", "file", "batch", "schema_version", "labels", "stacktrace_id", "ts_ns", *NUMBERS, *TEXTS).unionByName(
+        stacks.select("record", "file", "batch", "stacktrace_id", "is_complete", "locations"), allowMissingColumns=True)
     return rows.withColumn("stacktrace_id", F.unhex(F.lpad(F.hex(F.col("stacktrace_id")), 32, "0")))
 
 
 def write_batch_files(t: Tables) -> str:
     """Write the files into the shared folder and return their path."""
-    ship_package(t.spark)
-    root = qualified(t.spark, shared_dir(t.spark, "batch-log"))
-    sorted_rows = records(t).repartition("file").sortWithinPartitions("file", "batch", "kind", "ts_ns")
-    sorted_rows.mapInArrow(writer(root), "file string, batches long").write.format("noop").mode("overwrite").save()
+    root = shared_dir(t.spark, "batch-log")
+    write_batch_log(records(t), root)
     return root

@@ -16,7 +16,7 @@ from stackloom.plans.q_probes import _SPANS, _THREAD, _LAUNCHES, _MATCHED, _TIMI
 from stackloom.plans.registry import query
 from stackloom.session import shared_dir
 from stackloom.sources import tables
-from stackloom.sources.batch_log import read_batch_log, replay_batch_log
+from stackloom.sources.batch_log import REPLAY_COLUMNS, read_batch_log, replay_batch_log
 from stackloom.streaming import joins as stream_joins
 from stackloom.streaming import probes as stream_probes
 from stackloom.streaming import report
@@ -110,6 +110,18 @@ def _(t: Tables):
                           F.hex("stacktrace_id").alias("stacktrace_id"), *_FIXED.replace("\n", " ").split(", "))
 
 
+@query("batch_log_stream", f"""
+    SELECT node || '-' || CAST(ts_ns // {FILE_NS} AS VARCHAR) || '.padata' AS file, 'comm=' || comm || ',node=' || node AS labels,
+           lpad(to_hex(stack_key), 32, '0') AS stacktrace_id, {_FIXED}
+    FROM ox_samples""")
+def _(t: Tables):
+    path = shared_dir(t.spark, "stream-batch-log")
+    samples = read_batch_log(t.spark, write_batch_files(t), streaming=True).select(
+        "file", labels_string(F.col("labels")).alias("labels"), F.hex("stacktrace_id").alias("stacktrace_id"), *_FIXED.replace("\n", " ").split(", "))
+    _finish(report.stream_report(samples, report.parquet_flush(f"{path}/out"), f"{path}/checkpoint", None))
+    return t.spark.read.parquet(f"{path}/out").drop("batch_id")
+
+
 @query("replay_batch_log", f"""
     WITH b AS (SELECT DISTINCT node || '-' || CAST(ts_ns // {FILE_NS} AS VARCHAR) || '.padata.zst' AS file,
                       ts_ns // {BATCH_NS} AS part, stack_key FROM ox_samples),
@@ -119,8 +131,7 @@ def _(t: Tables):
     SELECT n.file, n.batch, lpad(to_hex(n.stack_key), 32, '0') AS stacktrace_id, coalesce(st.is_complete, false) AS is_complete, st.locations
     FROM n LEFT JOIN st ON n.stack_key = st.stack_key""")
 def _(t: Tables):
-    path = write_batch_files(t)
-    replayed = replay_batch_log(read_batch_log(t.spark, path), read_batch_log(t.spark, path, "stacktraces"))
+    replayed = replay_batch_log(read_batch_log(t.spark, write_batch_files(t), "all", REPLAY_COLUMNS))
     return replayed.select("file", "batch", F.hex("stacktrace_id").alias("stacktrace_id"), "is_complete",
                            _location_text("locations").alias("locations"))
 

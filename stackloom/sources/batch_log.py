@@ -1,32 +1,39 @@
-"""Off-line batch logs (``.padata``, ``.padata.zst``) as a Spark data source, and their replay.
+"""Off-line batch logs (``.padata``, ``.padata.zst``) as a Spark data source, read in batch and as a stream, and their replay.
 
 A file holds a header (magic, version, number of batches, big-endian) and per batch a length-prefixed
 Arrow stream of samples; files with v1 records add a second stream with the stacks new to the file.
-The header count is written last, so whatever lies behind that many batches is ignored.
+The header count is written last, so whatever lies behind that many batches is ignored. Names that start with ``_`` or ``.``
+(also of folders) are files still being written.
 
 ``spark.read.format("batch_log").option("record", "samples").load(path)`` gives the samples,
-``record=stacktraces`` the stacks. Paths need a scheme there; ``read_batch_log`` adds that of the cluster's default file system
-to a path without one. A partition is a group of whole files, filled up to ``partition_bytes``
-with a fixed cost per file; one file spans one rotation interval of one host. Batches are decoded one at a
-time.
+``record=stacktraces`` the stacks, ``record=all`` both in one pass, told apart by a column ``record``. Paths need a scheme there;
+``read_batch_log`` adds that of the cluster's default file system to a path without one. A partition is a group of whole files,
+filled up to ``partition_bytes`` with a fixed cost per file; one file spans one rotation interval of one host. Batches are
+decoded one at a time, and only the ``columns`` asked for. Filters on ``file`` and ``record`` reach the list of files and the
+decoder (option ``pushdown``, which ``read_batch_log`` sets).
+
+``spark.readStream`` takes each batch once, as soon as the header counts it. Its offset names every file that is there with the
+number of batches read; a file keeps its name when it is compressed. ``batch_log_sink`` writes such files.
 """
 
 from __future__ import annotations
 
 import io
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition,
+    IsNotNull, LessThan, LessThanOrEqual, StringStartsWith)
+from pyspark.sql.types import StructType
 
-from stackloom.operators.sequence import asof_join
 from stackloom.session import qualified
 
 # The file format.
@@ -35,15 +42,16 @@ HEADER, LENGTH = struct.Struct(">IHH"), struct.Struct(">I")
 SUFFIXES = (".padata.zst", ".padata")
 PARTITION_BYTES, OPEN_COST = 128 << 20, 4 << 20
 
-LINES = ("lines array<struct<line:bigint,column:bigint,function_name:string,function_system_name:string,"
-         "function_filename:string,function_start_line:bigint>>")
-LOCATIONS = ("locations array<struct<address:bigint,frame_type:string,mapping_file:string,mapping_build_id:string,"
-             + LINES.replace("lines ", "lines:", 1) + ">>")
-SAMPLE_SCHEMA = (
-    "file string, batch int, row int, schema_version string, labels map<string,string>, stacktrace_id binary, "
-    "ts_ns bigint, value bigint, sample_type string, sample_unit string, period_type string, period_unit string, "
-    "producer string, temporality string, period bigint, duration bigint, " + LOCATIONS)
-STACK_SCHEMA = "file string, batch int, stacktrace_id binary, is_complete boolean, " + LOCATIONS
+LOCATIONS = (
+    "array<struct<address:bigint,frame_type:string,mapping_file:string,mapping_build_id:string,lines:array<struct<line:bigint,"
+    "column:bigint,function_name:string,function_system_name:string,function_filename:string,function_start_line:bigint>>>>")
+SAMPLE_FIELDS = {
+    "file": "string", "batch": "int", "row": "int", "schema_version": "string", "labels": "map<string,string>", "stacktrace_id": "binary",
+    "ts_ns": "bigint", "value": "bigint", "sample_type": "string", "sample_unit": "string", "period_type": "string", "period_unit": "string",
+    "producer": "string", "temporality": "string", "period": "bigint", "duration": "bigint", "locations": LOCATIONS}
+STACK_FIELDS = {"file": "string", "batch": "int", "stacktrace_id": "binary", "is_complete": "boolean", "locations": LOCATIONS}
+FIELDS = {"samples": SAMPLE_FIELDS, "stacktraces": STACK_FIELDS, "all": {"record": "string", **SAMPLE_FIELDS, **STACK_FIELDS}}
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 _LINE = pa.struct([
     ("line", pa.int64()), ("column", pa.int64()), ("function_name", pa.string()), ("function_system_name", pa.string()),
@@ -60,6 +68,13 @@ class FileGroup(InputPartition):
     files: list[str]
 
 
+@dataclass
+class Stretches(InputPartition):
+    """``(stem, first, last)``: so many batches (``last`` exclusive) of files, whether these are compressed by now or not."""
+
+    stretches: list[tuple[str, int, int]]
+
+
 def plain(array: pa.Array) -> pa.Array:
     """An array without run-end, dictionary, view or extension encoding."""
     kind = array.type
@@ -126,30 +141,34 @@ def schema_version(schema: pa.Schema) -> str:
     return "v2" if "stacktrace" in schema.names else "v1"
 
 
-def sample_columns(table: pa.Table, version: str) -> dict[str, pa.Array]:
-    columns = {n: plain(table.column(n).combine_chunks()) for n in table.column_names}
+def sample_columns(table: pa.Table, version: str, wanted: set[str]) -> dict[str, pa.Array]:
+    """The wanted columns of a samples record; nothing else is decoded."""
     rows = table.num_rows
-    if version == "v2":
-        labels = columns["labels"]
-        names = [labels.type.field(i).name for i in range(labels.type.num_fields)]
-        values, locations = labels.flatten(), conform(columns["stacktrace"], pa.list_(_LOCATION))
-    else:
-        names = [n[len("labels."):] for n in columns if n.startswith("labels.")]
-        values, locations = [columns[f"labels.{n}"] for n in names], pa.nulls(rows, pa.list_(_LOCATION))
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    out = {"schema_version": pa.array([version] * rows, pa.string()),
-           "labels": label_maps([names[i] for i in order], [values[i] for i in order], rows),
-           "stacktrace_id": columns["stacktrace_id"].cast(pa.binary()),
-           "ts_ns": conform(columns["timestamp"], pa.int64()), "value": conform(columns["value"], pa.int64())}
-    out |= {n: columns[n].cast(pa.string()) if n in columns else pa.nulls(rows, pa.string()) for n in _TEXT}
-    out |= {n: conform(columns[n], pa.int64()) for n in ("period", "duration")}
-    return out | {"locations": locations}
-
-
-def stack_columns(table: pa.Table) -> dict[str, pa.Array]:
-    columns = {n: plain(table.column(n).combine_chunks()) for n in table.column_names}
-    return {"stacktrace_id": columns["stacktrace_id"].cast(pa.binary()), "is_complete": columns["is_complete"],
-            "locations": conform(columns["locations"], pa.list_(_LOCATION))}
+    decoded = lambda n: plain(table.column(n).combine_chunks())
+    out = {}
+    if "schema_version" in wanted:
+        out["schema_version"] = pa.array([version] * rows, pa.string())
+    if "labels" in wanted:
+        if version == "v2":
+            labels = decoded("labels")
+            named = dict(zip([labels.type.field(i).name for i in range(labels.type.num_fields)], labels.flatten()))
+        else:
+            named = {n[len("labels."):]: decoded(n) for n in table.column_names if n.startswith("labels.")}
+        order = sorted(named)
+        out["labels"] = label_maps(order, [named[n] for n in order], rows)
+    if "stacktrace_id" in wanted:
+        out["stacktrace_id"] = decoded("stacktrace_id").cast(pa.binary())
+    out |= {n: conform(decoded("timestamp" if n == "ts_ns" else n), pa.int64()) for n in ("ts_ns", "value", "period", "duration") if n in wanted}
+    out |= {n: decoded(n).cast(pa.string()) if n in table.column_names else pa.nulls(rows, pa.string()) for n in _TEXT if n in wanted}
+    if "locations" in wanted:
+        places = pa.list_(_LOCATION)
+        out["locations"] = conform(decoded("stacktrace"), places) if version == "v2" else pa.nulls(rows, places)
+    return out
+
+
+def stack_columns(table: pa.Table, wanted: set[str]) -> dict[str, pa.Array]:
+    kinds = {"stacktrace_id": pa.binary(), "is_complete": pa.bool_(), "locations": pa.list_(_LOCATION)}
+    return {n: conform(plain(table.column(n).combine_chunks()), kind) for n, kind in kinds.items() if n in wanted}
 
 
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -165,39 +184,100 @@ def _exactly(stream, size: int) -> bytes:
     return data
 
 
-def read_records(stream, wanted: str) -> Iterator[tuple[int, str, pa.Table]]:
-    """``(batch, version, record)`` of one open file, ``wanted`` being samples or stacktraces."""
+def _skip(stream, size: int) -> None:
+    while size:
+        size -= len(_exactly(stream, min(size, 1 << 20)))
+
+
+def read_count(stream) -> int:
+    """The number of batches the header vouches for."""
     magic, version, batches = HEADER.unpack(_exactly(stream, HEADER.size))
     if magic != MAGIC:
         raise ValueError("incorrect magic number")
     if version != FORMAT_VERSION:
         raise ValueError(f"unexpected format version {version}")
-    for batch in range(batches):
+    return batches
+
+
+def read_records(stream, wanted: tuple[str, ...], first: int = 0, last: int | None = None) -> Iterator[tuple[int, str, str, pa.Table]]:
+    """``(batch, record, version, table)`` of one open file, ``wanted`` being samples, stacktraces or both."""
+    batches = read_count(stream)
+    for batch in range(batches if last is None else min(last, batches)):
         record = _exactly(stream, LENGTH.unpack(_exactly(stream, LENGTH.size))[0])
         with pa.ipc.open_stream(record) as reader:
             tag = schema_version(reader.schema)
-            if wanted == "samples":
-                yield batch, tag, reader.read_all()
+            if "samples" in wanted and batch >= first:
+                yield batch, "samples", tag, reader.read_all()
         if tag == "v2":
             continue
         size = LENGTH.unpack(_exactly(stream, LENGTH.size))[0]
-        record = _exactly(stream, size)
-        if wanted == "stacktraces":
-            with pa.ipc.open_stream(record) as reader:
-                yield batch, tag, reader.read_all()
+        if "stacktraces" in wanted and batch >= first:
+            with pa.ipc.open_stream(_exactly(stream, size)) as reader:
+                yield batch, "stacktraces", tag, reader.read_all()
+        else:
+            _skip(stream, size)
 
 
-class BatchLogReader(DataSourceReader):
-    def __init__(self, path: str, record: str, partition_bytes: int = PARTITION_BYTES):
-        self.path, self.record, self.partition_bytes = path, record, partition_bytes
+class _Decoder:
+    """Record batches of the schema out of files: what batch and stream reader share."""
 
-    def partitions(self) -> list[FileGroup]:
+    def __init__(self, path: str, record: str, schema: StructType):
+        self.path, self.record = path, record
+        self.names = schema.names
+        self.kinds = {f.name: f.dataType for f in schema.fields}
+        self.records = ("samples", "stacktraces") if record == "all" else (record,)
+
+    def open(self, name: str):
+        system, _ = _file_system(self.path)
+        # The suffix tells the compression.
+        return io.BufferedReader(system.open_input_stream(name, compression="zstd" if name.endswith(".zst") else None))
+
+    def files(self) -> list[fs.FileInfo]:
         system, root = _file_system(self.path)
+        hidden = lambda f: any(part[:1] in ("_", ".") for part in f.path[len(root):].split("/"))
         found = system.get_file_info(fs.FileSelector(root, recursive=True))
-        files = sorted((f for f in found if f.is_file and f.path.endswith(SUFFIXES)), key=lambda f: f.path)
+        return sorted((f for f in found if f.is_file and f.path.endswith(SUFFIXES) and not hidden(f)), key=lambda f: f.path)
+
+    def decode(self, name: str, shown: str, first: int = 0, last: int | None = None) -> Iterator[pa.RecordBatch]:
+        wanted, arrow = set(self.names), _arrow_types()
+        with self.open(name) as stream:
+            for batch, record, version, table in read_records(stream, self.records, first, last):
+                rows = table.num_rows
+                columns = {"record": pa.array([record] * rows, pa.string()), "file": pa.array([shown] * rows, pa.string()),
+                           "batch": pa.array(np.full(rows, batch), pa.int32())}
+                if record == "samples":
+                    columns["row"] = pa.array(np.arange(rows), pa.int32())
+                    columns |= sample_columns(table, version, wanted)
+                else:
+                    columns |= stack_columns(table, wanted)
+                yield pa.RecordBatch.from_arrays(
+                    [columns[n] if n in columns else pa.nulls(rows, arrow[n]) for n in self.names], names=self.names)
+
+
+def _arrow_types() -> dict[str, pa.DataType]:
+    """Types of the columns that a record may lack."""
+    return {n: pa.string() for n in ("schema_version", *_TEXT)} | {n: pa.int64() for n in ("ts_ns", "value", "period", "duration")} | {
+        "row": pa.int32(), "labels": _LABELS, "is_complete": pa.bool_(), "locations": pa.list_(_LOCATION)}
+
+
+_COMPARE = {EqualTo: lambda a, b: a == b, EqualNullSafe: lambda a, b: a == b, In: lambda a, b: a in b, GreaterThan: lambda a, b: a > b,
+            GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b,
+            StringStartsWith: lambda a, b: a.startswith(b), IsNotNull: lambda a, b: True}
+
+
+class BatchLogReader(_Decoder, DataSourceReader):
+    def __init__(self, path: str, record: str, schema: StructType, partition_bytes: int = PARTITION_BYTES):
+        super().__init__(path, record, schema)
+        self.partition_bytes = partition_bytes
+        self.conditions: list[tuple[type, object]] = []
+
+    def partitions(self) -> list[FileGroup]:
         groups: list[FileGroup] = []
         room = 0
-        for file in files:
+        for file in self.files() if self.records else []:
+            name = file.path.rsplit("/", 1)[-1]
+            if not all(_COMPARE[kind](name, value) for kind, value in self.conditions):
+                continue
             if file.size + OPEN_COST > room:
                 groups.append(FileGroup([]))
                 room = self.partition_bytes
@@ -206,22 +286,77 @@ class BatchLogReader(DataSourceReader):
         return groups
 
     def read(self, partition: FileGroup) -> Iterator[pa.RecordBatch]:
-        if partition is None:
-            return
+        for name in partition.files if partition is not None else []:
+            yield from self.decode(name, name.rsplit("/", 1)[-1])
+
+
+class FilteringBatchLogReader(BatchLogReader):
+    """The reader that takes filters on the file name and the kind of record over from Spark."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            compare, value = _COMPARE.get(type(f)), getattr(f, "value", None)
+            if compare and f.attribute == ("file",):
+                self.conditions.append((type(f), value))
+            elif compare and f.attribute == ("record",):
+                self.records = tuple(r for r in self.records if compare(r, value))
+            else:
+                yield f
+
+
+class BatchLogStreamReader(_Decoder, DataSourceStreamReader):
+    """Every batch once, when the header counts it. ``file`` is the name of the open file, also after compression.
+
+    Offsets hold ``file: batches`` of the files that are there, so they shrink as files are removed; the counts of files that
+    can grow no more are read once.
+    """
+
+    def __init__(self, path: str, record: str, schema: StructType, partition_bytes: int = PARTITION_BYTES):
+        super().__init__(path, record, schema)
+        self.partition_bytes = partition_bytes
+        self.closed: dict[str, int] = {}
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        counts, closed = {}, {}
+        for file in self.files():
+            name = file.path
+            if name in self.closed:
+                count = self.closed[name]
+            else:
+                try:
+                    with self.open(name) as stream:
+                        count = read_count(stream)
+                except FileNotFoundError:  # compressed a moment ago
+                    continue
+            if name.endswith(".zst"):
+                closed[name] = count
+            stem = name.removesuffix(".zst")
+            counts[stem] = max(counts.get(stem, 0), count)
+        self.closed = closed
+        return counts
+
+    def partitions(self, start: dict, end: dict) -> list[Stretches]:
+        new = [(stem, start.get(stem, 0), count) for stem, count in sorted(end.items()) if count > start.get(stem, 0)]
+        sizes = {f.path.removesuffix(".zst"): f.size for f in self.files()} if new else {}
+        groups: list[Stretches] = []
+        room = 0
+        for stretch in new:
+            cost = sizes.get(stretch[0], 0) + OPEN_COST
+            if cost > room:
+                groups.append(Stretches([]))
+                room = self.partition_bytes
+            groups[-1].stretches.append(stretch)
+            room -= cost
+        return groups
+
+    def read(self, partition: Stretches) -> Iterator[pa.RecordBatch]:
         system, _ = _file_system(self.path)
-        for name in partition.files:
-            # The suffix tells the compression.
-            with system.open_input_stream(name, compression="zstd" if name.endswith(".zst") else None) as stream:
-                for batch, version, table in read_records(io.BufferedReader(stream), self.record):
-                    rows = table.num_rows
-                    columns = {"file": pa.array([name.rsplit("/", 1)[-1]] * rows, pa.string()),
-                               "batch": pa.array(np.full(rows, batch), pa.int32())}
-                    if self.record == "samples":
-                        columns["row"] = pa.array(np.arange(rows), pa.int32())
-                        columns |= sample_columns(table, version)
-                    else:
-                        columns |= stack_columns(table)
-                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        for stem, first, last in partition.stretches if partition is not None else []:
+            name = stem if system.get_file_info(stem).is_file else f"{stem}.zst"
+            yield from self.decode(name, stem.rsplit("/", 1)[-1], first, last)
 
 
 class BatchLogSource(DataSource):
@@ -231,36 +366,68 @@ class BatchLogSource(DataSource):
 
     def _record(self) -> str:
         record = self.options.get("record", "samples")
-        if record not in ("samples", "stacktraces"):
-            raise ValueError(f"record must be samples or stacktraces, not {record!r}")
+        if record not in FIELDS:
+            raise ValueError(f"record must be samples, stacktraces or all, not {record!r}")
         return record
 
     def schema(self) -> str:
-        return SAMPLE_SCHEMA if self._record() == "samples" else STACK_SCHEMA
-
-    def reader(self, schema) -> BatchLogReader:
+        fields = FIELDS[self._record()]
+        names = [n.strip() for n in self.options["columns"].split(",")] if "columns" in self.options else list(fields)
+        unknown = sorted(set(names) - set(fields))
+        if unknown:
+            raise ValueError(f"no columns {unknown} in {self._record()} records")
+        return ", ".join(f"{n} {fields[n]}" for n in names)
+
+    def reader(self, schema: StructType) -> BatchLogReader:
         size = int(self.options.get("partition_bytes", PARTITION_BYTES))
-        return BatchLogReader(self.options["path"], self._record(), size)
+        kind = FilteringBatchLogReader if self.options.get("pushdown") == "true" else BatchLogReader
+        return kind(self.options["path"], self._record(), schema, size)
+
+    def streamReader(self, schema: StructType) -> BatchLogStreamReader:
+        return BatchLogStreamReader(self.options["path"], self._record(), schema, int(self.options.get("partition_bytes", PARTITION_BYTES)))
 
+    def writer(self, schema: StructType, overwrite: bool):
+        from stackloom.sources.batch_log_sink import BatchLogWriter
 
-def read_batch_log(spark: SparkSession, path: str, record: str = "samples", **options: str) -> DataFrame:
+        return BatchLogWriter(self.options["path"], schema, overwrite, self.options.get("compress", "true") == "true")
+
+
+def read_batch_log(spark: SparkSession, path: str, record: str = "samples", columns: list[str] | None = None, streaming: bool = False,
+                   **options: str) -> DataFrame:
+    """The records of a folder, as a batch (with filters on ``file`` and ``record`` pushed down) or a stream."""
     spark.dataSource.register(BatchLogSource)
-    return spark.read.format("batch_log").option("record", record).options(**options).load(qualified(spark, path))
+    if columns:
+        options["columns"] = ",".join(columns)
+    if not streaming:
+        spark.conf.set(PUSHDOWN, "true")
+        options["pushdown"] = "true"
+    reader = spark.readStream if streaming else spark.read
+    return reader.format("batch_log").option("record", record).options(**options).load(qualified(spark, path))
+
+
+#: What a replay needs of the records.
+REPLAY_COLUMNS = ["record", "file", "batch", "schema_version", "stacktrace_id", "is_complete", "locations"]
 
 
-def replay_batch_log(samples: DataFrame, stacktraces: DataFrame) -> DataFrame:
+def replay_batch_log(records: DataFrame, stacktraces: DataFrame | None = None) -> DataFrame:
     """The stacks to send with every batch: each id a batch of samples holds, resolved.
 
+    ``records`` holds both kinds of rows (``record=all``), so that a file is read once; with ``stacktraces`` it holds the samples alone.
     A stack may stand in an earlier batch of the file; the newest one up to the batch counts. An id that
     was never stored gives an empty, incomplete row. Batches with v2 records carry their stacks themselves.
-    NULL mapping names stay NULL.
+    NULL mapping names stay NULL. Rows are folded per file, batch and stack before they are ordered.
     """
-    key = ["file", "batch", "stacktrace_id"]
-    v1 = samples.where("schema_version = 'v1'").select(*key).distinct()
-    dims = stacktraces.select("file", "stacktrace_id", F.col("batch").alias("stored_batch"), "is_complete", "locations")
-    found = asof_join(v1, dims, ["file", "stacktrace_id"], "batch", "stored_batch", ["is_complete", "locations"],
-                      None, width=1 << 16)
-    v2 = samples.where("schema_version = 'v2'").groupBy(*key).agg(
-        F.first("locations").alias("locations")).withColumn("is_complete", F.lit(True))
-    return (found.withColumn("is_complete", F.coalesce("is_complete", F.lit(False)))
-            .unionByName(v2.select(*key, "is_complete", "locations")))
+    if stacktraces is not None:
+        records = records.withColumn("record", F.lit("samples")).unionByName(
+            stacktraces.withColumn("record", F.lit("stacktraces")), allowMissingColumns=True)
+    is_sample = F.col("record") == "samples"
+    own = is_sample & (F.col("schema_version") == "v2")
+    value = F.struct("is_complete", "locations")
+    folded = records.groupBy("file", "batch", "stacktrace_id").agg(
+        F.bool_or(is_sample).alias("_asked"),
+        F.first(F.when(own, F.struct(F.lit(True).alias("is_complete"), "locations")), ignorenulls=True).alias("_own"),
+        F.first(F.when(~is_sample, value), ignorenulls=True).alias("_stack"))
+    upto = Window.partitionBy("file", "stacktrace_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    found = folded.withColumn("_found", F.coalesce("_own", F.last("_stack", ignorenulls=True).over(upto))).where("_asked")
+    return found.select("file", "batch", "stacktrace_id", F.coalesce("_found.is_complete", F.lit(False)).alias("is_complete"),
+                        F.col("_found.locations").alias("locations"))

@@ -6,7 +6,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from stackloom.sources.batch_log import plain, read_batch_log, replay_batch_log
+from pyspark.sql import functions as F
+
+from stackloom.session import shared_dir
+from stackloom.sources import batch_log_sink
+from stackloom.sources.batch_log import REPLAY_COLUMNS, plain, read_batch_log, replay_batch_log
+from stackloom.sources.batch_log_sink import write_batch_log
 from stackloom.sources.tables import batch_log_inventory
 
 LINE = pa.struct([("line", pa.int64()), ("column", pa.uint64()), ("function_name", pa.string()),
@@ -144,3 +149,145 @@ def test_plain_keeps_nulls():
     assert plain(array).to_pylist() == ["a", "a", None, "b"]
     views = pa.array([[1, 2], None, [], [3]], pa.list_view(pa.int64()))
     assert plain(views).to_pylist() == [[1, 2], None, [], [3]]
+
+
+# --- both kinds of records, columns and filters ------------------------------------------------------------------------------
+
+def by_place(rows):
+    return sorted((r.asDict(recursive=True) for r in rows), key=lambda r: (r["record"], r["file"], r["batch"], r["row"] or 0, bytes(r["stacktrace_id"])))
+
+
+def test_all_records_in_one_pass(spark, folder):
+    path = str(folder)
+    rows = read_batch_log(spark, path, "all")
+    for kind, count in (("samples", 9), ("stacktraces", 4)):
+        one = read_batch_log(spark, path, kind)
+        same = rows.where(F.col("record") == kind).select(one.columns)
+        key = lambda r: str(r)
+        assert sorted(same.collect(), key=key) == sorted(one.collect(), key=key) and one.count() == count
+    twice = replay_batch_log(read_batch_log(spark, path), read_batch_log(spark, path, "stacktraces")).collect()
+    once = replay_batch_log(read_batch_log(spark, path, "all", REPLAY_COLUMNS))
+    assert once._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 1
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice))
+
+
+def test_columns_are_chosen(spark, folder, monkeypatch):
+    rows = read_batch_log(spark, str(folder), columns=["value", "file"])
+    assert rows.columns == ["value", "file"] and sorted(r.value for r in rows.collect()) == [1] * 7 + [2, 3]
+    with pytest.raises(Exception, match="no columns"):
+        read_batch_log(spark, str(folder), columns=["nothing"])
+    from stackloom.sources import batch_log
+    table = pa.table({"timestamp": pa.array([1]), "value": pa.array([2]), "labels.x": pa.array(["y"]), "stacktrace_id": pa.array([A])})
+    monkeypatch.setattr(batch_log, "label_maps", None)  # labels that nobody wants are not decoded
+    assert batch_log.sample_columns(table, "v1", {"value"})["value"].to_pylist() == [2]
+
+
+def test_filters_reach_the_files(spark, folder):
+    rows = read_batch_log(spark, str(folder), "all", partition_bytes="1")
+    (folder / "4-1.padata").write_bytes(b"no batch log")  # any task that opens it fails
+    for condition, files in ((F.col("file") == "3-1.padata", {"3-1.padata"}), (F.col("file").isin("1-1.padata.zst", "2-1.padata"), {"1-1.padata.zst", "2-1.padata"}),
+                             (F.col("file") < "3", {"1-1.padata.zst", "2-1.padata"}), (F.col("file").startswith("2"), {"2-1.padata"})):
+        kept = rows.where(condition)
+        assert {r.file for r in kept.collect()} == files
+        assert kept.rdd.getNumPartitions() == len(files)
+    stacks = rows.where("record = 'stacktraces' AND file < '4' AND is_complete")
+    assert {r.record for r in stacks.collect()} == {"stacktraces"} and stacks.count() == 4
+    with pytest.raises(Exception, match="magic|ends after"):
+        read_batch_log(spark, str(folder), "all").collect()
+
+
+# --- the stream ------------------------------------------------------------------------------------------------------------
+
+def take(spark, path, out, checkpoint):
+    """What a run of the stream over all that is there adds."""
+    rows = read_batch_log(spark, path, "all", ["record", "file", "batch", "value"], streaming=True)
+    before = spark.read.parquet(out).count() if checkpoint.exists() else 0
+    query = rows.writeStream.option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start(out, format="parquet")
+    query.awaitTermination()
+    return (spark.read.parquet(out).count() if checkpoint.exists() else 0) - before
+
+
+def test_stream_takes_every_batch_once(spark, tmp_path):
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), tmp_path / "checkpoint"
+    folder.mkdir()
+    records = [samples_v1([A, B], node=["n", "n"]), stacks_v1({A: [1]}), samples_v1([B], node=["n"]), stacks_v1({B: [2]}),
+               samples_v1([A], node=["n"]), stacks_v1({})]
+    write(folder / "1-1.padata", records[:2], 1, tail=b"\0\0\1\0torn")
+    (folder / "_staging").mkdir()
+    write(folder / "_staging" / "9-9.padata", records[:2], 1)
+    assert take(spark, str(folder), out, checkpoint) == 3
+    write(folder / "1-1.padata", records[:4], 2)  # the torn batch is written again, and counted
+    write(folder / "2-1.padata.zst", records[:2], 1)
+    assert take(spark, str(folder), out, checkpoint) == 2 + 3
+    assert take(spark, str(folder), out, checkpoint) == 0  # a restart repeats nothing
+    (folder / "1-1.padata").unlink()
+    write(folder / "1-1.padata.zst", records, 3)  # goes on under its name when compressed
+    assert take(spark, str(folder), out, checkpoint) == 1
+    (folder / "2-1.padata.zst").unlink()
+    assert take(spark, str(folder), out, checkpoint) == 0
+    rows = spark.read.parquet(out)
+    assert rows.groupBy("file", "batch", "record").count().where("count > 2").count() == 0
+    assert {(r.file, r.batch) for r in rows.collect()} == {("1-1.padata", 0), ("1-1.padata", 1), ("1-1.padata", 2), ("2-1.padata", 0)}
+
+
+# --- the sink --------------------------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_sink_and_back(spark, folder, tmp_path, compress):
+    rows = read_batch_log(spark, str(folder), "all")
+    path = shared_dir(spark, "sink")
+    write_batch_log(rows, path, compress=compress)
+    back = read_batch_log(spark, path, "all")
+    stem = F.regexp_replace("file", r"\.padata(\.zst)?$", "")
+    assert by_place(back.withColumn("file", stem).collect()) == by_place(rows.withColumn("file", stem).collect())
+    names = {r.path.rsplit("/", 1)[-1] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").collect()}
+    assert names == {f"{n}-1.padata{'.zst' if compress else ''}" for n in (1, 2, 3)}
+    with pytest.raises(Exception, match="written twice"):
+        write_batch_log(rows, path, compress=compress)
+    assert back.count() == rows.count()
+    write_batch_log(rows.where("file like '1%'"), path, mode="overwrite", compress=compress)
+    assert {r.file[0] for r in read_batch_log(spark, path).collect()} == {"1"}
+
+
+def test_task_that_dies_half_way(spark, folder, tmp_path):
+    path = tmp_path / "sink"
+    rows = read_batch_log(spark, str(folder), "all")
+    write_batch_log(rows.where("file like '1%'"), str(path))
+    broken = rows.withColumn("file", F.concat(F.lit("x"), "file")).withColumn("value", F.when(F.col("file").like("x3%"), F.raise_error("killed")).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="killed"):
+        write_batch_log(broken, str(path))
+    assert read_batch_log(spark, str(path)).count() == 5 and sorted(p.name for p in path.iterdir() if not p.name.startswith(".")) == ["1-1.padata.zst"]
+
+
+def test_writer_holds_one_batch(spark, tmp_path, monkeypatch):
+    """Batches are on disk before the next one is looked at; an attempt that ends early leaves no file in place."""
+    from pyspark.sql.types import StructType
+
+    from stackloom.sources.batch_log import FIELDS, BatchLogReader
+    schema = StructType.fromDDL(", ".join(f"{n} {kind}" for n, kind in FIELDS["all"].items()))
+    added = []
+    add = batch_log_sink._File.add
+    monkeypatch.setattr(batch_log_sink._File, "add", lambda self, rows: (added.append(len(rows)), add(self, rows)))
+    writer = batch_log_sink.BatchLogWriter(f"file://{tmp_path}", schema, False, True)
+    kinds = pa.schema([("record", pa.string()), ("file", pa.string()), ("batch", pa.int32()), ("schema_version", pa.string()),
+                       ("labels", pa.map_(pa.string(), pa.string())), ("stacktrace_id", pa.binary()), ("ts_ns", pa.int64()),
+                       ("is_complete", pa.bool_()), ("locations", pa.list_(LOCATION)), *[(n, pa.int64()) for n in ("value", "period", "duration")],
+                       *[(n, pa.string()) for n in (*TEXTS, "temporality")]])
+
+    def chunks(stop):
+        for i in range(6):
+            if i == stop:
+                raise RuntimeError("killed")
+            assert len(added) == max(0, i - 1)
+            yield pa.RecordBatch.from_pylist([{"record": "samples", "file": "f", "batch": i, "schema_version": "v1", "labels": [("k", str(i))],
+                                               "stacktrace_id": A, "ts_ns": i, "value": i, "period": 1, "duration": 1}], kinds)
+
+    with pytest.raises(RuntimeError):
+        writer.write(chunks(4))
+    assert not list(tmp_path.glob("*.zst"))
+    added.clear()
+    writer.commit([writer.write(chunks(None)), None])
+    assert [p.name for p in tmp_path.iterdir()] == ["f.padata.zst"]
+    reader = BatchLogReader(f"file://{tmp_path}", "samples", StructType.fromDDL("file string, batch int, labels map<string,string>, value bigint"))
+    found = pa.Table.from_batches(b for p in reader.partitions() for b in reader.read(p)).to_pylist()
+    assert [(r["batch"], r["value"], r["labels"]) for r in found] == [(i, i, [("k", str(i))]) for i in range(6)]
