@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm.words import IS_MARK, IS_SPACE, mix, words_of
+from stackloom.session import stored
 
 PAIR, REPEAT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xD1342543DE82EF95)
 NOT_MARK = ~IS_MARK | IS_SPACE
@@ -87,9 +88,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = 4_
     marked = labels.where(train & F.col("quality").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).cast("int").alias("y")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")).join(marked, "doc_id")
-    clear = (rows.groupBy("text_key").agg(F.min("y").alias("y"), F.max("y").alias("most"), F.min(F.length("text")).alias("chars"))
-             .where("y = most"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.length(text).alias("chars"))
+    # texts stay behind: their hashes meet the labels
+    clear = stored(keyed.join(marked, "doc_id").groupBy("text_key").agg(F.min("y").alias("y"), F.max("y").alias("most"), F.min("chars").alias("chars"))
+                   .where("y = most").select("text_key", "y", "chars"), "labelled")
     sizes = {r["y"]: r for r in clear.groupBy("y").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()}
     if len(sizes) < 2:
         return Model(np.zeros(2**bits, np.float32), {(): -40.0, (0,): -40.0, (1,): 40.0}[tuple(sizes)])
@@ -97,7 +99,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = 4_
     total = sum(r["n"] for r in sizes.values())
     drawn = F.pmod(F.xxhash64("text_key", F.lit(7)), F.lit(PLACES).cast("long")) < F.when(F.col("y") == 1, int(share[1] * PLACES)).otherwise(
         int(share[0] * PLACES))
-    sample = rows.where(drawn).groupBy("text_key").agg(F.min("y").alias("y"), F.max("y").alias("most"), F.first("text").alias("text"))
+    chosen = F.broadcast(clear.where(drawn).select("text_key", "y"))  # about sample_rows rows of each label
+    sample = (docs.select(text.alias("text"), F.xxhash64(text).alias("text_key")).join(chosen, "text_key")
+              .groupBy("text_key").agg(F.first("y").alias("y"), F.first("text").alias("text")))
 
     def learn(key, table):
         table = table.sort_by([("text_key", "ascending")])  # an order that has nothing to do with label or place
@@ -107,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = 4_
         at = np.flatnonzero(model.weights)
         return pa.table({"slot": pa.array(np.r_[at, -1], pa.int64()), "weight": pa.array(np.r_[model.weights[at], model.bias], pa.float64())})
 
-    found = sample.where("y = most").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(learn, "slot long, weight double").toArrow()
+    found = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(learn, "slot long, weight double").toArrow()
     slot, weight = found["slot"].to_numpy(), found["weight"].to_numpy()
     weights = np.zeros(2**bits, np.float32)
     weights[slot[slot >= 0]] = weight[slot >= 0]
