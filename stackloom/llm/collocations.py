@@ -34,7 +34,7 @@ IS_GAP = IS_BREAK.copy()
 IS_GAP[list(b" \t")] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES = 8_000_000
+SLICE_BYTES, PHRASES_AT_ONCE = 2_000_000, 50_000
 TABLE_BITS = 24
 COUNTED = "lang string, phrase string, n long"
 SCALE = 2_000_000
@@ -80,6 +80,11 @@ def _phrases(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.nda
     return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(out[keep].tobytes()))
 
 
+def _rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases.cast(pa.string()), pa.array(counts, pa.int64())],
+                                      ["lang", "phrase", "n"])
+
+
 def _distinct(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each distinct run first stands, and how often it does."""
     _, first, number, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
@@ -107,7 +112,7 @@ def counted(docs: DataFrame, n: int, pairs=None, grow=None, end=None, whole=None
                 words = words_of(texts, lower=True, separators=IS_GAP, places=True)
                 if len(words.hash) < n:
                     continue
-                piece = np.cumsum(IS_BREAK[data])[words.begin]
+                piece = np.cumsum(IS_BREAK[data], dtype=np.int32)[words.begin]
                 last = len(words.hash) - n + 1
                 text = words.text_of_word()
                 fits = (text[:last] == text[n - 1:]) & (piece[:last] == piece[n - 1:])
@@ -124,11 +129,11 @@ def counted(docs: DataFrame, n: int, pairs=None, grow=None, end=None, whole=None
                     fits &= _marked(whole, _slot(hashes, lang))
                 at = np.flatnonzero(fits)
                 first, count = _distinct(hashes[at], rolling_check(words.hash, n)[at])
-                found = _phrases(data, words.begin, words.end, at[first], n).cast(pa.string())
+                first = at[first]
+                for a in range(0, len(first), PHRASES_AT_ONCE):
+                    yield _rows(lang, _phrases(data, words.begin, words.end, first[a:a + PHRASES_AT_ONCE], n), count[a:a + PHRASES_AT_ONCE])
                 if n == 1:
-                    found, count = pa.concat_arrays([found, pa.array([""])]), np.r_[count, len(words.hash)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), found, pa.array(count, pa.int64())],
-                                                 ["lang", "phrase", "n"])
+                    yield _rows(lang, pa.array([""], pa.large_string()), np.array([len(words.hash)]))
 
     return docs.mapInArrow(tally, COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
