@@ -9,8 +9,9 @@ The header count is written last, so whatever lies behind that many batches is i
 ``record=stacktraces`` the stacks, ``record=all`` both in one pass, told apart by a column ``record``. Paths need a scheme there;
 ``read_batch_log`` adds that of the cluster's default file system to a path without one. A partition is a group of whole files,
 filled up to ``partition_bytes`` with a fixed cost per file; one file spans one rotation interval of one host. Batches are
-decoded one at a time, and only the ``columns`` asked for. Filters on ``file`` and ``record`` reach the list of files and the
-decoder (option ``pushdown``, which ``read_batch_log`` sets).
+decoded one at a time, and only the ``columns`` asked for. ``files`` (patterns of names, as a JSON list) selects files before
+any is opened. These selections are options and not filters pushed down by Spark: in Spark 4.1 a Python data source keeps
+the filters of the last plan that used it, so a DataFrame that is filtered in one query and whole in the next would lose rows.
 
 ``spark.readStream`` takes each batch once, as soon as the header counts it. Its offset names every file that is there with the
 number of batches read; a file keeps its name when it is compressed. ``batch_log_sink`` writes such files.
@@ -19,9 +20,11 @@ number of batches read; a file keeps its name when it is compressed. ``batch_log
 from __future__ import annotations
 
 import io
+import json
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,7 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition,
-    IsNotNull, LessThan, LessThanOrEqual, StringStartsWith)
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from stackloom.session import qualified
@@ -51,7 +52,6 @@ SAMPLE_FIELDS = {
     "producer": "string", "temporality": "string", "period": "bigint", "duration": "bigint", "locations": LOCATIONS}
 STACK_FIELDS = {"file": "string", "batch": "int", "stacktrace_id": "binary", "is_complete": "boolean", "locations": LOCATIONS}
 FIELDS = {"samples": SAMPLE_FIELDS, "stacktraces": STACK_FIELDS, "all": {"record": "string", **SAMPLE_FIELDS, **STACK_FIELDS}}
-PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 _LINE = pa.struct([
     ("line", pa.int64()), ("column", pa.int64()), ("function_name", pa.string()), ("function_system_name", pa.string()),
@@ -221,10 +221,9 @@ def read_records(stream, wanted: tuple[str, ...], first: int = 0, last: int | No
 class _Decoder:
     """Record batches of the schema out of files: what batch and stream reader share."""
 
-    def __init__(self, path: str, record: str, schema: StructType):
-        self.path, self.record = path, record
+    def __init__(self, schema: StructType, path: str, record: str, patterns: list[str] | None = None, partition_bytes: int = PARTITION_BYTES):
+        self.path, self.patterns, self.partition_bytes = path, patterns, partition_bytes
         self.names = schema.names
-        self.kinds = {f.name: f.dataType for f in schema.fields}
         self.records = ("samples", "stacktraces") if record == "all" else (record,)
 
     def open(self, name: str):
@@ -236,7 +235,8 @@ class _Decoder:
         system, root = _file_system(self.path)
         hidden = lambda f: any(part[:1] in ("_", ".") for part in f.path[len(root):].split("/"))
         found = system.get_file_info(fs.FileSelector(root, recursive=True))
-        return sorted((f for f in found if f.is_file and f.path.endswith(SUFFIXES) and not hidden(f)), key=lambda f: f.path)
+        chosen = lambda f: self.patterns is None or any(fnmatchcase(f.base_name, p) for p in self.patterns)
+        return sorted((f for f in found if f.is_file and f.path.endswith(SUFFIXES) and not hidden(f) and chosen(f)), key=lambda f: f.path)
 
     def decode(self, name: str, shown: str, first: int = 0, last: int | None = None) -> Iterator[pa.RecordBatch]:
         wanted, arrow = set(self.names), _arrow_types()
@@ -260,24 +260,11 @@ def _arrow_types() -> dict[str, pa.DataType]:
         "row": pa.int32(), "labels": _LABELS, "is_complete": pa.bool_(), "locations": pa.list_(_LOCATION)}
 
 
-_COMPARE = {EqualTo: lambda a, b: a == b, EqualNullSafe: lambda a, b: a == b, In: lambda a, b: a in b, GreaterThan: lambda a, b: a > b,
-            GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b,
-            StringStartsWith: lambda a, b: a.startswith(b), IsNotNull: lambda a, b: True}
-
-
 class BatchLogReader(_Decoder, DataSourceReader):
-    def __init__(self, path: str, record: str, schema: StructType, partition_bytes: int = PARTITION_BYTES):
-        super().__init__(path, record, schema)
-        self.partition_bytes = partition_bytes
-        self.conditions: list[tuple[type, object]] = []
-
     def partitions(self) -> list[FileGroup]:
         groups: list[FileGroup] = []
         room = 0
-        for file in self.files() if self.records else []:
-            name = file.path.rsplit("/", 1)[-1]
-            if not all(_COMPARE[kind](name, value) for kind, value in self.conditions):
-                continue
+        for file in self.files():
             if file.size + OPEN_COST > room:
                 groups.append(FileGroup([]))
                 room = self.partition_bytes
@@ -290,20 +277,6 @@ class BatchLogReader(_Decoder, DataSourceReader):
             yield from self.decode(name, name.rsplit("/", 1)[-1])
 
 
-class FilteringBatchLogReader(BatchLogReader):
-    """The reader that takes filters on the file name and the kind of record over from Spark."""
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            compare, value = _COMPARE.get(type(f)), getattr(f, "value", None)
-            if compare and f.attribute == ("file",):
-                self.conditions.append((type(f), value))
-            elif compare and f.attribute == ("record",):
-                self.records = tuple(r for r in self.records if compare(r, value))
-            else:
-                yield f
-
-
 class BatchLogStreamReader(_Decoder, DataSourceStreamReader):
     """Every batch once, when the header counts it. ``file`` is the name of the open file, also after compression.
 
@@ -311,9 +284,8 @@ class BatchLogStreamReader(_Decoder, DataSourceStreamReader):
     can grow no more are read once.
     """
 
-    def __init__(self, path: str, record: str, schema: StructType, partition_bytes: int = PARTITION_BYTES):
-        super().__init__(path, record, schema)
-        self.partition_bytes = partition_bytes
+    def __init__(self, *arguments):
+        super().__init__(*arguments)
         self.closed: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
@@ -378,13 +350,15 @@ class BatchLogSource(DataSource):
             raise ValueError(f"no columns {unknown} in {self._record()} records")
         return ", ".join(f"{n} {fields[n]}" for n in names)
 
+    def _arguments(self) -> tuple:
+        patterns = json.loads(self.options["files"]) if "files" in self.options else None
+        return self.options["path"], self._record(), patterns, int(self.options.get("partition_bytes", PARTITION_BYTES))
+
     def reader(self, schema: StructType) -> BatchLogReader:
-        size = int(self.options.get("partition_bytes", PARTITION_BYTES))
-        kind = FilteringBatchLogReader if self.options.get("pushdown") == "true" else BatchLogReader
-        return kind(self.options["path"], self._record(), schema, size)
+        return BatchLogReader(schema, *self._arguments())
 
     def streamReader(self, schema: StructType) -> BatchLogStreamReader:
-        return BatchLogStreamReader(self.options["path"], self._record(), schema, int(self.options.get("partition_bytes", PARTITION_BYTES)))
+        return BatchLogStreamReader(schema, *self._arguments())
 
     def writer(self, schema: StructType, overwrite: bool):
         from stackloom.sources.batch_log_sink import BatchLogWriter
@@ -392,15 +366,14 @@ class BatchLogSource(DataSource):
         return BatchLogWriter(self.options["path"], schema, overwrite, self.options.get("compress", "true") == "true")
 
 
-def read_batch_log(spark: SparkSession, path: str, record: str = "samples", columns: list[str] | None = None, streaming: bool = False,
-                   **options: str) -> DataFrame:
-    """The records of a folder, as a batch (with filters on ``file`` and ``record`` pushed down) or a stream."""
+def read_batch_log(spark: SparkSession, path: str, record: str = "samples", columns: list[str] | None = None,
+                   files: list[str] | None = None, streaming: bool = False, **options: str) -> DataFrame:
+    """The records of a folder, as a batch or a stream; ``columns`` are all that is decoded, ``files`` patterns of the names to read."""
     spark.dataSource.register(BatchLogSource)
-    if columns:
+    if columns is not None:
         options["columns"] = ",".join(columns)
-    if not streaming:
-        spark.conf.set(PUSHDOWN, "true")
-        options["pushdown"] = "true"
+    if files is not None:
+        options["files"] = json.dumps(files)
     reader = spark.readStream if streaming else spark.read
     return reader.format("batch_log").option("record", record).options(**options).load(qualified(spark, path))
 
