@@ -72,18 +72,21 @@ def metric_points_rollup(points: DataFrame, metric_defs: DataFrame, by: list[str
         F.when(F.col("metric_type") == "gauge", F.col("_last")).otherwise(F.col("_sum")).alias("value"))
 
 
-def counter_increase(points: DataFrame, series: list[str], width: int = HOUR_NS) -> DataFrame:
-    """Points with ``increase`` since the preceding one of their series; a drop means a restart from zero."""
-    steps = previous_values(points, series, "ts_ns", {"value": "_before"}, width)
+def counter_increase(points: DataFrame, series: list[str], width: int = HOUR_NS, tie: str | None = None) -> DataFrame:
+    """Points with ``increase`` since the preceding one of their series; a drop means a restart from zero.
+
+    Points of one series and time come in order of ``tie``, or of their value without it.
+    """
+    steps = previous_values(points, series, "ts_ns", {"value": "_before"}, width, tie)
     value, before = F.col("value"), F.col("_before")
     return (steps.withColumn("increase", F.when(before.isNull(), F.lit(0)).when(value < before, value)
                              .otherwise(value - before)).drop("_before"))
 
 
 def counter_rate(points: DataFrame, series: list[str], by: list[str], interval: str = "1 hour",
-                 width: int = HOUR_NS) -> DataFrame:
+                 width: int = HOUR_NS, tie: str | None = None) -> DataFrame:
     """Increase and per-second rate of counters per window, summed over the series of a label set."""
-    steps = counter_increase(points, series, width)
+    steps = counter_increase(points, series, width, tie)
     window = F.window(ns_to_ts(F.col("ts_ns")), interval)
     summed = steps.groupBy(*by, window.alias("w")).agg(F.sum("increase").alias("increase"))
     seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
@@ -98,10 +101,10 @@ def gauge_max(points: DataFrame, by: list[str], interval: str = "1 hour") -> Dat
 
 
 def ratio_of_rates(errors: DataFrame, samples: DataFrame, by: list[str], series: list[str],
-                   interval: str = "1 hour", width: int = HOUR_NS) -> DataFrame:
+                   interval: str = "1 hour", width: int = HOUR_NS, tie: str | None = None) -> DataFrame:
     """Errors per window and reason over all samples of that window. NULL where nothing was counted."""
-    top = counter_rate(errors, series, by, interval, width).withColumnRenamed("increase", "errors")
-    bottom = counter_rate(samples, series, [], interval, width).withColumnRenamed("increase", "samples")
+    top = counter_rate(errors, series, by, interval, width, tie).withColumnRenamed("increase", "errors")
+    bottom = counter_rate(samples, series, [], interval, width, tie).withColumnRenamed("increase", "samples")
     return top.drop("rate").join(bottom.drop("rate"), "window_start", "inner").withColumn(
         "ratio", F.try_divide("errors", "samples"))
 

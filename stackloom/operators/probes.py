@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions.re2 import java_pattern
-from stackloom.functions.values import trim_nul, unpack_probe_cookie
-from stackloom.operators.sequence import HOUR_NS, asof_join, previous_values, with_slice
+from stackloom.functions.values import floor_div, trim_nul, unpack_probe_cookie
+from stackloom.operators.sequence import HOUR_NS, with_slice
 
 
 @dataclass(frozen=True)
@@ -178,18 +178,15 @@ def probe_spans(scopes: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 def samples_in_span(samples: DataFrame, spans: DataFrame, keys: list[str], width: int = HOUR_NS) -> DataFrame:
-    """Samples of a thread joined to the span that covers their time, both ends included.
+    """Samples of a thread with each span that covers their time, both ends included: a row per sample and span.
 
-    Spans of one thread do not overlap, so the span that started last before a sample is the only
-    candidate, besides its predecessor if that ends at this very moment. No pairs are built and dropped.
+    An interval join: a span is laid out over the time slices it touches (its length over ``width``, plus one), samples lie in
+    one each, and the two meet by thread and slice before their times are compared. Spans may overlap, as those of
+    different probes do. A thread that is busy for days is spread over its slices; Spark splits a hot slice of samples.
     """
-    fields = ["start_ns", "end_ns", "spec_id", "probe_id"]
-    chained = previous_values(
-        spans.select(*keys, *fields), keys, "start_ns", {f: f"_before_{f}" for f in fields}, width)
-    payload = [*fields, *[f"_before_{f}" for f in fields]]
-    joined = asof_join(samples, chained, keys, "ts_ns", "start_ns", payload, None, width)
-    candidates = F.array(*[
-        F.struct(*[F.col(prefix + f).alias(f"span_{f}" if f.endswith("_ns") else f) for f in fields])
-        for prefix in ("", "_before_")])
-    covering = F.filter(candidates, lambda c: c["span_end_ns"] >= F.col("ts_ns"))
-    return joined.withColumn("_span", F.explode(covering)).select(*samples.columns, "_span.*")
+    laid = spans.select(
+        *keys, F.col("start_ns").alias("span_start_ns"), F.col("end_ns").alias("span_end_ns"), "spec_id", "probe_id",
+        F.explode(F.sequence(floor_div(F.col("start_ns"), width), floor_div(F.col("end_ns"), width))).alias("_slice"))
+    joined = with_slice(samples, "ts_ns", width).join(laid, [*keys, "_slice"])
+    return joined.where(F.col("ts_ns").between(F.col("span_start_ns"), F.col("span_end_ns"))).select(
+        *samples.columns, "span_start_ns", "span_end_ns", "spec_id", "probe_id")

@@ -22,9 +22,9 @@ def with_slice(rows: DataFrame, order: str, width: int) -> DataFrame:
     return rows.withColumn("_slice", floor_div(F.col(order), width))
 
 
-def _at_slice_heads(rows: DataFrame, keys: list[str], order: str, carry: list[str], tie: str | None) -> DataFrame:
+def _at_slice_heads(rows: DataFrame, keys: list[str], order: str, carry: list[str], ties: list[str]) -> DataFrame:
     """Sliced rows plus, ahead of each slice, the key's last row of its previous non-empty slice."""
-    place = F.struct(order, tie) if tie else F.col(order)
+    place = F.struct(order, *ties)
     last = rows.groupBy(*keys, "_slice").agg(
         F.max(order).alias("_last"), *[F.max_by(c, place).alias(f"_last_{c}") for c in carry])
     following = F.lead("_slice").over(Window.partitionBy(*keys).orderBy("_slice"))
@@ -34,40 +34,50 @@ def _at_slice_heads(rows: DataFrame, keys: list[str], order: str, carry: list[st
     return rows.withColumn("_seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
 
 
+def _orderable(rows: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the columns that rows can be ordered by: maps have no order."""
+    return [c for c in columns if "map" not in rows.schema[c].dataType.simpleString()]
+
+
 def previous_values(
     rows: DataFrame, keys: list[str], order: str, columns: dict[str, str], width: int = HOUR_NS, tie: str | None = None
 ) -> DataFrame:
     """Values of the preceding row of the key: ``columns`` maps a column to the name of its predecessor.
 
-    ``order`` is a numeric column. Where it is not unique within a key, ``tie`` names the column that decides, so that a rerun
-    gives the same answer.
+    ``order`` is a numeric column. Where it is not unique within a key, ``tie`` names the column that decides; without it the
+    values themselves do, so that a rerun gives the same answer.
     """
     carry = [c for c in columns if c != order]
-    seeded = _at_slice_heads(with_slice(rows, order, width), keys, order, carry, tie)
-    window = Window.partitionBy(*keys, "_slice").orderBy(F.col("_seed").desc(), order, *([tie] if tie else []))
+    ties = [tie] if tie else _orderable(rows, carry)
+    seeded = _at_slice_heads(with_slice(rows, order, width), keys, order, carry, ties)
+    window = Window.partitionBy(*keys, "_slice").orderBy(F.col("_seed").desc(), order, *ties)
     out = seeded.select("*", *[F.lag(c).over(window).alias(alias) for c, alias in columns.items()])
     return out.where(~F.col("_seed")).drop("_seed", "_slice")
 
 
 def asof_join(
     facts: DataFrame, dims: DataFrame, on: list[str], fact_time: str, dim_time: str, payload: list[str],
-    ttl: int | None = None, width: int = HOUR_NS,
+    ttl: int | None = None, width: int = HOUR_NS, tie: str | None = None,
 ) -> DataFrame:
     """Every fact with the latest dimension row of its key at or before its time (NULLs if none).
 
-    With ``ttl`` a dimension row older than that does not count. The facts are shuffled once, by key and
+    With ``ttl`` a dimension row older than that does not count. Of rows of one key and time the one with the greatest ``tie``
+    counts; without it the greatest payload (as far as it has an order). The facts are shuffled once, by key and
     slice; seed rows bring the dimension row in force at the start of a slice.
     """
     clash = set(facts.columns) & set(payload)
     if clash:
         raise ValueError(f"facts already have columns {sorted(clash)}")
     facts = with_slice(facts, fact_time, width)
-    dims = with_slice(dims.select(*on, F.col(dim_time), *[c for c in payload if c != dim_time]), dim_time, width)
-    value = F.struct(F.col(dim_time), *[F.col(c) for c in payload if c != dim_time])
+    carried = list(dict.fromkeys([dim_time, *payload, *([tie] if tie else [])]))
+    dims = with_slice(dims.select(*dict.fromkeys([*on, *carried])), dim_time, width)
+    value = F.struct(*[F.col(c) for c in carried])
+    ties = [tie] if tie else _orderable(dims, [c for c in carried if c != dim_time])
     dim_rows = dims.select(*on, "_slice", F.col(dim_time).alias("_t"), F.lit(1).alias("_side"), value.alias("_dim"))
 
     # One row per key and slice: the last dimension row of the slice, and a mark where facts wait for one.
-    last = dim_rows.groupBy(*on, "_slice").agg(F.max_by("_dim", "_t").alias("_dim"))
+    place = F.struct("_t", *[F.col(f"_dim.{c}").alias(f"_{i}") for i, c in enumerate(ties)])
+    last = dim_rows.groupBy(*on, "_slice").agg(F.max_by("_dim", place).alias("_dim"))
     waiting = facts.select(*on, "_slice").distinct().withColumn("_dim", F.lit(None).cast(last.schema["_dim"].dataType))
     steps = (last.withColumn("_side", F.lit(1))
              .unionByName(waiting.withColumn("_side", F.lit(0))))
@@ -82,7 +92,7 @@ def asof_join(
     fact_rows = facts.withColumn("_t", F.col(fact_time)).withColumn("_side", F.lit(2))
     rows = (fact_rows.unionByName(dim_rows, allowMissingColumns=True)
             .unionByName(seeds, allowMissingColumns=True))
-    upto = (Window.partitionBy(*on, "_slice").orderBy("_t", "_side")
+    upto = (Window.partitionBy(*on, "_slice").orderBy("_t", "_side", *[F.col(f"_dim.{c}") for c in ties])
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = F.last("_dim", ignorenulls=True).over(upto)
     joined = rows.withColumn("_found", found).where(F.col("_side") == 2)
@@ -94,39 +104,43 @@ def asof_join(
 
 
 def run_length_encode(
-    rows: DataFrame, keys: list[str], order: str, value: str, width: int = HOUR_NS
+    rows: DataFrame, keys: list[str], order: str, value: str, width: int = HOUR_NS, tie: str | None = None
 ) -> DataFrame:
     """Runs of equal neighbouring values: ``keys, run_start, run_end, <value>, run_length``.
 
-    NULLs next to each other form one run and never join a run of a value.
+    NULLs next to each other form one run and never join a run of a value. Rows of one key and order come in order of ``tie``,
+    or of the value without it.
     """
-    sliced = with_slice(rows.select(*keys, order, value), order, width)
-    window = Window.partitionBy(*keys, "_slice").orderBy(order)
+    ties = [tie] if tie else [value]
+    sliced = with_slice(rows.select(*dict.fromkeys([*keys, order, value, *ties])), order, width)
+    window = Window.partitionBy(*keys, "_slice").orderBy(order, *ties)
     same = F.lag(order).over(window).isNotNull() & F.col(value).eqNullSafe(F.lag(value).over(window))
-    marked = (sliced.withColumn("_start", F.when(~same, F.col(order)))
+    # a run is named by the number of its first row in the slice
+    marked = (sliced.withColumn("_start", F.when(~same, F.row_number().over(window)))
               .withColumn("_run", F.max("_start").over(window.rowsBetween(Window.unboundedPreceding, 0))))
     # Parts of runs per slice, still where the one shuffle of the rows has put them.
     inside = Window.partitionBy(*keys, "_slice")
     parts = marked.groupBy(*keys, "_slice", "_run").agg(
-        F.max(order).alias("run_end"), F.count(F.lit(1)).alias("run_length"), F.first(value).alias(value))
+        F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count(F.lit(1)).alias("run_length"), F.first(value).alias(value))
     edge = (F.col("_run") == F.min("_run").over(inside)) | (F.col("_run") == F.max("_run").over(inside))
     parts = parts.withColumn("_edge", edge)
-    whole = parts.where("NOT _edge").select(*keys, F.col("_run").alias("run_start"), "run_end", value, "run_length")
+    whole = parts.where("NOT _edge").select(*keys, "run_start", "run_end", value, "run_length")
     # Only the first and the last part of a slice can go on in another slice: two rows per slice.
-    line = Window.partitionBy(*keys).orderBy("_run")
+    line = Window.partitionBy(*keys).orderBy("_slice", "_run")
     goes_on = (F.lag("_slice").over(line) != F.col("_slice")) & F.col(value).eqNullSafe(F.lag(value).over(line))
     edges = (parts.where("_edge").withColumn("_new", F.when(goes_on, 0).otherwise(1))
              .withColumn("_number", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0))))
     joined = edges.groupBy(*keys, "_number").agg(
-        F.min("_run").alias("run_start"), F.max("run_end").alias("run_end"), F.first(value).alias(value),
+        F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.first(value).alias(value),
         F.sum("run_length").alias("run_length"))
     return whole.unionByName(joined.drop("_number"))
 
 
-def thread_migrations(samples: DataFrame, keys: list[str], order: str = "ts_ns", width: int = HOUR_NS) -> DataFrame:
-    """Rows whose cpu differs from the preceding one of the same thread."""
-    steps = previous_values(samples.select(*keys, order, "cpu"), keys, order, {"cpu": "previous_cpu"}, width)
-    return steps.where(F.col("previous_cpu").isNotNull() & (F.col("cpu") != F.col("previous_cpu")))
+def thread_migrations(samples: DataFrame, keys: list[str], order: str = "ts_ns", width: int = HOUR_NS, tie: str | None = None) -> DataFrame:
+    """Rows whose cpu differs from the preceding one of the same thread; rows of one time in order of ``tie``, else of cpu."""
+    columns = list(dict.fromkeys([*keys, order, "cpu", *([tie] if tie else [])]))
+    steps = previous_values(samples.select(*columns), keys, order, {"cpu": "previous_cpu"}, width, tie)
+    return steps.where(F.col("previous_cpu").isNotNull() & (F.col("cpu") != F.col("previous_cpu"))).select(*keys, order, "cpu", "previous_cpu")
 
 
 def clock_align(events: DataFrame, offsets: DataFrame, on: list[str], mono: str = "mono_ns", width: int = HOUR_NS

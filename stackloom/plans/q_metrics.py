@@ -32,7 +32,7 @@ def _(t: Tables):
 
 
 _INCREASE = """
-    WITH s AS (SELECT *, lag(value) OVER (PARTITION BY pod, cache ORDER BY ts_ns) AS before FROM fx_points),
+    WITH s AS (SELECT *, lag(value) OVER (PARTITION BY pod, cache ORDER BY ts_ns, event_id) AS before FROM fx_points),
     i AS (SELECT *, CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value ELSE value - before END AS increase,
                  time_bucket(INTERVAL 1 day, make_timestamp(ts_ns // 1000)) AS window_start FROM s)"""
 
@@ -40,7 +40,7 @@ _INCREASE = """
 @query("counter_rate", _INCREASE + """
     SELECT cache, window_start, sum(increase) AS increase, CAST(round(CAST(sum(increase) AS DOUBLE) / 86400 * 1000000) AS BIGINT) AS rate_micros FROM i GROUP BY 1, 2""")
 def _(t: Tables):
-    out = metrics.counter_rate(t.fx("fx_points"), ["pod", "cache"], ["cache"], "1 day", _DAY)
+    out = metrics.counter_rate(t.fx("fx_points"), ["pod", "cache"], ["cache"], "1 day", _DAY, tie="event_id")
     return out.select("cache", "window_start", "increase", F.round(F.col("rate") * 1_000_000).cast("long").alias("rate_micros"))
 
 
@@ -52,8 +52,8 @@ def _(t: Tables):
 
 
 @query("ratio_of_rates", """
-    WITH e AS (SELECT *, lag(value) OVER (PARTITION BY pod, cache ORDER BY ts_ns) AS before FROM fx_points WHERE result = 'miss'),
-    a AS (SELECT *, lag(value) OVER (PARTITION BY pod, cache ORDER BY ts_ns) AS before FROM fx_points),
+    WITH e AS (SELECT *, lag(value) OVER (PARTITION BY pod, cache ORDER BY ts_ns, event_id) AS before FROM fx_points WHERE result = 'miss'),
+    a AS (SELECT *, lag(value) OVER (PARTITION BY pod, cache ORDER BY ts_ns, event_id) AS before FROM fx_points),
     ei AS (SELECT cache, time_bucket(INTERVAL 1 day, make_timestamp(ts_ns // 1000)) AS window_start,
                   sum(CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value ELSE value - before END) AS errors
            FROM e GROUP BY 1, 2),
@@ -65,7 +65,7 @@ def _(t: Tables):
     FROM ei JOIN ai ON ei.window_start = ai.window_start""")
 def _(t: Tables):
     points = t.fx("fx_points")
-    out = metrics.ratio_of_rates(points.where("result = 'miss'"), points, ["cache"], ["pod", "cache"], "1 day", _DAY)
+    out = metrics.ratio_of_rates(points.where("result = 'miss'"), points, ["cache"], ["pod", "cache"], "1 day", _DAY, tie="event_id")
     return out.select("window_start", "cache", "errors", "samples",
                       F.round(F.col("ratio") * 1_000_000).cast("long").alias("ratio_micros"))
 
@@ -211,4 +211,4 @@ def _(t: Tables):
 def _(t: Tables):
     labels = F.create_map(F.lit("node"), F.col("node"), F.lit("comm"), F.col("comm"))
     rows = inputs.samples(t).drop("comm").join(inputs.processes(t).select("pid", "comm"), "pid").withColumn("labels", labels)
-    return profiles.cpu_time_by_label(rows, ["comm", "node"])
+    return profiles.cpu_time_by_label(rows, ["comm", "node"]).withColumn("cpu_ns", F.col("cpu_ns").cast("long"))

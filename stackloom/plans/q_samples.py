@@ -133,24 +133,31 @@ def _(t: Tables):
     return sequence.offcpu_sample(inputs.events(t), 0.25, ["event_id"]).select("event_id", "origin")
 
 
-@query("thread_migrations", """
+# Times by the hour and by the minute: many rows of a thread or node share one, and the event number decides.
+
+
+@query("thread_migrations", f"""
+    WITH e AS (SELECT node, tid, event_id, cpu, ts_ns // {sequence.HOUR_NS} * {sequence.HOUR_NS} AS ts_ns FROM fx_events)
     SELECT node, tid, ts_ns, cpu, previous_cpu FROM (
-        SELECT node, tid, ts_ns, cpu, lag(cpu) OVER (PARTITION BY node, tid ORDER BY ts_ns) AS previous_cpu FROM fx_events)
+        SELECT node, tid, ts_ns, cpu, lag(cpu) OVER (PARTITION BY node, tid ORDER BY ts_ns, event_id) AS previous_cpu FROM e)
     WHERE previous_cpu IS NOT NULL AND cpu <> previous_cpu""")
 def _(t: Tables):
-    return sequence.thread_migrations(inputs.events(t), ["node", "tid"], width=24 * sequence.HOUR_NS)
+    events = inputs.events(t).withColumn("ts_ns", F.expr(f"ts_ns div {sequence.HOUR_NS} * {sequence.HOUR_NS}"))
+    return sequence.thread_migrations(events, ["node", "tid"], width=24 * sequence.HOUR_NS, tie="event_id")
 
 
 @query("run_length_encode", """
-    WITH e AS (SELECT node, ts_ns, CASE WHEN origin = 'unknown' THEN NULL ELSE origin END AS origin FROM fx_events),
+    WITH e AS (SELECT node, event_id, ts_ns // 60000000000 * 60000000000 AS ts_ns,
+                      CASE WHEN origin = 'unknown' THEN NULL ELSE origin END AS origin FROM fx_events),
     s AS (SELECT *, CASE WHEN lag(ts_ns) OVER w IS NOT NULL AND origin IS NOT DISTINCT FROM lag(origin) OVER w
-                         THEN 0 ELSE 1 END AS st FROM e WINDOW w AS (PARTITION BY node ORDER BY ts_ns)),
-    g AS (SELECT *, sum(st) OVER (PARTITION BY node ORDER BY ts_ns) AS run FROM s)
+                         THEN 0 ELSE 1 END AS st FROM e WINDOW w AS (PARTITION BY node ORDER BY ts_ns, event_id)),
+    g AS (SELECT *, sum(st) OVER (PARTITION BY node ORDER BY ts_ns, event_id) AS run FROM s)
     SELECT node, min(ts_ns) AS run_start, max(ts_ns) AS run_end, any_value(origin) AS origin, count(*) AS run_length
     FROM g GROUP BY node, run""")
 def _(t: Tables):
-    events = inputs.events(t).withColumn("origin", F.nullif("origin", F.lit("unknown")))
-    return sequence.run_length_encode(events, ["node"], "ts_ns", "origin", width=sequence.HOUR_NS)
+    events = inputs.events(t).withColumns({
+        "origin": F.nullif("origin", F.lit("unknown")), "ts_ns": F.expr("ts_ns div 60000000000 * 60000000000")})
+    return sequence.run_length_encode(events, ["node"], "ts_ns", "origin", width=sequence.HOUR_NS, tie="event_id")
 
 
 @query("clock_align", """

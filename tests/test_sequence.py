@@ -68,6 +68,45 @@ def test_run_length_encode(spark, width):
     assert sorted(map(str, (list(r) for r in got))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("width", [1, 3, 100])
+@pytest.mark.parametrize("tie", ["n", None])
+def test_runs_and_steps_of_equal_times(spark, width, tie):
+    rng = random.Random(40)
+    rows = [(0 if rng.random() < 0.5 else 1, rng.randrange(12), rng.choice(["a", "b", None]), n, rng.randrange(3)) for n in range(120)]
+    frame = spark.createDataFrame(rows + [(9, 5, "a", 500, 0), (9, 5, "b", 501, 1), (9, 6, "b", 502, 1)], "k int, t long, v string, n int, cpu int").repartition(5)
+    runs, moves = [], []
+    for key in (0, 1, 9):
+        own = [tuple(r) for r in frame.where(f"k = {key}").collect()]
+        run = None
+        for _, t, v, _, _ in sorted(own, key=lambda r: (r[1], r[3] if tie else (r[2] is not None, r[2] or ""))):
+            if run and run[3] == v:
+                run[2], run[4] = t, run[4] + 1
+            else:
+                run = [key, t, t, v, 1]
+                runs.append(run)
+        steps = sorted(own, key=lambda r: (r[1], r[3] if tie else r[4]))
+        moves += [(key, b[1], b[4], a[4]) for a, b in zip(steps, steps[1:]) if a[4] != b[4]]
+    got = sequence.run_length_encode(frame, ["k"], "t", "v", width, tie)
+    assert sorted(map(str, (list(r) for r in got.select("k", "run_start", "run_end", "v", "run_length").collect()))) == sorted(map(str, runs))
+    assert sorted(map(tuple, sequence.thread_migrations(frame, ["k"], "t", width, tie).collect())) == sorted(moves)
+
+
+@pytest.mark.parametrize("width", [1, 4, 100])
+def test_asof_join_of_equal_times(spark, width):
+    facts = spark.createDataFrame([("k", t) for t in range(10)], "k string, t long")
+    dims = spark.createDataFrame([("k", 2, "b", 1), ("k", 2, "a", 9), ("k", 5, "c", 3), ("k", 5, "d", 2)], "k string, s long, v string, n int").repartition(4)
+    by_tie = sequence.asof_join(facts, dims, ["k"], "t", "s", ["v"], None, width, "n").collect()
+    by_value = sequence.asof_join(facts, dims, ["k"], "t", "s", ["v"], None, width).collect()
+    assert {r.t: r.v for r in by_tie} == {t: None if t < 2 else "a" if t < 5 else "c" for t in range(10)}
+    assert {r.t: r.v for r in by_value} == {t: None if t < 2 else "b" if t < 5 else "d" for t in range(10)}
+
+
+def test_cpu_time_of_a_fleet(spark):
+    from stackloom.operators.profiles import cpu_time_by_label
+    rows = spark.createDataFrame([(2**62, 52_631_578, "samples", "cpu", {"node": "n"})] * 3, "value long, period long, sample_type string, period_type string, labels map<string,string>")
+    assert int(cpu_time_by_label(rows, ["node"]).first().cpu_ns) == 3 * 2**62 * 52_631_578
+
+
 def scope_model(edges, specs):
     """The sequential rule: depth per thread, outermost spans, probe and length limit of the exit."""
     state, spans = {}, []
@@ -135,7 +174,8 @@ def test_probe_scopes_go_on(spark, cut):
 
 @pytest.mark.parametrize("width", [3, 1000])
 def test_samples_in_span(spark, width):
-    spans = [(1, 10, 20, 1, "a"), (1, 20, 30, 2, "b"), (1, 50, 50, 1, "a"), (2, 15, 90, 1, "a")]
+    spans = [(1, 10, 20, 1, "a"), (1, 20, 30, 2, "b"), (1, 50, 50, 1, "a"), (2, 15, 90, 1, "a"),
+             (1, 1, 20, 3, "c"), (1, 20, 20, 4, "d"), (1, 20, 91, 5, "e"), (2, 31, 31, 3, "c")]  # several touch one instant, some overlap
     samples = [(t, s) for t in (1, 2, 3) for s in (9, 10, 15, 20, 25, 30, 31, 50, 51, 90, 91)]
     got = probes.samples_in_span(
         spark.createDataFrame(samples, "tid int, ts_ns long"),
