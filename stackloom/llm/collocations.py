@@ -34,7 +34,7 @@ IS_GAP = IS_BREAK.copy()
 IS_GAP[list(b" \t")] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES, PHRASES_AT_ONCE = 2_000_000, 50_000
+SLICE_BYTES, PHRASES_AT_ONCE = 1_000_000, 20_000
 TABLE_BITS = 24
 COUNTED = "lang string, phrase string, n long"
 SCALE = 2_000_000
@@ -55,14 +55,13 @@ def _marked(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
 def _by_language(batch: pa.RecordBatch):
     """(lang, texts) of bounded slices."""
     lang, texts = batch.column("lang").dictionary_encode(), batch.column("text").cast(pa.large_string())
-    codes = lang.indices.to_numpy()
+    codes, size = lang.indices.to_numpy(), pc.binary_length(texts).to_numpy()
     for code, name in enumerate(lang.dictionary.to_pylist()):
-        own = texts.take(pa.array(np.flatnonzero(codes == code)))
-        size = np.cumsum(pc.binary_length(own).to_numpy())
-        cuts = np.flatnonzero(np.diff(size // SLICE_BYTES, append=-1)) + 1
+        own = np.flatnonzero(codes == code)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[own]) // SLICE_BYTES, append=-1)) + 1
         for a, b in zip(np.r_[0, cuts], cuts):
             if b > a:
-                yield name, own.slice(a, b - a)
+                yield name, texts.take(pa.array(own[a:b]))
 
 
 def _phrases(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, n: int) -> pa.Array:
@@ -134,6 +133,7 @@ def counted(docs: DataFrame, n: int, pairs=None, grow=None, end=None, whole=None
                     yield _rows(lang, _phrases(data, words.begin, words.end, first[a:a + PHRASES_AT_ONCE], n), count[a:a + PHRASES_AT_ONCE])
                 if n == 1:
                     yield _rows(lang, pa.array([""], pa.large_string()), np.array([len(words.hash)]))
+            pa.default_memory_pool().release_unused()  # workers live on
 
     return docs.mapInArrow(tally, COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
