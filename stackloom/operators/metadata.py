@@ -12,9 +12,10 @@ from stackloom.functions.labels import (
     bool_label, drop_absent, drop_prefix, empty_labels, object_labels, or_empty, overlay,
 )
 from stackloom.functions.values import fix_utf8_truncation
-from stackloom.operators.relabel import RelabelRule, filter_kept, relabel
-from stackloom.operators.sequence import HOUR_NS, asof_join
+from stackloom.operators.relabel import RelabelRule, drop_early, filter_kept, relabel
+from stackloom.operators.sequence import HOUR_NS, asof_join, with_slice
 from stackloom.schema import CUSTOM_LABEL_MAX_LEN, LABEL_TTL_NS, PROBE
+from stackloom.session import stored
 
 # A provider takes the process table with its ``labels`` so far and returns it with more labels.
 Provider = Callable[[DataFrame], DataFrame]
@@ -219,9 +220,11 @@ def process_labels(processes: DataFrame, providers: list[Provider], rules: list[
 
     Order: node, environment, out-of-memory mark, providers, rules, removal of temporary labels. This is
     the expensive part of labelling and it runs once per process observation, not once per sample. The rows
-    are spread over all cores first: they are few, but each costs far more work than its transfer.
+    are spread over all cores first: they are few, but each costs far more work than its transfer. The number of partitions is
+    the session's, since a plan that is adapted to bytes would put them all into one.
     """
-    processes = processes.repartition("node", "pid")
+    parts = int(processes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    processes = processes.repartition(parts, "node", "pid")
     start = F.create_map(F.lit("node"), F.col("node"))
     if "env" in processes.columns:
         start = overlay(start, env_labels(F.col("env"), env_include or []))
@@ -234,18 +237,27 @@ def process_labels(processes: DataFrame, providers: list[Provider], rules: list[
     return ruled.withColumn("labels", drop_prefix(drop_absent(F.col("labels"))))
 
 
-def _timeline(events: DataFrame, processes: DataFrame, ttl: int) -> DataFrame:
-    """Observations of the processes that have events, made gapless: facts for their lifetime, else nothing."""
-    sampled = events.select("node", "pid").distinct()
-    processes = processes.join(sampled, ["node", "pid"], "left_semi")
+def _once(processes: DataFrame) -> DataFrame:
+    """One observation per process and time: of several the one whose facts come last as text."""
+    facts = [c for c in processes.columns if c not in ("node", "pid", "observed_ns")]
+    row = F.struct(*facts)
+    best = processes.groupBy("node", "pid", "observed_ns").agg(F.max_by(row, F.to_json(row)).alias("_facts"))
+    return best.select("node", "pid", "observed_ns", "_facts.*")
+
+
+def _timeline(sampled: DataFrame, processes: DataFrame, ttl: int) -> DataFrame:
+    """Observations of the ``sampled`` processes, made gapless: facts for their lifetime, else nothing."""
+    processes = _once(processes.join(sampled, ["node", "pid"], "left_semi"))
     next_seen = F.lead("observed_ns").over(Window.partitionBy("node", "pid").orderBy("observed_ns"))
-    expiry = (processes.select("node", "pid", "observed_ns", next_seen.alias("_next"))
-              .where(f"_next IS NULL OR _next > observed_ns + {ttl}")
-              .select("node", "pid", (F.col("observed_ns") + F.lit(ttl + 1)).alias("observed_ns")))
-    first = sampled.withColumn("observed_ns", F.lit(0).cast("long"))
-    return (processes.unionByName(expiry, allowMissingColumns=True)
-            .unionByName(first.join(processes.where("observed_ns = 0").select("node", "pid"), ["node", "pid"], "left_anti"),
-                         allowMissingColumns=True))
+    # an observation is followed by "nothing known" where its lifetime ends before the next one comes
+    ends = F.when(F.col("_next").isNull() | (F.col("_next") > F.col("observed_ns") + F.lit(ttl + 1)), F.col("observed_ns") + F.lit(ttl + 1))
+    facts = [c for c in processes.columns if c not in ("node", "pid", "observed_ns")]
+    row = F.struct(F.col("observed_ns").alias("at"), F.struct(*facts).alias("facts"))
+    nothing = F.struct(ends.alias("at"), F.lit(None).cast(processes.select(F.struct(*facts).alias("f")).schema["f"].dataType).alias("facts"))
+    both = F.filter(F.array(row, nothing), lambda r: r["at"].isNotNull())
+    known = processes.withColumn("_next", next_seen).select("node", "pid", F.explode(both).alias("_r")).select(
+        "node", "pid", F.col("_r.at").alias("observed_ns"), "_r.facts.*")
+    return known.unionByName(sampled.withColumn("observed_ns", F.lit(-(2**62)).cast("long")), allowMissingColumns=True)
 
 
 def thread_labels(labels: Column, cpu: bool = True, thread_id: bool = True, thread_name: bool = True) -> Column:
@@ -286,18 +298,23 @@ def external_labels(samples: DataFrame, constants: dict[str, str]) -> DataFrame:
 def label_samples(
     events: DataFrame, processes: DataFrame, providers: list[Provider], rules: list[RelabelRule], *,
     env_include: list[str] | None = None, ttl: int = LABEL_TTL_NS, width: int = HOUR_NS,
-    cpu: bool = True, thread_id: bool = True, thread_name: bool = True,
+    cpu: bool = True, thread_id: bool = True, thread_name: bool = True, stored_labels: dict[str, str] | None = None,
 ) -> DataFrame:
     """Events with their final labels; events that a rule drops are gone.
 
     The rules run on the gapless process table; events pick up the labels in force at their time, then
     get their thread and custom labels. Probe events, told by their origin, run through the rules once more in between.
+
+    Events are read twice: once for the processes and time slices they need, which is a small table, and once to be labelled.
+    ``stored_labels`` names labels that equal an event column and that no provider sets; events that a rule drops for those alone
+    are not read at all.
     """
-    labels = process_labels(_timeline(events, processes, ttl), providers, rules, env_include).select(
-        "node", "pid", "observed_ns", "labels", "keep")
-    # The as-of join reads the labels twice. Behind an exchange they are worked out once and the exchange reused.
-    labels = labels.repartition("node", "pid")
-    joined = asof_join(events, labels, ["node", "pid"], "ts_ns", "observed_ns", ["labels", "keep"], None, width)
+    events = drop_early(events, rules, {"node": "node"} if stored_labels is None else stored_labels)
+    waiting = stored(with_slice(events, "ts_ns", width).select("node", "pid", "_slice").distinct(), "sampled")
+    sampled = waiting.select("node", "pid").distinct()
+    labels = stored(process_labels(_timeline(sampled, processes, ttl), providers, rules, env_include).select(
+        "node", "pid", "observed_ns", "labels", "keep"), "labels")
+    joined = asof_join(events, labels, ["node", "pid"], "ts_ns", "observed_ns", ["labels", "keep"], None, width, waiting=waiting)
     out = patch_thread_labels(filter_kept(joined), cpu, thread_id, thread_name)
     if "origin" in events.columns:
         out = relabel_probe_samples(out, rules)

@@ -42,13 +42,16 @@ def pipeline_counters(events: DataFrame, written: DataFrame | None = None) -> Da
 def observe_counters(events: DataFrame, name: str = "event_counters") -> DataFrame:
     """The same rows, counted by the way: a stream's progress and an ``Observation`` then hold the counters.
 
-    Reads ``origin``, and ``keep`` and ``frames`` where present. Costs no shuffle.
+    Reads ``origin``, and ``keep`` and ``n_frames`` or ``frames`` where present. Costs no shuffle. ``streaming.counters`` turns what
+    a stream observes into a table.
     """
     keep = F.col("keep") if "keep" in events.columns else F.lit(True)
     counts = [F.count_if(keep & (F.col("origin") == origin)).alias(label) for origin, label in EVENT_TYPES.items()]
+    counts.append(F.count_if(keep & ~F.coalesce(F.col("origin").isin(*EVENT_TYPES), F.lit(False))).alias("unknown"))
     counts.append(F.count_if(~keep).alias("skipped_by_relabeling"))
-    if "frames" in events.columns:
-        counts.append(F.count_if(keep & (F.coalesce(F.size("frames"), F.lit(0)) <= 0)).alias("empty"))
+    size = F.col("n_frames") if "n_frames" in events.columns else F.size("frames") if "frames" in events.columns else None
+    if size is not None:
+        counts.append(F.count_if(keep & (F.coalesce(size, F.lit(0)) <= 0)).alias("empty"))
     return events.observe(name, *counts)
 
 

@@ -157,5 +157,80 @@ def relabel(df: DataFrame, rules: list[RelabelRule], labels: str = "labels", kee
     return df.drop("_rule_text")
 
 
+_LITERAL = re.compile(r"[A-Za-z0-9_\-/ :@,=%#&;!<>\"'~`]+")
+
+
+def _as_comparison(column: Column, rule: RelabelRule) -> Column | None:
+    """A keep or drop rule on one column as a comparison that a scan can take over; None if its pattern is more than fixed texts.
+
+    Fixed texts, lists of them (``a|b``), and a fixed start (``a.*``) are comparisons. A NULL matches none of them.
+    """
+    body = rule.regex[1:-1] if re.fullmatch(r"\([^()?]*\)", rule.regex) else rule.regex
+    parts = body.split("|")
+    if all(_LITERAL.fullmatch(p) for p in parts):
+        hit = column.isin(parts) if len(parts) > 1 else column == parts[0]
+        miss = ~hit if len(parts) > 1 else column != parts[0]
+    elif body.endswith(".*") and _LITERAL.fullmatch(body[:-2]):
+        hit = F.startswith(column, F.lit(body[:-2]))
+        miss = ~hit
+    else:
+        return None
+    return hit if rule.action == "keep" else miss | column.isNull()
+
+
+def _origins(rules: list[RelabelRule], columns: dict[str, str]):
+    """Each rule with what is known of the labels before it: name of the stored column that a label still equals, or '' if absent."""
+    known: dict[str, str | None] = dict(columns)  # None: absent on every row
+    for rule in rules:
+        yield rule, dict(known)
+        if rule.action in ("keep", "drop", "keepequal", "dropequal"):
+            continue
+        if rule.action in ("labeldrop", "labelkeep"):
+            try:
+                named = {name: bool(re.fullmatch(java_pattern(rule.regex)[0], name, re.S)) for name in known}
+            except re.error:  # a pattern of the other dialect
+                known = {}
+                continue
+            known = {n: None if named[n] == (rule.action == "labeldrop") else c for n, c in known.items()}
+        elif rule.action == "labelmap" or "$" in rule.target_label:
+            known = {}  # may write any label
+        else:
+            copied = rule.action == "replace" and len(rule.source_labels) == 1 and rule.regex == "(.*)" and rule.replacement == "$1"
+            source = rule.source_labels[0] if copied else None
+            if copied and source in known:
+                known[rule.target_label] = known[source]
+            else:
+                known.pop(rule.target_label, None)
+
+
+def stored_predicate(rules: list[RelabelRule], columns: dict[str, str]) -> Column | None:
+    """What keep and drop rules say of stored columns: a filter for the scan, ahead of all labelling; None if they say nothing.
+
+    ``columns`` names the labels that equal a stored text column when the rules begin. The rule list is followed symbolically:
+    a label counts for as long as no rule can have changed it (replace rules change their target, label maps and computed
+    targets may change any label, dropped labels are empty). Rules on other labels are left to :func:`relabel`, which still
+    has to run; rows that this filter takes out are rows that it would not keep. Patterns of fixed texts become comparisons that
+    reach the files' statistics, others stay pattern matches.
+    """
+    predicate: Column | None = None
+    for rule, known in _origins(rules, columns):
+        if rule.action not in ("keep", "drop") or not rule.source_labels or any(name not in known for name in rule.source_labels):
+            continue
+        values = [F.lit("") if known[name] is None else F.col(known[name]) for name in rule.source_labels]
+        name = known[rule.source_labels[0]]
+        verdict = _as_comparison(values[0], rule) if len(values) == 1 and name is not None else None
+        if verdict is None:
+            hit = F.rlike(F.concat_ws(rule.separator, *[F.coalesce(v, F.lit("")) for v in values]), F.lit(_java(rule.regex)))
+            verdict = hit if rule.action == "keep" else ~hit
+        predicate = verdict if predicate is None else predicate & verdict
+    return predicate
+
+
+def drop_early(df: DataFrame, rules: list[RelabelRule], columns: dict[str, str]) -> DataFrame:
+    """``df`` without the rows that keep and drop rules on stored columns take out anyway."""
+    predicate = stored_predicate(rules, columns)
+    return df if predicate is None else df.where(predicate)
+
+
 def filter_kept(df: DataFrame, keep: str = "keep") -> DataFrame:
     return df.where(F.col(keep)).drop(keep)

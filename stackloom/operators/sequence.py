@@ -57,12 +57,13 @@ def previous_values(
 
 def asof_join(
     facts: DataFrame, dims: DataFrame, on: list[str], fact_time: str, dim_time: str, payload: list[str],
-    ttl: int | None = None, width: int = HOUR_NS, tie: str | None = None,
+    ttl: int | None = None, width: int = HOUR_NS, tie: str | None = None, waiting: DataFrame | None = None,
 ) -> DataFrame:
     """Every fact with the latest dimension row of its key at or before its time (NULLs if none).
 
     With ``ttl`` a dimension row older than that does not count. Of rows of one key and time the one with the greatest ``tie``
-    counts; without it the greatest payload (as far as it has an order). The facts are shuffled once, by key and
+    counts; without it the greatest payload (as far as it has an order). ``waiting`` holds the distinct keys and ``_slice`` of the facts,
+    where the caller knows them; else the facts are read for them. The facts are shuffled once, by key and
     slice; seed rows bring the dimension row in force at the start of a slice.
     """
     clash = set(facts.columns) & set(payload)
@@ -78,7 +79,7 @@ def asof_join(
     # One row per key and slice: the last dimension row of the slice, and a mark where facts wait for one.
     place = F.struct("_t", *[F.col(f"_dim.{c}").alias(f"_{i}") for i, c in enumerate(ties)])
     last = dim_rows.groupBy(*on, "_slice").agg(F.max_by("_dim", place).alias("_dim"))
-    waiting = facts.select(*on, "_slice").distinct().withColumn("_dim", F.lit(None).cast(last.schema["_dim"].dataType))
+    waiting = (facts.select(*on, "_slice").distinct() if waiting is None else waiting).withColumn("_dim", F.lit(None).cast(last.schema["_dim"].dataType))
     steps = (last.withColumn("_side", F.lit(1))
              .unionByName(waiting.withColumn("_side", F.lit(0))))
     earlier = Window.partitionBy(*on).orderBy("_slice", "_side").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,6 +11,7 @@ from stackloom.operators.stacks import new_stacktraces
 from stackloom.plans import inputs
 from stackloom.plans.fixtures import Tables
 from stackloom.session import shared_dir
+from stackloom.sources.batch_log import FIELDS
 from stackloom.sources.batch_log_sink import write_batch_log
 
 HOUR_NS = 3_600_000_000_000
@@ -38,6 +39,17 @@ def records(t: Tables, file_ns: int = FILE_NS, batch_ns: int = BATCH_NS) -> Data
     return rows.withColumn("stacktrace_id", F.unhex(F.lpad(F.hex(F.col("stacktrace_id")), 32, "0")))
 
 
+def plain_records(t: Tables) -> DataFrame:
+    """A sample row per event, without frames or labels: what an inventory of files needs."""
+    rows = inputs.events(t).select(
+        F.lit("samples").alias("record"), F.concat_ws("-", "node", floor_div(F.col("ts_ns"), FILE_NS).cast("string")).alias("file"),
+        floor_div(F.col("ts_ns"), BATCH_NS).alias("batch"), F.lit("v1").alias("schema_version"),
+        F.create_map().cast("map<string,string>").alias("labels"), F.unhex(F.lpad(F.hex("stacktrace_id"), 32, "0")).alias("stacktrace_id"), "ts_ns",
+        F.col("raw_value").alias("value"), *[F.lit(1).cast("long").alias(n) for n in ("period", "duration")], *[F.lit("x").alias(n) for n in TEXTS])
+    kinds = FIELDS["all"]
+    return rows.withColumns({n: F.lit(None).cast(kinds[n]) for n in ("is_complete", "locations")})
+
+
 def write_batch_files(t: Tables) -> str:
     """Write the files into the shared folder and return their path."""
     root = shared_dir(t.spark, "batch-log")

@@ -123,12 +123,15 @@ def _(t: Tables):
     return gpu.gpu_kernel_times(t.sql(_LAUNCHES), t.sql(_TIMINGS))
 
 
-@query("gpu_unmatched", f"""
+_UNMATCHED = f"""
     WITH la AS ({_LAUNCHES}), ti AS ({_TIMINGS})
     SELECT 'launch' AS side, count(*) AS cleared FROM la WHERE NOT EXISTS (
         SELECT 1 FROM ti WHERE ti.node = la.node AND ti.pid = la.pid AND ti.correlation_id = la.correlation_id)
     UNION ALL SELECT 'timing', count(*) FROM ti WHERE NOT EXISTS (
-        SELECT 1 FROM la WHERE ti.node = la.node AND ti.pid = la.pid AND ti.correlation_id = la.correlation_id)""")
+        SELECT 1 FROM la WHERE ti.node = la.node AND ti.pid = la.pid AND ti.correlation_id = la.correlation_id)"""
+
+
+@query("gpu_unmatched", _UNMATCHED)
 def _(t: Tables):
     return gpu.gpu_unmatched(t.sql(_LAUNCHES), t.sql(_TIMINGS))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,14 +11,17 @@ from stackloom.functions.labels import labels_string
 from stackloom.functions.values import floor_div, ns_to_ts
 from stackloom.operators import samples as sample_ops
 from stackloom.operators.frames import stack_locations
+from stackloom.operators.metrics import observe_counters
 from stackloom.plans import inputs
-from stackloom.plans.batch_files import BATCH_NS, DAY_NS, FILE_NS, write_batch_files
+from stackloom.plans.batch_files import BATCH_NS, DAY_NS, FILE_NS, plain_records, write_batch_files
 from stackloom.plans.fixtures import Tables
-from stackloom.plans.q_probes import _SPANS, _THREAD, _LAUNCHES, _MATCHED, _TIMINGS
+from stackloom.plans.q_probes import _LAUNCHES, _MATCHED, _SPANS, _THREAD, _TIMINGS, _UNMATCHED
 from stackloom.plans.registry import query
 from stackloom.session import shared_dir
 from stackloom.sources import tables
 from stackloom.sources.batch_log import REPLAY_COLUMNS, read_batch_log, replay_batch_log
+from stackloom.sources.batch_log_sink import write_batch_log
+from stackloom.streaming import counters, state
 from stackloom.streaming import joins as stream_joins
 from stackloom.streaming import probes as stream_probes
 from stackloom.streaming import report
@@ -137,10 +142,17 @@ def _(t: Tables):
 
 
 @query("batch_log_inventory", f"""
-    SELECT 'compressed' AS kind, count(DISTINCT node || '-' || CAST(ts_ns // {FILE_NS} AS VARCHAR)) AS files, true AS has_bytes
-    FROM ox_samples""")
+    SELECT CASE WHEN CAST(substr(node, 6) AS INT) % 2 = 0 THEN 'open' ELSE 'compressed' END AS kind,
+           count(DISTINCT node || '-' || CAST(ts_ns // {FILE_NS} AS VARCHAR)) AS files, true AS has_bytes FROM fx_events GROUP BY 1
+    UNION ALL SELECT 'unknown', 1, true""")
 def _(t: Tables):
-    found = tables.batch_log_inventory(t.spark, write_batch_files(t))
+    path = shared_dir(t.spark, "inventory")
+    rows = plain_records(t)
+    even = F.substring_index(F.substring("file", 6, 10), "-", 1).cast("int") % 2 == 0
+    write_batch_log(rows.where(even), path, compress=False)
+    write_batch_log(rows.where(~even), path)
+    t.spark.createDataFrame([("not a batch log",)], "value string").coalesce(1).write.text(f"{path}/notes")
+    found = tables.batch_log_inventory(t.spark, path)
     return found.select("kind", "files", (F.col("bytes") > 0).alias("has_bytes"))
 
 
@@ -149,22 +161,39 @@ def _(t: Tables):
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(t: Tables) -> DataFrame:
-    """The events table as a stream of trace events: files in order of time, each a micro-batch of its own."""
-    path = shared_dir(t.spark, "events")
-    stored = t.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    for part in _in_time_order(stored, 4):
-        part.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(path)
-    return (tables.read_trace_events(t.spark, path, {
-        "event_id": "event_id", "ts": "cast(ts as timestamp)", "ts_ns": "unix_micros(cast(ts as timestamp)) * 1000",
-        "node": "concat('NODE_', user_id % 25)", "pid": "user_id", "tid": "user_id + event_id % 2",
-        "comm": "concat('comm-', user_id % 7)",
-        "origin": "coalesce(element_at(map('view','sampling','click','off_cpu','purchase','memory','signup','cuda',"
-                  "'error','gpu_pc'), event_type), 'unknown')",
-        "raw_value": "cast(round(value * 100) as bigint)", "stacktrace_id": "user_id * 10 + (event_id * 7) % 10",
-        "mem": "named_struct('allocs', event_id % 50, 'frees', (event_id * 3) % 50, 'alloc_bytes', event_id % 50 * 64,"
-               " 'free_bytes', (event_id * 3) % 50 * 48)",
-        "event_type": "event_type"}, schema=_EVENTS, streaming=True, maxFilesPerTrigger="1"))
+_EVENT_COLUMNS = {
+    "event_id": "event_id", "ts": "cast(ts as timestamp)", "ts_ns": "unix_micros(cast(ts as timestamp)) * 1000",
+    "node": "concat('NODE_', user_id % 25)", "pid": "user_id", "tid": "user_id + event_id % 2",
+    "comm": "concat('comm-', user_id % 7)",
+    "origin": "coalesce(element_at(map('view','sampling','click','off_cpu','purchase','memory','signup','cuda',"
+              "'error','gpu_pc'), event_type), 'unknown')",
+    "raw_value": "cast(round(value * 100) as bigint)", "stacktrace_id": "user_id * 10 + (event_id * 7) % 10",
+    "mem": "named_struct('allocs', event_id % 50, 'frees', (event_id * 3) % 50, 'alloc_bytes', event_id % 50 * 64,"
+           " 'free_bytes', (event_id * 3) % 50 * 48)",
+    "event_type": "event_type"}
+
+
+def _in_parts(rows: DataFrame, path: str, run: Callable[[int], None], parts: int = 4) -> None:
+    """Lay rows down part by part in order of ``ts`` and let ``run`` take each part in, as one batch of a stream that goes on.
+
+    Parts are of about equal size and written by all tasks. Rows without a time come with the first part; an empty table
+    is one empty part.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(micros, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    for number, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        inside = F.lit(True) if high is None else micros <= high
+        inside = F.coalesce(inside, F.lit(True)) if low is None else inside & (micros > low)
+        part = rows.where(inside)
+        part.write.mode("append").parquet(path)
+        run(number)
+
+
+def events_in_parts(t: Tables, path: str, run: Callable[[DataFrame], None]) -> None:
+    """The events table as a stream of trace events, a part at a time."""
+    stream = lambda: tables.read_trace_events(t.spark, path, _EVENT_COLUMNS, schema=_EVENTS, streaming=True)
+    _in_parts(t.table("events").withColumn("ts", F.col("ts").cast("timestamp_ntz")), path, lambda _: run(stream()))
 
 
 def _finish(running) -> None:
@@ -175,20 +204,71 @@ def _finish(running) -> None:
     SELECT event_id, ts_ns, stack_key AS stacktrace_id, value, sample_type, period FROM ox_samples""")
 def _(t: Tables):
     path = shared_dir(t.spark, "stream-report")
-    samples = sample_ops.normalize_samples(event_stream(t))
-    _finish(report.stream_report(samples, report.parquet_flush(f"{path}/out"), f"{path}/checkpoint", None))
-    return t.spark.read.parquet(f"{path}/out").select(
-        "event_id", "ts_ns", "stacktrace_id", "value", "sample_type", "period")
+    events_in_parts(t, f"{path}/in", lambda events: _finish(report.stream_report(
+        sample_ops.normalize_samples(events), report.parquet_flush(f"{path}/out"), f"{path}/checkpoint", None)))
+    schema = sample_ops.normalize_samples(inputs.events(t)).select("event_id", "ts_ns", "stacktrace_id", "value", "sample_type", "period").schema
+    return t.spark.read.schema(schema).parquet(f"{path}/out").drop("batch_id")
+
+
+@query("late_rows_stream", """
+    WITH p AS (SELECT quantile_disc(ts_ns, 0.5) AS cut FROM fx_events),
+    first_ AS (SELECT max(ts_ns) AS newest FROM fx_events, p WHERE ts_ns <= cut AND event_id % 10 <> 0),
+    last_ AS (SELECT max(ts_ns) AS newest FROM fx_events),
+    b AS (SELECT event_id, ts_ns, ts_ns < CASE WHEN ts_ns <= cut AND event_id % 10 <> 0 THEN first_.newest ELSE last_.newest END - 864000000000000 AS late
+          FROM fx_events, p, first_, last_)
+    SELECT late, count(*) AS n, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM b GROUP BY late""")
+def _(t: Tables):
+    path = shared_dir(t.spark, "stream-late")
+    rows = inputs.events(t).select("event_id", "ts_ns")
+    cut = rows.agg(F.percentile("ts_ns", 0.5)).first()[0]
+    # a tenth of the first half comes with the second; the stream restarts in between
+    early = (F.col("ts_ns") <= F.lit(_disc(rows, cut))) & (F.col("event_id") % 10 != 0)
+    for part in (rows.where(early), rows.where(~early)):
+        part.repartition(2).write.mode("append").parquet(f"{path}/in")
+        flush = report.splitting_flush(report.parquet_flush(f"{path}/good"), report.parquet_flush(f"{path}/late"), f"{path}/newest", 10 * DAY_NS)
+        _finish(report.stream_report(t.spark.readStream.schema(rows.schema).parquet(f"{path}/in"), flush, f"{path}/checkpoint", None))
+    sides = [t.spark.read.schema(rows.schema).parquet(f"{path}/{name}").withColumn("late", F.lit(name == "late")) for name in ("good", "late")]
+    return sides[0].unionByName(sides[1]).groupBy("late").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
+
+
+def _disc(rows: DataFrame, middle: float | None) -> int:
+    """The greatest time at or below the median."""
+    return rows.where(F.col("ts_ns") <= F.lit(middle)).agg(F.max("ts_ns")).first()[0] or 0
+
+
+@query("pipeline_counters_stream", """
+    WITH e AS (SELECT origin, pid % 10 <> 3 AS keep, event_id % 4 AS n_frames FROM fx_events)
+    SELECT CASE WHEN NOT keep THEN 'skipped_by_relabeling' ELSE
+           CASE origin WHEN 'sampling' THEN 'cpu' WHEN 'cuda' THEN 'gpu' WHEN 'gpu_pc' THEN 'gpu_pc' WHEN 'off_cpu' THEN 'offcpu'
+                WHEN 'memory' THEN 'memory' ELSE 'unknown' END END AS counter, count(*) AS n FROM e GROUP BY 1
+    UNION ALL SELECT 'empty', count(*) FROM e WHERE keep AND n_frames = 0""")
+def _(t: Tables):
+    path = shared_dir(t.spark, "stream-counters")
+    listener = counters.CounterListener(t.spark, f"{path}/counters", "event_counters")
+    t.spark.streams.addListener(listener)
+
+    def run(events: DataFrame) -> None:
+        marked = observe_counters(events.withColumns({"keep": F.expr("pid % 10 <> 3"), "n_frames": F.expr("event_id % 4")}))
+        running = report.stream_report(marked, report.parquet_flush(f"{path}/out"), f"{path}/checkpoint", None)
+        _finish(running)
+        listener.wait_for(running)
+    try:
+        events_in_parts(t, f"{path}/in", run)
+    finally:
+        t.spark.streams.removeListener(listener)
+    return listener.totals()
 
 
 @query("new_stacks_stream", f"""
     SELECT DISTINCT ts_ns // {DAY_NS} AS day, stack_key AS stacktrace_id FROM fx_events""")
 def _(t: Tables):
     path = shared_dir(t.spark, "stream-stacks")
-    stacks = report.new_stacks_stream(event_stream(t), DAY_NS).select("ts_ns", "stacktrace_id")
-    (stacks.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-     .start(f"{path}/out", format="parquet").awaitTermination())
-    return t.spark.read.parquet(f"{path}/out").select(floor_div(F.col("ts_ns"), DAY_NS).alias("day"), "stacktrace_id")
+    events_in_parts(t, f"{path}/in", lambda events: _finish(
+        report.new_stacks_stream(events, DAY_NS).select("ts_ns", "stacktrace_id").writeStream.option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True).start(f"{path}/out", format="parquet")))
+    rows = t.spark.read.schema("ts_ns long, stacktrace_id long").parquet(f"{path}/out")
+    return rows.select(floor_div(F.col("ts_ns"), DAY_NS).alias("day"), "stacktrace_id")
 
 
 @query("pair_probe_scopes_stream", _SPANS + " SELECT * FROM spans")
@@ -196,36 +276,127 @@ def _(t: Tables):
     from stackloom.functions.values import probe_cookie
 
     path = shared_dir(t.spark, "stream-scopes")
-    edges = event_stream(t).select(
-        "node", "pid", "tid", "comm", "ts_ns",
-        F.when(F.col("event_type").isin("purchase", "error"), -1).otherwise(1).alias("delta"),
-        probe_cookie(1 + F.col("pid") % 4, F.col("pid") % 4 == 0,
-                     F.when(F.col("pid") % 4 == 2, 3_600_000).otherwise(0)).alias("cookie"))
-    pairing = stream_probes.ScopePairing(_THREAD, f"{path}/state", report.parquet_flush(f"{path}/out"), DAY_NS)
-    _finish(pairing.start(edges, f"{path}/checkpoint", None))
+    cookie = probe_cookie(1 + F.col("pid") % 4, F.col("pid") % 4 == 0, F.when(F.col("pid") % 4 == 2, 3_600_000).otherwise(0))
+
+    def run(events: DataFrame) -> None:
+        edges = events.select("node", "pid", "tid", "comm", "ts_ns", F.when(F.col("event_type").isin("purchase", "error"), -1).otherwise(1).alias("delta"),
+                              cookie.alias("cookie"))
+        pairing = stream_probes.ScopePairing(_THREAD, f"{path}/state", report.parquet_flush(f"{path}/out"), DAY_NS)
+        _finish(pairing.start(edges, f"{path}/checkpoint", None))
+    events_in_parts(t, f"{path}/in", run)
     return t.spark.read.parquet(f"{path}/out").drop("batch_id")
 
 
+def _gpu_in_parts(t: Tables, path: str, run: Callable[[DataFrame, DataFrame], None], closing: bool = False) -> None:
+    """Launches and timings as streams, a quarter of the time at a time; ``closing`` adds one late entry to either side."""
+    sides = {}
+    for name, rows, at in (("launches", t.sql(_LAUNCHES), "ts_ns"), ("timings", t.sql(_TIMINGS), "at_ns")):
+        sides[name] = rows.withColumn("ts", ns_to_ts(F.col(at))).drop("at_ns")
+    both = sides["launches"].select("ts").unionByName(sides["timings"].select("ts"))
+    cuts = both.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75], 10_000)).first()[0] or []
+    read = lambda name: t.spark.readStream.schema(sides[name].schema).parquet(f"{path}/{name}")
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        for name, rows in sides.items():
+            micros = F.unix_micros("ts")
+            inside = (micros > low if low is not None else F.lit(True)) & (micros <= high if high is not None else F.lit(True))
+            rows.where(inside).write.mode("append").parquet(f"{path}/{name}")
+        run(read("launches"), read("timings"))
+    if closing:  # time goes on: what is still open is cleared
+        for name, rows in sides.items():
+            late = both.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).withColumns({"node": F.lit("later"), "pid": F.lit(0), "correlation_id": F.lit(0)})
+            late.select(*[(F.col(f.name) if f.name in late.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]).write.mode(
+                "append").parquet(f"{path}/{name}")
+        run(read("launches"), read("timings"))
+
+
 @query("gpu_kernel_times_stream", _MATCHED)
 def _(t: Tables):
     path = shared_dir(t.spark, "stream-gpu")
-    schemas = {}
-    for name, rows, at in (("launches", t.sql(_LAUNCHES), "ts_ns"), ("timings", t.sql(_TIMINGS), "at_ns")):
-        timed = rows.withColumn("ts", ns_to_ts(F.col(at))).drop("at_ns")
-        schemas[name] = timed.schema
-        for quarter in _in_time_order(timed, 4):  # several files, in order of time: state is carried from batch to batch
-            quarter.coalesce(1).write.mode("append").parquet(f"{path}/{name}")
-    read = lambda name: t.spark.readStream.schema(schemas[name]).option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}")
-    joined = stream_joins.gpu_kernel_times_stream(read("launches"), read("timings")).drop("ts")
-    (joined.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-     .start(f"{path}/out", format="parquet").awaitTermination())
+    _gpu_in_parts(t, path, lambda launches, timings: _finish(
+        stream_joins.gpu_kernel_times_stream(launches, timings).drop("ts").writeStream.option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True).start(f"{path}/out", format="parquet")))
     return t.spark.read.parquet(f"{path}/out")
 
 
-def _in_time_order(rows: DataFrame, parts: int) -> list[DataFrame]:
-    """Rows in parts of about equal size, by ``ts``."""
-    micros = F.unix_micros("ts")
-    cuts = rows.agg(F.percentile_approx(micros, [i / parts for i in range(1, parts)], 10_000)).first()[0]
-    bounds = [None, *cuts, None]
-    return [rows.where((F.lit(True) if low is None else micros > low) & (F.lit(True) if high is None else micros <= high))
-            for low, high in zip(bounds, bounds[1:])]
+@query("gpu_unmatched_stream", _UNMATCHED)
+def _(t: Tables):
+    path = shared_dir(t.spark, "stream-gpu-cleared")
+    flush = stream_joins.cleared_counts(report.parquet_flush(f"{path}/out"))
+    _gpu_in_parts(t, path, lambda launches, timings: _finish(
+        stream_joins.gpu_unmatched_stream(launches, timings).writeStream.foreachBatch(flush).option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True).start()), closing=True)
+    counts = t.spark.read.schema("side string, cleared long").parquet(f"{path}/out")
+    sides = t.spark.createDataFrame([("launch",), ("timing",)], "side string")
+    return sides.join(counts, "side", "left").groupBy("side").agg(F.coalesce(F.sum("cleared"), F.lit(0)).alias("cleared"))
+
+
+# Requests of a process: its control group is unreadable at times, and it moves between containers.
+_REQUESTS = """SELECT event_id, @us(ts) * 1000 AS ts_ns, 'NODE_' || CAST(user_id % 25 AS STRING) AS node, user_id AS pid,
+                      CASE WHEN event_id % 5 = 0 THEN NULL ELSE '4:memory:/docker/' || md5(CAST(user_id AS STRING)) || md5(CAST(event_id % 3 AS STRING)) END
+                      AS cgroup_line FROM events"""
+_LOOKUPS = f"""
+    WITH RECURSIVE e AS (SELECT node, pid, ts_ns, max(cgroup_line) AS cgroup_line FROM ({_REQUESTS}) GROUP BY node, pid, ts_ns),
+    nxt AS (SELECT a.node, a.pid, a.ts_ns, min(b.ts_ns) AS next_ns FROM e a JOIN e b ON a.node = b.node AND a.pid = b.pid AND a.ts_ns + {DAY_NS} < b.ts_ns
+            GROUP BY ALL),
+    looked AS (SELECT node, pid, min(ts_ns) AS ts_ns FROM e GROUP BY node, pid
+               UNION ALL SELECT nxt.node, nxt.pid, nxt.next_ns FROM looked JOIN nxt USING (node, pid, ts_ns)),
+    held AS (SELECT e.node, e.pid, e.ts_ns, max(l.ts_ns) AS at FROM e JOIN looked l ON e.node = l.node AND e.pid = l.pid AND e.ts_ns >= l.ts_ns
+             GROUP BY ALL)
+    SELECT h.node, h.pid, h.ts_ns, coalesce(substr(s.cgroup_line, 18), '') AS container_id,
+           CASE WHEN h.ts_ns = h.at THEN CASE WHEN s.cgroup_line IS NULL THEN 'failed' ELSE 'looked_up' END
+                ELSE CASE WHEN s.cgroup_line IS NULL THEN 'deferred' ELSE 'cached' END END AS answer
+    FROM held h JOIN e s ON s.node = h.node AND s.pid = h.pid AND s.ts_ns = h.at"""
+
+
+def _requests(t: Tables) -> DataFrame:
+    return t.sql(_REQUESTS).groupBy("node", "pid", "ts_ns").agg(F.max("cgroup_line").alias("cgroup_line"))
+
+
+@query("container_lookups", _LOOKUPS)
+def _(t: Tables):
+    return state.container_lookups(_requests(t), DAY_NS).drop("container_env")
+
+
+@query("container_lookups_stream", _LOOKUPS)
+def _(t: Tables):
+    path = shared_dir(t.spark, "stream-lookups")
+    rows = _requests(t).withColumn("ts", ns_to_ts(F.col("ts_ns")))
+    stream = lambda: t.spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+    with state.state_store(t.spark):
+        _in_parts(rows, f"{path}/in", lambda _: state.stop_when_idle(
+            state.container_lookups_stream(stream(), DAY_NS).writeStream.option("checkpointLocation", f"{path}/checkpoint")
+            .start(f"{path}/out", format="parquet")), parts=2)
+    return t.spark.read.schema(state.LOOKUP).parquet(f"{path}/out").drop("container_env")
+
+
+# Work on an executable: every user is a file.
+_UPLOADS = """SELECT md5(CAST(user_id AS STRING)) AS file_id, @us(ts) * 1000 AS ts_ns,
+                     CASE event_type WHEN 'view' THEN 'seen' WHEN 'signup' THEN 'seen' WHEN 'click' THEN 'in_progress' WHEN 'purchase' THEN 'uploaded' ELSE 'final' END
+                     AS status FROM events"""
+
+
+@query("worklist_changes_stream", f"""
+    WITH u AS (SELECT DISTINCT file_id, ts_ns, status FROM ({_UPLOADS})),
+    done AS (SELECT file_id, min(ts_ns) AS done_ns FROM u WHERE status IN ('uploaded', 'final') GROUP BY file_id),
+    live AS (SELECT u.*, done_ns FROM u LEFT JOIN done USING (file_id) WHERE done_ns IS NULL OR ts_ns <= done_ns),
+    first_ AS (SELECT file_id, min(ts_ns) AS ts_ns, arg_min(status, (ts_ns, status <> 'seen')) AS status FROM live GROUP BY file_id),
+    busy AS (SELECT file_id, ts_ns, least(coalesce(lead(ts_ns) OVER (PARTITION BY file_id ORDER BY ts_ns), 9000000000000000000),
+                                         coalesce(done_ns, 9000000000000000000)) AS next_ns FROM live WHERE status = 'in_progress')
+    SELECT file_id, ts_ns, 'upload' AS action FROM first_ WHERE status = 'seen'
+    UNION ALL SELECT file_id, ts_ns + {DAY_NS}, 'retry' FROM busy WHERE ts_ns + {DAY_NS} <= next_ns""")
+def _(t: Tables):
+    path = shared_dir(t.spark, "stream-uploads")
+    rows = t.sql(_UPLOADS).distinct().withColumn("ts", ns_to_ts(F.col("ts_ns")))
+    stream = lambda: t.spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+
+    def run(_) -> None:
+        with state.state_store(t.spark):
+            _finish(state.worklist_changes_stream(stream(), DAY_NS).writeStream.option("checkpointLocation", f"{path}/checkpoint")
+                    .trigger(availableNow=True).start(f"{path}/out", format="parquet"))
+    _in_parts(rows, f"{path}/in", run, parts=3)
+    # time goes on, so that what still waits comes back
+    later = rows.agg((F.max("ts_ns") + 10 * DAY_NS).alias("ts_ns")).select(F.lit("later").alias("file_id"), "ts_ns", F.lit("final").alias("status"))
+    later.withColumn("ts", ns_to_ts(F.col("ts_ns"))).write.mode("append").parquet(f"{path}/in")
+    run(None)
+    return t.spark.read.schema(state.CHANGE).parquet(f"{path}/out")

@@ -29,6 +29,29 @@ def gpu_kernel_times_stream(
         *kept, F.col("t.kernel_name"), F.col("t.duration_ns").alias("raw_value"), F.lit(CUDA).alias("origin"))
 
 
+def gpu_unmatched_stream(launches: DataFrame, timings: DataFrame, bound: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
+    """``side, correlation`` columns of entries that are cleared unmatched: a launch without kernels, a timing without its launch.
+
+    The join of :func:`gpu_kernel_times_stream` as a full outer one: an entry comes out when the watermarks of both sides say
+    that its partner can come no more, which is when its state is dropped. :func:`cleared_counts` counts them per trigger.
+    """
+    left = launches.withWatermark("ts", watermark).alias("l")
+    right = timings.withWatermark("ts", watermark).alias("t")
+    span = F.expr(f"INTERVAL {bound}")
+    same = ((F.col("l.node") == F.col("t.node")) & (F.col("l.pid") == F.col("t.pid"))
+            & (F.col("l.correlation_id") == F.col("t.correlation_id")) & F.col("t.ts").between(F.col("l.ts") - span, F.col("l.ts") + span))
+    joined = left.join(right, same, "fullOuter")
+    alone = F.col("l.ts").isNull() | F.col("t.ts").isNull()
+    return joined.where(alone).select(
+        F.when(F.col("t.ts").isNull(), "launch").otherwise("timing").alias("side"),
+        *[F.coalesce(f"l.{c}", f"t.{c}").alias(c) for c in ("node", "pid", "correlation_id")])
+
+
+def cleared_counts(flush: Flush) -> Flush:
+    """A flush of the number of entries cleared by side in each trigger."""
+    return lambda batch, batch_id: flush(batch.groupBy("side").agg(F.count(F.lit(1)).alias("cleared")), batch_id)
+
+
 def labelled_flush(
     label: Callable[[DataFrame, DataFrame], DataFrame], read_processes: Callable[[], DataFrame], flush: Flush,
     ttl_ns: int = LABEL_TTL_NS,

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stackloom.schema import LABEL_TTL_NS, SECOND_NS
+from stackloom.session import remove_dir
 from stackloom.sources.tables import with_rotation
 
 Flush = Callable[[DataFrame, int], None]
@@ -22,18 +23,55 @@ def parquet_flush(path: str, *partition_by: str) -> Flush:
     return write
 
 
-def splitting_flush(flush: Flush, late_flush: Flush, watermark_ns: int = LABEL_TTL_NS) -> Flush:
+class NewestTime:
+    """The newest event time that a stream has seen, kept per batch below ``path``.
+
+    A batch finds what the batches before it have left, also after a restart, and a repeated batch finds the same again. Two
+    folders of one row stay.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _kept(self, spark: SparkSession) -> list[tuple[int, int]]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+            return []
+        rows = spark.read.schema("newest long, batch_id long").parquet(self.path)
+        return sorted((r["batch_id"], r["newest"]) for r in rows.collect())
+
+    def advance(self, batch: DataFrame, batch_id: int, time: str = "ts_ns") -> int | None:
+        """The newest time up to and with this batch; None before any."""
+        spark = batch.sparkSession
+        kept = self._kept(spark)
+        before = [newest for number, newest in kept if number < batch_id]
+        own = batch.agg(F.max(time)).first()[0]
+        newest = max([t for t in (*before, own) if t is not None], default=None)
+        if newest is not None:
+            (spark.createDataFrame([(newest,)], "newest long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}"))
+            for number in [number for number, _ in kept if number < batch_id][:-1]:
+                remove_dir(spark, f"{self.path}/batch_id={number}")
+        return newest
+
+
+def splitting_flush(flush: Flush, late_flush: Flush, state_path: str, watermark_ns: int = LABEL_TTL_NS) -> Flush:
     """A flush that sends rows older than ``watermark_ns`` before the newest row seen so far to a side table.
 
-    The newest time is that of the batch itself or of an earlier batch, whichever is later.
+    The newest time is that of the batch itself or of an earlier batch, whichever is later; it lives in a table below
+    ``state_path``, so a restarted stream and a repeated batch split as the first run did. Rows without a time are in time. The
+    batch is worked out once.
     """
-    newest = {"ts_ns": 0}
+    times = NewestTime(state_path)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        newest["ts_ns"] = max(newest["ts_ns"], batch.agg(F.max("ts_ns")).first()[0] or 0)
-        good, late = late_rows(batch, newest["ts_ns"], watermark_ns)
-        flush(good, batch_id)
-        late_flush(late, batch_id)
+        batch = batch.persist()
+        try:
+            newest = times.advance(batch, batch_id)
+            good, late = (batch, batch.limit(0)) if newest is None else late_rows(batch, newest, watermark_ns)
+            flush(good, batch_id)
+            late_flush(late, batch_id)
+        finally:
+            batch.unpersist()
     return each
 
 
@@ -79,5 +117,5 @@ def new_stacks_stream(samples: DataFrame, rotation_ns: int = 600 * SECOND_NS, wa
 
 def late_rows(samples: DataFrame, batch_time_ns: int, watermark_ns: int = LABEL_TTL_NS) -> tuple[DataFrame, DataFrame]:
     """A batch split into rows in time and rows the watermark has already passed (for a side table)."""
-    late = F.col("ts_ns") < F.lit(batch_time_ns - watermark_ns)
+    late = F.coalesce(F.col("ts_ns") < F.lit(batch_time_ns - watermark_ns), F.lit(False))
     return samples.where(~late), samples.where(late)

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -164,3 +165,15 @@ def stop_when_idle(query: StreamingQuery, patience: float = 120.0) -> None:
     query.stop()
     if failure:
         raise failure
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Keyed state needs a store that holds several values per key; the session's own setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
