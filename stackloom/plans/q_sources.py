@@ -225,7 +225,7 @@ def _(t: Tables):
     early = (F.col("ts_ns") <= F.lit(_disc(rows, cut))) & (F.col("event_id") % 10 != 0)
     for part in (rows.where(early), rows.where(~early)):
         part.repartition(2).write.mode("append").parquet(f"{path}/in")
-        flush = report.splitting_flush(report.parquet_flush(f"{path}/good"), report.parquet_flush(f"{path}/late"), f"{path}/newest", 10 * DAY_NS)
+        flush = report.splitting_flush(report.parquet_flush(f"{path}/good"), report.parquet_flush(f"{path}/late"), 10 * DAY_NS, f"{path}/newest")
         _finish(report.stream_report(t.spark.readStream.schema(rows.schema).parquet(f"{path}/in"), flush, f"{path}/checkpoint", None))
     sides = [t.spark.read.schema(rows.schema).parquet(f"{path}/{name}").withColumn("late", F.lit(name == "late")) for name in ("good", "late")]
     return sides[0].unionByName(sides[1]).groupBy("late").agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stackloom.schema import LABEL_TTL_NS, SECOND_NS
-from stackloom.session import remove_dir
+from stackloom.session import remove_dir, shared_dir
 from stackloom.sources.tables import with_rotation
 
 Flush = Callable[[DataFrame, int], None]
@@ -54,16 +54,18 @@ class NewestTime:
         return newest
 
 
-def splitting_flush(flush: Flush, late_flush: Flush, state_path: str, watermark_ns: int = LABEL_TTL_NS) -> Flush:
+def splitting_flush(flush: Flush, late_flush: Flush, watermark_ns: int = LABEL_TTL_NS, state_path: str | None = None) -> Flush:
     """A flush that sends rows older than ``watermark_ns`` before the newest row seen so far to a side table.
 
     The newest time is that of the batch itself or of an earlier batch, whichever is later; it lives in a table below
-    ``state_path``, so a restarted stream and a repeated batch split as the first run did. Rows without a time are in time. The
-    batch is worked out once.
+    ``state_path``, so a restarted stream and a repeated batch split as the first run did; without a path it is a folder of this run
+    alone. Rows without a time are in time. The batch is worked out once.
     """
-    times = NewestTime(state_path)
+    times = NewestTime(state_path) if state_path else None
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        nonlocal times
+        times = times or NewestTime(shared_dir(batch.sparkSession, "newest"))
         batch = batch.persist()
         try:
             newest = times.advance(batch, batch_id)

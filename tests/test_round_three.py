@@ -120,7 +120,7 @@ def test_labels_follow_the_observations(spark, width):
 
 def test_late_rows_after_a_restart_and_a_repeat(spark):
     path = shared_dir(spark, "late")
-    flush = lambda: report.splitting_flush(report.parquet_flush(f"{path}/good"), report.parquet_flush(f"{path}/late"), f"{path}/state", 100)
+    flush = lambda: report.splitting_flush(report.parquet_flush(f"{path}/good"), report.parquet_flush(f"{path}/late"), 100, f"{path}/state")
     batches = [[1000, 950], [880, None, 905], [850], [2000, 1899, 1900]]
     for number, times in enumerate(batches):
         rows = spark.createDataFrame([(t,) for t in times], "ts_ns long")
