@@ -1,8 +1,10 @@
 """Quality rules: measures of a text on its own, and lines that too many documents of a host share.
 
 All work is DataFrame expressions. Lines are hashed in normal form (trimmed, lower-cased, digits as 0, blanks as one); a host's
-lines are counted over distinct texts, so copies of one text count once. Counts shuffle one row per line occurrence at most,
-summed before the shuffle; the join that finds the lines again is an equi-join that Spark splits where a line is hot.
+lines are counted over distinct documents (or distinct texts, so that copies of one text count once). A line goes when more
+documents of its host have it than a fixed limit allows, however large the host is. Lines are split once, into a table of
+hashes; counts shuffle one row per line occurrence at most, summed before the shuffle, and the join that finds the lines
+again is an equi-join that Spark splits where a line is hot.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm.text import places, split_words
+from stackloom.session import stored
 
 BLANKS = " \t\x0b\x0c\r"
 
@@ -69,11 +72,22 @@ def line_occurrences(rows: DataFrame) -> DataFrame:
                         F.size(split_words(F.col("raw"))).cast("long").alias("words"))
 
 
-def frequent_lines(occurrences: DataFrame, least_documents: int, share: float) -> DataFrame:
-    """(host, line, n_docs) of lines in more distinct texts of the host than both limits: a count, and a share of its texts."""
-    counts = occurrences.groupBy("host", "line").agg(F.countDistinct("text_key").alias("n_docs")).where(F.col("n_docs") > least_documents)
-    texts = occurrences.groupBy("host").agg(F.countDistinct("text_key").alias("n_texts"))
-    return counts.join(texts, "host").where(F.col("n_docs") > share * F.col("n_texts")).select("host", "line", "n_docs")
+def frequent_lines(occurrences: DataFrame, most_documents: int, share: float | None = None, count: str = "documents") -> DataFrame:
+    """(host, line, n_docs) of lines in more than ``most_documents`` distinct documents of the host.
+
+    With ``share`` a line also has to be in more than that share of the host's documents. ``count`` is 'documents' (by doc_id; rows
+    without one by their text) or 'texts'.
+    """
+    if count not in ("documents", "texts"):
+        raise ValueError(f"count must be documents or texts, not {count!r}")
+    text = F.col("text_key")
+    unit = text if count == "texts" else F.struct(F.col("doc_id"), F.when(F.col("doc_id").isNull(), text))
+    marked = occurrences.withColumn("unit", unit)
+    counts = marked.groupBy("host", "line").agg(F.countDistinct("unit").alias("n_docs")).where(F.col("n_docs") > most_documents)
+    if share is None:
+        return counts
+    sizes = marked.groupBy("host").agg(F.countDistinct("unit").alias("n_host"))
+    return counts.join(sizes, "host").where(F.col("n_docs") > share * F.col("n_host")).select("host", "line", "n_docs")
 
 
 def without_lines(text: Column, removed: Column) -> Column:
@@ -81,19 +95,19 @@ def without_lines(text: Column, removed: Column) -> Column:
     return F.array_join(F.filter(_lines(text), lambda line, i: ~F.array_contains(removed, i)), "\n")
 
 
-def quality_rules(docs: DataFrame, least_words: int = 50, repeat_percent: int = 50, least_documents: int = 20,
-                  share: float = 0.05, depleted_percent: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, least_words: int = 50, repeat_percent: int = 50, most_documents: int = 20,
+                  share: float | None = None, depleted_percent: int = 50, count: str = "documents") -> DataFrame:
     """Per row of ``docs`` (doc_id, source, text): the measures, base_failed, removed_lines, words_left and kept.
 
     A row fails the base rules with fewer than ``least_words`` words, or more than ``repeat_percent`` of them in repeated
-    three-word windows. Lines above both limits of ``frequent_lines`` are removed; the row is rejected if more than
+    three-word windows. Lines above the limit of ``frequent_lines`` are removed; the row is rejected if more than
     ``depleted_percent`` of its words go with them. Null text is empty, a null source is a host of its own. Rows that repeat a
     doc_id are judged one by one. ``removed_lines`` are 0-based places (null: none), see ``without_lines``. An empty table gives
     an empty result; other columns are ignored.
     """
     rows = _keyed(docs)
-    occurrences = line_occurrences(rows)
-    hits = (occurrences.join(frequent_lines(occurrences, least_documents, share).select("host", "line"), ["host", "line"])
+    occurrences = stored(line_occurrences(rows), "lines")
+    hits = (occurrences.join(frequent_lines(occurrences, most_documents, share, count).select("host", "line"), ["host", "line"])
             .dropDuplicates(["doc_id", "text_key", "host", "place"]))
     removed = hits.groupBy("doc_id", "text_key", "host").agg(F.sum("words").alias("gone"), F.sort_array(F.collect_list("place")).alias("removed_lines"))
     m, r = text_measures(rows).alias("m"), removed.alias("r")

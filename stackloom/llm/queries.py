@@ -73,10 +73,8 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     '[\x20\x09-\x0D]+', ' ', 'g') AS line
               FROM occ WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
     dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM lines GROUP BY doc_id),
-    often AS (SELECT host, line, count(DISTINCT text) AS n FROM lines GROUP BY host, line),
-    size AS (SELECT host, count(DISTINCT text) AS n FROM lines GROUP BY host),
-    gone AS (SELECT doc_id, sum(k) AS gone FROM lines JOIN often USING (host, line) JOIN size USING (host)
-             WHERE often.n > 20 AND often.n > 0.05 * size.n GROUP BY doc_id),
+    often AS (SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT doc_id) > 20),
+    gone AS (SELECT doc_id, sum(k) AS gone, count(*) AS n FROM lines JOIN often USING (host, line) GROUP BY doc_id),
     tri AS (SELECT doc_id, p, array_to_string(words[p:p + 2], ' ') AS s
             FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS p FROM w WHERE len(words) > 2)),
     rep AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS i FROM (
@@ -84,13 +82,14 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     base AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
                     CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
                     CAST(coalesce(dup.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-                    coalesce(gone.gone, 0) AS gone
+                    coalesce(gone.gone, 0) AS gone, coalesce(gone.n, 0) AS n_removed_lines
              FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-           n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, CAST(n_removed_lines AS BIGINT) AS n_removed_lines,
+           CAST(n_words - gone AS BIGINT) AS words_left, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * gone <= 50 * n_words AS kept FROM base""")
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.quality_rules(_table(spark, sf_dir, "documents")).drop("removed_lines", "words_left")
+    rows = lines.quality_rules(_table(spark, sf_dir, "documents"))
+    return rows.withColumn("removed_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long")).withColumnRenamed("removed_lines", "n_removed_lines")
 
 
 @_query("op7_benchmark_decontamination", r"""

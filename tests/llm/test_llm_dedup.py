@@ -151,17 +151,19 @@ def test_contamination_without_broadcast(spark, monkeypatch):
     assert key(winnow.contamination(frame(spark, rows), bench, 4, 2)) == small
 
 
-def test_quality_rules(spark):
+@pytest.mark.parametrize("share,count", [(None, "documents"), (0.1, "texts"), (None, "texts"), (0.1, "documents")])
+def test_quality_rules(spark, share, count):
     rows = corpus(7) + [(1000 + i, f"Common  Line {i % 10}\nown words of text {i} here\n", "h2") for i in range(30)] + [
         (2000 + i, f"common line {i % 10}\ncommon line 7", "h2") for i in range(10)] + [(3000, "x # y *\n\nx # y *\n$<>", "h1")]
     norm = lambda raw: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "0", raw.strip(" \t\x0b\x0c\r").lower()))
     docs, sizes = {}, {}
-    for _, text, source in rows:
+    for i, text, source in rows:
         for raw in (text or "").split("\n"):
             if WORD.search(raw):
-                docs.setdefault((source or "", norm(raw)), set()).add(text)
-                sizes.setdefault(source or "", set()).add(text)
-    often = {k for k, v in docs.items() if len(v) > 5 and len(v) > 0.1 * len(sizes[k[0]])}
+                unit = text if count == "texts" or i is None else i
+                docs.setdefault((source or "", norm(raw)), set()).add(unit)
+                sizes.setdefault(source or "", set()).add(unit)
+    often = {k for k, v in docs.items() if len(v) > 5 and (share is None or len(v) > share * len(sizes[k[0]]))}
     assert ("h2", "common line 0") in often
     want = []
     for i, text, source in rows:
@@ -174,7 +176,8 @@ def test_quality_rules(spark):
         want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(raws) - len(set(raws)),
                      None if rep is None else len(rep), failed, len(w) - gone, None if rep is None else not failed and 100 * gone <= 50 * len(w)))
     found = [tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_left", "kept"))
-             for r in lines.quality_rules(frame(spark, rows), 4, 50, 5, 0.1, 50).collect()]
+             for r in lines.quality_rules(frame(spark, rows), 4, 50, 5, share, 50, count).collect()]
+    assert any(r[6] is False and r[8] is False for r in found)  # rejected for its lines alone
     blank = lambda r: r if r[1] < 1000 else (*r[:5], None, None, r[7], None)
     assert sorted(map(str, map(blank, found))) == sorted(map(str, want))
 
