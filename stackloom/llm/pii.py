@@ -1,6 +1,7 @@
 """Personal data: fixed formats as seeds, and identifiers that share the contexts of the seeds.
 
-Bootstrapped contextual extraction. Matches of the fixed formats are seed entities; the words around them are lexical
+Bootstrapped contextual extraction. Matches of the fixed formats are seed entities, and so are secrets: tokens of many different
+characters that stand behind a key word and an equals sign or colon. The words and marks around them are lexical
 patterns. Tokens that look like identifiers (a digit or an at sign in them) and match no format are candidates. Spark scores
 the graph of patterns and instances in rounds: a pattern is trusted for a kind if enough of the instances it extracts are
 known for that kind, an instance becomes known if the trusted patterns that extract it agree; what becomes known helps the
@@ -17,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stackloom.llm.text import free_names
 from stackloom.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
 #: The formats, written so that no position is tried twice: they match what the plain greedy forms match, leftmost first.
 FORMATS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -27,7 +30,11 @@ FORMATS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CANDIDATE = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
+CANDIDATE = r"(?<![^\s\"'=<>])(?=[^\s\"'=<>0-9@]*+[0-9@])[^\s\"'=<>]++"
+#: What a secret stands behind.
+KEY_WORD = (r"(?i)(?:^|[^\p{L}])(?:token|secret|passw(?:or)?d|passphrase|pwd|credential|auth|(?:api|access|private|secret)[ _-]?key)s?[\"']?"
+            r"\s*[:=]\s*[\"']?$")
+SECRET_CHARS, SECRET_DISTINCT = 16, 8
 #: A cheap test for each: without such a character there is no match.
 NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+", "candidate": "[0-9@]"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -86,16 +93,18 @@ def occurrences(rows: DataFrame) -> DataFrame:
     bare = F.regexp_extract("value", r"^[(\[{<\"']*+(.*?)[)\]}>\"'.,;:!?]*$", 1)
     lead = F.length(F.regexp_extract("value", r"^[(\[{<\"']*+", 0))
     token = F.col("kind") == "candidate"
+    mixed = bare.rlike("[0-9]") & bare.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(bare, ""))) >= SECRET_DISTINCT)
+    secret = token & (F.length(bare) >= SECRET_CHARS) & F.col("left").rlike(KEY_WORD) & mixed
     return placed.select(
-        "doc_id", "text_key", "kind", F.when(token, bare).otherwise(F.col("value")).alias("value"),
+        "doc_id", "text_key", F.when(secret, F.lit(SECRET)).otherwise(F.col("kind")).alias("kind"), F.when(token, bare).otherwise(F.col("value")).alias("value"),
         F.when(token, F.col("begin") + lead).otherwise(F.col("begin")).alias("begin"),
         F.when(token, F.col("begin") + lead + F.length(bare)).otherwise(F.col("end")).alias("end"), "left", "right",
     ).where((F.col("value") != "") & _valid(F.col("kind"), F.col("value")))
 
 
 def _free(found: DataFrame) -> DataFrame:
-    """Without the candidates that overlap a span of a format."""
-    seed = F.col("kind") != "candidate"
+    """Without the candidates and secrets that overlap a span of a format."""
+    seed = F.col("kind").isin(*KINDS)
     order = W.partitionBy("doc_id", "text_key").orderBy("begin", "end")
     last = F.max(F.when(seed, F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, -1))
     following = F.min(F.when(seed, F.col("begin"))).over(order.rowsBetween(1, W.unboundedFollowing))
@@ -105,12 +114,15 @@ def _free(found: DataFrame) -> DataFrame:
 
 
 def patterns_of(left: Column, right: Column) -> Column:
-    """The lexical patterns of an occurrence: the two words before it, and the words on either side."""
+    """The lexical patterns of an occurrence: the two words before it, the words on either side, and a key with its marks before it."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-    before, after = F.regexp_extract(plain(left), r"(\S*\s+)?(\S+)\s*$", 0), F.regexp_extract(plain(right), r"^\s*(\S+)", 1)
+    # quotes and brackets around an occurrence are not words
+    bare_left, bare_right = F.regexp_replace(plain(left), r"[\"'(\[{<]+$", ""), F.regexp_replace(plain(right), r"^[\"')\]}>.,;:!?]+", "")
+    before, after = F.regexp_extract(bare_left, r"(\S*\s+)?(\S+)\s*$", 0), F.regexp_extract(bare_right, r"^\s*(\S+)", 1)
     last = F.regexp_extract(before, r"(\S+)\s*$", 1)
     two = F.regexp_replace(F.btrim(before), r"\s+", " ")
-    return F.filter(F.array(F.when(two.contains(" "), F.concat(two, F.lit(" _"))),
+    key = F.regexp_replace(F.regexp_extract(plain(left), r"([\p{L}\p{N}_]++[^\p{L}\p{N}_]*+)$", 1), r"\s+", " ")
+    return F.filter(F.array(F.when(two.contains(" "), F.concat(two, F.lit(" _"))), F.when(key.rlike("[=:]"), F.concat(F.lit("key "), key, F.lit("_"))),
                             F.when((last != "") & (after != ""), F.concat(last, F.lit(" _ "), after))), lambda p: p.isNotNull())
 
 
@@ -145,16 +157,17 @@ def bootstrap(found: DataFrame, rounds: int, least_support: float, least_precisi
 
 def personal_data(docs: DataFrame, rounds: int = 3, least_support: float = 5, least_precision: float = 0.75,
                   least_confidence: float = 0.75) -> DataFrame:
-    """(doc_id, text_key, kind, begin, end, by) per span of personal data; ``by`` is 'format' or 'context'.
+    """(doc_id, text_key, kind, begin, end, by) per span of personal data; ``by`` is 'format', 'seed' (a secret) or 'context'.
 
     Offsets count code points, end exclusive. Formats match leftmost and without overlap within a kind; a match that fails its
-    check (ip parts, card digits and Luhn, phone digits) is dropped and not tried again. Spans by context never overlap those
-    of a format. Null text is empty. ``text_key`` is xxhash64 of the text; rows that repeat both doc_id and text share spans.
+    check (ip parts, card digits and Luhn, phone digits) is dropped and not tried again. Spans of secrets and by context never overlap
+    those of a format. Null text is empty. ``text_key`` is xxhash64 of the text; rows that repeat both doc_id and text share spans.
     An empty table gives an empty result; columns other than doc_id and text are ignored.
     """
     found = stored(_free(occurrences(_keyed(docs))), "found")
     known = bootstrap(found, rounds, least_support, least_precision, least_confidence).withColumnRenamed("kind", "known_kind")
-    by_format = found.where("kind <> 'candidate'").select("doc_id", "text_key", "kind", "begin", "end", F.lit("format").alias("by"))
+    by = F.when(F.col("kind") == SECRET, F.lit("seed")).otherwise(F.lit("format"))
+    by_format = found.where("kind <> 'candidate'").select("doc_id", "text_key", "kind", "begin", "end", by.alias("by"))
     by_context = (found.where("kind = 'candidate'").withColumn("instance", F.lower("value")).join(known, "instance")
                   .select("doc_id", "text_key", F.col("known_kind").alias("kind"), "begin", "end", F.lit("context").alias("by")))
     return by_format.unionByName(by_context)
@@ -162,7 +175,7 @@ def personal_data(docs: DataFrame, rounds: int = 3, least_support: float = 5, le
 
 def with_spans(docs: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs``, with ``spans``: the array of its spans in order of kind and place."""
-    place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    place = F.array_position(F.array(*[F.lit(k) for k in (*KINDS, SECRET)]), F.col("kind"))
     lists = spans.groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_list(F.struct(place.alias("order"), "begin", "end", "kind", "by"))).alias("spans")).alias("s")
     d = docs.withColumn("text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).select("doc_id", "text_key", *columns).alias("d")
@@ -182,16 +195,17 @@ def redact(docs: DataFrame, spans: DataFrame) -> DataFrame:
     numbered = opened.withColumn("number", F.sum("new").over(order))
     merged = numbered.groupBy("doc_id", "text_key", "number").agg(
         F.min("begin").alias("begin"), F.max("end").alias("end"), F.min_by("kind", F.struct("begin", -F.col("end"), "kind")).alias("kind"))
-    lists = merged.groupBy(F.col("doc_id").alias("span_doc"), F.col("text_key").alias("span_text")).agg(
-        F.sort_array(F.collect_list(F.struct("begin", "end", "kind"))).alias("span_list"))
-    text, all_ = F.col("text"), F.col("span_list")
+    doc, key, spans_of = free_names(docs, "span_doc", "span_text", "span_list")
+    lists = merged.groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(
+        F.sort_array(F.collect_list(F.struct("begin", "end", "kind"))).alias(spans_of))
+    text, all_ = F.col("text"), F.col(spans_of)
     parts = F.transform(all_, lambda s, i: F.concat(
         F.substring(text, F.coalesce(F.get(all_, i - 1)["end"], F.lit(0)).cast("int") + 1,
                     (s["begin"] - F.coalesce(F.get(all_, i - 1)["end"], F.lit(0))).cast("int")),
         F.lit("["), F.upper(s["kind"]), F.lit("]")))
     tail = F.substring(text, F.element_at(all_, -1)["end"].cast("int") + 1, F.length(text))
     clean = F.when(all_.isNull(), text).otherwise(F.concat(F.array_join(parts, ""), tail))
-    same = F.col("doc_id").eqNullSafe(F.col("span_doc")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("span_text"))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col(key))
     joined = docs.join(lists, same, "left").withColumn("text", clean)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

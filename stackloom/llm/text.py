@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,3 +30,14 @@ def places(count: Column, length: int) -> Column:
 def run_hashes(hashes: Column, count: Column, length: int) -> Column:
     """Hash of every run of ``length`` elements of an array of hashes."""
     return F.transform(places(count, length), lambda i: F.xxhash64(*[hashes[i + j] for j in range(length)]))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
