@@ -1,21 +1,31 @@
 """Main text of web pages by minimum-cut labelling of their text blocks.
 
-A page is read into text blocks with the elements they stand in. A linear classifier gives every block a cost of being called
+A page is read into text blocks with the elements they stand in. A classifier gives every block a cost of being called
 boilerplate or content, the capacity of its edge to one of two terminals. Neighbours in page order and neighbours under the
 same parent are tied by smoothness edges. The minimum cut (by maximum flow) is the cheapest labelling of all blocks together:
 a short odd paragraph follows its article, a long link list its menu. Pages are independent, so Spark maps over them.
+
+The classifier is a logistic regression on the text itself: length, link density, element, depth, punctuation, neighbours. It is fitted
+on a sample of pages whose elements say what a block is (an article, a menu, a footer), and then speaks for blocks that stand
+in no such element; what elements and names say is added to its log odds. Names are weak evidence: one that holds more than
+half of a page's text is no boilerplate, and never does it speak against the article, main or body element that bears it. Reader
+comments alone are boilerplate at any length.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import html
 import re
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stackloom.session import stored
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|title|iframe|object)\b.*?(?:</(?P=raw)\s*>|\Z)
                        |<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>""",
                    re.S | re.I | re.X)
@@ -30,51 +40,67 @@ CLOSES_P = frozenset("address article aside blockquote details div dl dt dd fiel
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
         "option": ("option",)}
 SCOPE = frozenset("article aside body div footer form header main nav section table td th ul ol dl blockquote html figure".split())
-# Weights of the classifier, in units of one clear hint. Positive speaks for content.
+# What elements and names say, in log odds. Positive speaks for content.
 ELEMENT = {"article": 4.0, "main": 2.0, "nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "button": -8.0, "select": -8.0,
            "menu": -8.0, "dialog": -8.0, "head": -20.0, "header": -5.0, "label": -3.0, "fieldset": -6.0}
+BODIES = frozenset(("html", "body", "article", "main"))
 NAMES = {-8.0: "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation "
-               "breadcrumb breadcrumbs footer cookie cookies consent notice notices alert gdpr popup modal overlay comment comments "
-               "commentlist disqus reply replies respond related recommended share sharing social newsletter subscribe subscription signup "
+               "breadcrumb breadcrumbs footer cookie cookies consent notice notices alert gdpr popup modal overlay related "
+               "recommended share sharing social newsletter subscribe subscription signup "
                "login search pagination pager widget toolbar topbar masthead copyright legal disclaimer",
          -5.0: "header tags tagcloud links teaser more trending popular",
          2.5: "article post entry content story body text main"}
 NAME_WEIGHT = {name: weight for weight, names in NAMES.items() for name in names.split()}
+READERS = frozenset("comment comments commentlist disqus discussion reply replies respond responses".split())
+READER_WEIGHT = -9.0
+# Names that say what an article is about and not what an element is.
+TOPIC = re.compile(r"(?:category|cat|tag|tags|topic|author|type|status|format|post)[-_]", re.I)
 ROLE_WEIGHT = {"navigation": -8.0, "banner": -6.0, "contentinfo": -8.0, "complementary": -8.0, "search": -8.0, "form": -8.0, "dialog": -8.0,
                "alert": -8.0, "main": 2.0, "article": 4.0}
 TIE_NEXT, TIE_SIBLING = 0.6, 0.8
 
 
-def _hints(tag: str, rest: str) -> tuple[float, float]:
-    """Of one element: its strongest hint against content and for it."""
-    bad, good = min(ELEMENT.get(tag, 0.0), 0.0), max(ELEMENT.get(tag, 0.0), 0.0)
-    if rest and tag not in ("html", "body"):
-        for name, value in ATTRIBUTE.findall(rest):
-            name, value = name.lower(), value.strip("\"' ")
-            if name in ("class", "id"):
-                for part in NAME_PART.findall(value):
-                    weight = NAME_WEIGHT.get(part.lower(), 0.0)
-                    bad, good = min(bad, weight), max(good, weight)
-            elif name == "role":
-                weight = ROLE_WEIGHT.get(value.lower(), 0.0)
-                bad, good = min(bad, weight), max(good, weight)
-            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or \
-                    (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                bad = -20.0
-    return bad, good
+def _hints(tag: str, rest: str) -> tuple[float, float, float]:
+    """Of one element: its strongest hint against content, the strongest of its names alone, and the strongest for content."""
+    bad, good, named = min(ELEMENT.get(tag, 0.0), 0.0), max(ELEMENT.get(tag, 0.0), 0.0), 0.0
+    for name, value in ATTRIBUTE.findall(rest) if rest else ():
+        name, value = name.lower(), value.strip("\"' ")
+        if name in ("class", "id"):
+            for token in value.split():
+                parts = [p.lower() for p in NAME_PART.findall(token)]
+                good = max([good, *(NAME_WEIGHT.get(p, 0.0) for p in parts)]) if tag not in ("html", "body") else good
+                if tag in BODIES or TOPIC.match(token):
+                    continue
+                if READERS.intersection(parts):
+                    bad = min(bad, READER_WEIGHT)
+                else:
+                    named = min([named, *(NAME_WEIGHT.get(p, 0.0) for p in parts)])
+        elif name == "role":
+            weight = ROLE_WEIGHT.get(value.lower(), 0.0)
+            good = max(good, weight)
+            if tag not in BODIES:
+                bad = min(bad, weight)
+        elif tag not in BODIES and (name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (
+                name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))):
+            bad = -20.0
+    return bad, named, good
 
 
 class Block:
-    __slots__ = ("text", "links", "tag", "parent", "bad", "good")
+    """A stretch of text with the element it stands in (``tag``), that element's parent, its depth, and the hints above it."""
+
+    __slots__ = ("text", "links", "tag", "parent", "depth", "bad", "good", "named")
 
-    def __init__(self, text: str, links: int, tag: str, parent: int, bad: float, good: float):
-        self.text, self.links, self.tag, self.parent, self.bad, self.good = text, links, tag, parent, bad, good
+    def __init__(self, text: str, links: int, tag: str, parent: int, depth: int, bad: float, good: float, named: tuple):
+        self.text, self.links, self.tag, self.parent, self.depth = text, links, tag, parent, depth
+        self.bad, self.good, self.named = bad, good, named
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order: character references decoded, white space as single blanks, empty ones left out."""
     blocks: list[Block] = []
-    stack: list[tuple[str, int, float, float]] = [("", 0, 0.0, 0.0)]  # tag, number, strongest hints on the way down
+    # tag, number, strongest hints on the way down, and the chain (hint, number, rest) of elements that only their names speak against
+    stack: list[tuple[str, int, float, float, tuple]] = [("", 0, 0.0, 0.0, ())]
     pieces: list[str] = []
     number = links = in_link = 0
 
@@ -84,8 +110,8 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] not in INLINE), 0)
-                tag, _, bad, good = stack[at]
-                blocks.append(Block(text, links, tag, stack[max(at - 1, 0)][1], min(bad, stack[-1][2]), good))
+                tag, _, bad, good, _ = stack[at]
+                blocks.append(Block(text, links, tag, stack[max(at - 1, 0)][1], at, min(bad, stack[-1][2]), good, stack[-1][4]))
             pieces.clear()
         links = 0
 
@@ -135,28 +161,117 @@ def blocks_of(page: str) -> list[Block]:
                     break
             elif stack[i][0] in SCOPE:
                 break
-        bad, good = _hints(tag, m["rest"])
+        bad, named, good = _hints(tag, m["rest"])
         number += 1
-        stack.append((tag, number, min(bad, stack[-1][2]), max(good, stack[-1][3])))
+        chain = (named, number, stack[-1][4]) if named < 0 else stack[-1][4]
+        stack.append((tag, number, min(bad, stack[-1][2]), max(good, stack[-1][3]), chain))
         in_link += tag == "a"
         if m["rest"].endswith("/") and tag not in INLINE:
             close(len(stack) - 1)
     if last < len(page):
         pieces.append(page[last:])
     flush()
+    _weigh_names(blocks)
     return blocks
 
 
-def cost(block: Block) -> float:
-    """Score of a block on its own; above zero speaks for content."""
-    n = len(block.text)
-    density = min(1.0, block.links / n)
-    score = -0.8 + block.good + block.bad - 3.0 * density + min(n, 400) / 200
-    if block.tag in ("p", "pre", "blockquote", "h1", "h2", "h3"):
-        score += 0.7
-    elif block.tag in ("li", "td", "th"):
-        score -= 0.3
-    return score
+def _weigh_names(blocks: list[Block]) -> None:
+    """Let names speak against blocks, but for those of elements that hold more than half of the page's text outside links."""
+    held: dict[int, int] = {}
+    total = 0
+    for b in blocks:
+        if b.bad <= -8.0:
+            continue
+        size = max(len(b.text) - b.links, 0)
+        total += size
+        chain = b.named
+        while chain:
+            held[chain[1]] = held.get(chain[1], 0) + size
+            chain = chain[2]
+    for b in blocks:
+        chain = b.named
+        while chain:
+            if 2 * held.get(chain[1], 0) <= total:
+                b.bad = min(b.bad, chain[0])
+            chain = chain[2]
+
+
+FEATURES = ("one", "length", "links", "paragraph", "item", "heading", "sentence", "depth", "length before", "length after")
+MOST_ODDS = 3.0
+
+
+@dataclasses.dataclass
+class Model:
+    """Weights of the features of a block. These stand in where no page says what its blocks are."""
+
+    weights: tuple[float, ...] = (-0.8, 1.0, -3.0, 0.7, -0.3, 0.7, 0.0, 0.0, 0.0, 0.0)
+
+
+def features(blocks: list[Block]) -> list[list[float]]:
+    """What a block's text, place and neighbours tell, without the names and elements around it."""
+    size = [min(len(b.text), 400) / 200 for b in blocks]
+    rows = []
+    for i, b in enumerate(blocks):
+        heading = b.tag in ("h1", "h2", "h3")
+        rows.append([1.0, size[i], min(1.0, b.links / len(b.text)), float(b.tag in ("p", "pre", "blockquote")), float(b.tag in ("li", "td", "th")),
+                     float(heading), float(b.text[-1] in ".!?\u2026:;\"\u201d"), min(b.depth, 20) / 10,
+                     size[i - 1] if i else 0.0, size[i + 1] if i + 1 < len(blocks) else 0.0])
+    return rows
+
+
+def costs(blocks: list[Block], model: Model) -> list[float]:
+    """Score of every block on its own; above zero speaks for content."""
+    odds = (np.array(features(blocks)) @ np.array(model.weights)).clip(-MOST_ODDS, MOST_ODDS)
+    return [float(o) + b.good + b.bad for o, b in zip(odds, blocks)]
+
+
+def fit(pages: DataFrame, sample_pages: int = 2_000, rounds: int = 8, ridge: float = 0.002) -> Model:
+    """A model from about ``sample_pages`` rows of ``pages`` (html), drawn by a hash of the page (all, if there are no more).
+
+    Blocks inside an article or main element that nothing speaks against are content, blocks that an element or a name clearly
+    speaks against are boilerplate, the others teach nothing. Newton steps of a logistic regression; a step adds up one small matrix
+    per task; ``ridge``, per labelled block, keeps weights moderate where the kinds part cleanly. Without blocks of both kinds the model is the one that stands in.
+    """
+    text = F.col("html").cast("string")
+    known = pages.select(text.alias("html")).where("html <> ''")
+    n = known.count()
+    share = 1_000_000 * sample_pages // max(n, 1) + 1
+    drawn = known if n <= sample_pages else known.where(F.pmod(F.xxhash64("html"), F.lit(1_000_000).cast("long")) < share)
+    width = len(FEATURES)
+
+    def measure(batches):
+        for batch in batches:
+            for page in batch.column("html").to_pylist():
+                blocks = blocks_of(page)
+                labels = [1 if b.good >= 2.0 and b.bad >= 0 else 0 if b.bad <= -5.0 else -1 for b in blocks]
+                rows = [(y, x) for y, x in zip(labels, features(blocks)) if y >= 0]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int32()),
+                                                      pa.array([x for _, x in rows], pa.list_(pa.float64()))], ["y", "x"])
+
+    blocks = stored(drawn.mapInArrow(measure, "y int, x array<double>"), "blocks")
+    sizes = {r["y"]: r["n"] for r in blocks.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return Model()
+    balance = {y: sum(sizes.values()) / (2 * n) for y, n in sizes.items()}
+    weights, ridge = np.zeros(width), ridge * sum(sizes.values())
+    for _ in range(rounds):
+        def step(batches, weights=weights):
+            for batch in batches:
+                y = batch.column("y").to_numpy()
+                x = batch.column("x").flatten().to_numpy().reshape(-1, width)
+                c = np.where(y == 1, balance[1], balance[0])
+                p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+                found = np.r_[x.T @ (c * (p - y)), ((x * (c * p * (1 - p))[:, None]).T @ x).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array([found.tolist()], pa.list_(pa.float64()))], ["v"])
+
+        total = blocks.mapInArrow(step, "v array<double>").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(width + width * width)]).first()
+        total = np.array(total, dtype=float)
+        move = np.linalg.solve(total[width:].reshape(width, width) + ridge * np.eye(width), total[:width] + ridge * weights)
+        weights = weights - move * min(1.0, 4.0 / max(np.abs(move).max(), 1e-12))
+        if np.abs(move).max() < 1e-4:
+            break
+    return Model(tuple(weights.tolist()))
 
 
 def minimum_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -221,11 +336,11 @@ def minimum_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list
             a = target[e]
 
 
-def main_blocks(page: str) -> list[str]:
+def main_blocks(page: str, model: Model | None = None) -> list[str]:
     """The texts of the blocks that the cut calls content."""
     blocks = blocks_of(page)
-    scores = [cost(b) for b in blocks]
-    if not blocks or all(s <= 0 for s in scores):
+    scores = costs(blocks, model or Model()) if blocks else []
+    if all(s <= 0 for s in scores):
         return []
     ties, last_child = [], {}
     for i, b in enumerate(blocks):
@@ -239,16 +354,18 @@ def main_blocks(page: str) -> list[str]:
     return [b.text for b, keep in zip(blocks, minimum_cut(scores, ties)) if keep]
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, url, text) per row of ``pages`` (page_id, url, html): content blocks in page order, one line each.
 
-    Null or empty html, and pages without content, give an empty text. Unclosed and crossed elements are closed where the next
-    one implies it. Nothing is capped; repeated rows are answered one by one; an empty table gives an empty result; other
-    columns are ignored.
+    ``model`` weighs the blocks; without it one is fitted on the pages. Null or empty html, and pages without content, give an empty
+    text. Unclosed and crossed elements are closed where the next one implies it. Nothing is capped; repeated rows are answered
+    one by one; an empty table gives an empty result; other columns are ignored.
     """
+    model = model or fit(pages)
+
     def extract(batches):
         for b in batches:
-            texts = ["\n".join(main_blocks(page)) if page else "" for page in b.column("html").to_pylist()]
+            texts = ["\n".join(main_blocks(page, model)) if page else "" for page in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(

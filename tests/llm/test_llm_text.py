@@ -95,6 +95,35 @@ def test_pages():
         assert isinstance(html_text.main_blocks(odd), list)
 
 
+PARAGRAPHS = [f"Paragraph {i} tells a long story in many words, so that nobody could take it for a menu or a notice of any kind." for i in range(4)]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<nav><a href=1>Home</a></nav><article class="post category-search tag-copyright">{BODY}</article>', PARAGRAPHS),
+    (f'<div class="login page-2"><div class="content">{BODY}</div></div><footer>Somebody</footer>', PARAGRAPHS),
+    (f'<article>{BODY}</article><div id="discussion"><p>{PARAGRAPHS[0]} I disagree with that.</p><p>{PARAGRAPHS[1]} Me too.</p></div>', PARAGRAPHS),
+    (f'<body class="sidebar-left search"><main class="widget">{BODY}</main><div class="sidebar"><p>Read this other text of ours too.</p></div></body>', PARAGRAPHS),
+    (f'<div class="comments">{BODY}{BODY}</div><article><p>{PARAGRAPHS[0]}</p></article>', PARAGRAPHS[:1]),
+])
+def test_names_are_weak_evidence(page, want):
+    assert html_text.main_blocks(page) == want
+
+
+def test_costs_are_fitted(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("y", F.lit("clash"))
+    model = html_text.fit(pages)
+    weight = dict(zip(html_text.FEATURES, model.weights))
+    assert model != html_text.Model() and weight["links"] < 0 < weight["paragraph"] and weight["length"] > 0
+    # without an element that says so, the fitted costs find the same text
+    bare = f'<ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul><section>{BODY}</section><table><tr><td><a href=4>Four</a></table>'
+    assert html_text.main_blocks(bare, model) == PARAGRAPHS
+    drawn = html_text.fit(pages, sample_pages=60)
+    assert drawn.weights != model.weights and all(abs(a - b) < 2 for a, b in zip(drawn.weights, model.weights))
+    nothing = spark.createDataFrame([("<p>x</p>",), (None,), ("",)], "html string")
+    assert html_text.fit(nothing) == html_text.fit(nothing.limit(0)) == html_text.Model()
+
+
 def test_cut_is_minimal():
     rng = random.Random(2)
     for _ in range(150):
