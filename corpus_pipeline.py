@@ -12,16 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.llm import jaccard, packing, pii, toxicity, winnow
+from stackloom.llm.text import free_names
 from stackloom.session import ship_package, stored
 
 FEW_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (a null doc_id is in none)."""
-    gone = stored(ids.select(F.col("doc_id").alias("gone")).distinct(), "gone")
+def _without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose ``column`` is in ``ids`` (null is in none)."""
+    gone_id, = free_names(docs, "gone")
+    gone = stored(ids.select(F.col(column).alias(gone_id)).distinct(), "gone")
     few = gone.count() <= FEW_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col(column) == F.col(gone_id), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +35,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of a similarity of 0.75 over five-word shingles form, the document with the smallest doc_id."""
+    """Of each group that links of a similarity of 0.75 over five-word shingles form, the document with the smallest doc_id.
+
+    Of rows that share that doc_id one stays, and a row without id stays only if no row of its group has one (then one of them).
+    Rows without words are in no group; all of them stay. Where ids are null or repeat, rows get numbers of their own for this,
+    in a written copy.
+    """
     ship_package(spark)
-    groups = jaccard.similar_groups(docs, size=5, percent=75)
-    return _without(docs, groups.where("component_id <> doc_id"))
+    ids = docs.agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("known"), F.countDistinct("doc_id").alias("distinct")).first()
+    if ids["rows"] == ids["known"] == ids["distinct"]:
+        groups = jaccard.similar_groups(docs, size=5, percent=75)
+        return _without(docs, groups.where("component_id <> doc_id"))
+    row, = free_names(docs, "row_number")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = jaccard.similar_groups(numbered.select(F.col(row).alias("doc_id"), "text"), size=5, percent=75).where("n_shingles > 0")
+    place = numbered.select(F.col(row).alias("row"), F.col("doc_id").alias("named"))
+    ordered = groups.join(place, groups["doc_id"] == place["row"]).select(
+        "component_id", "row", F.struct(F.col("named").isNull().alias("unnamed"), "named", "row").alias("order"))
+    # one row per group before the join back, so that a giant group costs a sum and no sort
+    first = ordered.groupBy("component_id").agg(F.min("order").alias("best"))
+    kept = first.select(F.col("best.row").alias(row))
+    others = groups.select(F.col("doc_id").alias(row)).join(kept, row, "left_anti")
+    return _without(numbered, others, row).drop(row)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,7 +89,8 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * gone <= 50 * n_words AS kept FROM base""")
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.quality_rules(_table(spark, sf_dir, "documents"))
-    return rows.withColumn("removed_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long")).withColumnRenamed("removed_lines", "n_removed_lines")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                       F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed_lines"), "words_left")
 
 
 @_query("op7_benchmark_decontamination", r"""
@@ -158,8 +159,9 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), F.coalesce(_remainder(4) != 2, F.lit(True)))
+    written = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["begin"], s["end"])), ",")
     return toxicity.score(docs, model).select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
-                                              (F.col("score") >= 0.3).cast("int").alias("predicted"))
+                                              (F.col("score") >= 0.3).cast("int").alias("predicted"), written.alias("spans"))
 
 
 @_query("op11_quality_classifier")

@@ -129,6 +129,47 @@ def test_marginals_by_enumeration():
         assert np.allclose(found[a:b], weight[:, 1] / weight.sum(axis=1))
 
 
+def test_pair_marginals_by_enumeration():
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, rng.normal(size=(2, 2)), -0.3, 0, 1)
+    lengths = [1, 4, 0, 6, 2]
+    first = np.r_[0, np.cumsum(lengths)]
+    emission = rng.normal(size=first[-1])
+    marginal, pairs = toxicity.pair_marginals(model, first, emission)
+    want = np.zeros((2, 2))
+    for a, b in zip(first, first[1:]):
+        found, total = np.zeros((2, 2)), 0.0
+        for path in itertools.product((0, 1), repeat=b - a):
+            s = math.exp(sum(emission[a + t] * y for t, y in enumerate(path)) + (model.start * path[0] if path else 0)
+                         + sum(model.moves[x, y] for x, y in zip(path, path[1:])))
+            total += s
+            for x, y in zip(path, path[1:]):
+                found[x, y] += s
+        want += found / total
+    assert np.allclose(pairs, want) and np.allclose(marginal, toxicity.marginals(model, first, emission))
+
+
+def test_training_raises_the_likelihood_of_the_labels():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["bad", "bad", "ok"]) if rng.random() < 0.3 else rng.choice("abcdef") for _ in range(30)) for _ in range(40)]
+    tokens = toxicity._Tokens(pa.array(texts))
+    telling = np.unique([tokens.words.hash[texts[0].split().index(w)] for w in ("bad",) if w in texts[0].split()])
+    toxic = np.ones(40)
+    label = np.isin(tokens.words.hash, telling)
+
+    def loss(model):
+        p = toxicity.marginals(model, tokens.first, toxicity._emissions(model, tokens))
+        return -np.log(np.where(label, p, 1 - p) + 1e-12).sum()
+    few, many = (toxicity._train_chain(tokens, telling, toxic, n) for n in (1, 25))
+    assert loss(many) < 0.2 * loss(few) and not np.allclose(few.moves, many.moves) and few.start != many.start
+
+
+def test_documents_with_both_labels_teach_nothing(spark):
+    docs, labels = toxic_corpus(spark)
+    both = labels.unionByName(labels.where("doc_id % 6 = 0").withColumn("toxic", F.lit(0)))
+    assert {round(r.score, 6) for r in toxicity.score(docs, toxicity.fit(docs, both, F.lit(True))).collect()} == {0}
+
+
 def toxic_corpus(spark, n=900):
     rng = random.Random(11)
     words = ["".join(rng.choice("aeioubdnst") for _ in range(rng.randrange(2, 7))) for _ in range(400)]

@@ -211,6 +211,25 @@ def test_pipeline_stages(spark):
         before = after
 
 
+def test_pipeline_with_clashing_columns_and_repeated_rows(spark):
+    long = "a b c d e f g h i j k l m n"
+    rows = [(7, long), (7, long), (None, long), (9, long), (8, long + " o"), (None, "other words that stand alone in here"), (None, "other words that stand alone in here"),
+            (3, ""), (3, ""), (None, None), (5, "ip 1.2.3.4 of mine and nothing else at all")]
+    names = ["gone", "row_number", "span_doc", "span_text", "span_list", "text_key", "batch", "component_id"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.lit(n) for n in names}).repartition(3)
+    columns, left = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, FOLDER), f"clash-{name}")
+        left[name] = docs.collect()
+        if name != "best_fit_packing":
+            assert docs.columns == columns and all(r[n] == n for r in left[name] for n in names)
+    assert len(left["toxicity"]) == 11
+    kept = sorted(((r.doc_id, r.text) for r in left["ngram_jaccard_join"]), key=str)
+    assert kept == sorted([(7, long), (None, "other words that stand alone in here"), (3, ""), (3, ""), (None, None), rows[-1]], key=str)
+    assert "ip [IP] of mine and nothing else at all" in [r.text for r in left["pii"]]
+
+
 @pytest.mark.parametrize("name", [n for n in entry_point.queries() if n.startswith("op")])
 def test_contract_columns(spark, name):
     """Documents come back once each, with the columns that are asked for."""
@@ -221,6 +240,8 @@ def test_contract_columns(spark, name):
         "op5": ["doc_id", "held_out", "lang_pred", "score"], "op6": ["page_id", "url", "text", "n_chars"],
         "op7": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
         "op8": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+        "op11": ["doc_id", "held_out", "score", "predicted"], "op12": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+        "op13": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
         "op10": ["doc_id", "n_shingles", "component_id"], "op9": ["bin_id", "capacity", "used", "doc_ids", "begins", "lengths"]}[name.split("_")[0]]
     frame = entry_point.queries()[name](spark, FOLDER)
     assert frame.columns[:len(want)] == want
