@@ -239,7 +239,9 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75, batch_char
 
     lowest = members.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("low"))
     named = lowest.join(groups, "id", "left").select("id", "low", F.coalesce("root", "id").alias("root"))
-    leader = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = stored(named, "named")
+    # a table of its own, like the centres: a giant group is split in the join
+    leader = stored(named.groupBy("root").agg(F.min("low").alias("component_id")), "leader")
     of_class = named.join(leader, "root").select("id", "component_id")
     return (members.join(of_class.withColumnRenamed("id", "class"), (F.col("id") == F.col("class")) & (F.col("n") > 0), "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))

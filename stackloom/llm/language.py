@@ -108,17 +108,21 @@ class Model:
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def fit(docs: DataFrame, train: Column, sample_rows: int = 10_000, least_rows: int = 1_000) -> Model:
+def fit(docs: DataFrame, train: Column, sample_rows: int = 10_000, least_rows: int = 1_000, sample_chars: int = 100_000_000) -> Model:
     """A model of ``docs`` (doc_id, text, lang) where ``train`` holds and lang is known.
 
     About ``sample_rows`` rows are drawn by a hash of doc_id (all, if there are no more), and of every language about
-    ``least_rows`` at least (all, if it has no more). All words and n-grams that they hold are kept.
+    ``least_rows`` at least (all, if it has no more); where these would hold more than ``sample_chars`` characters, every language
+    gives as much less. All words and n-grams that they hold are kept.
     """
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(sizes.values())
-    if n > sample_rows:
-        shares = [(lang, math.ceil(1_000_000 * min(1, max(sample_rows / n, least_rows / k)))) for lang, k in sizes.items()]
+    sizes = {r["lang"]: (r["n"], r["chars"]) for r in rows.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("long")).alias("chars")).collect()}
+    n = sum(k for k, _ in sizes.values())
+    share = {lang: min(1.0, max(sample_rows / n, least_rows / k)) if n > sample_rows else 1.0 for lang, (k, _) in sizes.items()}
+    less = min(1.0, sample_chars / max(1, sum(share[lang] * chars for lang, (_, chars) in sizes.items())))
+    if n > sample_rows or less < 1:
+        shares = [(lang, math.ceil(1_000_000 * less * share[lang])) for lang in sizes]
         drawn = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long"))
         rows = rows.join(drawn, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000).cast("long")) < F.col("share"))
 

@@ -112,6 +112,47 @@ def test_language_edges(spark):
     assert model.predict("unbekannt Haus", OrderedDict())[0] == "de"
 
 
+def test_language_by_hand(spark):
+    """Scores against the sums written out in plain Python, unseen words by their longest known n-grams."""
+    rng = random.Random(8)
+    words = {"de": ["haus", "baum", "und", "der", "straße"], "fr": ["maison", "arbre", "et", "le", "façade"], "xx": ["haus", "arbre", "zoo"]}
+    rows = [(i, lang, " ".join(rng.choice(own) for _ in range(rng.randrange(1, 9)))) for i, (lang, own) in enumerate(list(words.items()) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("key", F.lit("clash"))
+    kinds = [defaultdict(Counter) for _ in range(6)]
+    for _, lang, text in rows:
+        for w in text.split():
+            kinds[0][lang][w] += 1
+            for n in range(1, 6):
+                for g in language.grams_of(w, n):
+                    kinds[n][lang][g] += 1
+    known = [set().union(*(c.keys() for c in k.values())) for k in kinds]
+    total = [{lang: sum(c.values()) for lang, c in k.items()} for k in kinds]
+    chance = lambda kind, lang, key: math.log((kinds[kind][lang][key] + 0.5) / (total[kind].get(lang, 0) + 0.5 * max(len(known[kind]), 1)))
+
+    def score(text, lang):
+        out = 0.0
+        for w in text.lower().split():
+            if w in known[0]:
+                out += chance(0, lang, w)
+                continue
+            for n in range(5, 0, -1):
+                grams = [g for g in language.grams_of(w, n) if g in known[n]]
+                if grams:
+                    out += sum(chance(n, lang, g) for g in grams) / len(grams)
+                    break
+        return out
+
+    tested = ["der Baum und das Häuschen", "maisonette et arbres", "zoologe", "haus arbre", "qqq"]
+    found = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(enumerate(tested)), "doc_id long, text string"), language.fit(docs, F.lit(True))).collect()}
+    for i, text in enumerate(tested):
+        sums = {lang: score(text, lang) for lang in words}
+        best = max(sorted(sums), key=sums.get)
+        assert found[i].lang_pred == best
+        assert math.isclose(found[i].score, 1 / sum(math.exp(v - sums[best]) for v in sums.values()), rel_tol=1e-4)
+    few, whole = language.fit(docs, F.lit(True), sample_chars=150), language.fit(docs, F.lit(True))
+    assert 0 < few.gain.sum() < whole.gain.sum()
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(5)
     model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, rng.normal(size=(2, 2)), 0.4, 0, 1)
