@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stackloom.functions.re2 import java_pattern
 from stackloom.functions.values import floor_div, trim_nul, unpack_probe_cookie
 from stackloom.operators.sequence import HOUR_NS, with_slice
+from stackloom.session import stored
 
 
 @dataclass(frozen=True)
@@ -95,9 +96,9 @@ def _slice_sums(watched: DataFrame, keys: list[str], initial: DataFrame | None)
             .withColumn("_floor", F.least(F.lit(0), F.coalesce(F.min(F.col("_in") + F.col("_low")).over(before), F.lit(0)))))
 
 
-def _outer_edges(watched: DataFrame, keys: list[str], initial: DataFrame | None) -> DataFrame:
-    """Edges that open or close an outermost scope."""
-    starts = (_slice_sums(watched, keys, initial).withColumn("delta", F.col("_in") - F.col("_floor"))
+def _outer_edges(watched: DataFrame, keys: list[str], sums: DataFrame) -> DataFrame:
+    """Edges that open or close an outermost scope: at most one of each per span."""
+    starts = (sums.withColumn("delta", F.col("_in") - F.col("_floor"))
               .where(F.col("delta") > 0).select(*keys, "_slice", "delta", F.lit(True).alias("_seed")))
     order = Window.partitionBy(*keys, "_slice").orderBy(F.col("_seed").desc(), "ts_ns", F.desc("delta"))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -125,8 +126,12 @@ def pair_probe_scopes(
     and lowest points of the slices before it; a span that crosses slices is closed in a second step that
     sees at most two edges per slice.
     """
+    watched = _watched(edges, keys, width)
+    return _spans(stored(_outer_edges(watched, keys, _slice_sums(watched, keys, initial)), "outer"), keys, initial)
+
+
+def _spans(outer: DataFrame, keys: list[str], initial: DataFrame | None) -> DataFrame:
     inside = Window.partitionBy(*keys, "_slice").orderBy("ts_ns", F.desc("_open"))
-    outer = _outer_edges(_watched(edges, keys, width), keys, initial)
     outer = (outer.withColumn("_from", F.when(F.lag("_open").over(inside), F.lag("ts_ns").over(inside)))
              .withColumn("_closed", F.lead("_open").over(inside).isNotNull()))
     within = outer.where(~F.col("_open") & F.col("_from").isNotNull())
@@ -147,14 +152,23 @@ def open_scopes(
     edges: DataFrame, keys: list[str], width: int = HOUR_NS, initial: DataFrame | None = None
 ) -> DataFrame:
     """Scopes still open after the last edge: ``keys, depth, open_ns``."""
+    return scopes_and_open(edges, keys, width, initial)[1]
+
+
+def scopes_and_open(
+    edges: DataFrame, keys: list[str], width: int = HOUR_NS, initial: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """What :func:`pair_probe_scopes` and :func:`open_scopes` give, out of one pairing."""
     watched = _watched(edges, keys, width)
-    sums = _slice_sums(watched, keys, initial)
+    sums = stored(_slice_sums(watched, keys, initial), "sums")
+    outer = stored(_outer_edges(watched, keys, sums), "outer")
     depth = F.sum("_total") - F.least(F.lit(0), F.min(F.col("_in") + F.col("_low")))
     depths = sums.groupBy(*keys).agg(depth.alias("depth")).where("depth > 0")
-    opened = _outer_edges(watched, keys, initial).where("_open").select(*keys, F.col("ts_ns").alias("open_ns"))
+    opened = outer.where("_open").select(*keys, F.col("ts_ns").alias("open_ns"))
     if initial is not None:
         opened = opened.unionByName(initial.select(*keys, "open_ns"))
-    return depths.join(opened.groupBy(*keys).agg(F.max("open_ns").alias("open_ns")), keys, "inner")
+    still_open = depths.join(opened.groupBy(*keys).agg(F.max("open_ns").alias("open_ns")), keys, "inner")
+    return _spans(outer, keys, initial), still_open
 
 
 def probe_event_spec(events: DataFrame, specs: DataFrame) -> DataFrame:

@@ -271,6 +271,21 @@ def _(t: Tables):
     return rows.select(floor_div(F.col("ts_ns"), DAY_NS).alias("day"), "stacktrace_id")
 
 
+@query("requested_stacktraces_stream", f"""
+    WITH ids AS (SELECT DISTINCT ts_ns // {DAY_NS} AS day, stack_key FROM fx_events)
+    SELECT count(*) FILTER (WHERE k.stack_key IS NULL) AS missing, count(DISTINCT ids.stack_key) AS stacks,
+           sum(DISTINCT CASE WHEN k.stack_key IS NOT NULL THEN ids.stack_key END) AS known_sum
+    FROM (SELECT DISTINCT stack_key FROM ids) ids LEFT JOIN fx_stacks k ON ids.stack_key = k.stack_key""")
+def _(t: Tables):
+    path = shared_dir(t.spark, "stream-requests")
+    flush = stream_joins.answered_requests(lambda: inputs.stack_table(t), report.parquet_flush(f"{path}/out"))
+    events_in_parts(t, f"{path}/in", lambda events: _finish(
+        report.stream_report(events.select("stacktrace_id"), flush, f"{path}/checkpoint", None)))
+    answers = t.spark.read.schema("stacktrace_id long, is_missing boolean").parquet(f"{path}/out").select("stacktrace_id", "is_missing").distinct()
+    return answers.agg(F.count_if("is_missing").alias("missing"), F.count_distinct("stacktrace_id").alias("stacks"),
+                       F.sum(F.when(~F.col("is_missing"), F.col("stacktrace_id"))).alias("known_sum"))
+
+
 @query("pair_probe_scopes_stream", _SPANS + " SELECT * FROM spans")
 def _(t: Tables):
     from stackloom.functions.values import probe_cookie

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stackloom.operators.stacks import requested_stacktraces
 from stackloom.schema import CUDA, LABEL_TTL_NS
 from stackloom.streaming.report import Flush
 
@@ -47,6 +48,15 @@ def gpu_unmatched_stream(launches: DataFrame, timings: DataFrame, bound: str = "
         *[F.coalesce(f"l.{c}", f"t.{c}").alias(c) for c in ("node", "pid", "correlation_id")])
 
 
+def answered_requests(read_stacks: Callable[[], DataFrame], flush: Flush) -> Flush:
+    """Answer the ids that a store asks for (``stacktrace_id``) with their stacks: the second half of the two-phase exchange as a stream.
+
+    ``read_stacks`` opens the stack table, once per batch, so that stacks written meanwhile count. An id asked for twice in a batch is
+    answered once; an unknown id gives a placeholder marked ``is_missing``.
+    """
+    return lambda batch, batch_id: flush(requested_stacktraces(batch, read_stacks()), batch_id)
+
+
 def cleared_counts(flush: Flush) -> Flush:
     """A flush of the number of entries cleared by side in each trigger."""
     return lambda batch, batch_id: flush(batch.groupBy("side").agg(F.count(F.lit(1)).alias("cleared")), batch_id)

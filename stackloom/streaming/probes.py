@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stackloom.operators.probes import open_scopes, pair_probe_scopes
+from stackloom.operators.probes import scopes_and_open
 from stackloom.operators.sequence import HOUR_NS
 from stackloom.session import remove_dir
 from stackloom.streaming.report import Flush
@@ -36,8 +36,8 @@ class ScopePairing:
         edges.persist()
         try:
             state = self._state(edges, batch_id)
-            self.flush(pair_probe_scopes(edges, self.keys, self.width, state), batch_id)
-            still_open = open_scopes(edges, self.keys, self.width, state)
+            spans, still_open = scopes_and_open(edges, self.keys, self.width, state)
+            self.flush(spans, batch_id)
             if self.lifetime_ns is not None:
                 latest = edges.agg(F.max("ts_ns")).first()[0] or 0
                 still_open = still_open.where(F.col("open_ns") >= F.lit(latest - self.lifetime_ns))
