@@ -7,7 +7,7 @@ over its whole span. Benchmark items shorter than a window are one window of the
 
 All work is DataFrame expressions. Arrays are exploded with their nulls: the plain form makes the optimizer evaluate the array
 once more in a filter of its own. The benchmark side of the first join is broadcast while it has at most
-``BROADCAST_WINDOWS`` windows (counted first), and shuffled beyond that.
+``BROADCAST_BYTES`` bytes (added up first), and shuffled beyond that.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stackloom.llm.text import ascii_lower, places, run_hashes, split_plain_words
 from stackloom.session import stored
 
-BROADCAST_WINDOWS = 500_000
+BROADCAST_BYTES = 64 << 20  # windows with their words and items; beyond that they are joined by a shuffle
 
 
 def _words(text: Column) -> Column:
@@ -72,10 +72,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     windows = stored(benchmark_windows(benchmark, window, gram), "windows")
-    kinds = windows.groupBy("length").count().collect()  # at most one row per length
+    size = F.sum(F.octet_length("span").cast("long") + 8 * F.size("items") + 64)
+    kinds = windows.groupBy("length").agg(size.alias("bytes")).collect()  # at most one row per length
     lengths = sorted(k["length"] for k in kinds if k["length"] < window)
     keys = windows.select("length", "key").distinct()
-    if sum(k["count"] for k in kinds) <= BROADCAST_WINDOWS:
+    if sum(k["bytes"] for k in kinds) <= BROADCAST_BYTES:
         keys, windows = F.broadcast(keys), F.broadcast(windows)
 
     def keyed(source: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def test_contamination_without_broadcast(spark, monkeypatch):
     bench = spark.createDataFrame([(1, rows[3][1]), (2, rows[6][1])], "item_id long, text string")
     key = lambda f: sorted((str(r.doc_id), tuple(r.hit_words), tuple(r["items"])) for r in f.collect())
     small = key(winnow.contamination(frame(spark, rows), bench, 4, 2))
-    monkeypatch.setattr(winnow, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(winnow, "BROADCAST_BYTES", 0)
     assert key(winnow.contamination(frame(spark, rows), bench, 4, 2)) == small
 
 
