@@ -26,6 +26,7 @@ from stackloom.session import stored
 
 BITMAP_WORDS = 8
 STAR_TOKENS = 8
+ROWS_AT_ONCE = 1_000
 SIGN = np.uint64(0x5851F42D4C957F2D)
 SURVIVOR = "id long, n long, own long, bits array<long>, prefix array<long>, star array<long>, tokens binary"
 
@@ -71,10 +72,13 @@ def _batched(rows: DataFrame, n: int) -> DataFrame:
 def set_members(rows: DataFrame, size: int) -> DataFrame:
     """(doc_id, batch, n, id) per row: the size of its set and the class of equal sets."""
     def measure(batches):
-        for b in batches:
-            bounds, _, ids = shingle_sets(b.column("text"), size)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("batch"), pa.array(np.diff(bounds), pa.int64()),
-                                              pa.array(ids.view(np.int64))], ["doc_id", "batch", "n", "id"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                b = whole.slice(start, ROWS_AT_ONCE)
+                bounds, _, ids = shingle_sets(b.column("text"), size)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("batch"), pa.array(np.diff(bounds), pa.int64()),
+                                                  pa.array(ids.view(np.int64))], ["doc_id", "batch", "n", "id"])
+            pa.default_memory_pool().release_unused()
 
     return rows.select("doc_id", "batch", "text").mapInArrow(measure, "doc_id long, batch long, n long, id long")
 

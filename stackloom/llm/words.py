@@ -29,6 +29,7 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 CHUNK_BYTES = 1 << 19
 #: Running sums of longer words could pass 64 bits; such words are hashed one by one.
 LONG_WORD = 1 << 23
+BLOCK = 1 << 16
 
 _powers: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
@@ -164,15 +165,31 @@ def words_of(texts, lower: bool = False, separators: np.ndarray = IS_SPACE, head
 
 
 def rolling(hashes: np.ndarray, length: int) -> np.ndarray:
-    """Rabin-Karp hash of every run of ``length`` hashes, from runs of powers of two (runs may cross texts)."""
-    if len(hashes) < length:
-        return np.zeros(0, np.uint64)
+    """Rabin-Karp hash of every run of ``length`` hashes (runs may cross texts)."""
+    return _in_blocks(_rolling, hashes, length, np.uint64)
+
+
+def rolling_check(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A second hash of every run, of 32 bits and by another rule, for runs whose first hashes agree."""
+    return _in_blocks(_rolling_check, hashes, length, np.uint32)
+
+
+def _in_blocks(rule, hashes: np.ndarray, length: int, kind) -> np.ndarray:
+    """A rule over runs, a block at a time: what it computes on the way stays small."""
+    out = np.empty(max(0, len(hashes) - length + 1), kind)
+    for a in range(0, len(out), BLOCK):
+        out[a:a + BLOCK] = rule(hashes[a:a + BLOCK + length - 1], length)
+    return out
+
+
+def _rolling(hashes: np.ndarray, length: int) -> np.ndarray:
+    """From runs of powers of two; the longer run stands in front of what has been put together so far."""
     done, result, have, size = 0, None, reduced(hashes), 1
     while True:
         if length & size:
             if result is None:
                 result = have
-            else:  # the longer run stands in front of what has been put together so far
+            else:
                 n = min(len(have), len(result) - size)
                 result = reduced(times(have[:n], pow(SHINGLE_BASE, done, int(PRIME))) + result[size:size + n])
             done += size
@@ -182,10 +199,7 @@ def rolling(hashes: np.ndarray, length: int) -> np.ndarray:
         size *= 2
 
 
-def rolling_check(hashes: np.ndarray, length: int) -> np.ndarray:
-    """A second hash of every run, of 32 bits and by another rule, for runs whose first hashes agree."""
-    if len(hashes) < length:
-        return np.zeros(0, np.uint32)
+def _rolling_check(hashes: np.ndarray, length: int) -> np.ndarray:
     done, result, have, size = 0, None, mix(hashes ^ CHECK_SIGN), 1
     while True:
         if length & size:
