@@ -25,6 +25,7 @@ from stackloom.llm.words import IS_MARK, flat_bytes, mix, words_of
 HEADS = (4, 5, 6)
 LEAST_MARGINAL = 0.05
 LEAST_HELD = 20
+BLOCK = 1 << 16
 LITTLE = 0.1  # evidence far below that of one toxic token makes no difference
 TRIPLE = np.uint64(0x9E3779B97F4A7C15)
 SURE = 3.0  # minus the log of the chance that any feature of a kind is taken for telling wrongly
@@ -99,15 +100,19 @@ def marginals(model: Model, first: np.ndarray, emission: np.ndarray) -> np.ndarr
 def pair_marginals(model: Model, first: np.ndarray, emission: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The marginals, and the expected number of neighbours by [from, to]."""
     forward, backward = _recursions(model, first, emission)
-    inside = np.ones(len(emission), dtype=bool)
-    inside[first[:-1][np.diff(first) > 0]] = False
-    at = np.flatnonzero(inside)
-    after = emission[at] + backward[at]
-    scores = np.stack([np.full(len(at), model.moves[0, 0]), model.moves[0, 1] + after, model.moves[1, 0] + forward[at - 1],
-                       model.moves[1, 1] + forward[at - 1] + after])
-    scores -= scores.max(axis=0) if len(at) else 0.0
-    weight = np.exp(scores)
-    return _sigmoid(forward + backward), (weight / weight.sum(axis=0)).sum(axis=1).reshape(2, 2)
+    begins = np.zeros(len(emission), dtype=bool)
+    begins[first[:-1][np.diff(first) > 0]] = True
+    expected = np.zeros(4)
+    for a in range(1, len(emission), BLOCK):  # a block at a time: four numbers for every token would be much at once
+        at = np.arange(a, min(a + BLOCK, len(emission)))
+        at = at[~begins[at]]
+        after = emission[at] + backward[at]
+        scores = np.stack([np.full(len(at), model.moves[0, 0]), model.moves[0, 1] + after, model.moves[1, 0] + forward[at - 1],
+                           model.moves[1, 1] + forward[at - 1] + after])
+        weight = np.exp(scores - scores.max(axis=0)) if len(at) else scores
+        expected += (weight / weight.sum(axis=0)).sum(axis=1)
+    forward += backward
+    return _sigmoid(forward), expected.reshape(2, 2)
 
 
 def _places(known: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -187,7 +192,7 @@ def _telling(tokens: _Tokens, toxic: np.ndarray, least_ratio: float, most: int)
 
 def _train_chain(tokens: _Tokens, telling: np.ndarray, toxic: np.ndarray, rounds: int) -> Model:
     """The chain on the labelled tokens: all weights by gradient steps, expected minus seen, from the marginals of tokens and pairs."""
-    known = [_places(telling, f) for f in tokens.features]
+    known = [_places(telling, f).astype(np.int32) for f in tokens.features]
     label = (np.min(known, axis=0) < len(telling)) & np.repeat(toxic > 0, tokens.count)
     label = label.astype(float)
     model = Model(telling, np.zeros(len(telling)), -3.0, np.zeros((2, 2)), -2.0, 0.0, 1.0)
@@ -195,6 +200,7 @@ def _train_chain(tokens: _Tokens, telling: np.ndarray, toxic: np.ndarray, rounds
     follows[tokens.first[:-1][tokens.count > 0]] = False
     after, heads = np.flatnonzero(follows), np.flatnonzero(~follows)
     pairs = np.bincount((2 * label[after - 1] + label[after]).astype(int), minlength=4).reshape(2, 2) + 1.0
+    del follows, after
     # transitions and start begin at their smoothed relative frequencies; all weights follow the gradient of the likelihood
     model.moves = np.log(pairs / pairs.sum(axis=1, keepdims=True))
     model.start = float(np.log((label[heads].sum() + 1) / ((1 - label[heads]).sum() + 1)))
