@@ -9,7 +9,7 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.functions.labels import overlay, rename_keys, set_label
+from stackloom.functions.labels import let, overlay, rename_keys, set_label
 from stackloom.functions.re2 import java_pattern
 
 DEFAULT_REGEX = "(.*)"
@@ -121,40 +121,50 @@ def _value_of(rule: RelabelRule, text: Column) -> Column:
     return _expand(rule.replacement, rule.regex, text)
 
 
-def _apply(df: DataFrame, rule: RelabelRule, labels: str, keep: str) -> DataFrame:
-    old = F.col(labels)
-    if rule.action in ("labelmap", "labeldrop", "labelkeep"):
-        return df.withColumn(labels, _key_rule(old, rule))
-    # The joined source values are a column of their own: the rule reads them more than once.
-    df = df.withColumn("_rule_text", _joined(old, rule))
-    text = F.col("_rule_text")
-    matches = F.rlike(text, F.lit(_java(rule.regex)))
-    target = F.coalesce(old[rule.target_label], F.lit(""))
-    verdicts = {"keep": matches, "drop": ~matches, "keepequal": text == target, "dropequal": text != target}
-    if rule.action in verdicts:
-        return df.withColumn(keep, F.col(keep) & verdicts[rule.action])
-    value = _value_of(rule, text)
-    if rule.action != "replace":
-        return df.withColumn(labels, set_label(old, rule.target_label, value))
-    if "$" not in rule.target_label:
-        return df.withColumn(labels, F.when(matches, set_label(old, rule.target_label, value)).otherwise(old))
-    df = df.withColumn("_rule_target", _expand(rule.target_label, rule.regex, text))
-    valid = F.rlike("_rule_target", F.lit(r"\A[a-zA-Z_][a-zA-Z0-9_]*\z"))
-    return df.withColumn(
-        labels, F.when(matches & valid, set_label(old, F.col("_rule_target"), value)).otherwise(old)).drop("_rule_target")
+def _apply(state: Column, rule: RelabelRule) -> Column:
+    """The state (``labels``, ``keep``) after a rule. The state before it is bound, so it is worked out once."""
+    def ruled(labels: Column, keep: Column) -> Column:
+        return F.struct(labels.alias("labels"), keep.alias("keep"))
+
+    def over_text(s: Column) -> Column:
+        labels, keep, text = s["state"]["labels"], s["state"]["keep"], s["text"]
+        matches = F.rlike(text, F.lit(_java(rule.regex)))
+        target = F.coalesce(labels[rule.target_label], F.lit(""))
+        verdicts = {"keep": matches, "drop": ~matches, "keepequal": text == target, "dropequal": text != target}
+        if rule.action in verdicts:
+            return ruled(labels, keep & verdicts[rule.action])
+        value = _value_of(rule, text)
+        if rule.action != "replace":
+            return ruled(set_label(labels, rule.target_label, value), keep)
+        if "$" not in rule.target_label:
+            return ruled(F.when(matches, set_label(labels, rule.target_label, value)).otherwise(labels), keep)
+
+        def over_target(n: Column) -> Column:
+            valid = F.rlike(n["target"], F.lit(r"\A[a-zA-Z_][a-zA-Z0-9_]*\z"))
+            return F.when(matches & valid, set_label(labels, n["target"], value)).otherwise(labels)
+        return ruled(let(over_target, target=_expand(rule.target_label, rule.regex, text)), keep)
+
+    def over_state(s: Column) -> Column:
+        if rule.action in ("labelmap", "labeldrop", "labelkeep"):
+            return ruled(_key_rule(s["state"]["labels"], rule), s["state"]["keep"])
+        # The joined source values are bound as well: the rule reads them more than once.
+        return let(over_text, state=s["state"], text=_joined(s["state"]["labels"], rule))
+    return let(over_state, state=state)
 
 
 def relabel(df: DataFrame, rules: list[RelabelRule], labels: str = "labels", keep: str = "keep") -> DataFrame:
     """Apply the rules in order to the label map; ``keep`` tells whether the row survives.
 
-    Each rule is a projection of its own, since every rule reads the map several times. Run this on
-    process tables rather than on samples. Labels of rows that are not kept carry no meaning.
+    A rule reads the map several times, so it binds what the rules before it give and refers to it once. The result is generated,
+    which keeps Spark from moving a filter on ``keep``, with a copy of all rules in it, ahead of them. Run this on process
+    tables rather than on samples. Labels of rows that are not kept carry no meaning.
     """
-    df = df.withColumn(keep, F.col(keep) if keep in df.columns else F.lit(True))
+    state = F.struct(F.col(labels).alias("labels"), (F.col(keep) if keep in df.columns else F.lit(True)).alias("keep"))
     for rule in rules:
         _check(rule)
-        df = _apply(df, rule, labels, keep)
-    return df.drop("_rule_text")
+        state = _apply(state, rule)
+    df = df.select("*", F.explode(F.array(state)).alias("_ruled"))
+    return df.withColumns({labels: F.col("_ruled.labels"), keep: F.col("_ruled.keep")}).drop("_ruled")
 
 
 _LITERAL = re.compile(r"[A-Za-z0-9_\-/ :@,=%#&;!<>\"'~`]+")

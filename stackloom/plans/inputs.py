@@ -108,7 +108,9 @@ def cpu_samples(t: Tables) -> DataFrame:
 
 
 def processes(t: Tables) -> DataFrame:
-    return t.fx("fx_processes")
+    """Process observations, dealt out to the tasks: rules and parsers cost far more per row than reading one, and a table of many
+    rows may lie in one row group. Spark joins small parts."""
+    return t.fx("fx_processes").repartition("node", "pid", "observed_ns")
 
 
 def edges(t: Tables) -> DataFrame:

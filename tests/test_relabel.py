@@ -115,3 +115,14 @@ def test_probe_specs(spark):
          ("f4", None, "zzz")], "file_id string, path string, file_name string")
     found = {(r["file_id"], r["probe_id"]) for r in match_probe_targets(files, specs).collect()}
     assert found == {("f1", "x"), ("f1", "y"), ("f2", "x"), ("f2", "y"), ("f3", "y")}
+
+
+def test_rules_are_worked_out_once(spark):
+    """A filter on ``keep`` carries no copy of the rules, and each rule refers to the one before it once."""
+    rows = spark.createDataFrame([(1, {"a": "x"}), (2, {"a": "y"}), (3, None)], "id long, labels map<string,string>")
+    rules = [RelabelRule(source_labels=["a"], target_label="b_${1}", regex="(.)", replacement="v$1") for _ in range(6)]
+    rules += [RelabelRule(source_labels=["a"], regex="y", action="drop"), RelabelRule(regex="b_.*", action="labelkeep")]
+    kept = filter_kept(relabel(rows, rules))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 2 * 6  # name and value of each rule
+    assert {r["id"]: r["labels"] for r in kept.collect()} == {1: {"b_x": "vx"}, 3: None}
