@@ -109,14 +109,20 @@ STAT_FIELDS = {
 
 
 def parse_proc_stat(raw: Column) -> Column:
-    """Command name between the first ``(`` and the last ``)``, then positional fields; NULL if malformed."""
+    """Command name between the first ``(`` and the last ``)``, then positional fields; NULL if malformed.
+
+    The line is matched and split once, not once per field.
+    """
     pattern = r"(?s)\A[^(]*\((.*)\).(.*)\z"
-    fields = F.split(F.trim(F.regexp_extract(raw, pattern, 2)), r"\s+")
-    columns = [F.regexp_extract(raw, pattern, 1).alias("comm")]
-    for position, name in STAT_FIELDS.items():
-        field = F.get(fields, F.lit(position))
-        columns.append((field if name == "state" else field.try_cast("decimal(20,0)")).alias(name))
-    return F.when(F.rlike(raw, F.lit(pattern)) & (F.size(fields) >= 42), F.struct(*columns))
+
+    def parsed(s: Column) -> Column:
+        columns = [s["comm"].alias("comm")]
+        for position, name in STAT_FIELDS.items():
+            field = F.get(s["fields"], F.lit(position))
+            columns.append((field if name == "state" else field.try_cast("decimal(20,0)")).alias(name))
+        return F.when(s["matches"] & (F.size(s["fields"]) >= 42), F.struct(*columns))
+    return let(parsed, matches=F.rlike(raw, F.lit(pattern)), comm=F.regexp_extract(raw, pattern, 1),
+               fields=F.split(F.trim(F.regexp_extract(raw, pattern, 2)), r"\s+"))
 
 
 def containerd_parts(raw: Column) -> Column:

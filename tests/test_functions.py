@@ -125,3 +125,28 @@ def test_ids(one):
     same = [values.content_id([F.lit("a"), F.lit("b,c")]), values.content_id([F.lit("a,b"), F.lit("c")])]
     assert one(same[0]) != one(same[1])
     assert one(values.content_id([F.lit(""), F.lit("x")])) != one(values.content_id([F.lit(None), F.lit("x")]))
+
+
+def test_process_status_is_matched_once(spark):
+    """The fields come from one match and one split of the line."""
+    rows = spark.createDataFrame([("7 (a) b) S " + " ".join(str(i) for i in range(1, 50)),), (None,), ("7 (a) S 1",)], "raw string")
+    parsed = rows.select(host.parse_proc_stat(F.col("raw")).alias("s"))
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 2
+    found = [r["s"] for r in parsed.collect()]
+    assert (found[0]["comm"], found[0]["state"], found[0]["ppid"], found[0]["utime"]) == ("a) b", "S", 1, 11) and found[1:] == [None, None]
+
+
+def test_processes_are_dealt_out(spark, tmp_path):
+    """Rows of one row group are spread over tasks before rules and parsers run."""
+    from stackloom.plans import inputs
+    from stackloom.plans.fixtures import Tables
+
+    spark.range(100).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey", "'MACHINERY' AS c_mktsegment").coalesce(1).write.parquet(
+        f"{tmp_path}/customer.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = inputs.processes(Tables(spark, str(tmp_path)))
+        tasks = {r[0]: r[1] for r in dealt.groupBy(F.spark_partition_id().alias("task")).count().collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks.values()) == 100 and len(tasks) > 1
