@@ -45,17 +45,28 @@ def gpu_unmatched(launches: DataFrame, timings: DataFrame, keys: list[str] = LAU
     return lost_launches.unionByName(lost_timings).groupBy("side").agg(F.count(F.lit(1)).alias("cleared"))
 
 
+def _latest_maps(maps: DataFrame, keys: list[str]) -> DataFrame:
+    return maps.groupBy(*keys).agg(F.max_by("names", "ts_ns").alias("names"))
+
+
 def stall_reason_names(maps: DataFrame, keys: list[str] = PROCESS) -> DataFrame:
     """Keys, ``stall_index, stall_reason`` of the latest map of each process (``node, pid, ts_ns, names``)."""
-    latest = maps.groupBy(*keys).agg(F.max_by("names", "ts_ns").alias("names"))
-    return latest.select(*keys, F.posexplode("names").alias("stall_index", "name")).select(
+    return _latest_maps(maps, keys).select(*keys, F.posexplode("names").alias("stall_index", "name")).select(
         *keys, "stall_index", trim_nul(F.col("name")).alias("stall_reason"))
 
 
 def gpu_pc_symbols(pc_samples: DataFrame, cubins: DataFrame, stall_maps: DataFrame, keys: list[str] = PROCESS) -> DataFrame:
-    """Program-counter samples with the module of their CRC and the name of their stall reason."""
+    """Program-counter samples with the module of their CRC and the name of their stall reason.
+
+    A process's map joins whole and the name is taken out by its index: a row per process travels, not one per name. Maps of
+    processes without samples find no row. The maps are never broadcast: the size Spark expects of them is that of their files.
+    """
     modules = cubins.groupBy("cubin_crc").agg(F.max_by(F.struct("file_id", "sm_version"), "ts_ns").alias("_cubin")).select(
         "cubin_crc", F.col("_cubin.file_id").alias("cubin_file_id"), F.col("_cubin.sm_version").alias("sm_version"),
         F.concat(F.lit("cubin-"), F.lpad(F.lower(F.hex("cubin_crc")), 16, "0")).alias("cubin_name"))
-    return (pc_samples.join(modules, "cubin_crc", "left")
-            .join(stall_reason_names(stall_maps, keys), [*keys, "stall_index"], "left"))
+    names = _latest_maps(stall_maps, keys).withColumnRenamed("names", "_names")
+    named = pc_samples.join(names.hint("merge"), list(keys), "left")
+    named = named.withColumn("stall_reason", trim_nul(F.get("_names", F.col("stall_index")))).drop("_names")
+    symbols = named.join(modules, "cubin_crc", "left")
+    rest = [c for c in pc_samples.columns if c not in (*keys, "stall_index", "cubin_crc")]
+    return symbols.select(*keys, "stall_index", "cubin_crc", *rest, "cubin_file_id", "sm_version", "cubin_name", "stall_reason")

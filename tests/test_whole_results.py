@@ -135,3 +135,17 @@ def test_hour_folders(spark):
     back = spark.read.parquet(path)
     assert back.where("hour = 2").count() == 1 and back.count() == 4
     assert qualified(spark, path).startswith("file://")
+
+
+def test_stall_maps_join_whole(spark):
+    """A process's names travel as one row, are not broadcast, and are taken out by index; odd indexes and keys find none."""
+    pc = spark.createDataFrame([("a", 1, 7, 0, 5), ("a", 1, 7, 1, 6), ("a", 1, 8, 2, 7), ("b", 1, 7, -1, 8), (None, 1, 7, 0, 9), ("a", 1, None, None, 1)],
+                               "node string, pid long, cubin_crc long, stall_index int, n long")
+    cubins = spark.createDataFrame([(7, "f", 70, 0)], "cubin_crc long, file_id string, sm_version int, ts_ns long")
+    maps = spark.createDataFrame([("a", 1, 1, ["old"]), ("a", 1, 2, ["x\0junk", "y"]), ("b", 1, 1, ["z"]), (None, 1, 1, ["w"])],
+                                 "node string, pid long, ts_ns long, names array<string>")
+    symbols = gpu.gpu_pc_symbols(pc, cubins, maps)
+    plan = symbols._jdf.queryExecution().sparkPlan().toString()
+    assert "posexplode" not in plan and "SortMergeJoin [node" in plan
+    assert {r["n"]: (r["cubin_file_id"], r["stall_reason"]) for r in symbols.collect()} == {
+        5: ("f", "x"), 6: ("f", "y"), 7: (None, None), 8: ("f", None), 9: ("f", None), 1: (None, None)}
