@@ -17,7 +17,7 @@ from stackloom.plans.batch_files import BATCH_NS, DAY_NS, FILE_NS, plain_records
 from stackloom.plans.fixtures import Tables
 from stackloom.plans.q_probes import _LAUNCHES, _MATCHED, _SPANS, _THREAD, _TIMINGS, _UNMATCHED
 from stackloom.plans.registry import query
-from stackloom.session import shared_dir
+from stackloom.session import shared_dir, stored
 from stackloom.sources import tables
 from stackloom.sources.batch_log import REPLAY_COLUMNS, read_batch_log, replay_batch_log
 from stackloom.sources.batch_log_sink import write_batch_log
@@ -306,7 +306,8 @@ def _gpu_in_parts(t: Tables, path: str, run: Callable[[DataFrame, DataFrame], No
     """Launches and timings as streams, a quarter of the time at a time; ``closing`` adds one late entry to either side."""
     sides = {}
     for name, rows, at in (("launches", t.sql(_LAUNCHES), "ts_ns"), ("timings", t.sql(_TIMINGS), "at_ns")):
-        sides[name] = rows.withColumn("ts", ns_to_ts(F.col(at))).drop("at_ns")
+        # every part reads them again, and timings are a join of three tables
+        sides[name] = stored(rows.withColumn("ts", ns_to_ts(F.col(at))).drop("at_ns"), f"stream-{name}")
     both = sides["launches"].select("ts").unionByName(sides["timings"].select("ts"))
     cuts = both.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75], 10_000)).first()[0] or []
     read = lambda name: t.spark.readStream.schema(sides[name].schema).parquet(f"{path}/{name}")

@@ -33,19 +33,21 @@ def gpu_kernel_times_stream(
 def gpu_unmatched_stream(launches: DataFrame, timings: DataFrame, bound: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
     """``side, correlation`` columns of entries that are cleared unmatched: a launch without kernels, a timing without its launch.
 
-    The join of :func:`gpu_kernel_times_stream` as a full outer one: an entry comes out when the watermarks of both sides say
-    that its partner can come no more, which is when its state is dropped. :func:`cleared_counts` counts them per trigger.
+    Entries of a key that follow each other within ``bound`` form a session, so partners lie in the same one. A session comes out
+    when the watermarks of both sides say that nothing can join it any more, which is when its state is dropped: one row for a launch
+    with all its timings, where a full outer join would keep each entry twice. :func:`cleared_counts` counts them per trigger.
+    Entries without a time stay out.
     """
-    left = launches.withWatermark("ts", watermark).alias("l")
-    right = timings.withWatermark("ts", watermark).alias("t")
+    keys = ["node", "pid", "correlation_id"]
     span = F.expr(f"INTERVAL {bound}")
-    same = ((F.col("l.node") == F.col("t.node")) & (F.col("l.pid") == F.col("t.pid"))
-            & (F.col("l.correlation_id") == F.col("t.correlation_id")) & F.col("t.ts").between(F.col("l.ts") - span, F.col("l.ts") + span))
-    joined = left.join(right, same, "fullOuter")
-    alone = F.col("l.ts").isNull() | F.col("t.ts").isNull()
-    return joined.where(alone).select(
-        F.when(F.col("t.ts").isNull(), "launch").otherwise("timing").alias("side"),
-        *[F.coalesce(f"l.{c}", f"t.{c}").alias(c) for c in ("node", "pid", "correlation_id")])
+    entries = lambda rows, side: rows.withWatermark("ts", watermark).select(*keys, "ts", F.lit(side).alias("side"))
+    times = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("ts"))).alias(side)
+    alone = lambda side, other: F.transform(
+        F.filter(side, lambda x: ~F.exists(other, lambda y: y.between(x - span, x + span))), lambda _: F.lit(side))
+    # an end of a session is no longer in it, and entries exactly ``bound`` apart are partners
+    sessions = entries(launches, "launch").unionByName(entries(timings, "timing")).groupBy(
+        *keys, F.session_window("ts", f"{bound} 1 microsecond")).agg(times("launch"), times("timing"))
+    return sessions.select(F.explode(F.concat(alone("launch", "timing"), alone("timing", "launch"))).alias("side"), *keys)
 
 
 def answered_requests(read_stacks: Callable[[], DataFrame], flush: Flush) -> Flush:
