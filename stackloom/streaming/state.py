@@ -37,13 +37,14 @@ def _looked(requests: DataFrame) -> DataFrame:
 
 def _answers(rows: Iterable, held: tuple | None, ttl_ns: int) -> Iterator[tuple[tuple, tuple]]:
     """(output row, entry in force) for each row in order of time; an entry is (looked-up time, found, container, technology)."""
-    for r in sorted(rows, key=lambda r: (r["ts_ns"], r["container_id"] or "", r["found"])):
-        if held is not None and r["ts_ns"] - held[0] <= ttl_ns:
+    values = ((r["node"], r["pid"], r["ts_ns"], r["found"], r["container_id"], r["container_env"]) for r in rows)
+    for node, pid, ts_ns, found, container_id, env in sorted(values, key=lambda v: (v[2], v[4] or "", v[3])):
+        if held is not None and ts_ns - held[0] <= ttl_ns:
             answer = "cached" if held[1] else "deferred"
         else:
-            held = (r["ts_ns"], r["found"], r["container_id"], r["container_env"])
-            answer = "looked_up" if r["found"] else "failed"
-        yield (r["node"], r["pid"], r["ts_ns"], held[2], held[3], answer), held
+            held = (ts_ns, found, container_id, env)
+            answer = "looked_up" if found else "failed"
+        yield (node, pid, ts_ns, held[2], held[3], answer), held
 
 
 class _ContainerState(StatefulProcessor):
@@ -54,12 +55,12 @@ class _ContainerState(StatefulProcessor):
         self.entry = handle.getValueState("entry", "ts_ns long, found boolean, container_id string, container_env int", self.evict_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = tuple(self.entry.get()) if self.entry.exists() else None
-        for out, entry in _answers(rows, held, self.ttl_ns):
-            if entry is not held:
-                self.entry.update(entry)
-                held = entry
+        kept = self.entry.get()
+        held = before = tuple(kept) if kept is not None else None
+        for out, held in _answers(rows, before, self.ttl_ns):
             yield LookupRow(*out)
+        if held is not before:  # each call to the store is a round trip, so only the last entry goes there
+            self.entry.update(held)
 
     def close(self) -> None:
         pass
@@ -153,12 +154,15 @@ def worklist_changes_stream(files: DataFrame, retry_ns: int = UPLOAD_RETRY_NS, w
         _UploadState(retry_ns, by_clock), CHANGE, "Append", mode)
 
 
-def stop_when_idle(query: StreamingQuery, patience: float = 120.0) -> None:
-    """Stop a query that goes by the clock, and so never ends by itself, after a trigger that found nothing new."""
-    end = time.monotonic() + patience
-    while query.isActive and time.monotonic() < end:
+def stop_when_idle(query: StreamingQuery) -> None:
+    """Stop a query that goes by the clock, and so never ends by itself, after a trigger that found nothing new.
+
+    A trigger may take any time. The first one may repeat an empty batch of an earlier run without looking for rows, so an
+    empty trigger counts from the second on.
+    """
+    while query.isActive:
         rows = [p["numInputRows"] for p in query.recentProgress]
-        if any(rows) and not rows[-1]:
+        if rows and not rows[-1] and (any(rows) or len(rows) > 1):
             break
         time.sleep(0.1)
     failure = query.exception()

@@ -40,3 +40,27 @@ def test_a_launch_with_its_timings_is_one_row_of_state(spark):
     run()
     got = sorted((r.side, r.correlation_id) for r in spark.read.parquet(f"{path}/out").collect())
     assert got == [("launch", 3), ("launch", 5), ("timing", 3), ("timing", 4), ("timing", 6), ("timing", 6)]
+
+
+def test_a_process_is_one_call_to_the_store_per_batch():
+    calls = []
+    entry = SimpleNamespace(exists=lambda: calls.append("exists"), get=lambda: calls.append("get"), update=calls.append)
+    processor = state._ContainerState(10, 1000)
+    processor.entry = entry
+    rows = [{"node": "n", "pid": 1, "ts_ns": t, "found": True, "container_id": "c", "container_env": 1} for t in range(0, 200, 20)]
+    assert [r.answer for r in processor.handleInputRows(("n", 1), iter(rows), None)] == ["looked_up"] * 10
+    assert calls == ["get", (180, True, "c", 1)]
+
+
+def test_a_slow_trigger_is_waited_for(monkeypatch):
+    clock, progress = [0.0], []
+
+    def sleep(_):
+        clock[0] += 100.0
+        if clock[0] >= 500 and len(progress) < 2:  # the first trigger takes long, the next one finds nothing
+            progress.append({"numInputRows": 0 if progress else 7})
+    monkeypatch.setattr(state, "time", SimpleNamespace(monotonic=lambda: clock[0], sleep=sleep))
+    seen = []
+    query = SimpleNamespace(isActive=True, recentProgress=progress, exception=lambda: None, stop=lambda: seen.append([p["numInputRows"] for p in progress]))
+    state.stop_when_idle(query)
+    assert seen == [[7, 0]]
