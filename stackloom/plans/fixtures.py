@@ -199,6 +199,10 @@ def oracle_sql(query: str) -> str:
     return re.sub(r"@us\(([^()]*)\)", r"epoch_us(\1)", text)
 
 
+# Line items whose frames one task numbers and gathers; a fixed number of tasks would hold ever more of them.
+ROWS_PER_TASK = 500_000
+
+
 class Tables:
     """The test tables of one folder and the fixtures over them."""
 
@@ -218,7 +222,15 @@ class Tables:
         used = [t for t in TABLES if re.search(rf"\b{t}\b", full)]
         for name in used:
             full = re.sub(rf"(?i)\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", full)
-        return self.spark.sql(full, **{t: self.table(t) for t in used})
+        tables = {t: self.table(t) for t in used}
+        if "fx_frames" in needed:  # numbered per order, so this is the exchange that the numbering needs anyway
+            tables["lineitem"] = self._dealt_out(tables["lineitem"], "l_orderkey")
+        return self.spark.sql(full, **tables)
+
+    def _dealt_out(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows by key over as many tasks as their number asks for, where Spark's own number is smaller."""
+        tasks = -(-rows.count() // ROWS_PER_TASK)
+        return rows.repartition(tasks, key) if tasks > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else rows
 
     def fx(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}")

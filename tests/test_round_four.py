@@ -64,3 +64,24 @@ def test_a_slow_trigger_is_waited_for(monkeypatch):
     query = SimpleNamespace(isActive=True, recentProgress=progress, exception=lambda: None, stop=lambda: seen.append([p["numInputRows"] for p in progress]))
     state.stop_when_idle(query)
     assert seen == [[7, 0]]
+
+
+def small_tables(spark, path, orders=40, lines=5):
+    spark.range(orders * lines).selectExpr(f"id div {lines} AS l_orderkey", "id % 3 AS l_partkey", "id % 2 AS l_suppkey", f"CAST(id % {lines} AS INT) AS l_linenumber", "2.0D AS l_quantity", "1.0D AS l_extendedprice",
+                                           "timestamp'2024-01-01' AS l_shipdate").write.parquet(f"{path}/lineitem.parquet")
+    spark.range(3).selectExpr("id AS p_partkey", "concat('name', id) AS p_name", "'brand' AS p_brand", "'type' AS p_type").write.parquet(f"{path}/part.parquet")
+    spark.range(orders).selectExpr("id AS o_orderkey").write.parquet(f"{path}/orders.parquet")
+    spark.range(2).selectExpr("id AS s_suppkey", "'s' AS s_name", "0 AS s_nationkey").write.parquet(f"{path}/supplier.parquet")
+    spark.range(30).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts", "id % 2 AS user_id", "'view' AS event_type", "1.0D AS value", "'' AS props").write.parquet(
+        f"{path}/events.parquet")
+    return fixtures.Tables(spark, path)
+
+
+def test_tasks_grow_with_the_frames(spark, monkeypatch):
+    t = small_tables(spark, shared_dir(spark, "tables"))
+    parts = lambda: t.fx("fx_frames").select("stack_key", "frame_idx", F.spark_partition_id().alias("p")).agg(F.count_distinct("p")).first()[0]
+    found = lambda: sorted(distinct_stacks(inputs.events(t).join(inputs.stacks(t), "stacktrace_id").select("event_id", "frames")).select(
+        "stacktrace_id", "n_events").collect())
+    few, before = parts(), found()
+    monkeypatch.setattr(fixtures, "ROWS_PER_TASK", 10)  # 200 line items
+    assert few < parts() <= 20 and found() == before and before
