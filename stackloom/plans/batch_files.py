@@ -31,8 +31,11 @@ def records(t: Tables, file_ns: int = FILE_NS, batch_ns: int = BATCH_NS) -> Data
     samples = named.withColumns({
         "record": F.lit("samples"), "schema_version": F.lit("v1"), "labels": F.create_map(F.lit("comm"), F.col("comm"), F.lit("node"), F.col("node"))})
     first = new_stacktraces(named, ["file"], "batch").withColumnRenamed("first_batch", "batch")
+    # Only stacks that occur in the files are resolved.
+    used = named.select("stacktrace_id").distinct()
     located = stack_locations(resolve_frames(join_frame_executable(
-        inputs.frames(t), inputs.executables(t)), "v1"), "stacktrace_id", stacks=inputs.stack_table(t))
+        inputs.frames(t).join(used, "stacktrace_id", "left_semi"), inputs.executables(t)), "v1"), "stacktrace_id",
+        stacks=inputs.stack_table(t).join(used, "stacktrace_id", "left_semi"))
     stacks = first.join(located, "stacktrace_id").withColumn("record", F.lit("stacktraces"))
     rows = samples.select("record", "file", "batch", "schema_version", "labels", "stacktrace_id", "ts_ns", *NUMBERS, *TEXTS).unionByName(
         stacks.select("record", "file", "batch", "stacktrace_id", "is_complete", "locations"), allowMissingColumns=True)

@@ -85,3 +85,11 @@ def test_tasks_grow_with_the_frames(spark, monkeypatch):
     few, before = parts(), found()
     monkeypatch.setattr(fixtures, "ROWS_PER_TASK", 10)  # 200 line items
     assert few < parts() <= 20 and found() == before and before
+
+
+def test_only_stacks_of_the_files_are_resolved(spark):
+    t = small_tables(spark, shared_dir(spark, "tables"))
+    rows = batch_files.records(t)
+    assert {r.record: r["count"] for r in rows.groupBy("record").count().collect()} == {"samples": 30, "stacktraces": rows.where(
+        "record = 'samples'").select("file", "stacktrace_id").distinct().count()}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2
