@@ -61,6 +61,8 @@ _LOCATION = pa.struct([
     ("mapping_build_id", pa.string()), ("lines", pa.list_(_LINE))])
 _TEXT = ("sample_type", "sample_unit", "period_type", "period_unit", "producer", "temporality")
 _LABELS = pa.map_(pa.string(), pa.string())
+# Records are small and tasks fill the cores: a thread for each buffer costs more than decompressing it.
+_SERIAL = pa.ipc.IpcReadOptions(use_threads=False)
 
 
 @dataclass
@@ -204,7 +206,7 @@ def read_records(stream, wanted: tuple[str, ...], first: int = 0, last: int | No
     batches = read_count(stream)
     for batch in range(batches if last is None else min(last, batches)):
         record = _exactly(stream, LENGTH.unpack(_exactly(stream, LENGTH.size))[0])
-        with pa.ipc.open_stream(record) as reader:
+        with pa.ipc.open_stream(record, options=_SERIAL) as reader:
             tag = schema_version(reader.schema)
             if "samples" in wanted and batch >= first:
                 yield batch, "samples", tag, reader.read_all()
@@ -212,7 +214,7 @@ def read_records(stream, wanted: tuple[str, ...], first: int = 0, last: int | No
             continue
         size = LENGTH.unpack(_exactly(stream, LENGTH.size))[0]
         if "stacktraces" in wanted and batch >= first:
-            with pa.ipc.open_stream(_exactly(stream, size)) as reader:
+            with pa.ipc.open_stream(_exactly(stream, size), options=_SERIAL) as reader:
                 yield batch, "stacktraces", tag, reader.read_all()
         else:
             _skip(stream, size)

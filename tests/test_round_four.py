@@ -93,3 +93,7 @@ def test_only_stacks_of_the_files_are_resolved(spark):
     assert {r.record: r["count"] for r in rows.groupBy("record").count().collect()} == {"samples": 30, "stacktraces": rows.where(
         "record = 'samples'").select("file", "stacktrace_id").distinct().count()}
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2
+
+
+def test_records_are_taken_apart_without_threads():
+    assert not batch_log._SERIAL.use_threads
